@@ -1,4 +1,19 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""All registered queries outside the llm subpackage, by family."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessarine.plans import text_queries
+
+FAMILIES = (text_queries,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for family in FAMILIES for name, query in family.R.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for family in FAMILIES for name, sql in family.R.sql.items()}
