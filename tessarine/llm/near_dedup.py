@@ -32,6 +32,9 @@ SPLIT_ABOVE = 256
 """Index entries with more classes than this are compared in several blocks."""
 HUB_TURNS = 2
 """Rounds that compare each class with one other of each of its index entries, before all that are left are compared."""
+SKETCH_BITS, SKETCH_FAR = 1024, 181
+"""Before full sets are compared across components, signatures of 1024 bits must differ in at most 181 places. At a
+similarity of 0.75 they differ in 128, and in more than 181 with a probability of 4e-7."""
 BROADCAST_IDS = 2_000_000
 
 _K = CHUNKS * WIDTH
@@ -39,6 +42,9 @@ _rng = np.random.default_rng(20_011)
 _MUL = _rng.integers(0, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, _K, dtype=np.uint64)
 
+_SKETCH_MUL = _rng.integers(0, 2**63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH_ADD = _rng.integers(0, 2**63, SKETCH_BITS, dtype=np.uint64)
+
 
 def _signature(shingles: np.ndarray) -> np.ndarray:
     least = np.full(_K, np.uint64(2**64 - 1))
@@ -108,6 +114,21 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, shingles) -> a signature of 1-bit MinHash values, as longs."""
+    for batch in batches:
+        out = []
+        for found in batch.column("shingles"):
+            shingles = found.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            least = np.full(SKETCH_BITS, np.uint64(2**64 - 1))
+            for at in range(0, len(shingles), 256):
+                least = np.minimum(least, (shingles[at : at + 256, None] * _SKETCH_MUL + _SKETCH_ADD).min(axis=0))
+            out.append(np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+        flat = np.concatenate(out) if out else np.empty(0, np.int64)
+        ends = np.arange(len(out) + 1, dtype=np.int32) * (SKETCH_BITS // 64)
+        yield pa.record_batch([batch.column("cls"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cls", "bits"])
+
+
 def _ids(df: DataFrame) -> DataFrame:
     """Mark for broadcast when counted small enough; else the join shuffles."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
@@ -193,18 +214,22 @@ def _across(rows: DataFrame) -> DataFrame:
     """Pairs within a key whose roots differ, whose sizes are near enough and whose reaches allow a link.
 
     A key's rows are dealt to blocks of about SPLIT_ABOVE and each block pair is a join key of its own, so one large
-    entry spreads over many tasks; pairs that can't link are dropped inside the join.
+    entry spreads over many tasks. Pairs that can't link are dropped inside the join, and a pair that shares several
+    keys leaves it once, at the first of them.
     """
     of_key = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
     sized = rows.join(of_key.filter("low < high"), "key")
     blocks = F.ceil(F.col("rows") / SPLIT_ABOVE).cast("int")
-    dealt = sized.select("key", "cls", "root", "n_shingles", "reach", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
+    dealt = sized.select("key", "cls", "root", "n_shingles", "reach", "bits", "keys", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
     left = dealt.withColumn("to", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).withColumnRenamed("block", "from").drop("blocks")
     right = dealt.select(
-        "key", F.col("cls").alias("of"), F.col("root").alias("of_root"), F.col("n_shingles").alias("of_n"), F.col("reach").alias("of_reach"),
+        "key", F.col("cls").alias("of"), F.col("root").alias("of_root"), F.col("n_shingles").alias("of_n"), F.col("reach").alias("of_reach"), F.col("bits").alias("of_bits"), F.col("keys").alias("of_keys"),
         F.explode(F.sequence(F.lit(0), F.col("block"))).alias("from"), F.col("block").alias("to"),
     )
-    met = left.join(right, ["key", "from", "to"]).filter((F.col("root") != F.col("of_root")) & _may_link())
+    apart = sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("of_bits", i))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    first = F.array_min(F.array_intersect("keys", "of_keys")) == F.col("key")
+    once = (F.col("from") < F.col("to")) | (F.col("cls") < F.col("of"))
+    met = left.join(right, ["key", "from", "to"]).filter(once & (F.col("root") != F.col("of_root")) & _may_link() & (apart <= SKETCH_FAR) & first)
     return met.select(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b")).distinct()
 
 
@@ -244,10 +269,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         opened = materialize(open_.select("cls", "root").distinct(), "opened")
         sets = _sets_of(opened, docs, firsts)
         reach = materialize(_in_reach(opened, sets).join(size_of, "cls").filter(100 * F.col("reach") >= PERCENT * F.col("n_shingles")), "reach")
+        sketches = sets.join(reach.select("cls"), "cls").mapInArrow(_sketch, "cls long, bits array<long>").dropDuplicates(["cls"])
+        own = open_.groupBy("cls").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        marked = materialize(reach.join(sketches, "cls").join(own, "cls"), "marked")
         rows = open_.drop("root").join(reach, "cls")
         for turn in range(HUB_TURNS + 1):
             rooted = _rooted(rows, roots)
-            found = _hub_pairs(rooted, turn) if turn < HUB_TURNS else _across(rooted)
+            found = _hub_pairs(rooted, turn) if turn < HUB_TURNS else _across(rooted.join(marked.select("cls", "bits", "keys"), "cls"))
             fresh = materialize(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
             if fresh.isEmpty():
                 continue
