@@ -292,7 +292,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without rows whose document is not the first of its component; rows of one doc_id become one."""
+    """``docs`` without rows whose document is not the first of its component; equal rows of one doc_id become one.
+
+    Rows that share a doc_id but differ all stay or all go, and rows without one all stay.
+    """
     verdict = near_duplicates(docs)
     gone = materialize(verdict.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.dropDuplicates(["doc_id"]).join(_ids(gone), "doc_id", "left_anti")
+    left = docs.join(_ids(gone), "doc_id", "left_anti")
+    again = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "again")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    once = left.join(_ids(again), "doc_id", "left_semi").dropDuplicates()
+    return left.join(_ids(again), "doc_id", "left_anti").unionByName(once).select(docs.columns)
