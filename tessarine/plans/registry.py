@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.plans import chunk_queries, evaluation_queries, lineage_queries, retrieval_queries, text_queries
+from tessarine.plans import chunk_queries, evaluation_queries, lineage_queries, retrieval_queries, source_queries, streaming_queries, text_queries
 
-FAMILIES = (text_queries, chunk_queries, retrieval_queries, lineage_queries, evaluation_queries)
+FAMILIES = (text_queries, chunk_queries, retrieval_queries, lineage_queries, evaluation_queries, streaming_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
