@@ -86,7 +86,7 @@ def test_chunks_cover_and_resist_shifts():
     ends, words = substring.chunks(raw)
     assert ends[-1] == len(raw) and (np.diff(ends) > 0).all() and words.sum() == 40_000 and words.max() <= substring.MAX_WORDS
     a, b = set(substring._digests(raw, ends)), set(substring._digests(b"new words " + raw, substring.chunks(b"new words " + raw)[0]))
-    assert len(a - b) <= 2
+    assert len(a - b) <= 6  # the first chunk, and those whose borders lie within the 16 bytes that the hash looks back
     for odd in (b"", b" ", b"a", b" a", b"a ", b" a b ", b"\n\n"):
         e, w = substring.chunks(odd)
         assert (e[-1] if len(e) else 0) == len(odd) and w.sum() == len(odd.split())
