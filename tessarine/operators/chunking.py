@@ -233,3 +233,27 @@ def ingest_stats(files: DataFrame, chunks: DataFrame) -> DataFrame:
     f = files.groupBy("repository").agg(F.count(F.lit(1)).alias("files"), F.count_if("failed").alias("errors"))
     c = chunks.groupBy("repository").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("content_hash").alias("embedded"), F.count_if("truncated").alias("truncated"))
     return f.join(c, "repository", "left").na.fill(0, ["chunks", "embedded", "truncated"])
+
+
+class ChunkFixedUdtf:
+    """``SELECT * FROM chunk_fixed(content, size, overlap)``: a text's line windows, for SQL."""
+
+    def eval(self, content: str, size: int, overlap: int):
+        lines = (content or "").splitlines()
+        if not lines:
+            yield 1, 1, ""
+        at = 0
+        while at < len(lines):
+            end = min(at + size, len(lines))
+            if end < len(lines):
+                blank = [i for i in range(max(at + 1, end - REACH), min(len(lines), end + REACH)) if not lines[i].strip()]
+                end = min(blank, key=lambda i: (abs(i - end), i)) + 1 if blank else end
+            yield at + 1, end, "\n".join(lines[at:end])
+            if end >= len(lines):
+                return
+            at = max(end - overlap, at + 1)
+
+
+def register_udtf(spark) -> None:
+    """Make ``chunk_fixed`` callable from SQL."""
+    spark.udtf.register("chunk_fixed", F.udtf(ChunkFixedUdtf, returnType="start_line int, end_line int, content string"))

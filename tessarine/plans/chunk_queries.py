@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessarine.functions import predicates as p
 from tessarine.operators import chunking as c
 from tessarine.plans.roles import FILES, Registry, files, table
 
@@ -38,10 +37,14 @@ R.add(
     f"""WITH files AS ({FILES}), l AS (SELECT path, regexp_split_to_array(content, '\\r\\n|[\\n\\r]') AS b FROM files), s AS ({SPANS})
     SELECT doc_id, start_line, end_line, sha256(array_to_string((CASE WHEN b[-1] = '' THEN b[:-2] ELSE b END)[start_line:end_line], chr(10))) AS hash FROM s JOIN l USING (path)""",
 )
-_CODE = F.concat(F.lit("@wrap\ndef alpha_"), F.col("doc_id").cast("string"), F.lit("(x):\n    return x\n\nclass Beta:\n    def gamma(self):\n        pass\n"), F.lit("# "), F.regexp_replace("content", "\n", "\n# "), F.lit("\ndef omega():\n    pass\n"))
+def _code():
+    """Python text around each document, as comments."""
+    return F.concat(F.lit("@wrap\ndef alpha_"), F.col("doc_id").cast("string"), F.lit("(x):\n    return x\n\nclass Beta:\n    def gamma(self):\n        pass\n"), F.lit("# "), F.regexp_replace("content", "\n", "\n# "), F.lit("\ndef omega():\n    pass\n"))
+
+
 R.add(
     "c3_definitions",
-    lambda s, d: c.extract_definitions(files(s, d).select("path", F.lit("python").alias("language"), _CODE.alias("content"))),
+    lambda s, d: c.extract_definitions(files(s, d).select("path", F.lit("python").alias("language"), _code().alias("content"))),
     f"""WITH files AS ({FILES}), n AS (SELECT path, doc_id, CAST(8 + len(string_split(content, chr(10))) AS BIGINT) AS last FROM files)
     SELECT path, 'python' AS language, k.kind AS kind, replace(k.name, '#', CAST(doc_id AS VARCHAR)) AS name, CASE k.a WHEN -1 THEN last ELSE k.a END AS start_line, CASE k.b WHEN -1 THEN last + 1 WHEN -2 THEN last - 1 ELSE k.b END AS end_line
     FROM n, (SELECT unnest([{{'kind': 'function', 'name': 'alpha_#', 'a': 1, 'b': 4}}, {{'kind': 'class', 'name': 'Beta', 'a': 5, 'b': -2}}, {{'kind': 'function', 'name': 'gamma', 'a': 6, 'b': -2}}, {{'kind': 'function', 'name': 'omega', 'a': -1, 'b': -1}}]) AS k)""",
@@ -139,11 +142,6 @@ R.add(
     g AS (SELECT repository, count(*) AS chunks, count(DISTINCT sha256(chunks.content)) AS embedded, count(*) FILTER (WHERE length(chunks.content) > 2000) AS truncated FROM chunks JOIN files USING (doc_id) GROUP BY 1)
     SELECT repository, files, errors, coalesce(chunks, 0) AS chunks, coalesce(embedded, 0) AS embedded, coalesce(truncated, 0) AS truncated FROM f LEFT JOIN g USING (repository)""",
 )
-R.add(
-    "p12_skip_counts",
-    lambda s, d: files(s, d).select("repository", p.classify_path(F.col("path"))["reason"].alias("reason")).filter("reason <> 'indexable'").groupBy("repository", "reason").agg(F.count(F.lit(1)).alias("files")),
-    None,
-)
 R.add(
     "p13_apply_caps",
     lambda s, d: files(s, d).groupBy("repository").agg(F.sum(F.octet_length("content").cast("long")).alias("bytes"), F.max(F.octet_length("content").cast("long")).alias("largest"), F.count(F.lit(1)).alias("files")).select(

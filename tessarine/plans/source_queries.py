@@ -44,11 +44,17 @@ R.add(
     f"""WITH f AS (SELECT repository, doc_id % 64 AS piece, content, CASE WHEN doc_id % 20 > 17 THEN doc_id % 4 ELSE 0 END AS odd FROM ({FILES})), k AS (SELECT DISTINCT repository, piece FROM f WHERE odd = 0)
     SELECT repository || '.tar.gz' AS archive, CASE odd WHEN 0 THEN 'none' WHEN 1 THEN 'unsafe_path' WHEN 2 THEN 'unexpected_top_level' ELSE 'symlink' END AS reason, count(*) AS n, CAST(sum(CASE WHEN odd = 0 THEN octet_length(encode(content)) ELSE 0 END) AS BIGINT) AS bytes FROM f JOIN k USING (repository, piece) GROUP BY 1, 2""",
 )
-_RAW = F.when(col("doc_id") % 5 == 0, F.concat(F.lit("﻿"), col("content"))).otherwise(col("content")).cast("binary")
-_BYTES = F.when(col("doc_id") % 7 == 1, F.concat(_RAW, F.unhex(F.lit("00")))).when(col("doc_id") % 7 == 2, F.concat(_RAW, F.unhex(F.lit("FF")))).otherwise(_RAW)
+
+
+def _bytes():
+    """Documents as bytes: some with a leading mark, some with a NUL, some broken."""
+    raw = F.when(col("doc_id") % 5 == 0, F.concat(F.lit("\ufeff"), col("content"))).otherwise(col("content")).cast("binary")
+    return F.when(col("doc_id") % 7 == 1, F.concat(raw, F.unhex(F.lit("00")))).when(col("doc_id") % 7 == 2, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
+
+
 R.add(
     "s3_decode_text",
-    lambda s, d: src.decode_text(files(s, d).select("doc_id", _BYTES.alias("content"))).select("doc_id", "skip_reason", F.sha2("text", 256).alias("hash")),
+    lambda s, d: src.decode_text(files(s, d).select("doc_id", _bytes().alias("content"))).select("doc_id", "skip_reason", F.sha2("text", 256).alias("hash")),
     "SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'binary' WHEN 2 THEN 'non_utf8' END AS skip_reason, CASE WHEN doc_id % 7 NOT IN (1, 2) THEN sha256(text) END AS hash FROM documents",
 )
 
@@ -57,12 +63,12 @@ def _replaced(s, d):
     path = scratch(s, "chunks")
     rows = files(s, d).select(col("organization").alias("organization_id"), col("repository").alias("repository_id"), "doc_id", F.lit(1).alias("version"))
     src.replace_repository_chunks(rows, path)
-    src.replace_repository_chunks(rows.filter("repository_id in ('src1', 'src2') and doc_id % 2 = 1").withColumn("version", F.lit(2)), path)
+    src.replace_repository_chunks(rows.filter("repository_id in ('src1', 'src2') and doc_id % 3 = 1").withColumn("version", F.lit(2)), path)
     return s.read.parquet(path).select("organization_id", "repository_id", "doc_id", "version")
 
 
 R.add("s7_replace_chunks", _replaced,
-      f"SELECT organization AS organization_id, repository AS repository_id, doc_id, CASE WHEN repository IN ('src1', 'src2') THEN 2 ELSE 1 END AS version FROM ({FILES}) WHERE repository NOT IN ('src1', 'src2') OR doc_id % 2 = 1")
+      f"SELECT organization AS organization_id, repository AS repository_id, doc_id, CASE WHEN repository IN ('src1', 'src2') THEN 2 ELSE 1 END AS version FROM ({FILES}) WHERE repository NOT IN ('src1', 'src2') OR doc_id % 3 = 1")
 
 
 def _rows_again(s, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessarine.functions import expr as x
 from tessarine.functions import predicates as p
-from tessarine.plans.roles import FILES, QUESTIONS, Registry, files, questions, table
+from tessarine.plans.roles import FILES, Registry, files, table
 
 R = Registry()
 _LANG = "CASE regexp_extract(lower({0}), '[^.].*?(\\.[^.]*)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in p.LANGUAGES.items()) + " END"
@@ -16,23 +16,30 @@ _DIRS = repr(list(p.VENDORED_DIRS))
 _TOKENS = "len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]'))"
 
 
-def on_files(*columns):
-    return lambda s, d: files(s, d).select("doc_id", *columns)
+def on_files(columns):
+    """Columns over the files; made when the query runs, as they need a session."""
+    return lambda s, d: files(s, d).select("doc_id", *columns())
 
 
+CLASSIFIED = f"""WITH files AS ({FILES}), j AS (SELECT *, CASE WHEN regexp_matches(lower(name), '{p.SECRET_REGEX}') OR (split(path, '/')[-2] = '.aws' AND name = 'credentials') THEN 'secret'
+    WHEN len(list_intersect(list_transform(split(path, '/')[:-2], lambda q: lower(q)), {_DIRS})) > 0 THEN 'vendored' WHEN regexp_matches(lower(name), '{p.GENERATED_REGEX}') THEN 'generated'
+    WHEN name IN {p.LOCK_FILES} THEN 'lockfile' WHEN {_LANGUAGE} IS NULL THEN 'unsupported' ELSE 'indexable' END AS reason FROM files)
+    SELECT doc_id, path, repository, reason, CASE WHEN reason = 'indexable' THEN {_LANGUAGE} END AS language FROM j"""
 R.add(
     "p1_classify_path",
     lambda s, d: files(s, d).select("doc_id", "path", p.classify_path(F.col("path")).alias("c")).select("doc_id", "path", "c.reason", "c.language"),
-    f"""WITH files AS ({FILES}), j AS (SELECT *, CASE WHEN regexp_matches(lower(name), '{p.SECRET_REGEX}') OR (split(path, '/')[-2] = '.aws' AND name = 'credentials') THEN 'secret'
-    WHEN len(list_intersect(list_transform(split(path, '/')[:-2], lambda q: lower(q)), {_DIRS})) > 0 THEN 'vendored' WHEN regexp_matches(lower(name), '{p.GENERATED_REGEX}') THEN 'generated'
-    WHEN name IN {p.LOCK_FILES} THEN 'lockfile' WHEN {_LANGUAGE} IS NULL THEN 'unsupported' ELSE 'indexable' END AS reason FROM files)
-    SELECT doc_id, path, reason, CASE WHEN reason = 'indexable' THEN {_LANGUAGE} END AS language FROM j""",
+    f"SELECT doc_id, path, reason, language FROM ({CLASSIFIED})",
+)
+R.add(
+    "p12_skip_counts",
+    lambda s, d: files(s, d).select("repository", p.classify_path(F.col("path"))["reason"].alias("reason")).filter("reason <> 'indexable'").groupBy("repository", "reason").agg(F.count(F.lit(1)).alias("files")),
+    f"SELECT repository, reason, count(*) AS files FROM ({CLASSIFIED}) WHERE reason <> 'indexable' GROUP BY 1, 2",
 )
-R.add("p2_secret_names", on_files("name", p.is_secret_name(F.col("name")).alias("secret")), f"WITH files AS ({FILES}) SELECT doc_id, name, regexp_matches(lower(name), '{p.SECRET_REGEX}') AS secret FROM files")
+R.add("p2_secret_names", on_files(lambda: ("name", p.is_secret_name(F.col("name")).alias("secret"),)), f"WITH files AS ({FILES}) SELECT doc_id, name, regexp_matches(lower(name), '{p.SECRET_REGEX}') AS secret FROM files")
 _HEAD = "// Code generated by tool. DO NOT EDIT.\n"
 R.add(
     "p3_generated_source",
-    on_files(p.is_generated_source(F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("\n" + _HEAD))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit(_HEAD), "content")).otherwise(F.col("content"))).alias("generated")),
+    on_files(lambda: (p.is_generated_source(F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("\n" + _HEAD))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit(_HEAD), "content")).otherwise(F.col("content"))).alias("generated"),)),
     f"""WITH f AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || chr(10) || '{_HEAD.strip()}' || chr(10) WHEN 1 THEN '{_HEAD.strip()}' || chr(10) || text ELSE text END AS t FROM documents)
     SELECT doc_id, len(list_filter(split(t, chr(10))[1:20], lambda l: regexp_matches(l, '^// Code generated .* DO NOT EDIT\\.\\r*$'))) > 0 AS generated FROM f""",
 )
@@ -43,7 +50,7 @@ R.add(
     """WITH f AS (SELECT doc_id, (['a/b.py', '/abs.py', 'C:x', 'a//b', '../up', 'a\\b', 'tab' || chr(9) || 'here', '', 'ok/./x', 'é/ü.py'])[doc_id % 10 + 1] || CASE WHEN doc_id % 3 = 0 THEN '/z' ELSE '' END AS path FROM documents)
     SELECT doc_id, path = '' OR contains(path, '\\') OR contains(path, chr(9)) OR regexp_matches(path, '^([A-Za-z]:|/)') OR len(list_filter(split(path, '/'), lambda q: q IN ('', '.', '..'))) > 0 AS unsafe FROM f""",
 )
-R.add("p5_noise_path", on_files("path", p.noise_path(F.col("path")).alias("noise")), f"WITH files AS ({FILES}) SELECT doc_id, path, regexp_matches(replace(path, '\\', '/'), '{p.NOISE_PATH}') AS noise FROM files")
+R.add("p5_noise_path", on_files(lambda: ("path", p.noise_path(F.col("path")).alias("noise"),)), f"WITH files AS ({FILES}) SELECT doc_id, path, regexp_matches(replace(path, '\\', '/'), '{p.NOISE_PATH}') AS noise FROM files")
 R.add(
     "p6_valid_query",
     lambda s, d: table(s, d, "conversations").select("conv_id", "turn", p.valid_query(F.col("text"), F.col("turn") * 9).alias("valid")),
@@ -64,7 +71,7 @@ def _purpose_sql(table_, otherwise: str, name: str = "name") -> str:
 
 _FILE_SQL = f"""CASE WHEN contains(name, '_test') OR contains(name, '.test.') OR starts_with(name, 'test_') THEN 'Test file' WHEN name = '__init__.py' THEN 'Package initialization'
     WHEN name IN ('main.go', 'main.py') THEN 'Application entry point' ELSE {_purpose_sql(p.FILE_PURPOSES, "CASE WHEN doc_id % 2 > doc_id % 3 THEN 'Class definitions' WHEN doc_id % 3 > 0 THEN 'Function implementations' ELSE 'Source file' END")} END"""
-R.add("p8_file_purpose", on_files("name", p.infer_file_purpose(F.col("name"), F.col("doc_id") % 3, F.col("doc_id") % 2).alias("purpose")), f"WITH files AS ({FILES}) SELECT doc_id, name, {_FILE_SQL} AS purpose FROM files")
+R.add("p8_file_purpose", on_files(lambda: ("name", p.infer_file_purpose(F.col("name"), F.col("doc_id") % 3, F.col("doc_id") % 2).alias("purpose"),)), f"WITH files AS ({FILES}) SELECT doc_id, name, {_FILE_SQL} AS purpose FROM files")
 R.add(
     "p9_class_purpose",
     lambda s, d: table(s, d, "part").select("p_partkey", p.infer_class_purpose(F.concat(F.element_at(F.array(*map(F.lit, ("User", "Repo", "Job", "Form"))), (F.col("p_partkey") % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("Service", "Manager", "Builder", "Validator", "Thing"))), (F.col("p_partkey") % 5 + 1).cast("int")))).alias("purpose")),
@@ -72,7 +79,7 @@ R.add(
 )
 R.add(
     "p10_ext_language",
-    on_files("name", p.ext_language(F.col("name")).alias("language"), p.code_or_docs(F.col("name")).alias("kind")),
+    on_files(lambda: ("name", p.ext_language(F.col("name")).alias("language"), p.code_or_docs(F.col("name")).alias("kind"),)),
     f"WITH files AS ({FILES}) SELECT doc_id, name, coalesce({_LANGUAGE}, {_EXT}) AS language, CASE WHEN {_EXT} IN {p.DOC_EXTENSIONS} THEN 'docs' ELSE 'code' END AS kind FROM files",
 )
 R.add(
@@ -91,14 +98,12 @@ R.add(
 )
 R.add(
     "x3_breadcrumb",
-    on_files(x.breadcrumb(F.split("path", "/"), F.col("lang")).alias("breadcrumb")),
+    on_files(lambda: (x.breadcrumb(F.split("path", "/"), F.col("lang")).alias("breadcrumb"),)),
     f"WITH files AS ({FILES}) SELECT doc_id, array_to_string((list_filter(split(path, '/'), lambda q: q <> '') || [lang])[-4:], '.') AS breadcrumb FROM files",
 )
-_CRUMB = F.when(F.col("doc_id") % 3 > 0, F.col("source"))
-_DOC = F.when(F.col("doc_id") % 2 > 0, F.col("lang"))
 R.add(
     "x4_embedding_text",
-    lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(x.embedding_text(_CRUMB, _DOC, F.col("text")), 256).alias("hash")),
+    lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(x.embedding_text(F.when(F.col("doc_id") % 3 > 0, F.col("source")), F.when(F.col("doc_id") % 2 > 0, F.col("lang")), F.col("text")), 256).alias("hash")),
     """SELECT doc_id, sha256(CASE WHEN doc_id % 3 > 0 THEN '# ' || source || chr(10) || chr(10) ELSE '' END || CASE WHEN doc_id % 2 > 0 THEN '\"\"\"' || lang || '\"\"\"' || chr(10) || chr(10) ELSE '' END || text) AS hash FROM documents""",
 )
 R.add(
@@ -149,6 +154,6 @@ R.add(
 R.add("x14_module_docstring", lambda s, d: table(s, d, "documents").select("doc_id", x.module_docstring(F.concat(F.lit('# head\n"""About\nit"""\n'), "text")).alias("docstring")), "SELECT doc_id, 'About it' AS docstring FROM documents")
 R.add(
     "x15_matches",
-    on_files(x.path_matches(F.col("path"), F.concat("repository", F.lit("/src"))).alias("in_path"), x.symbol_matches(F.concat_ws(".", "repository", "lang"), F.col("lang")).alias("of_symbol")),
+    on_files(lambda: (x.path_matches(F.col("path"), F.concat("repository", F.lit("/src"))).alias("in_path"), x.symbol_matches(F.concat_ws(".", "repository", "lang"), F.col("lang")).alias("of_symbol"),)),
     f"WITH files AS ({FILES}) SELECT doc_id, contains(path, repository || '/src') AS in_path, ends_with(repository || '.' || lang, '.' || lang) AS of_symbol FROM files",
 )

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessarine.operators.lineage import tenant_bucket
 
@@ -91,7 +90,7 @@ def decode_text(df: DataFrame, column: str = "content") -> DataFrame:
     return df.withColumn("skip_reason", F.coalesce(had, why)).withColumn("text", F.when(F.col("skip_reason").isNull(), text))
 
 
-RUN_SCHEMA = T.StructType.fromDDL(
+RUN_SCHEMA = (
     "record string, id string, `set` string, path string, symbol string, file_rank long, symbol_rank long, query_vector_sha256 string, error string, commit string, top_k long, "
     "trace struct<fts:array<struct<chunk_id:long,rank:long,score:double>>,vector:array<struct<chunk_id:long,rank:long,score:double>>,fused:array<struct<chunk_id:long,rank:long,score:double>>,top:array<struct<chunk_id:long,rank:long,score:double>>>"
 )
@@ -103,7 +102,7 @@ def read_run_records(spark: SparkSession, paths: str | list[str]) -> tuple[DataF
     return rows.filter("record = 'run'"), rows.filter("record is null or record <> 'run'")
 
 
-SPEC_SCHEMA = T.StructType.fromDDL("corpus string, commit string, roots array<string>, exclude array<string>, questions array<struct<id:string,`set`:string,question:string,path:string,symbol:string,evidence:string>>")
+SPEC_SCHEMA = "corpus string, commit string, roots array<string>, exclude array<string>, questions array<struct<id:string,`set`:string,question:string,path:string,symbol:string,evidence:string>>"
 
 
 def read_question_specs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
