@@ -32,9 +32,9 @@ SPLIT_ABOVE = 256
 """Index entries with more classes than this are compared in several blocks."""
 HUB_TURNS = 2
 """Rounds that compare each class with one other of each of its index entries, before all that are left are compared."""
-SKETCH_BITS, SKETCH_FAR = 1024, 181
-"""Before full sets are compared across components, signatures of 1024 bits must differ in at most 181 places. At a
-similarity of 0.75 they differ in 128, and in more than 181 with a probability of 4e-7."""
+SKETCH_BITS, SKETCH_FAR = 2048, 331
+"""Before full sets are compared across components, signatures of 2048 bits must differ in at most 331 places. At a
+similarity of 0.75 they differ in 256, and in more than 331 with a probability of 6e-7."""
 BROADCAST_IDS = 2_000_000
 
 _K = CHUNKS * WIDTH
@@ -121,8 +121,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in batch.column("shingles"):
             shingles = found.values.to_numpy(zero_copy_only=False).view(np.uint64)
             least = np.full(SKETCH_BITS, np.uint64(2**64 - 1))
-            for at in range(0, len(shingles), 256):
-                least = np.minimum(least, (shingles[at : at + 256, None] * _SKETCH_MUL + _SKETCH_ADD).min(axis=0))
+            for at in range(0, len(shingles), 128):
+                least = np.minimum(least, (shingles[at : at + 128, None] * _SKETCH_MUL + _SKETCH_ADD).min(axis=0))
             out.append(np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).view(np.int64))
         flat = np.concatenate(out) if out else np.empty(0, np.int64)
         ends = np.arange(len(out) + 1, dtype=np.int32) * (SKETCH_BITS // 64)
