@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,44 +17,91 @@ from tessarine.llm._work import materialize
 
 LENGTH = 2048
 GROUP_PIECES = 200_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 END_ID = 0
+PUNCTUATION = b".,!*$#%&;:?"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Word (UTF-8 bytes) -> its token ids as little-endian 32-bit bytes; forgets all when full.
+def _ends_in_letter(word: bytes) -> bool:
+    """Also after composing and lower-casing, which may leave a mark at the end."""
+    return unicodedata.normalize("NFC", word.decode("utf-8", "replace")[-1]).lower()[-1].isalpha()
 
-    For tokenizers that split at white space and drop it, a text's ids are its words' ids in a row.
+
+class WordIds:
+    """Token ids of words, for tokenizers that lower-case and drop white space: a text's ids are its words' ids in a row.
+
+    A word's trailing punctuation is a token piece of its own after a letter, so ``stem`` and ``stem,`` share a lookup.
+    Two generations of at most CACHE_WORDS words are kept; words in use move to the younger one.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        found = self[word] = np.asarray(ids, "<u4").tobytes()
-        return found
+        self.old: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def words(text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "replace")
+        return (raw if b"<|" in raw else raw.lower()).split()
+
+    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """A table that knows all words of ``texts``."""
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        todo, parts = set(), {}
+        for w in set(chain.from_iterable(texts)) - self.new.keys():
+            if (found := self.old.get(w)) is not None:
+                self.new[w] = found
+                continue
+            stem = w.rstrip(PUNCTUATION)
+            if stem and len(stem) < len(w) and _ends_in_letter(stem):
+                parts[w] = stem, w[len(stem) :]
+                todo.update(x for x in parts[w] if x not in self.new)
+            else:
+                todo.add(w)
+        fresh = list(todo)
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at : at + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+                self.new[w] = np.asarray(e.ids, "<u4").tobytes()
+        for w, (stem, tail) in parts.items():
+            self.new[w] = self.new[stem] + self.new[tail]
+        return self.new
+
+
+_known: dict[str, WordIds] = {}
+
+
+def _word_ids(path: str) -> WordIds:
+    """One table per Python worker, for all its tasks."""
+    if path not in _known:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _known.clear()
+        _known[path] = WordIds(path)
+    return _known[path]
 
 
 def cut_documents(path: str, length: int = LENGTH):
     """A function for mapInArrow: (doc_id, text) -> a row for each piece of at most ``length`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
+        known = _word_ids(path)
         end = np.uint32(END_ID).astype("<u4").tobytes()
         for batch in batches:
             ids, pieces, starts, lengths, sums = [], [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                raw = b"".join(map(known.__getitem__, (text.as_py() or "").encode("utf-8", "replace").split())) + end
-                for piece, at in enumerate(range(0, len(raw), 4 * length)):
-                    own = raw[at : at + 4 * length]
-                    ids.append(doc_id), pieces.append(piece), starts.append(at // 4), lengths.append(len(own) // 4), sums.append(zlib.crc32(own))
+            for first in range(0, len(batch), 128):
+                some = batch.slice(first, 128)
+                texts = [known.words(t.as_py()) for t in some.column("text")]
+                table = known.learn(texts)
+                for doc_id, found in zip(some.column("doc_id").to_pylist(), texts, strict=True):
+                    raw = b"".join(map(table.__getitem__, found)) + end
+                    for piece, at in enumerate(range(0, len(raw), 4 * length)):
+                        own = raw[at : at + 4 * length]
+                        ids.append(doc_id), pieces.append(piece), starts.append(at // 4), lengths.append(len(own) // 4), sums.append(zlib.crc32(own))
             yield pa.record_batch(
                 [pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
