@@ -60,15 +60,3 @@ R.add("d7_heartbeat_timeout", lambda s, d: drain(t.heartbeat_timeout(event_strea
 R.add("d8_outcome_counts", lambda s, d: t.outcome_counts(deliveries(s, d)).select(col("window_start").cast("timestamp_ntz").alias("window_start"), "event", "n"),
       "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS event, count(*) AS n FROM events GROUP BY 1, 2")
 
-
-def _cached(s, d):
-    name = f"{d}/embeddings.parquet"
-    schema = s.read.parquet(name).schema
-    path = s.read.parquet(name).select(F.input_file_name()).first()
-    single = path is not None and path[0].rstrip("/").endswith("embeddings.parquet")
-    e = s.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(d) if single else s.readStream.schema(schema).parquet(name)
-    q = e.select((col("label") % 2).cast("long").alias("organization"), col("label").cast("string").alias("repository"), col("vec_id").alias("query_id"), F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
-    return drain(t.stream_semantic_cache(q, 0.999999))
-
-
-R.add("r21_stream_semantic_cache", lambda s, d: _cached(s, d).groupBy("hit").agg(F.count(F.lit(1)).alias("n")))
