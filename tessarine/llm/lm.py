@@ -1,9 +1,10 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds every unigram and bigram above a relative frequency, and for each context the mass of its bigrams,
-once for each power of two that the count reaches. A count is read back by probing level after level until one is
-missing. The filter's size is bounded: with N training tokens and a least count t = ceil(3N / MOST_KEYS), the levels
-inserted are at most 3N / t <= MOST_KEYS. Word identity is a 64-bit hash, in bigrams 32 bits of it.
+The filter holds every unigram and bigram, and for each context the mass of its bigrams, once for each power of two
+that the count reaches. A count is read back by probing level after level until one is missing. The filter grows with
+the levels that were counted. Up to BROADCAST_BYTES it is broadcast; a larger one stays in the shared folder, and the
+distinct bigrams and words are shuffled to its segments, with the same scores. Word identity is a 64-bit hash, in
+bigrams 32 bits of it.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessarine.llm._text import WordHashes, mix, word_hashes, words
-from tessarine.llm._work import materialize
+from tessarine.llm._work import join_counted, materialize
 
-MOST_KEYS = 1 << 25
+BROADCAST_BYTES = 1 << 27
 KEY_BITS = 10
 PROBES = 6
 SEGMENTS = 256
+SEGMENT_BITS = 1 << 22
+"""Most bits of a segment; a larger filter has more segments."""
 HOT_TOKENS = 1 << 16
 ADD = 0.1
 DISCOUNT = 0.8
@@ -97,10 +100,14 @@ def level(count: np.ndarray, least: int) -> np.ndarray:
 
 
 class CountFilter:
-    """Bits of SEGMENTS equal segments, each a power of two; a key's segment is its top byte, its places come from two hashes per level."""
+    """Bits of equal segments, each a power of two; a key's segment is its top bits, its places come from two hashes per level.
+
+    With one segment, the keys are all taken to be of that one.
+    """
 
     def __init__(self, bits: np.ndarray, segment_bits: int, least: int) -> None:
         self.bits, self.segment_bits, self.least = bits, segment_bits, least
+        self.shift = np.uint64(64 - (8 * len(bits) // segment_bits).bit_length() + 1)
 
     @staticmethod
     def places(keys: np.ndarray, level_: int, segment_bits: int) -> np.ndarray:
@@ -117,7 +124,7 @@ class CountFilter:
         while len(alive):
             step += 1
             own = keys[alive]
-            base = (own >> np.uint64(56)) * np.uint64(self.segment_bits)
+            base = (own >> self.shift) * np.uint64(self.segment_bits) if self.shift < 64 else np.zeros(len(own), np.uint64)
             a = mix(own ^ np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
             b = mix(a ^ _UNI) | np.uint64(1)
             keep = np.arange(len(own))
@@ -149,26 +156,171 @@ def _segments(segment_bits: int, least: int):
     return build
 
 
-def build_filter(counts: DataFrame, least: int) -> CountFilter:
-    """The filter of (key, n) with n >= least. Only its bounded segments come to the driver."""
-    n_levels = counts.agg(F.coalesce(F.sum(F.floor(F.log2(F.col("n") / least) + 1e-12) + 1), F.lit(0))).first()[0]
-    segment_bits = 1 << max(10, math.ceil(math.log2(max(1, min(n_levels, MOST_KEYS)) * KEY_BITS / SEGMENTS)))
-    by = counts.withColumn("segment", F.shiftrightunsigned("key", 56).cast("int"))
-    rows = by.groupBy("segment").applyInArrow(_segments(segment_bits, least), "segment int, bits binary").collect()
-    bits = np.zeros(SEGMENTS * segment_bits // 8, np.uint8)
-    for r in rows:
+def shape(n_levels: int) -> tuple[int, int]:
+    """(segments, bits of each) for so many levels: KEY_BITS or more for each level."""
+    segment_bits = 1 << max(10, math.ceil(math.log2(max(1, n_levels) * KEY_BITS / SEGMENTS)))
+    return SEGMENTS * max(1, segment_bits // SEGMENT_BITS), min(segment_bits, SEGMENT_BITS)
+
+
+def count_levels(counts: DataFrame, least: int = 1) -> int:
+    return counts.agg(F.coalesce(F.sum(F.floor(F.log2(F.col("n") / least) + 1e-12) + 1), F.lit(0))).first()[0]
+
+
+def _segment(segments: int) -> F.Column:
+    return F.shiftrightunsigned("key", 65 - segments.bit_length()).cast("int").alias("segment")
+
+
+def filter_segments(counts: DataFrame, segments: int, segment_bits: int, least: int = 1) -> DataFrame:
+    """(segment, bits) of the filter of (key, n) with n >= least."""
+    return counts.select("*", _segment(segments)).groupBy("segment").applyInArrow(_segments(segment_bits, least), "segment int, bits binary")
+
+
+def build_filter(counts: DataFrame, least: int, n_levels: int | None = None) -> CountFilter:
+    """The filter of (key, n) with n >= least, on the driver: for filters of up to BROADCAST_BYTES."""
+    segments, segment_bits = shape(count_levels(counts, least) if n_levels is None else n_levels)
+    bits = np.zeros(segments * segment_bits // 8, np.uint8)
+    for r in filter_segments(counts, segments, segment_bits, least).toLocalIterator():
         bits[r.segment * segment_bits // 8 : (r.segment + 1) * segment_bits // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     return CountFilter(bits, segment_bits, least)
 
 
+def _probe(segment_bits: int, names: list[str], name: str):
+    """For mapInArrow over rows sorted by segment, its bits first: the count of each key."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, filter_ = -1, None
+        for batch in batches:
+            own = batch.column("segment").to_numpy(zero_copy_only=False)
+            has_bits = batch.column("bits").is_valid().to_numpy(zero_copy_only=False)
+            keys = batch.column("key").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            found = np.zeros(len(batch))
+            borders = np.flatnonzero(np.diff(own)) + 1
+            for a, b in zip([0, *borders], [*borders, len(batch)], strict=True):
+                if a == b:
+                    continue
+                if own[a] != at:
+                    at, filter_ = own[a], None
+                if has_bits[a]:
+                    filter_ = CountFilter(np.frombuffer(batch.column("bits")[a].as_py(), np.uint8), segment_bits, 1)
+                    a += 1
+                if filter_ is not None and b > a:
+                    found[a:b] = filter_.counts(keys[a:b])
+            rest = pa.array(~has_bits)
+            yield pa.record_batch([*(batch.column(c).filter(rest) for c in names), pa.array(found).filter(rest)], [*names, name])
+
+    return apply
+
+
+def look_up(asked: DataFrame, kept: DataFrame, segments: int, segment_bits: int, name: str) -> DataFrame:
+    """``asked``, whose ``key`` is distinct, with each key's count as ``name`` instead: keys are shuffled to their segments."""
+    names = [c for c in asked.columns if c != "key"]
+    met = asked.select("*", _segment(segments)).unionByName(kept, allowMissingColumns=True)
+    dealt = met.repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull())
+    return dealt.mapInArrow(_probe(segment_bits, names, name), ", ".join([*(f"{c} long" for c in names), f"{name} double"]))
+
+
+def log_p(pair: np.ndarray, before: np.ndarray, single: np.ndarray, mass: np.ndarray, over: float) -> np.ndarray:
+    """log10 of tokens' probabilities: counts of the bigram, of the word before and of the word, and the mass of the word before."""
+    pair = np.minimum(pair, np.minimum(before, single))
+    over_before = np.maximum(before, np.maximum(mass, 1.0))
+    p = np.maximum(pair - DISCOUNT, 0) / over_before + (1 - KEPT * mass / over_before) * (single + ADD) / over
+    return np.log10(np.minimum(p, 1.0))
+
+
+def _pairs(toks: np.ndarray, starts: np.ndarray) -> dict[str, pa.Array]:
+    """Lists of each document's distinct bigrams: an id, both words, and how often it occurs."""
+    before = np.concatenate([[_END], toks[:-1]])
+    before[starts] = _END
+    ids = mix(mix(before ^ _BI) + toks)
+    doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(toks))))
+    order = np.lexsort((ids, doc))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(ids[order]) != 0)]))
+    first, offsets = order[new], np.searchsorted(doc[order][new], np.arange(len(starts) + 1)).astype(np.int32)
+    each = {"pair": ids[first].view(np.int64), "before": before[first].view(np.int64), "token": toks[first].view(np.int64), "times": np.diff(np.append(new, len(toks))).astype(np.int64)}
+    return {k: pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for k, v in each.items()}
+
+
+def _keys_of(words_: list[str], key_of):
+    """For mapInArrow over words (long): the same rows and the key that ``key_of`` makes of them."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = key_of(*(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in words_))
+            yield pa.record_batch([*batch.columns, pa.array(keys.view(np.int64))], [*batch.schema.names, "key"])
+
+    return apply
+
+
+def pair_key(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix((mix(before ^ _BI) & _HIGH) | (mix(token) >> np.uint64(32)))
+
+
+def score_by_segments(scored: DataFrame, kept: DataFrame, segments: int, segment_bits: int, hot, over: float) -> DataFrame:
+    """(row, score) where the filter is too large to broadcast: each distinct bigram is looked up and scored once.
+
+    Words and bigrams that many rows share are joined as join_counted does.
+    """
+
+    def asked(df: DataFrame, words_: list[str], key_of, name: str) -> DataFrame:
+        keyed = df.mapInArrow(_keys_of(words_, key_of), ", ".join(f"{c} long" for c in [*df.columns, "key"]))
+        return look_up(keyed, kept, segments, segment_bits, name)
+
+    def single(column: str, name: str):
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hot_keys, hot_n = hot.value
+            for batch in batches:
+                toks, n = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(name).to_numpy(zero_copy_only=False).copy()
+                if len(hot_keys):
+                    place = np.minimum(np.searchsorted(hot_keys, toks), len(hot_keys) - 1)
+                    n = np.where(hot_keys[place] == toks, hot_n[place], n)
+                if column == "before":
+                    n = np.where(toks == _END, np.maximum(1.0, batch.column(name).to_numpy(zero_copy_only=False)), n)
+                yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(n))
+
+        return apply
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = log_p(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair_n", "before_n", "token_n", "mass")), over)
+            yield pa.record_batch([batch.column("pair"), batch.column("n_rows"), pa.array(p)], ["pair", "n_rows", "log_p"])
+
+    each = scored.select("row", F.explode(F.arrays_zip("pair", "before", "token", "times")).alias("p")).select("row", "p.*")
+    pairs = materialize(each.groupBy("pair").agg(F.first("before").alias("before"), F.first("token").alias("token"), F.count(F.lit(1)).alias("n_rows")), "pairs")
+    total, n_asked = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    found = {}
+    for column in ("token", "before"):
+        own = asked(pairs.groupBy(column).agg(F.count(F.lit(1)).alias("n_rows")), [column], unigram_keys, f"{column}_n")
+        found[column] = own.mapInArrow(single(column, f"{column}_n"), own.schema)
+    masses = asked(pairs.select("before").distinct(), ["before"], lambda w: context_keys(mix(w ^ _BI)), "mass")
+    found["before"] = materialize(found["before"].join(masses, "before"), "words-before")
+    met = asked(pairs, ["before", "token"], pair_key, "pair_n")
+    met = join_counted(met, materialize(found["token"], "words"), "token", total)
+    met = materialize(join_counted(met, found["before"], "before", total).mapInArrow(scores, "pair long, n_rows long, log_p double"), "pair-scores")
+    return join_counted(each.select("row", "pair", "times"), met, "pair", n_asked).groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("score"))
+
+
+def model_scores(filter_: CountFilter, n_end: float, toks: np.ndarray, starts: np.ndarray, is_hot: np.ndarray, hot_n: np.ndarray | None, over: float) -> np.ndarray:
+    """The model's score of each text, with all counts but those of frequent words from the filter."""
+    types, back = np.unique(toks, return_inverse=True)
+    single = filter_.counts(unigram_keys(types))[back]
+    if hot_n is not None:
+        single = np.where(is_hot, hot_n, single)
+    before = np.concatenate([[0.0], single[:-1]])
+    before[starts] = n_end
+    contexts = filter_.counts(context_keys(mix(types ^ _BI)))
+    mass = np.concatenate([[0.0], contexts[back[:-1]]])
+    mass[starts] = contexts[np.searchsorted(types, _END)]
+    return np.add.reduceat(log_p(filter_.counts(mix(bigram_keys(toks, starts))), before, single, mass, over), starts)
+
+
 def _score(shared, hot, n_train: int, n_types: int):
-    """For mapInArrow: counts, the base score of frequent tokens, rare tokens to look up, and the model's score."""
+    """For mapInArrow: counts, the base score of frequent tokens, rare tokens to look up, and the model's score or, without ``shared``, the bigrams to look up."""
     over = n_train + ADD * (n_types + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, (hot_keys, hot_n), cache = shared.value, hot.value, WordHashes()
+        filter_, (hot_keys, hot_n), cache = shared.value if shared else None, hot.value, WordHashes()
         hot_log = np.log10((hot_n + ADD) / over)
-        n_end = max(1.0, filter_.counts(unigram_keys(np.array([_END])))[0])
+        n_end = max(1.0, filter_.counts(unigram_keys(np.array([_END])))[0]) if filter_ else 0.0
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -182,26 +334,14 @@ def _score(shared, hot, n_train: int, n_types: int):
                 is_hot = hot_keys[place] == toks if len(hot_keys) else np.zeros(len(toks), bool)
                 base = np.add.reduceat(np.where(is_hot, hot_log[place], 0.0) if len(hot_keys) else np.zeros(len(toks)), starts)
                 known = np.add.reduceat(is_hot.astype(np.int64), starts)
-                types, back = np.unique(toks, return_inverse=True)
-                single = filter_.counts(unigram_keys(types))[back]
-                if len(hot_keys):
-                    single = np.where(is_hot, hot_n[place], single)
-                before = np.concatenate([[0.0], single[:-1]])
-                before[starts] = n_end
-                contexts = filter_.counts(context_keys(mix(types ^ _BI)))
-                mass = np.concatenate([[0.0], contexts[back[:-1]]])
-                mass[starts] = contexts[np.searchsorted(types, _END)]
-                pair = np.minimum(filter_.counts(mix(bigram_keys(toks, starts))), np.minimum(before, single))
-                over_before = np.maximum(before, np.maximum(mass, 1.0))
-                p = np.maximum(pair - DISCOUNT, 0) / over_before + (1 - KEPT * mass / over_before) * (single + ADD) / over
-                model = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
+                model = {"score": pa.array(model_scores(filter_, n_end, toks, starts, is_hot, hot_n[place] if len(hot_keys) else None, over))} if filter_ else _pairs(toks, starts)
                 rare = np.flatnonzero(~is_hot)
                 offsets = np.searchsorted(rare, np.append(starts, len(toks))).astype(np.int32)
                 n = len(ids)
                 yield pa.record_batch(
                     [pa.array(np.arange(row, row + n)), some.column("doc_id"), pa.array([held_out(i) for i in ids]), pa.array((ends - starts).astype(np.int64)), pa.array(known),
-                     pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(offsets), pa.array(toks[rare].view(np.int64)))],
-                    ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "score", "rare"],
+                     pa.array(base), pa.ListArray.from_arrays(pa.array(offsets), pa.array(toks[rare].view(np.int64))), *model.values()],
+                    ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "rare", *model],
                 )
                 row += n
 
@@ -220,9 +360,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     taught = source.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0)
     n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
     n_train = taught.agg(F.coalesce(F.sum(n_words.cast("long") + 1), F.lit(0))).first()[0]
-    least = max(1, -(-3 * n_train // MOST_KEYS))
     raw = taught.mapInArrow(_count, "kind int, key long, n long")
-    counts = materialize(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter((F.col("kind") == 0) | (F.col("n") >= least)), "ngrams")
+    counts = materialize(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ngrams")
     singles = counts.filter("kind = 0").select("key", "n")
     n_types = singles.count()
     floor = max(1, -(-n_train // HOT_TOKENS))
@@ -230,18 +369,26 @@ def score_documents(docs: DataFrame) -> DataFrame:
     hot_keys = hot["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot_keys)
     frequent = spark.sparkContext.broadcast((hot_keys[order], hot["n"].to_numpy(np.float64)[order]))
-    pairs, known = counts.filter("kind = 1").select("key", "n"), singles.filter(F.col("n") >= least)
-    masses = pairs.groupBy(F.shiftright("key", 32).alias("context")).agg(F.floor(F.sum(F.col("n") - DISCOUNT)).alias("n")).filter(F.col("n") >= least)
-    in_filter = known.mapInArrow(_keyed(unigram_keys), "key long, n long").union(pairs.mapInArrow(_keyed(mix), "key long, n long"))
+    pairs = counts.filter("kind = 1").select("key", "n")
+    masses = materialize(pairs.groupBy(F.shiftright("key", 32).alias("context")).agg(F.floor(F.sum(F.col("n") - DISCOUNT)).alias("n")).filter("n >= 1"), "masses")
+    n_levels = count_levels(counts.select("n").union(masses.select("n")))
+    segments, segment_bits = shape(n_levels)
+    in_filter = singles.mapInArrow(_keyed(unigram_keys), "key long, n long").union(pairs.mapInArrow(_keyed(mix), "key long, n long"))
     in_filter = in_filter.union(masses.select(F.shiftleft("context", 32).alias("key"), "n").mapInArrow(_keyed(context_keys), "key long, n long"))
-    shared = spark.sparkContext.broadcast(build_filter(in_filter, least))
-
-    kind = "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, score double, rare array<long>"
-    scored = materialize(source.mapInArrow(_score(shared, frequent, n_train, n_types), kind), "scored")
     over = n_train + ADD * (n_types + 1)
+    whole = segments * segment_bits // 8 <= BROADCAST_BYTES
+    shared = spark.sparkContext.broadcast(build_filter(in_filter, 1, n_levels)) if whole else None
+    kind = "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, rare array<long>, "
+    kind += "score double" if whole else "pair array<long>, before array<long>, token array<long>, times array<long>"
+    scored = materialize(source.mapInArrow(_score(shared, frequent, n_train, n_types), kind), "scored")
+    if not whole:
+        kept = materialize(filter_segments(in_filter, segments, segment_bits), "filter")
+        each_score = score_by_segments(scored, kept, segments, segment_bits, frequent, over)
     each = scored.select("row", F.explode("rare").alias("key"))
     cold = each.join(singles.filter(F.col("n") < floor), "key").groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10((F.col("n") + ADD) / over)).alias("cold_score"))
-    joined = scored.drop("rare").join(cold, "row", "left")
+    joined = scored.drop("rare", "pair", "before", "token", "times").join(cold, "row", "left")
+    if not whole:
+        joined = joined.join(each_score, "row")
     known = F.col("hot_known") + F.coalesce("more", F.lit(0))
     base = F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0)) + (F.col("n_tokens") - known) * math.log10(ADD / over)
     return joined.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -117,6 +117,21 @@ def test_language_model(docs, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_filter_keeps_rare_ngrams_at_any_size(docs, monkeypatch):
+    """No n-gram is left out for the number of tokens, and a filter that isn't broadcast gives the same scores."""
+    before = [r.score for r in lm.score_documents(docs).collect()]
+    monkeypatch.setattr(lm, "MOST_KEYS", 1000, raising=False)  # the former bound: n-grams under 3N / MOST_KEYS went
+    assert sorted(before) == sorted(r.score for r in lm.score_documents(docs).collect())
+    for n in (10**6, 10**8, 10**10):
+        segments, bits = lm.shape(n)
+        assert segments * bits >= n * lm.KEY_BITS and bits <= lm.SEGMENT_BITS
+    monkeypatch.setattr(lm, "SEGMENT_BITS", 1 << 10)
+    whole = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs).collect())
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", 0)
+    parts = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs).collect())
+    assert parts == whole
+
+
 def test_count_filter_is_monotone(spark):
     rng = np.random.default_rng(1)
     keys = rng.integers(-(2**63), 2**63 - 1, 4000)
