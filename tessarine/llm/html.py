@@ -42,6 +42,15 @@ NOISE_WORDS = frozenset(
     "header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related "
     "reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+#: Words that beside a noise word in one class or id leave it noise ("site-header"), and the parts of an article's surroundings ("post-comments").
+BESIDE_NOISE = frozenset(
+    "area bar block bottom box button buttons container content fixed form global group icons inline inner item items left links list main page panel posts primary "
+    "right row secondary section site slot sticky text top unit wrap wrapper".split()
+)
+OF_ARTICLE = frozenset("article entry post".split())
+AROUND_ARTICLE = frozenset("ad ads comment comments commentlist nav navigation newsletter pagination related replies respond share sharing social sponsor subscribe".split())
+#: Elements that no name makes noise.
+NEVER_BY_NAME = frozenset("html body main".split())
 #: Roles of ARIA landmarks that are no article.
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
@@ -56,8 +65,14 @@ _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 class Node:
     tag: str
     path: str
-    noise: bool
     main: bool
+    over: Node | None = None
+    named: bool = False
+    """A class or id says noise."""
+    hard: bool = False
+    """The tag, a role or being hidden says noise."""
+    noise: bool = False
+    """It or an element around it is noise."""
     below: list[str] = field(default_factory=list)
 
 
@@ -67,26 +82,49 @@ class Block:
     text: str
 
 
-def _named(attrs: str) -> tuple[str, bool, bool]:
-    """(label, is noise, is main) that an element's attributes say."""
-    label, noise, main = "", False, False
+def noise_name(name: str) -> bool:
+    """Whether one class or id is a noise word, or a known compound with one."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if len(words) > 1 and words[0] in OF_ARTICLE:
+        return words[1] in AROUND_ARTICLE and all(w in NOISE_WORDS or w in BESIDE_NOISE for w in words[1:])
+    return any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in BESIDE_NOISE for w in words)
+
+
+def _named(attrs: str) -> tuple[str, bool, bool, bool]:
+    """(label, is noise by class or id, is noise otherwise, is main) that an element's attributes say."""
+    label, named, noise, main = "", False, False, False
     for m in _NAMES.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             if value and not label:
                 label = "." + value.split()[0].lower() if value.split() else ""
-            noise |= any(w.lower() in NOISE_WORDS for w in _WORD.findall(value))
+            named |= any(map(noise_name, value.split()))
         elif name == "role":
             noise |= value.strip().lower() in NOISE_ROLES
             main |= value.strip().lower() == "main"
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN_STYLE.search(value):
             noise = True
-    return label, noise, main
+    return label, named, noise, main
+
+
+def _around(node: Node) -> Iterator[Node]:
+    while node := node.over:
+        yield node
+
+
+def _resolve(nodes: list[Node]) -> None:
+    """Noise is inherited, but by no heading in the header of an article."""
+    for n in nodes:
+        n.noise = n.hard or n.named or n.over.noise and not (n.tag in HEADINGS and n.over.tag == "header" and n.over.main)
 
 
 def read_page(html: str) -> tuple[list[Block], list[Node]]:
-    """Blocks of text in page order and all block elements of a page."""
-    root = Node("", "", False, False)
+    """Blocks of text in page order and all block elements of a page.
+
+    Names make no noise of html, body, main or an outer article, nor of what holds a main element, nor of what holds
+    articles where the page has no article or main element elsewhere.
+    """
+    root = Node("", "", False)
     stack, nodes, blocks, parts = [root], [], [], []
 
     def flush() -> None:
@@ -137,14 +175,24 @@ def read_page(html: str) -> tuple[list[Block], list[Node]]:
         if tag in VOID or attrs.endswith("/") and tag == "hr":
             continue
         over = stack[-1]
-        label, noise, main = _named(attrs)
-        main |= tag in ("article", "main") or over.main
-        noise |= tag in NO_ARTICLE or over.noise and not (tag in HEADINGS and over.tag == "header" and over.main)
-        node = Node(tag, f"{over.path}/{tag}{label}"[-512:], noise, main)
+        label, named, hard, main = _named(attrs)
+        is_main = main or tag == "main"
+        named &= not is_main and tag not in NEVER_BY_NAME and not (tag == "article" and all(n.tag != "article" for n in stack))
+        node = Node(tag, f"{over.path}/{tag}{label}"[-512:], is_main or tag == "article" or over.main, over, named, hard or tag in NO_ARTICLE)
+        if is_main:
+            for n in stack:
+                n.named = False
         over.below.append(tag + label)
         stack.append(node)
         nodes.append(node)
     flush()
+    _resolve(nodes)
+    if not any(b.node.main and not b.node.noise for b in blocks):
+        around = [n for a in nodes if a.tag == "article" and not a.hard and not any(n.hard for n in _around(a)) for n in _around(a) if n.named]
+        for n in around:
+            n.named = False
+        if around:
+            _resolve(nodes)
     return blocks, nodes
 
 

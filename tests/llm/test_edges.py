@@ -192,6 +192,23 @@ def test_html(spark):
     assert {r.page_id: r.text for r in rows} == {1: "A & B\n\none two <3\n\nthree bold\n\nx\n\ny", 2: "", 3: "", None: "plain text"}
 
 
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ('<body class="no-sidebar">', "</body>"), ('<html class="has-cookie"><body id="search">', "</body></html>"), ('<div id="wrapper" class="has-header">', "</div>"), ('<article class="post tag-cookies">', "</article>"),
+        ('<div class="sidebar"><main>', "</main></div>"), ('<div class="widget"><article class="widget">', "</article></div>"), ('<article><div class="article-header">', "</div></article>"), ('<article><header class="entry-header">', "</header></article>"),
+    ],
+)
+def test_names_that_are_no_noise(before, after):
+    title = "<h1>Title</h1>"
+    assert html.main_text(f"{before}{title}{after}") == "Title"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-header", "cookie-notice", "post-comments", "widget_text-2", "main-nav"])
+def test_names_that_are_noise(name):
+    assert html.main_text(f'<article><p>a</p><div class="x {name}"><article>b</article></div></article><div id="{name}"><article>c</article></div>') == "a"
+
+
 def test_style_tree_removes_what_pages_repeat(spark):
     pages = [(i, f"http://h/{i}", f"<body><div class='x'>Same words on all pages</div><div class='y'><p>Story {i} of its own</p></div></body>") for i in range(8)]
     rows = html.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
