@@ -196,12 +196,7 @@ def read_page(html: str) -> tuple[list[Block], list[Node]]:
     return blocks, nodes
 
 
-def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """Article blocks of a page joined by blank lines. ``low``: paths of branches of low importance on its host.
-
-    Where a page has article or main elements, only they count, and of them only branches with a name can be low.
-    """
-    blocks, _ = read_page(html or "")
+def _joined(blocks: list[Block], low: frozenset[str] | set[str] = frozenset()) -> str:
     within = any(b.node.main and not b.node.noise for b in blocks)
     kept = []
     for b in blocks:
@@ -213,6 +208,14 @@ def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) ->
     return "\n\n".join(kept)
 
 
+def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
+    """Article blocks of a page joined by blank lines. ``low``: paths of branches of low importance on its host.
+
+    Where a page has article or main elements, only they count, and of them only branches with a name can be low.
+    """
+    return _joined(read_page(html or "")[0], low)
+
+
 def _branches(path: str) -> Iterator[str]:
     while path:
         yield path
@@ -224,15 +227,16 @@ def _hash(text: str) -> int:
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> for each page and path: the digests of its presentation and of its texts, each once a page."""
+    """(host, html) -> for each page: the digest of its text, and for each path those of its presentation and of its texts, each once a page."""
     for batch in batches:
-        hosts, paths, kinds, digests = [], [], [], []
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+        texts, nodes_of = [], []
+        for page in batch.column("html"):
             blocks, nodes = read_page(page.as_py() or "")
             own = {(n.path, 0, _hash(" ".join(n.below))) for n in nodes if not n.noise} | {(b.node.path, 1, _hash(b.text)) for b in blocks if not b.node.noise}
-            for path, kind, digest in own:
-                hosts.append(host), paths.append(path), kinds.append(kind), digests.append(digest)
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(digests, pa.int64())], ["host", "path", "kind", "digest"])
+            texts.append(xxhash.xxh3_128_digest(_joined(blocks).encode("utf-8", "replace")))
+            nodes_of.append([{"path": path, "kind": kind, "digest": digest} for path, kind, digest in sorted(own)])
+        kind = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("digest", pa.int64())]))
+        yield pa.record_batch([batch.column("host"), pa.array(texts, pa.binary()), pa.array(nodes_of, kind)], ["host", "page", "nodes"])
 
 
 def host_of() -> F.Column:
@@ -242,10 +246,13 @@ def host_of() -> F.Column:
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, n_pages, importance) of every node of the hosts' style trees.
 
+    Pages of a host with the same text (copies, print or mirror URLs) are one page, the least of them by its nodes.
     Presentation counts by the entropy of the node's styles, content by one minus the mean entropy of its texts, both
     with logarithms to the base of the node's pages; a node of one page has importance 1.
     """
-    each = pages.select(host_of().alias("host"), "html").mapInArrow(_tree, "host string, path string, kind int, digest long")
+    told_by = pages.select(host_of().alias("host"), "html").mapInArrow(_tree, "host string, page binary, nodes array<struct<path:string,kind:int,digest:bigint>>")
+    distinct = told_by.groupBy("host", "page").agg(F.min("nodes").alias("nodes"))
+    each = distinct.select("host", F.inline("nodes"))
     counted = each.groupBy("host", "path", "kind", "digest").agg(F.count(F.lit(1)).alias("n"))
     n, style, content = F.col("n"), F.col("kind") == 0, F.col("kind") == 1
     summed = counted.groupBy("host", "path").agg(

@@ -215,6 +215,17 @@ def test_style_tree_removes_what_pages_repeat(spark):
     assert {r.text for r in rows} == {f"Story {i} of its own" for i in range(8)}
 
 
+@pytest.mark.parametrize("around", ["<body>{}</body>", "<body><article class='post'>{}</article></body>"])
+def test_copies_of_a_page_are_no_evidence(spark, around):
+    """A page that a host has many times, also with another menu, keeps its text; what distinct pages repeat still goes."""
+    page = around.format("<div class='s'><p>One story</p></div>")
+    pages = [(i, f"http://copies/{i}", page if i % 2 else page.replace("<body>", "<body><nav>print</nav>")) for i in range(8)]
+    own = around.format("<div class='x'>Same words on all pages</div><div class='y'><p>Story {}</p></div>")
+    pages += [(10 + i, f"http://h/{i}", own.format(i % 6)) for i in range(24)]
+    rows = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert rows == {i: "One story" for i in range(8)} | {10 + i: f"Story {i % 6}" for i in range(24)}
+
+
 def test_top_k(spark):
     rows = [(0, [1.0, 0.5], 1), (1, [0.5, 0.5], 1), (2, [0.5, 0.5], 1), (50, [float("nan"), 1.0], 1), (100, [], 1), (3, None, 1), (4, [None, 1.0], 1), (5, [float("inf"), 0.0], 1), (None, [1.0, 1.0], 1), (6, [9.0], 1)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
