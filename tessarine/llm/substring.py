@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A gear hash over the last 16 bytes decides at each word end whether a chunk ends there, so chunk borders depend on the
-words around them alone: text inserted before a passage doesn't shift its chunks. Chunks are known by their digest, and
-each digest belongs to the document with the smallest id that has it. A run of chunks that belong to other documents,
-or stood in the same one before, is removed when it holds at least MIN_WORDS words.
+words around them alone: text inserted before a passage doesn't shift its chunks. Windows of neighbouring chunks that
+hold just MIN_WORDS words or more are known by their digest, and each digest belongs to the document with the smallest
+id that has it. Windows that belong to other documents, or stood in the same one before, are removed: all that goes
+stood together elsewhere.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessarine.llm._text import mix
 from tessarine.llm._work import join_counted, materialize
 
 MEAN_WORDS = 4
@@ -26,6 +28,7 @@ _GEAR = np.random.default_rng(4_099).integers(0, 2**16, 256, dtype=np.uint16)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LAST = 2**63 - 1
+_BASE, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -70,39 +73,59 @@ def _digests(raw: bytes, ends: np.ndarray) -> list[int]:
     return out
 
 
+def windows(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ends of chunks, first chunk, end chunk, digest) of a text's windows, by first chunk.
+
+    From each chunk the shortest run of at least MIN_WORDS words that starts with it, and to each the shortest that ends
+    with it: together those within a copied run of MIN_WORDS words cover all its chunks.
+    """
+    ends, words = chunks(raw)
+    n = len(ends)
+    upto = np.concatenate([[0], np.cumsum(words)])
+    at = np.arange(n + 1)
+    to, since = np.searchsorted(upto, upto + MIN_WORDS), np.searchsorted(upto, upto - MIN_WORDS, "right") - 1
+    spans = np.unique(np.concatenate([(at * (n + 1) + to)[to <= n], (since * (n + 1) + at)[since >= 0]]))
+    first, last = np.divmod(spans, n + 1)
+    if not len(spans):
+        return ends, first, last, np.empty(0, np.int64)
+    own = mix(np.array(_digests(raw, ends), np.int64).view(np.uint64))
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BACK)]), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power[:-1], dtype=np.uint64)])
+    return ends, first, last, mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)).view(np.int64)
+
+
 def _raw(text: pa.Scalar) -> bytes:
     return (text.as_py() or "").encode("utf-8", "replace")
 
 
-def _list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 1024):
             some = batch.slice(at, 1024)
             found, counts = [], []
             for text in some.column("text"):
                 raw = _raw(text)
-                own = set(_digests(raw, chunks(raw)[0]))
-                found.extend(own)
+                own = np.unique(windows(raw)[3])
+                found.append(own)
                 counts.append(len(own))
             ids = some.column("id").to_numpy(zero_copy_only=False)
-            yield pa.record_batch([pa.array(found, pa.int64()), pa.array(np.repeat(ids, counts), pa.int64())], ["digest", "id"])
-
-
-def repeated_runs(ends: np.ndarray, words: np.ndarray, digests: list[int], others: set[int]) -> list[tuple[int, int, int, int]]:
-    """(start byte, end byte, first chunk, end chunk) of the runs to remove."""
-    seen, runs, first, held = set(), [], None, 0
-    for k, d in enumerate([*digests, None]):
-        again = d is not None and (d in others or d in seen)
-        if again and first is None:
-            first, held = k, 0
-        if again:
-            held += int(words[k])
-        elif first is not None:
-            if held >= MIN_WORDS:
-                runs.append((int(ends[first - 1]) if first else 0, int(ends[k - 1]), first, k))
-            first = None
+            yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(np.repeat(ids, counts), pa.int64())], ["digest", "id"])
+
+
+def repeated_runs(ends: np.ndarray, first: np.ndarray, last: np.ndarray, digests: list[int], others: dict[int, int]) -> tuple[list[tuple[int, int]], set[int]]:
+    """(start byte, end byte) of the runs to remove, and the owners of their windows."""
+    seen, runs, owners = set(), [], set()
+    for a, b, d in zip(first.tolist(), last.tolist(), digests, strict=True):
+        if d in others or d in seen:
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(b, runs[-1][1])
+            else:
+                runs.append([a, b])
+            if d in others:
+                owners.add(others[d])
         seen.add(d)
-    return runs
+    return [(int(ends[a - 1]) if a else 0, int(ends[b - 1])) for a, b in runs], owners
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,17 +135,15 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts, spans, owners = [], [], []
             for text, copied in zip(some.column("text"), some.column("copied").to_pylist(), strict=True):
                 raw = _raw(text)
-                ends, words = chunks(raw)
-                digests = _digests(raw, ends)
-                owner = {c["digest"]: c["owner"] for c in copied or ()}
-                runs = repeated_runs(ends, words, digests, set(owner))
+                ends, first, end_, digests = windows(raw)
+                runs, own = repeated_runs(ends, first, end_, digests.tolist(), {c["digest"]: c["owner"] for c in copied or ()})
                 if not runs:
                     texts.append(text.as_py())
                     spans.append([])
                     owners.append([])
                     continue
                 kept, last, places, char = [], 0, [], 0
-                for start, end, _, _ in runs:
+                for start, end in runs:
                     char += len(raw[last:start].decode())
                     wide = len(raw[start:end].decode())
                     places.append({"start": char, "end": char + wide})
@@ -132,7 +153,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(raw[last:])
                 texts.append(b"".join(kept).decode())
                 spans.append(places)
-                owners.append(sorted({owner[d] for _, _, a, b in runs for d in digests[a:b] if d in owner}))
+                owners.append(sorted(own))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             out = {"text": pa.array(texts, pa.string()), "spans": pa.array(spans, kind), "copied_from": pa.array(owners, pa.list_(pa.int64()))}
             yield pa.record_batch([*(some.column(c) for c in some.schema.names if c not in ("text", "copied")), *out.values()], [*(c for c in some.schema.names if c not in ("text", "copied")), *out])
@@ -149,7 +170,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).dropFields("text").alias("row") if len(names) > 1 else F.lit(0).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"))
-    listed = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id")).mapInArrow(_list_chunks, "digest long, id long")
+    listed = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id")).mapInArrow(_list_windows, "digest long, id long")
     stat = listed.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n_rows"))
     shared = materialize(stat.filter("owner < last").drop("last"), "shared")
     total = shared.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]

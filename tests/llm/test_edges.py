@@ -81,6 +81,37 @@ def test_substrings(docs, none):
     assert substring.drop_repeats(docs).columns == docs.columns
 
 
+def test_only_passages_that_stood_together_go(spark):
+    """Prose of chunks that all occur elsewhere, but never in this order, stays whole; planted copies of 51 words go."""
+    rng = random.Random(11)
+    own = lambda n, tag: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
+    vocabulary = [f"v{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=600))) for i in range(40)]
+    passages = [own(51, f"p{i}x") for i in range(20)]
+    rows += [(100 + i, " ".join([*own(40, "a"), *p, *own(40, "b")])) for i, p in enumerate(passages)]
+    rows += [(200 + i, " ".join([*own(30, "c"), *p, *own(30, "d")])) for i, p in enumerate(passages)]
+    texts = dict(rows)
+    for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "text", "spans", "copied_from").collect():
+        if r.doc_id < 200:
+            assert r.text == texts[r.doc_id] and not r.spans and not r.copied_from
+        else:
+            words = r.text.split()
+            passage = passages[r.doc_id - 200]
+            assert r.copied_from == [r.doc_id - 100] and not any(" ".join(passage[k : k + substring.MIN_WORDS]) in r.text for k in range(51 - substring.MIN_WORDS + 1))
+            assert sum(w[0] in "cd" for w in words) == 60
+
+
+def test_windows_cover_a_copied_run():
+    raw = (" ".join(f"y{k * k % 1009}" for k in range(300))).encode()
+    ends, first, last, digests = substring.windows(raw)
+    upto = np.concatenate([[0], np.cumsum(substring.chunks(raw)[1])])
+    assert (upto[last] - upto[first] >= substring.MIN_WORDS).all() and len(set(digests.tolist())) == len(digests)
+    for a in range(0, len(ends), 3):
+        for b in range(a + 1, len(ends) + 1):
+            inside = [(i, j) for i, j in zip(first, last, strict=True) if a <= i and j <= b]
+            assert ({k for i, j in inside for k in range(i, j)} == set(range(a, b))) == (upto[b] - upto[a] >= substring.MIN_WORDS)
+
+
 def test_chunks_cover_and_resist_shifts():
     raw = LONG.encode()
     ends, words = substring.chunks(raw)
