@@ -17,6 +17,8 @@ BOOSTS = {
     "chunk_type_boosts": {"docs": 1.0, "file_summary": 1.0, "class_summary": 1.0, "function": 1.0, "class": 1.0, "test": 1.0},
     "path_boost": 1.0, "breadcrumb_match_boost": 1.0, "quoted_match_boost": 1.0, "identifier_match_boost": 1.0, "noise_penalty": 0.3,
 }
+SAMPLE_ROWS = 100_000
+CANDIDATES = 4
 RRF_K, LEG_LIMIT, CACHE_LEAST, CACHE_TTL = 60, 50, 0.95, 3600
 NO_ANSWER = "I don't have enough information to answer that question. The query didn't match any code in the repository."
 WORD = r"[\p{L}\p{N}_]+"
@@ -94,22 +96,28 @@ def vector_leg(chunks: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT, ke
 
 
 def vector_leg_approx(chunks: DataFrame, queries: DataFrame, cells: int = 16, nprobe: int = 4, limit: int = LEG_LIMIT, seed: int = 7) -> DataFrame:
-    """The vector leg over the ``nprobe`` nearest k-means cells of each query, ranked exactly.
+    """The vector leg over k-means cells, ranked exactly: the ``nprobe`` nearest that hold rows of the query's repository and
+    model, and further ones until they hold CANDIDATES times ``limit`` rows besides the query's own, or all.
 
-    Cells come from at most 100,000 rows (a documented sample); every row is assigned to one.
+    Cells come from a sample by hash of about SAMPLE_ROWS rows of all; every row is assigned to one.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     point = array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features")
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(chunks.select(point).limit(100_000))
+    share = -(-chunks.count() // SAMPLE_ROWS) or 1
+    sample = chunks.filter(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(share)) == 0)
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(sample.select(point))
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
     near = F.array(*(F.struct((-sum_of(F.col("embedding"), c)).alias("far"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
     order = F.array_sort(near)
     placed = chunks.withColumn("cell", F.get(order, 0)["cell"])
-    asked = queries.withColumn("cell", F.explode(F.transform(F.slice(order, 1, nprobe), lambda s: s["cell"])))
-    met = placed.join(asked.select("query_id", "cell", F.col("repository").alias("qr"), F.col("model").alias("qm"), F.col("embedding").alias("qe")), "cell")
-    scope = met.filter("repository = qr and model = qm and chunk_id <> query_id")
+    held = placed.groupBy("repository", "model", "cell").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select("*", F.posexplode(F.transform(order, lambda s: s["cell"])).alias("far", "cell")).join(held, ["repository", "model", "cell"])
+    by_query = Window.partitionBy("query_id").orderBy("far")
+    nearer = F.coalesce(F.sum("n").over(by_query.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    probed = asked.withColumn("nth", F.row_number().over(by_query)).withColumn("nearer", nearer).filter((F.col("nth") <= nprobe) | (F.col("nearer") <= CANDIDATES * limit))
+    scope = placed.join(probed.select("query_id", "repository", "model", "cell", F.col("embedding").alias("qe")), ["repository", "model", "cell"]).filter("chunk_id <> query_id")
     return ranked(scope.select("query_id", "chunk_id", F.round(cosine_similarity(F.col("embedding"), F.col("qe")), 6).alias("score")), limit)
 
 
