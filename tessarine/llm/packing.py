@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,17 @@ LENGTH = 2048
 GROUP_PIECES = 200_000
 CACHE_WORDS = 400_000
 END_ID = 0
-PUNCTUATION = b".,!*$#%&;:?"
+PUNCTUATION = ".,!*$#%&;:?"
+SLICE_BYTES = 16 << 20
 
+_LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _ends_in_letter(word: bytes) -> bool:
+def _ends_in_letter(word: str) -> bool:
     """Also after composing and lower-casing, which may leave a mark at the end."""
-    return unicodedata.normalize("NFC", word.decode("utf-8", "replace")[-1]).lower()[-1].isalpha()
+    last = word[-1]
+    return last.isalpha() if last.isascii() else unicodedata.normalize("NFC", last).lower()[-1].isalpha()
 
 
 class WordIds:
@@ -40,37 +45,62 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.old: dict[bytes, bytes] = {}
-        self.new: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def words(text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "replace")
-        return (raw if b"<|" in raw else raw.lower()).split()
-
-    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """A table that knows all words of ``texts``."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) if suffix else 0, bool)
+        for token, id_ in self.tokenizer.get_vocab().items() if suffix else ():
+            self.ends_word[id_] = token.endswith(suffix)
+        self.old: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {"": b""}
+
+    def encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each of some distinct words with its ids. Words of Latin letters alone end in just one end-of-word token, so many go as one text."""
+        plain = [w for w in words if _LETTERS(w)] if len(self.ends_word) else []
+        for at in range(0, len(plain), 1 << 16):
+            texts = [plain[k : k + 1024] for k in range(at, min(len(plain), at + (1 << 16)), 1024)]
+            for some, e in zip(texts, self.tokenizer.encode_batch_fast([" ".join(x) for x in texts], add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, "<u4")
+                raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+                yield from ((w, raw[a:b]) for w, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+        rest = [w for w in words if not _LETTERS(w)] if plain else words
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            yield from ((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words, as little-endian 32-bit numbers."""
         if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        todo, parts = set(), {}
-        for w in set(chain.from_iterable(texts)) - self.new.keys():
+            self.old, self.new = self.new, {"": b""}
+        table, todo, parts = self.new, {}, {}
+        for w in words:
+            if w in table:
+                continue
             if (found := self.old.get(w)) is not None:
-                self.new[w] = found
+                table[w] = found
                 continue
             stem = w.rstrip(PUNCTUATION)
             if stem and len(stem) < len(w) and _ends_in_letter(stem):
                 parts[w] = stem, w[len(stem) :]
-                todo.update(x for x in parts[w] if x not in self.new)
+                todo |= {x: None for x in parts[w] if x not in table}
             else:
-                todo.add(w)
-        fresh = list(todo)
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self.new[w] = np.asarray(e.ids, "<u4").tobytes()
+                todo[w] = None
+        table.update(self.encode(list(todo)))
         for w, (stem, tail) in parts.items():
-            self.new[w] = self.new[stem] + self.new[tail]
-        return self.new
+            table[w] = table[stem] + table[tail]
+        return [table[w] for w in words]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and the last one's end."""
+        whole = pc.fill_null(texts, "")
+        # special tokens are case-sensitive, so texts that may hold one keep their case; the tokenizer lower-cases the others alike
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_lower(whole)))
+        words = split.flatten().dictionary_encode()
+        found = self.learn(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        place = words.indices.to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(sizes[place])])
+        out = flat[np.repeat(starts[place] - upto[:-1], sizes[place]) + np.arange(upto[-1])]
+        return out, upto[np.cumsum(np.concatenate([[0], pc.list_value_length(split).to_numpy(zero_copy_only=False)]))]
 
 
 _known: dict[str, WordIds] = {}
@@ -85,27 +115,37 @@ def _word_ids(path: str) -> WordIds:
     return _known[path]
 
 
+def _slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts have at most ``most`` bytes together, or of one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def cut_documents(path: str, length: int = LENGTH):
-    """A function for mapInArrow: (doc_id, text) -> a row for each piece of at most ``length`` ids."""
+    """A function for mapInArrow: (doc_id, text) -> a row for each piece of at most ``length`` ids, numbered through."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(path)
         end = np.uint32(END_ID).astype("<u4").tobytes()
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, pieces, starts, lengths, sums = [], [], [], [], []
-            for first in range(0, len(batch), 128):
-                some = batch.slice(first, 128)
-                texts = [known.words(t.as_py()) for t in some.column("text")]
-                table = known.learn(texts)
-                for doc_id, found in zip(some.column("doc_id").to_pylist(), texts, strict=True):
-                    raw = b"".join(map(table.__getitem__, found)) + end
+            for some in _slices(batch, "text"):
+                ids, pieces, starts, lengths, sums = [], [], [], [], []
+                flat, borders = known.ids(some.column("text"))
+                for doc_id, a, b in zip(some.column("doc_id").to_pylist(), borders[:-1], borders[1:], strict=True):
+                    raw = flat[a:b].tobytes() + end
                     for piece, at in enumerate(range(0, len(raw), 4 * length)):
                         own = raw[at : at + 4 * length]
                         ids.append(doc_id), pieces.append(piece), starts.append(at // 4), lengths.append(len(own) // 4), sums.append(zlib.crc32(own))
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+                yield pa.record_batch(
+                    [pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))],
+                    ["row", "doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+                row += len(ids)
 
     return cut
 
@@ -173,11 +213,11 @@ def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
 
 def _pack_group(length: int):
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")])
         chosen, offsets = best_fit(table.column("length").to_pylist(), length)
         first = (table.column("part")[0].as_py() if len(table) else 0) << 32
         table = table.append_column("sequence_id", pa.array(np.asarray(chosen, np.int64) + first)).append_column("offset", pa.array(offsets, pa.int64()))
-        return table.drop_columns(["part"])
+        return table.drop_columns(["part", "row"])
 
     return pack
 
@@ -188,9 +228,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, group_
     A document is its text's token ids and one end id; a null or empty text is the end id alone. Only documents over
     ``length`` are cut. Pieces are dealt by hash to groups of about ``group_pieces`` and each group is packed by best
     fit decreasing; a group leaves at most a few sequences part empty. Null and repeated doc_ids are rows like others.
-    Packing depends on the rows alone, so reruns agree. No rows give no rows.
+    Rows are dealt by their place in the table as it is read, so that a row that is repeated ever so often is spread
+    too, and reruns over the same files agree. No rows give no rows.
     """
-    pieces = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_documents(tokenizer, length), _PIECES), "pieces")
+    pieces = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_documents(tokenizer, length), "row long, " + _PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)))
     return dealt.groupBy("part").applyInArrow(_pack_group(length), _PIECES + ", sequence_id long, offset long")
