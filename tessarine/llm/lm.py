@@ -1,10 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds every unigram and bigram, and for each context the mass of its bigrams, once for each power of two
-that the count reaches. A count is read back by probing level after level until one is missing. The filter grows with
-the levels that were counted. Up to BROADCAST_BYTES it is broadcast; a larger one stays in the shared folder, and the
-distinct bigrams and words are shuffled to its segments, with the same scores. Word identity is a 64-bit hash, in
-bigrams 32 bits of it.
+The filter holds every unigram and bigram of the training texts, once for each power of two that its count reaches. A
+count is read back, rounded down to such a power, by probing level after level until one is missing. Segments of the
+filter, by the leading bits of the keys, are built where their n-grams are counted, each as large as its own levels
+need, so the filter grows with the input. Up to BROADCAST_BYTES it is broadcast; a larger one stays in the shared
+folder, and the distinct bigrams and words are shuffled to its segments, with the same scores.
+
+A token w after c has the probability (n(c, w) + K p(w)) / (n(c) + K + F): counts of pairs are rounded down, those of
+contexts up, and F is the weight that pairs found by mistake have over the whole vocabulary, so that the probabilities
+after a context don't sum to more than 1. Words and pairs are known by 63-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,23 +27,25 @@ from tessarine.llm._text import WordHashes, mix, word_hashes, words
 from tessarine.llm._work import join_counted, materialize
 
 BROADCAST_BYTES = 1 << 27
-KEY_BITS = 10
-PROBES = 6
-SEGMENTS = 256
-SEGMENT_BITS = 1 << 22
-"""Most bits of a segment; a larger filter has more segments."""
-HOT_TOKENS = 1 << 16
+KEY_BITS = 12
+"""Bits for each level of each n-gram."""
+PROBES = 8
+MISTAKEN = (1 - math.exp(-PROBES / KEY_BITS)) ** PROBES
+"""Share of absent keys that are found."""
+SEGMENT_TEXT = 1 << 24
+"""Bytes of text to a segment, up to MOST_SEGMENTS."""
+LEAST_SEGMENTS, MOST_SEGMENTS = 32, 1 << 17
+HOT_TOKENS = 1 << 20
+"""Words with at least this part of all tokens are at most so many; their exact counts are broadcast (16 bytes each)."""
 ADD = 0.1
-DISCOUNT = 0.8
-"""Taken from each bigram's count; what a context's bigrams leave goes to its unigram distribution."""
-
-KEPT = 0.95
-"""Most of its mass that a context gives to its bigrams: some is left for words not seen after it."""
+CONCENTRATION = 30.0
+"""Least weight of the unigram distribution after any word, in tokens."""
 
 _END = np.uint64(0x5BD1E9955BD1E995)
 _UNI, _BI = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x9B05688C2B3E6C1F)
-_HIGH, _MASS = np.uint64(0xFFFFFFFF00000000), np.uint64(0x5BE0CD19137E2179)
-_FLUSH = 1 << 20
+_KIND = np.uint64(1)
+_FLUSH = 1 << 21
+_SLICE = 512
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -52,33 +58,30 @@ def tokens(text: str | None, cache: WordHashes) -> np.ndarray:
 
 
 def unigram_keys(toks: np.ndarray) -> np.ndarray:
-    return mix(toks ^ _UNI)
+    return mix(toks ^ _UNI) & ~_KIND
 
 
-def bigram_keys(toks: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
-    """A key for each token after the one before it: 32 bits of either. A text's first token follows an end."""
-    before = np.concatenate([[_END], toks[:-1]])
-    before[starts] = _END
-    return (mix(before ^ _BI) & _HIGH) | (mix(toks) >> np.uint64(32))
+def pair_keys(before: np.ndarray, toks: np.ndarray) -> np.ndarray:
+    return mix(mix(before ^ _BI) + toks) | _KIND
 
 
-def context_keys(bigrams: np.ndarray) -> np.ndarray:
-    """The key under which a bigram's context keeps the mass of its bigrams."""
-    return mix((bigrams & _HIGH) ^ _MASS)
+def contexts(toks: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
+    """The token before each; a text's first token follows an end."""
+    before = np.concatenate([[_END], toks[:-1]])
+    before[starts] = _END
+    return before
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): 0 for tokens, 1 for bigrams, summed over some documents at a time."""
+    """(key, n) of words and pairs, summed over some documents at a time."""
     cache = WordHashes()
     held: list[np.ndarray] = []
-    ends: list[np.ndarray] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for kind, own in ((0, held), (1, ends)):
-            if own:
-                keys, n = np.unique(np.concatenate(own), return_counts=True)
-                own.clear()
-                yield pa.record_batch([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+        if held:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     size = 0
     for batch in batches:
@@ -86,105 +89,220 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held_out(doc_id):
                 continue
             toks = tokens(text.as_py(), cache)
-            held.append(toks), ends.append(bigram_keys(toks))
-            size += len(toks)
+            held += unigram_keys(toks), pair_keys(contexts(toks), toks)
+            size += 2 * len(toks)
             if size >= _FLUSH:
                 yield from flush()
                 size = 0
     yield from flush()
 
 
-def level(count: np.ndarray, least: int) -> np.ndarray:
-    """1 for counts in [least, 2 least), 2 for [2 least, 4 least), ..."""
-    return np.floor(np.log2(count / least) + 1e-12).astype(np.int64) + 1
+def level(count: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, 2 for 2 and 3, 3 for 4 to 7, ..."""
+    return np.frexp(count.astype(np.float64))[1].astype(np.int64)
 
 
-class CountFilter:
-    """Bits of equal segments, each a power of two; a key's segment is its top bits, its places come from two hashes per level.
+def _places(own: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of keys for a level; probe i is at their sum with i times the second."""
+    a = mix(own ^ np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
+    return a, mix(a ^ _UNI) | np.uint64(1)
+
+
+def _at(a: np.ndarray, b: np.ndarray, i: int, size: np.ndarray | np.uint64) -> np.ndarray:
+    return (((a + np.uint64(i) * b) >> np.uint64(32)) * size) >> np.uint64(32)
 
-    With one segment, the keys are all taken to be of that one.
-    """
 
-    def __init__(self, bits: np.ndarray, segment_bits: int, least: int) -> None:
-        self.bits, self.segment_bits, self.least = bits, segment_bits, least
-        self.shift = np.uint64(64 - (8 * len(bits) // segment_bits).bit_length() + 1)
+class CountFilter:
+    """Bits of ``segments`` segments, a power of two, of ``sizes`` bits each; a key's segment is its leading bits."""
 
-    @staticmethod
-    def places(keys: np.ndarray, level_: int, segment_bits: int) -> np.ndarray:
-        """(PROBES, keys) bit places within each key's segment."""
-        a = mix(keys ^ np.uint64(level_ * 0x9E3779B97F4A7C15 % 2**64))
-        b = mix(a ^ _UNI) | np.uint64(1)
-        return np.stack([(a + np.uint64(i) * b) & np.uint64(segment_bits - 1) for i in range(PROBES)])
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray) -> None:
+        self.bits, self.sizes = bits, sizes.astype(np.uint64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.shift = np.uint64(64 - (len(sizes).bit_length() - 1))
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of the last level found, 0 if not even the first is."""
+        """Each key's count rounded down to a power of two, 0 for what is not there; more with probability MISTAKEN."""
         found = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
+        segment = (keys >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), np.int64)
+        alive = np.flatnonzero(self.sizes[segment] > 0)
         step = 0
         while len(alive):
             step += 1
-            own = keys[alive]
-            base = (own >> self.shift) * np.uint64(self.segment_bits) if self.shift < 64 else np.zeros(len(own), np.uint64)
-            a = mix(own ^ np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
-            b = mix(a ^ _UNI) | np.uint64(1)
-            keep = np.arange(len(own))
+            own, of = keys[alive], segment[alive]
+            start, size = self.starts[of], self.sizes[of]
+            a, b = _places(own, step)
             for i in range(PROBES):
-                at = base[keep] + ((a[keep] + np.uint64(i) * b[keep]) & np.uint64(self.segment_bits - 1))
-                keep = keep[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
-                if not len(keep):
+                at = start + _at(a, b, i, size)
+                keep = np.flatnonzero((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+                if len(keep) < len(at):
+                    a, b, start, size, alive = a[keep], b[keep], start[keep], size[keep], alive[keep]
+                if not len(alive):
                     break
-            alive = alive[keep]
             found[alive] = step
-        middle = np.maximum(1.0, self.least * 2.0 ** (found - 1) * math.sqrt(2)) if self.least > 1 else np.where(found == 1, 1.0, 2.0 ** (found - 1) * math.sqrt(2))
-        return np.where(found > 0, middle, 0.0)
+        return np.where(found > 0, 2.0 ** (found - 1), 0.0)
+
+
+def segment_bits(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bits of a segment with these keys and counts."""
+    levels = level(n)
+    size = np.uint64(8 * -(-int(levels.sum()) * KEY_BITS // 8))
+    bits = np.zeros(int(size) // 8, np.uint8)
+    for step in range(1, int(levels.max(initial=0)) + 1):
+        a, b = _places(keys[levels >= step], step)
+        for i in range(PROBES):
+            at = _at(a, b, i, size)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return bits
+
+
+def _build(segments: int):
+    """For mapInArrow over (key, n) dealt by segment: the bits of each segment, and the words with their counts."""
+    shift = np.uint64(64 - (segments.bit_length() - 1))
+    names = ["segment", "bits", "key", "n"]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def compact() -> None:
+            nonlocal keys, n
+            every, each = np.concatenate([keys, *(k for k, _ in fresh)]), np.concatenate([n, *(c for _, c in fresh)])
+            fresh.clear()
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
+            keys, n = every[first], np.add.reduceat(each[order], first) if len(first) else each
+
+        size = 0
+        for batch in batches:
+            fresh.append((batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("n").to_numpy(zero_copy_only=False)))
+            size += len(batch)
+            if size > max(1 << 21, len(keys)):
+                compact()
+                size = 0
+        compact()
+        segment = (keys >> shift).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
+        borders = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]])
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            if a < b:
+                bits = segment_bits(keys[a:b], n[a:b]).tobytes()
+                yield pa.record_batch([pa.array([int(segment[a])], pa.int32()), pa.array([bits], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
+        single = keys & _KIND == 0
+        for at in range(0, int(single.sum()), 1 << 16):
+            k, c = keys[single][at : at + (1 << 16)], n[single][at : at + (1 << 16)]
+            yield pa.record_batch([pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary()), pa.array(k.view(np.int64)), pa.array(c)], names)
 
+    return build
 
-def _segments(segment_bits: int, least: int):
-    """For applyInArrow: the bytes of one segment, from the keys that fall into it."""
 
-    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(segment_bits // 8, np.uint8)
-        for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            levels = level(batch.column("n").to_numpy(zero_copy_only=False), least)
-            for step in range(1, int(levels.max(initial=0)) + 1):
-                own = keys[levels >= step]
-                for at in CountFilter.places(own, step, segment_bits):
-                    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["segment", "bits"])
+def _segment(segments: int) -> F.Column:
+    bits = segments.bit_length() - 1
+    return (F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0)).cast("int")
 
-    return build
 
+def count_ngrams(counted: DataFrame, segments: int) -> DataFrame:
+    """(segment, bits) of the filter, and (key, n) of words, of partial counts (key, n): one shuffle, written to the shared folder."""
+    dealt = counted.repartitionById(segments, _segment(segments))
+    return materialize(dealt.mapInArrow(_build(segments), "segment int, bits binary, key long, n long"), "ngrams")
 
-def shape(n_levels: int) -> tuple[int, int]:
-    """(segments, bits of each) for so many levels: KEY_BITS or more for each level."""
-    segment_bits = 1 << max(10, math.ceil(math.log2(max(1, n_levels) * KEY_BITS / SEGMENTS)))
-    return SEGMENTS * max(1, segment_bits // SEGMENT_BITS), min(segment_bits, SEGMENT_BITS)
 
+def n_segments(text_bytes: int) -> int:
+    return min(MOST_SEGMENTS, max(LEAST_SEGMENTS, 1 << max(0, (text_bytes // SEGMENT_TEXT)).bit_length()))
 
-def count_levels(counts: DataFrame, least: int = 1) -> int:
-    return counts.agg(F.coalesce(F.sum(F.floor(F.log2(F.col("n") / least) + 1e-12) + 1), F.lit(0))).first()[0]
 
+def gather_filter(kept: DataFrame, segments: int) -> CountFilter:
+    """The filter on the driver, for filters of up to BROADCAST_BYTES."""
+    own = {r.segment: np.frombuffer(bytes(r.bits), np.uint8) for r in kept.toLocalIterator()}
+    parts = [own.get(i, np.empty(0, np.uint8)) for i in range(segments)]
+    return CountFilter(np.concatenate(parts), np.array([8 * len(p) for p in parts]))
+
+
+class Smoothing:
+    """The probabilities of tokens from counts."""
+
+    def __init__(self, n_train: int, n_types: int) -> None:
+        self.over = (n_train + ADD * (n_types + 1)) * (1 + MISTAKEN)
+        mistaken = MISTAKEN * n_types
+        self.mistaken = mistaken + 4 * math.sqrt(mistaken)
+        self.weight = CONCENTRATION + self.mistaken
+
+    def log_p(self, pair: np.ndarray, before: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """log10 p of a word after another: counts of the pair and of the word, at most the true ones, and of the word before, at least the true one."""
+        pair = np.minimum(pair, np.minimum(before, single))
+        return np.log10((pair + self.weight * (single + ADD) / self.over) / (before + self.weight + self.mistaken))
+
+
+def at_most(count: np.ndarray) -> np.ndarray:
+    """The largest count that is rounded down to this one."""
+    return np.maximum(2 * count - 1, 0)
 
-def _segment(segments: int) -> F.Column:
-    return F.shiftrightunsigned("key", 65 - segments.bit_length()).cast("int").alias("segment")
 
+def _hot_counts(hot: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are frequent, and their counts."""
+    hot_keys, hot_n = hot
+    if not len(hot_keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    place = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
+    return hot_keys[place] == keys, hot_n[place]
 
-def filter_segments(counts: DataFrame, segments: int, segment_bits: int, least: int = 1) -> DataFrame:
-    """(segment, bits) of the filter of (key, n) with n >= least."""
-    return counts.select("*", _segment(segments)).groupBy("segment").applyInArrow(_segments(segment_bits, least), "segment int, bits binary")
 
+def _score(shared, hot, smoothing: Smoothing, base_over: float):
+    """For mapInArrow over (doc_id, text): a row ``head`` for each text, with the base score of frequent tokens and the
+    model's score, and one for each other token that the filter knows, to look up. Without ``shared``, heads have the
+    pairs to look up, and all other tokens are looked up."""
 
-def build_filter(counts: DataFrame, least: int, n_levels: int | None = None) -> CountFilter:
-    """The filter of (key, n) with n >= least, on the driver: for filters of up to BROADCAST_BYTES."""
-    segments, segment_bits = shape(count_levels(counts, least) if n_levels is None else n_levels)
-    bits = np.zeros(segments * segment_bits // 8, np.uint8)
-    for r in filter_segments(counts, segments, segment_bits, least).toLocalIterator():
-        bits[r.segment * segment_bits // 8 : (r.segment + 1) * segment_bits // 8] = np.frombuffer(bytes(r.bits), np.uint8)
-    return CountFilter(bits, segment_bits, least)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_, cache = shared.value if shared else None, WordHashes()
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at in range(0, len(batch), _SLICE):
+                some = batch.slice(at, _SLICE)
+                ids = some.column("doc_id").to_pylist()
+                own = [tokens(t.as_py(), cache) for t in some.column("text")]
+                ends = np.cumsum([len(t) for t in own])
+                starts = ends - [len(t) for t in own]
+                toks = np.concatenate(own)
+                types, back = np.unique(toks, return_inverse=True)
+                keys = unigram_keys(types)
+                is_hot, hot_n = _hot_counts(hot.value, keys)
+                base = np.add.reduceat(np.where(is_hot, np.log10((hot_n + ADD) / base_over), 0.0)[back], starts)
+                known = np.add.reduceat(is_hot.astype(np.int64)[back], starts)
+                if filter_:
+                    low = np.where(is_hot, hot_n, filter_.counts(keys))
+                    high = np.where(is_hot, hot_n, at_most(low))
+                    before = np.concatenate([[0], back[:-1]])
+                    before[starts] = np.searchsorted(types, _END)
+                    pair = filter_.counts(pair_keys(types[before], toks))
+                    model = {"score": pa.array(np.add.reduceat(smoothing.log_p(pair, high[before], low[back]), starts))}
+                    rare = np.flatnonzero((~is_hot & (low > 0))[back])
+                else:
+                    model = _pairs(toks, starts)
+                    rare = np.flatnonzero(~is_hot[back])
+                n, more = len(ids), len(rare)
+                rows = np.concatenate([np.arange(row, row + n), row + np.searchsorted(ends, rare, "right")])
+                yield pa.record_batch(
+                    [pa.array(rows), pa.array(np.concatenate([mix(np.arange(row, row + n).astype(np.uint64)), keys[back[rare]]]).view(np.int64)), pa.array(np.arange(n + more) < n),
+                     *(pa.concat_arrays([x, pa.nulls(more, x.type)]) for x in (pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array((ends - starts).astype(np.int64)), pa.array(known), pa.array(base), *model.values()))],
+                    ["row", "key", "head", "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", *model],
+                )
+                row += n
 
+    return score
 
-def _probe(segment_bits: int, names: list[str], name: str):
+
+def _pairs(toks: np.ndarray, starts: np.ndarray) -> dict[str, pa.Array]:
+    """Lists of each document's distinct pairs: a key, both words, and how often it occurs."""
+    before = contexts(toks, starts)
+    ids = pair_keys(before, toks)
+    doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(toks))))
+    order = np.lexsort((ids, doc))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(ids[order]) != 0)]))
+    first, offsets = order[new], np.searchsorted(doc[order][new], np.arange(len(starts) + 1)).astype(np.int32)
+    each = {"pair": ids[first], "before": unigram_keys(before[first]), "token": unigram_keys(toks[first]), "times": np.diff(np.append(new, len(toks)))}
+    return {k: pa.ListArray.from_arrays(pa.array(offsets), pa.array(v.astype(np.uint64).view(np.int64))) for k, v in each.items()}
+
+
+def _probe(names: list[str], name: str):
     """For mapInArrow over rows sorted by segment, its bits first: the count of each key."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +319,8 @@ def _probe(segment_bits: int, names: list[str], name: str):
                 if own[a] != at:
                     at, filter_ = own[a], None
                 if has_bits[a]:
-                    filter_ = CountFilter(np.frombuffer(batch.column("bits")[a].as_py(), np.uint8), segment_bits, 1)
+                    bits = np.frombuffer(batch.column("bits")[a].as_py(), np.uint8)
+                    filter_ = CountFilter(bits, np.array([8 * len(bits)]))
                     a += 1
                 if filter_ is not None and b > a:
                     found[a:b] = filter_.counts(keys[a:b])
@@ -211,143 +330,45 @@ def _probe(segment_bits: int, names: list[str], name: str):
     return apply
 
 
-def look_up(asked: DataFrame, kept: DataFrame, segments: int, segment_bits: int, name: str) -> DataFrame:
-    """``asked``, whose ``key`` is distinct, with each key's count as ``name`` instead: keys are shuffled to their segments."""
-    names = [c for c in asked.columns if c != "key"]
-    met = asked.select("*", _segment(segments)).unionByName(kept, allowMissingColumns=True)
+def look_up(asked: DataFrame, kept: DataFrame, segments: int, column: str, name: str) -> DataFrame:
+    """``asked`` with the count of the keys in ``column``, which are distinct, as ``name``: keys are shuffled to their segments."""
+    names = asked.columns
+    met = asked.withColumn("key", F.col(column)).withColumn("segment", _segment(segments)).unionByName(kept.select("segment", "bits"), allowMissingColumns=True)
     dealt = met.repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull())
-    return dealt.mapInArrow(_probe(segment_bits, names, name), ", ".join([*(f"{c} long" for c in names), f"{name} double"]))
-
-
-def log_p(pair: np.ndarray, before: np.ndarray, single: np.ndarray, mass: np.ndarray, over: float) -> np.ndarray:
-    """log10 of tokens' probabilities: counts of the bigram, of the word before and of the word, and the mass of the word before."""
-    pair = np.minimum(pair, np.minimum(before, single))
-    over_before = np.maximum(before, np.maximum(mass, 1.0))
-    p = np.maximum(pair - DISCOUNT, 0) / over_before + (1 - KEPT * mass / over_before) * (single + ADD) / over
-    return np.log10(np.minimum(p, 1.0))
-
+    return dealt.mapInArrow(_probe(names, name), ", ".join([*(f"{c} long" for c in names), f"{name} double"]))
 
-def _pairs(toks: np.ndarray, starts: np.ndarray) -> dict[str, pa.Array]:
-    """Lists of each document's distinct bigrams: an id, both words, and how often it occurs."""
-    before = np.concatenate([[_END], toks[:-1]])
-    before[starts] = _END
-    ids = mix(mix(before ^ _BI) + toks)
-    doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(toks))))
-    order = np.lexsort((ids, doc))
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(ids[order]) != 0)]))
-    first, offsets = order[new], np.searchsorted(doc[order][new], np.arange(len(starts) + 1)).astype(np.int32)
-    each = {"pair": ids[first].view(np.int64), "before": before[first].view(np.int64), "token": toks[first].view(np.int64), "times": np.diff(np.append(new, len(toks))).astype(np.int64)}
-    return {k: pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for k, v in each.items()}
-
-
-def _keys_of(words_: list[str], key_of):
-    """For mapInArrow over words (long): the same rows and the key that ``key_of`` makes of them."""
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = key_of(*(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in words_))
-            yield pa.record_batch([*batch.columns, pa.array(keys.view(np.int64))], [*batch.schema.names, "key"])
+def score_by_segments(scored: DataFrame, kept: DataFrame, segments: int, hot, smoothing: Smoothing) -> DataFrame:
+    """(row, score) where the filter is too large to broadcast: each distinct pair is looked up and scored once.
 
-    return apply
-
-
-def pair_key(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix((mix(before ^ _BI) & _HIGH) | (mix(token) >> np.uint64(32)))
-
-
-def score_by_segments(scored: DataFrame, kept: DataFrame, segments: int, segment_bits: int, hot, over: float) -> DataFrame:
-    """(row, score) where the filter is too large to broadcast: each distinct bigram is looked up and scored once.
-
-    Words and bigrams that many rows share are joined as join_counted does.
+    Words and pairs that many rows share are joined as join_counted does.
     """
 
-    def asked(df: DataFrame, words_: list[str], key_of, name: str) -> DataFrame:
-        keyed = df.mapInArrow(_keys_of(words_, key_of), ", ".join(f"{c} long" for c in [*df.columns, "key"]))
-        return look_up(keyed, kept, segments, segment_bits, name)
-
-    def single(column: str, name: str):
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hot_keys, hot_n = hot.value
-            for batch in batches:
-                toks, n = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(name).to_numpy(zero_copy_only=False).copy()
-                if len(hot_keys):
-                    place = np.minimum(np.searchsorted(hot_keys, toks), len(hot_keys) - 1)
-                    n = np.where(hot_keys[place] == toks, hot_n[place], n)
-                if column == "before":
-                    n = np.where(toks == _END, np.maximum(1.0, batch.column(name).to_numpy(zero_copy_only=False)), n)
-                yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(n))
-
-        return apply
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of words: at most and at least the true ones, which frequent words have."""
+        for batch in batches:
+            is_hot, hot_n = _hot_counts(hot.value, batch.column("word").to_numpy(zero_copy_only=False).view(np.uint64))
+            low = batch.column("low").to_numpy(zero_copy_only=False)
+            yield pa.record_batch([batch.column("word"), pa.array(np.where(is_hot, hot_n, low)), pa.array(np.where(is_hot, hot_n, at_most(low)))], ["word", "low", "high"])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = log_p(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair_n", "before_n", "token_n", "mass")), over)
+            p = smoothing.log_p(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair_n", "high", "low")))
             yield pa.record_batch([batch.column("pair"), batch.column("n_rows"), pa.array(p)], ["pair", "n_rows", "log_p"])
 
     each = scored.select("row", F.explode(F.arrays_zip("pair", "before", "token", "times")).alias("p")).select("row", "p.*")
     pairs = materialize(each.groupBy("pair").agg(F.first("before").alias("before"), F.first("token").alias("token"), F.count(F.lit(1)).alias("n_rows")), "pairs")
     total, n_asked = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
-    found = {}
-    for column in ("token", "before"):
-        own = asked(pairs.groupBy(column).agg(F.count(F.lit(1)).alias("n_rows")), [column], unigram_keys, f"{column}_n")
-        found[column] = own.mapInArrow(single(column, f"{column}_n"), own.schema)
-    masses = asked(pairs.select("before").distinct(), ["before"], lambda w: context_keys(mix(w ^ _BI)), "mass")
-    found["before"] = materialize(found["before"].join(masses, "before"), "words-before")
-    met = asked(pairs, ["before", "token"], pair_key, "pair_n")
-    met = join_counted(met, materialize(found["token"], "words"), "token", total)
-    met = materialize(join_counted(met, found["before"], "before", total).mapInArrow(scores, "pair long, n_rows long, log_p double"), "pair-scores")
+    asked = pairs.select(F.explode(F.array("before", "token")).alias("word")).distinct()
+    found = materialize(look_up(asked, kept, segments, "word", "low").mapInArrow(exact, "word long, low double, high double"), "words")
+    met = look_up(pairs, kept, segments, "pair", "pair_n")
+    for column, count in (("token", "low"), ("before", "high")):
+        rows = pairs.groupBy(F.col(column).alias("word")).agg(F.count(F.lit(1)).alias("n_rows"))
+        met = join_counted(met, materialize(found.select("word", count).join(rows, "word").withColumnRenamed("word", column), column), column, total)
+    met = materialize(met.mapInArrow(scores, "pair long, n_rows long, log_p double"), "pair-scores")
     return join_counted(each.select("row", "pair", "times"), met, "pair", n_asked).groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("score"))
 
 
-def model_scores(filter_: CountFilter, n_end: float, toks: np.ndarray, starts: np.ndarray, is_hot: np.ndarray, hot_n: np.ndarray | None, over: float) -> np.ndarray:
-    """The model's score of each text, with all counts but those of frequent words from the filter."""
-    types, back = np.unique(toks, return_inverse=True)
-    single = filter_.counts(unigram_keys(types))[back]
-    if hot_n is not None:
-        single = np.where(is_hot, hot_n, single)
-    before = np.concatenate([[0.0], single[:-1]])
-    before[starts] = n_end
-    contexts = filter_.counts(context_keys(mix(types ^ _BI)))
-    mass = np.concatenate([[0.0], contexts[back[:-1]]])
-    mass[starts] = contexts[np.searchsorted(types, _END)]
-    return np.add.reduceat(log_p(filter_.counts(mix(bigram_keys(toks, starts))), before, single, mass, over), starts)
-
-
-def _score(shared, hot, n_train: int, n_types: int):
-    """For mapInArrow: counts, the base score of frequent tokens, rare tokens to look up, and the model's score or, without ``shared``, the bigrams to look up."""
-    over = n_train + ADD * (n_types + 1)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, (hot_keys, hot_n), cache = shared.value if shared else None, hot.value, WordHashes()
-        hot_log = np.log10((hot_n + ADD) / over)
-        n_end = max(1.0, filter_.counts(unigram_keys(np.array([_END])))[0]) if filter_ else 0.0
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
-                ids = some.column("doc_id").to_pylist()
-                own = [tokens(t.as_py(), cache) for t in some.column("text")]
-                ends = np.cumsum([len(t) for t in own])
-                starts = ends - [len(t) for t in own]
-                toks = np.concatenate(own)
-                place = np.minimum(np.searchsorted(hot_keys, toks), max(0, len(hot_keys) - 1))
-                is_hot = hot_keys[place] == toks if len(hot_keys) else np.zeros(len(toks), bool)
-                base = np.add.reduceat(np.where(is_hot, hot_log[place], 0.0) if len(hot_keys) else np.zeros(len(toks)), starts)
-                known = np.add.reduceat(is_hot.astype(np.int64), starts)
-                model = {"score": pa.array(model_scores(filter_, n_end, toks, starts, is_hot, hot_n[place] if len(hot_keys) else None, over))} if filter_ else _pairs(toks, starts)
-                rare = np.flatnonzero(~is_hot)
-                offsets = np.searchsorted(rare, np.append(starts, len(toks))).astype(np.int32)
-                n = len(ids)
-                yield pa.record_batch(
-                    [pa.array(np.arange(row, row + n)), some.column("doc_id"), pa.array([held_out(i) for i in ids]), pa.array((ends - starts).astype(np.int64)), pa.array(known),
-                     pa.array(base), pa.ListArray.from_arrays(pa.array(offsets), pa.array(toks[rare].view(np.int64))), *model.values()],
-                    ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "rare", *model],
-                )
-                row += n
-
-    return score
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
 
@@ -358,48 +379,35 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     taught = source.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0)
-    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
-    n_train = taught.agg(F.coalesce(F.sum(n_words.cast("long") + 1), F.lit(0))).first()[0]
-    raw = taught.mapInArrow(_count, "kind int, key long, n long")
-    counts = materialize(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ngrams")
-    singles = counts.filter("kind = 0").select("key", "n")
-    n_types = singles.count()
+    segments = n_segments(taught.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
+    counted = count_ngrams(taught.mapInArrow(_count, "key long, n long"), segments)
+    kept, singles = counted.filter("bits is not null").select("segment", "bits"), counted.filter("key is not null").select("key", "n")
+    n_train, n_types = singles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     floor = max(1, -(-n_train // HOT_TOKENS))
-    hot = singles.filter(F.col("n") >= floor).toPandas().sort_values("key")
+    hot = singles.filter(F.col("n") >= floor).toPandas()
     hot_keys = hot["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot_keys)
     frequent = spark.sparkContext.broadcast((hot_keys[order], hot["n"].to_numpy(np.float64)[order]))
-    pairs = counts.filter("kind = 1").select("key", "n")
-    masses = materialize(pairs.groupBy(F.shiftright("key", 32).alias("context")).agg(F.floor(F.sum(F.col("n") - DISCOUNT)).alias("n")).filter("n >= 1"), "masses")
-    n_levels = count_levels(counts.select("n").union(masses.select("n")))
-    segments, segment_bits = shape(n_levels)
-    in_filter = singles.mapInArrow(_keyed(unigram_keys), "key long, n long").union(pairs.mapInArrow(_keyed(mix), "key long, n long"))
-    in_filter = in_filter.union(masses.select(F.shiftleft("context", 32).alias("key"), "n").mapInArrow(_keyed(context_keys), "key long, n long"))
-    over = n_train + ADD * (n_types + 1)
-    whole = segments * segment_bits // 8 <= BROADCAST_BYTES
-    shared = spark.sparkContext.broadcast(build_filter(in_filter, 1, n_levels)) if whole else None
-    kind = "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, rare array<long>, "
+    over, smoothing = n_train + ADD * (n_types + 1), Smoothing(n_train, n_types)
+    whole = (kept.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+    shared = spark.sparkContext.broadcast(gather_filter(kept, segments)) if whole else None
+    kind = "row long, key long, head boolean, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, "
     kind += "score double" if whole else "pair array<long>, before array<long>, token array<long>, times array<long>"
-    scored = materialize(source.mapInArrow(_score(shared, frequent, n_train, n_types), kind), "scored")
+    scored = source.mapInArrow(_score(shared, frequent, smoothing, over), kind)
+    cold = singles.filter(F.col("n") < floor)
+    once = F.col("head")
+    if whole:
+        joined = scored.join(cold, "key", "left")
+    else:
+        scored = materialize(scored, "scored")
+        asked = scored.filter(~once).groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
+        met = materialize(cold.join(asked, "key"), "asked")
+        joined = join_counted(scored, met, "key", scored.count(), "left")
+    n = F.when(~once, F.col("n"))
+    heads = {c: F.max(F.when(once, F.col(c))).alias(c) for c in ("doc_id", "held_out", "n_tokens", "hot_known", "hot_score", *(["score"] if whole else []))}
+    summed = joined.groupBy("row").agg(*heads.values(), F.count(n).alias("more"), F.coalesce(F.sum(F.log10((n + ADD) / over)), F.lit(0.0)).alias("cold_score"))
     if not whole:
-        kept = materialize(filter_segments(in_filter, segments, segment_bits), "filter")
-        each_score = score_by_segments(scored, kept, segments, segment_bits, frequent, over)
-    each = scored.select("row", F.explode("rare").alias("key"))
-    cold = each.join(singles.filter(F.col("n") < floor), "key").groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10((F.col("n") + ADD) / over)).alias("cold_score"))
-    joined = scored.drop("rare", "pair", "before", "token", "times").join(cold, "row", "left")
-    if not whole:
-        joined = joined.join(each_score, "row")
-    known = F.col("hot_known") + F.coalesce("more", F.lit(0))
-    base = F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0)) + (F.col("n_tokens") - known) * math.log10(ADD / over)
-    return joined.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
-
-
-def _keyed(change):
-    """For mapInArrow over (key, n): the keys under which the filter knows them."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = change(batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.record_batch([pa.array(keys.view(np.int64)), batch.column("n")], ["key", "n"])
-
-    return apply
+        summed = summed.join(score_by_segments(scored.filter(once), kept, segments, frequent, smoothing), "row")
+    known = F.col("hot_known") + F.col("more")
+    base = F.col("hot_score") + F.col("cold_score") + (F.col("n_tokens") - known) * math.log10(ADD / over)
+    return summed.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -9,8 +9,10 @@ import zlib
 from collections import Counter
 
 import compare
+import numpy as np
 import pytest
 
+from tessarine.llm import lm
 from tessarine.llm import queries as registered
 
 QUERIES, SQL = registered.queries(), registered.oracle_sql()
@@ -61,7 +63,6 @@ def test_near_duplicates(spark, small, docs):
 
 
 def test_packing(spark, small, docs):
-    import numpy as np
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(registered.tokenizer_path())
@@ -97,6 +98,16 @@ def test_language_model(spark, small, docs):
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks), rel_tol=1e-9)
     unseen = [r for r in rows.values() if r.held_out]
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
+    pairs = Counter(p for ws in train for p in zip([None, *ws], [*ws, None], strict=True))
+    model = lm.Smoothing(n, v)
+    floor = lambda c: 2.0 ** (c.bit_length() - 1) if c else 0.0
+    off = []
+    for i, text in docs:
+        ws = lowered(text)
+        found = list(zip([None, *ws], [*ws, None], strict=True))
+        want = model.log_p(np.array([floor(pairs[p]) for p in found]), np.array([float(counts[c]) for c, _ in found]), np.array([float(counts[w]) for _, w in found])).sum()
+        off.append(abs(want - rows[i].score) / abs(want))
+    assert np.mean(off) < 0.01 and max(off) < 0.2
 
 
 def test_html_articles(spark, small):

@@ -148,30 +148,52 @@ def test_language_model(docs, none):
     assert lm.score_documents(none).count() == 0
 
 
-def test_filter_keeps_rare_ngrams_at_any_size(docs, monkeypatch):
+def test_large_filters_give_the_same_scores(docs, monkeypatch):
     """No n-gram is left out for the number of tokens, and a filter that isn't broadcast gives the same scores."""
-    before = [r.score for r in lm.score_documents(docs).collect()]
-    monkeypatch.setattr(lm, "MOST_KEYS", 1000, raising=False)  # the former bound: n-grams under 3N / MOST_KEYS went
-    assert sorted(before) == sorted(r.score for r in lm.score_documents(docs).collect())
-    for n in (10**6, 10**8, 10**10):
-        segments, bits = lm.shape(n)
-        assert segments * bits >= n * lm.KEY_BITS and bits <= lm.SEGMENT_BITS
-    monkeypatch.setattr(lm, "SEGMENT_BITS", 1 << 10)
-    whole = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs).collect())
+    rounded = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs).collect())
+    whole = rounded()
+    monkeypatch.setattr(lm, "HOT_TOKENS", 50)
+    some = rounded()
+    assert [r[:4] for r in some] == [r[:4] for r in whole]
     monkeypatch.setattr(lm, "BROADCAST_BYTES", 0)
-    parts = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs).collect())
-    assert parts == whole
+    assert rounded() == some
+    assert [lm.n_segments(n) for n in (0, 10**9, 10**14)] == [32, 64, lm.MOST_SEGMENTS]
 
 
-def test_count_filter_is_monotone(spark):
+def filter_of(keys, counts):
+    bits = lm.segment_bits(keys, counts)
+    return lm.CountFilter(bits, np.array([8 * len(bits)]))
+
+
+def test_count_filter_rounds_down():
     rng = np.random.default_rng(1)
-    keys = rng.integers(-(2**63), 2**63 - 1, 4000)
+    keys = rng.integers(0, 2**63, 4000).astype(np.uint64)
     counts = np.concatenate([np.ones(3000), rng.integers(2, 5000, 1000)]).astype(int)
-    df = spark.createDataFrame([(int(k), int(n)) for k, n in zip(keys, counts, strict=True)], "key long, n long")
-    f = lm.build_filter(df, 1)
-    got = f.counts(keys.view(np.uint64))
-    assert (got >= 1).all() and np.quantile(got / counts, 0.02) > 0.6 and np.quantile(got / counts, 0.95) < 1.5
-    assert (f.counts(rng.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.06
+    f = filter_of(keys, counts)
+    got = f.counts(keys)
+    low = 2.0 ** np.floor(np.log2(counts))
+    assert (got >= low).all() and (got > low).mean() < 3 * lm.MISTAKEN + 0.002 and (lm.at_most(low) >= counts).all()
+    assert (f.counts(rng.integers(0, 2**63, 100_000).astype(np.uint64)) > 0).mean() < 1.2 * lm.MISTAKEN
+
+
+def test_probabilities_sum_to_at_most_one():
+    """After rare and frequent words alike, over the whole vocabulary, whatever the filter finds by mistake; and most of the mass is there."""
+    rng = np.random.default_rng(2)
+    toks = np.append(np.minimum(rng.zipf(1.3, 60_000), 9_000), 9_001).astype(np.uint64)
+    before = lm.contexts(toks)
+    before[0] = toks[-1]
+    types, n = np.unique(toks, return_counts=True)
+    pairs, m = np.unique(lm.pair_keys(before, toks), return_counts=True)
+    f = filter_of(np.concatenate([lm.unigram_keys(types), pairs]), np.concatenate([n, m]))
+    smoothing = lm.Smoothing(len(toks), len(types))
+    low = f.counts(lm.unigram_keys(types))
+    by_count = {}
+    for k in [*range(0, len(types), 7), int(np.argmax(n))]:
+        pair = f.counts(lm.pair_keys(np.full(len(types), types[k]), types))
+        sums = {exact: (10 ** smoothing.log_p(pair, np.full(len(types), float(n[k]) if exact else lm.at_most(low[k : k + 1])[0]), n if exact else low)).sum() for exact in (False, True)}
+        assert max(sums.values()) <= 1.0, (n[k], sums)
+        by_count[n[k]] = sums[True]
+    assert max(by_count.values()) > 0.75 and min(by_count.values()) > 0.4
 
 
 PAGES = [(1, "http://a.com/x", "p" * 200), (2, "http://b.com/y", "p" * 200), (3, None, None), (4, "http://a.com/x", "short"), (5, "http://a.com/x", "short"), (None, "http://c.com", "p" * 200), (7, "http://a.com/x", "é" * 60), (7, "http://a.com/x", "é" * 60)]
