@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-CACHE_WORDS = 300_000
-
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash; forgets all when full, so that its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def words(text: str | None, lower: bool = True) -> list[bytes]:
-    """UTF-8 words ``[^\\x20\\x09-\\x0D]+``, with A-Z lower-cased. Bytes split on exactly these six characters."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return (raw.lower() if lower else raw).split()
-
-
-def word_hashes(found: list[bytes], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, found), dtype=np.uint64, count=len(found))
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts have at most ``most`` bytes together, or of one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts in a row, A-Z lower-cased, and where each text's begin and the last one's end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = split.flatten().dictionary_encode()
+    known = found.dictionary.cast(pa.binary()).to_pylist()
+    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+    place = found.indices.to_numpy(zero_copy_only=False)
+    borders = np.cumsum(np.concatenate([[0], pc.list_value_length(split).to_numpy(zero_copy_only=False)]))
+    if b"" in known:  # what stands before a leading blank and after a trailing one
+        keep = place != known.index(b"")
+        borders, place = np.concatenate([[0], np.cumsum(keep)])[borders], place[keep]
+    return of_word[place], borders
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarine.llm._text import WordHashes, mix, word_hashes, words
+from tessarine.llm._text import hashed_words, mix, slices
 from tessarine.llm._work import join_counted, materialize
 
 BROADCAST_BYTES = 1 << 27
@@ -44,8 +44,7 @@ CONCENTRATION = 30.0
 _END = np.uint64(0x5BD1E9955BD1E995)
 _UNI, _BI = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x9B05688C2B3E6C1F)
 _KIND = np.uint64(1)
-_FLUSH = 1 << 21
-_SLICE = 512
+_SLICE = 12 << 20
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -53,8 +52,10 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def tokens(text: str | None, cache: WordHashes) -> np.ndarray:
-    return np.append(word_hashes(words(text), cache), _END)
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts in a row, each text's words and an end, and where each text begins."""
+    hashes, borders = hashed_words(texts)
+    return np.insert(hashes, borders[1:], _END), borders[:-1] + np.arange(len(texts))
 
 
 def unigram_keys(toks: np.ndarray) -> np.ndarray:
@@ -72,29 +73,30 @@ def contexts(toks: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
     return before
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of words and pairs, summed over some documents at a time."""
-    cache = WordHashes()
-    held: list[np.ndarray] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    size = 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            if held_out(doc_id):
-                continue
-            toks = tokens(text.as_py(), cache)
-            held += unigram_keys(toks), pair_keys(contexts(toks), toks)
-            size += 2 * len(toks)
-            if size >= _FLUSH:
-                yield from flush()
-                size = 0
-    yield from flush()
+def _count(segments: int):
+    """For mapInArrow over (doc_id, text): keys of words and pairs and how often they occur in some documents, a row for each segment of the keys."""
+
+    def packed(values: np.ndarray, borders: np.ndarray) -> pa.Array:
+        offsets = (borders * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            learnt = batch.filter(pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()], pa.bool_()))
+            for some in slices(learnt, "text", _SLICE):
+                toks, starts = tokens(some.column("text"))
+                keys, n = np.unique(np.concatenate([unigram_keys(toks), pair_keys(contexts(toks, starts), toks)]), return_counts=True)
+                segment = segments_of(keys, segments)
+                borders = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]])
+                yield pa.record_batch([pa.array(segment[borders[:-1]].astype(np.int32)), packed(keys, borders), packed(n.astype("<u4"), borders)], ["segment", "keys", "n"])
+
+    return count
+
+
+def segments_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each key: its leading bits."""
+    bits = segments.bit_length() - 1
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -118,12 +120,11 @@ class CountFilter:
     def __init__(self, bits: np.ndarray, sizes: np.ndarray) -> None:
         self.bits, self.sizes = bits, sizes.astype(np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.shift = np.uint64(64 - (len(sizes).bit_length() - 1))
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Each key's count rounded down to a power of two, 0 for what is not there; more with probability MISTAKEN."""
         found = np.zeros(len(keys), np.int64)
-        segment = (keys >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), np.int64)
+        segment = segments_of(keys, len(self.sizes))
         alive = np.flatnonzero(self.sizes[segment] > 0)
         step = 0
         while len(alive):
@@ -156,8 +157,7 @@ def segment_bits(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _build(segments: int):
-    """For mapInArrow over (key, n) dealt by segment: the bits of each segment, and the words with their counts."""
-    shift = np.uint64(64 - (segments.bit_length() - 1))
+    """For mapInArrow over (segment, keys, n) dealt by segment: the bits of each segment, and the words with their counts."""
     names = ["segment", "bits", "key", "n"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +175,14 @@ def _build(segments: int):
 
         size = 0
         for batch in batches:
-            fresh.append((batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("n").to_numpy(zero_copy_only=False)))
-            size += len(batch)
+            own = [np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("n", "<u4"))]
+            fresh.append((own[0], own[1].astype(np.int64)))
+            size += len(own[0])
             if size > max(1 << 21, len(keys)):
                 compact()
                 size = 0
         compact()
-        segment = (keys >> shift).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
+        segment = segments_of(keys, segments)
         borders = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]])
         for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
             if a < b:
@@ -201,8 +202,8 @@ def _segment(segments: int) -> F.Column:
 
 
 def count_ngrams(counted: DataFrame, segments: int) -> DataFrame:
-    """(segment, bits) of the filter, and (key, n) of words, of partial counts (key, n): one shuffle, written to the shared folder."""
-    dealt = counted.repartitionById(segments, _segment(segments))
+    """(segment, bits) of the filter, and (key, n) of words, of partial counts: one shuffle, written to the shared folder."""
+    dealt = counted.repartitionById(segments, F.col("segment"))
     return materialize(dealt.mapInArrow(_build(segments), "segment int, bits binary, key long, n long"), "ngrams")
 
 
@@ -252,16 +253,13 @@ def _score(shared, hot, smoothing: Smoothing, base_over: float):
     pairs to look up, and all other tokens are looked up."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, cache = shared.value if shared else None, WordHashes()
+        filter_ = shared.value if shared else None
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, len(batch), _SLICE):
-                some = batch.slice(at, _SLICE)
+            for some in slices(batch, "text", _SLICE):
                 ids = some.column("doc_id").to_pylist()
-                own = [tokens(t.as_py(), cache) for t in some.column("text")]
-                ends = np.cumsum([len(t) for t in own])
-                starts = ends - [len(t) for t in own]
-                toks = np.concatenate(own)
+                toks, starts = tokens(some.column("text"))
+                ends = np.append(starts[1:], len(toks))
                 types, back = np.unique(toks, return_inverse=True)
                 keys = unigram_keys(types)
                 is_hot, hot_n = _hot_counts(hot.value, keys)
@@ -272,7 +270,8 @@ def _score(shared, hot, smoothing: Smoothing, base_over: float):
                     high = np.where(is_hot, hot_n, at_most(low))
                     before = np.concatenate([[0], back[:-1]])
                     before[starts] = np.searchsorted(types, _END)
-                    pair = filter_.counts(pair_keys(types[before], toks))
+                    pairs, of_pair = np.unique(pair_keys(types[before], toks), return_inverse=True)
+                    pair = filter_.counts(pairs)[of_pair]
                     model = {"score": pa.array(np.add.reduceat(smoothing.log_p(pair, high[before], low[back]), starts))}
                     rare = np.flatnonzero((~is_hot & (low > 0))[back])
                 else:
@@ -380,7 +379,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     taught = source.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0)
     segments = n_segments(taught.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
-    counted = count_ngrams(taught.mapInArrow(_count, "key long, n long"), segments)
+    counted = count_ngrams(taught.mapInArrow(_count(segments), "segment int, keys binary, n binary"), segments)
     kept, singles = counted.filter("bits is not null").select("segment", "bits"), counted.filter("key is not null").select("key", "n")
     n_train, n_types = singles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     floor = max(1, -(-n_train // HOT_TOKENS))

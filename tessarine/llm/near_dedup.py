@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarine.llm._text import WordHashes, mix, ngrams, word_hashes, words
+from tessarine.llm._text import hashed_words, mix, ngrams, slices
 from tessarine.llm._work import join_counted, materialize
 
 SHINGLE = 5
@@ -36,6 +36,7 @@ SKETCH_BITS, SKETCH_FAR = 2048, 331
 """Before full sets are compared across components, signatures of 2048 bits must differ in at most 331 places. At a
 similarity of 0.75 they differ in 256, and in more than 331 with a probability of 6e-7."""
 BROADCAST_IDS = 2_000_000
+SLICE_BYTES = 16 << 20
 
 _K = CHUNKS * WIDTH
 _rng = np.random.default_rng(20_011)
@@ -58,16 +59,16 @@ def _class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63
 
 
-def _shingle_sets(batch: pa.RecordBatch, cache: WordHashes) -> Iterator[np.ndarray]:
-    for text in batch.column("text"):
-        yield np.unique(ngrams(word_hashes(words(text.as_py()), cache), SHINGLE))
+def _shingle_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for some in slices(batch, "text", SLICE_BYTES):
+        hashes, borders = hashed_words(some.column("text"))
+        yield from (np.unique(ngrams(hashes[a:b], SHINGLE)) for a, b in zip(borders[:-1], borders[1:], strict=True))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
     for batch in batches:
         sizes, classes, signatures = [], [], []
-        for found in _shingle_sets(batch, cache):
+        for found in _shingle_sets(batch):
             sizes.append(len(found))
             classes.append(_class_of(found) if len(found) else None)
             signatures.append(_signature(found).tobytes() if len(found) else None)
@@ -78,10 +79,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
     for batch in batches:
         for at in range(0, len(batch), 512):
-            found = list(_shingle_sets(batch.slice(at, 512), cache))
+            found = list(_shingle_sets(batch.slice(at, 512)))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             yield pa.record_batch(

@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessarine.llm._text import slices
 from tessarine.llm._work import materialize
 
 LENGTH = 2048
@@ -115,16 +116,6 @@ def _word_ids(path: str) -> WordIds:
     return _known[path]
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows whose texts have at most ``most`` bytes together, or of one row."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < len(batch):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def cut_documents(path: str, length: int = LENGTH):
     """A function for mapInArrow: (doc_id, text) -> a row for each piece of at most ``length`` ids, numbered through."""
 
@@ -133,7 +124,7 @@ def cut_documents(path: str, length: int = LENGTH):
         end = np.uint32(END_ID).astype("<u4").tobytes()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for some in _slices(batch, "text"):
+            for some in slices(batch, "text", SLICE_BYTES):
                 ids, pieces, starts, lengths, sums = [], [], [], [], []
                 flat, borders = known.ids(some.column("text"))
                 for doc_id, a, b in zip(some.column("doc_id").to_pylist(), borders[:-1], borders[1:], strict=True):
