@@ -27,6 +27,7 @@ BLOCK_LINES = 512
 LEAST_BYTES = 100
 LEVEL = 3
 PART_BYTES = 256 << 20
+DATE = "2000-01-01T00:00:00Z"
 
 _PARTS = "first_key string, first_id long, path string, captures long"
 _FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -39,18 +40,31 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(bare, r"^[^/?#]*", ""))
 
 
-def _record(page: dict) -> bytes:
-    headers = [("WARC-Type", page["record_type"]), ("WARC-Record-ID", f"<urn:page:{page['page_id']}>"), ("WARC-Target-URI", page["url"] or f"urn:page:{page['page_id']}"),
-               ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{page['payload_digest']}"), ("WARC-Payload-Length", page["payload_bytes"])]
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+def record_id(page_id: int | None, digest: str, key: str, nth: int = 0) -> str:
+    """A name for the nth of the captures that share page, payload and URL key; the same on every run."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {nth} {key}')}>"
+
+
+def _warc(headers: list[tuple[str, object]], body: bytes) -> bytes:
+    head = "".join(f"{k}: {str(v).translate({10: '%0A', 13: '%0D'})}\r\n" for k, v in [*headers, ("Content-Length", len(body))])
+    return b"WARC/1.1\r\n" + head.encode("utf-8", "replace") + b"\r\n" + body + b"\r\n\r\n"
+
+
+def _info(name: str) -> bytes:
+    headers = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, "", name)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return _warc(headers, b"software: tessarine\r\nformat: WARC File Format 1.1\r\n")
+
+
+def _record(page: dict, nth: int) -> bytes:
+    page_id, digest = page["page_id"], page["payload_digest"]
+    headers = [("WARC-Type", page["record_type"]), ("WARC-Record-ID", record_id(page_id, digest, page["key"], nth)), ("WARC-Target-URI", page["url"] or f"urn:page:{page_id}"),
+               ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Payload-Length", page["payload_bytes"]), ("Page-ID", page_id)]
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if page["record_type"] == "revisit":
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{page['refers_to']}>")]
-        body = http
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(page["refers_to"], digest, page["refers_key"])), ("Refers-To-Page-ID", page["refers_to"])]
     else:
-        body = http + (page["html"] or "").encode("utf-8", "replace")
-    headers += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(body))]
-    head = "".join(f"{k}: {str(v).translate({10: '%0A', 13: '%0D'})}\r\n" for k, v in headers)
-    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + body + b"\r\n\r\n"
+        body += (page["html"] or "").encode("utf-8", "replace")
+    return _warc([*headers, ("Content-Type", "application/http; msgtype=response")], body)
 
 
 def parse_record(raw: bytes) -> dict:
@@ -70,6 +84,7 @@ def _archive(uri: str):
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, lines, directory, captures, place = None, [], [], 0, 0
+        last, nth = None, 0
         store, base = fs.FileSystem.from_uri(uri)
         path = f"{base}/{uuid.uuid4().hex}"
         out = index = None
@@ -88,7 +103,10 @@ def _archive(uri: str):
                         store.create_dir(base, recursive=True)
                         out, index = store.open_output_stream(f"{path}.warc.gz", compression=None), store.open_output_stream(f"{path}.cdx.gz", compression=None)
                         first = (page["key"], page["order_id"])
-                    raw = _compress(_record(page))
+                        place = out.write(_compress(_info(f"{path.rpartition('/')[2]}.warc.gz")))
+                    this = page["key"], page["order_id"]
+                    last, nth = this, nth + 1 if this == last else 0
+                    raw = _compress(_record(page, nth))
                     out.write(raw)
                     lines.append([page["key"], page["order_id"], place, len(raw)])
                     place += len(raw)
@@ -156,12 +174,11 @@ def _lookup(uri: str, keep_payload: bool):
 
 def _described(record: dict, keep_payload: bool) -> dict:
     f, payload = record["fields"], record["payload"]
-    number = lambda urn: None if urn == "<urn:page:None>" else int(urn[10:-1])
-    digest, size = f["WARC-Payload-Digest"].partition(":")[2], int(f["WARC-Payload-Length"])
+    digest, size = f["WARC-Payload-Digest"].partition(":")[2], int(f["Payload-Length"])
     if f["WARC-Type"] == "response":
         digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
-    return {"page_id": number(f["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": digest, "record_type": f["WARC-Type"],
-            "refers_to": number(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else None, "payload": payload if keep_payload else None}
+    return {"page_id": None if f["Page-ID"] == "None" else int(f["Page-ID"]), "payload_bytes": size, "payload_digest": digest, "record_type": f["WARC-Type"],
+            "refers_to": int(f["Refers-To-Page-ID"]) if "Refers-To-Page-ID" in f else None, "payload": payload if keep_payload else None}
 
 
 def _ordered(pages: DataFrame) -> DataFrame:
@@ -179,9 +196,9 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
     raw = F.coalesce(F.col("html"), F.lit(""))
     seen = materialize(_ordered(pages).select("page_id", "key", "order_id", F.sha2(raw, 256).alias("payload_digest"), F.octet_length(raw).cast("long").alias("payload_bytes")), "digests")
     large = seen.filter(F.col("payload_bytes") >= LEAST_BYTES)
-    firsts = materialize(large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max(F.col("page_id").isNull()).alias("unnamed"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n_rows")).filter("refers_to < last or (refers_to is not null and unnamed)").select("payload_digest", "refers_to", "n_rows"), "firsts")
+    firsts = materialize(large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max(F.col("page_id").isNull()).alias("unnamed"), F.max("page_id").alias("last"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "key")))["key"].alias("refers_key"), F.count(F.lit(1)).alias("n_rows")).filter("refers_to < last or (refers_to is not null and unnamed)").select("payload_digest", "refers_to", "refers_key", "n_rows"), "firsts")
     named = join_counted(large.select("page_id", "payload_digest"), firsts, "payload_digest", seen.count()).filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    again = materialize(named.select(F.coalesce("page_id", F.lit(-(2**63))).alias("order_id"), F.col("payload_digest").alias("digest"), "refers_to").distinct(), "revisits")
+    again = materialize(named.select(F.coalesce("page_id", F.lit(-(2**63))).alias("order_id"), F.col("payload_digest").alias("digest"), "refers_to", "refers_key").distinct(), "revisits")
     source = _ordered(pages).withColumn("payload_digest", F.sha2(raw, 256)).withColumn("payload_bytes", F.octet_length(raw).cast("long"))
     joined = source.join(again, (source.order_id == again.order_id) & (source.payload_digest == again.digest), "left").drop(again.order_id).drop("digest")
     typed = joined.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
@@ -195,7 +212,8 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
 def read_archives(asked: DataFrame, parts: DataFrame, uri: str, keep_payload: bool = False) -> DataFrame:
     """The captures of ``asked`` (url, page_id), found through the index. Lookups without a capture give no row.
 
-    The driver holds one line per part file, at most one for each PART_BYTES of payload or for each core.
+    The driver holds one line per part file, at most one for each PART_BYTES of payload or for each core. Each part's
+    lookups are a task of their own, so that a task reads at most one part.
     """
     table = sorted((r.first_key, r.first_id, r.path) for r in parts.collect())
     if not table:
@@ -210,7 +228,7 @@ def read_archives(asked: DataFrame, parts: DataFrame, uri: str, keep_payload: bo
             yield pa.record_batch([batch.column("key"), batch.column("order_id"), pa.array(at, pa.int32()), pa.array([table[i][2] for i in at])], ["key", "order_id", "part", "path"])
 
     placed = keyed.mapInArrow(assign, "key string, order_id long, part int, path string")
-    dealt = placed.repartition("part").sortWithinPartitions("path", "key", "order_id")
+    dealt = placed.repartitionById(len(table), F.col("part")).sortWithinPartitions("path", "key", "order_id")
     return dealt.mapInArrow(_lookup(uri, keep_payload), _FOUND)
 
 
