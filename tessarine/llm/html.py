@@ -1,9 +1,10 @@
 """Main text of web pages by site style trees.
 
-The DOMs of one host are merged into a tree of presentation paths (block tags with their first class or id). Every node
-counts, over the host's pages, in how many ways it is presented (the tags below it) and how its contents spread: text
-that all pages repeat has high entropy and no importance, text of its own on each page has much. Branches of low
-importance are removed from each page, with those whose tags or names say that they are no article.
+The DOMs of one host are merged into a tree of presentation paths (block tags with their first class or id, known by a
+hash chain from the root, however deep). Every node counts, over the host's distinct pages, in how many ways it is
+presented (the tags below it) and how its contents spread: text that all pages repeat has high entropy and no importance,
+text of its own on each page has much. Branches of low importance are removed from each page, with those whose tags or
+names say that they are no article; where that would leave nothing of an article, the tree removes nothing from the page.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tessarine.llm._work import join_counted, materialize
 
-LEAST_PAGES = 4
-"""A host with fewer pages at a node says nothing about it."""
+LEAST_PAGES = 3
+"""A host with fewer distinct pages at a node says nothing about it: two pages that share a passage may both be articles."""
 LOW = 0.25
 """Branches of less composite importance go."""
 CONTENT_SHARE = 0.9
@@ -32,7 +33,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style noscript template textarea title svg math iframe object noframes noembed xmp canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object noframes noembed xmp canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_ARTICLE = frozenset("head nav header footer aside form menu dialog button select option datalist label fieldset search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -64,7 +65,9 @@ _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 @dataclass(slots=True)
 class Node:
     tag: str
-    path: str
+    path: int
+    """Hash of the labels from the root."""
+    label: str
     main: bool
     over: Node | None = None
     named: bool = False
@@ -124,7 +127,7 @@ def read_page(html: str) -> tuple[list[Block], list[Node]]:
     Names make no noise of html, body, main or an outer article, nor of what holds a main element, nor of what holds
     articles where the page has no article or main element elsewhere.
     """
-    root = Node("", "", False)
+    root = Node("", 0, "", False)
     stack, nodes, blocks, parts = [root], [], [], []
 
     def flush() -> None:
@@ -178,7 +181,7 @@ def read_page(html: str) -> tuple[list[Block], list[Node]]:
         label, named, hard, main = _named(attrs)
         is_main = main or tag == "main"
         named &= not is_main and tag not in NEVER_BY_NAME and not (tag == "article" and all(n.tag != "article" for n in stack))
-        node = Node(tag, f"{over.path}/{tag}{label}"[-512:], is_main or tag == "article" or over.main, over, named, hard or tag in NO_ARTICLE)
+        node = Node(tag, _hash(f"{over.path}/{tag}{label}"), label, is_main or tag == "article" or over.main, over, named, hard or tag in NO_ARTICLE)
         if is_main:
             for n in stack:
                 n.named = False
@@ -196,32 +199,21 @@ def read_page(html: str) -> tuple[list[Block], list[Node]]:
     return blocks, nodes
 
 
-def _joined(blocks: list[Block], low: frozenset[str] | set[str] = frozenset()) -> str:
+def _joined(blocks: list[Block], low: frozenset[int] | set[int] = frozenset()) -> str:
     within = any(b.node.main and not b.node.noise for b in blocks)
-    kept = []
-    for b in blocks:
-        if b.node.noise or within and not b.node.main:
-            continue
-        if low and any(p in low and (not within or "." in p.rpartition("/")[2]) for p in _branches(b.node.path)):
-            continue
-        kept.append(b.text)
-    return "\n\n".join(kept)
+    article = [b for b in blocks if not b.node.noise and (b.node.main or not within)]
+    kept = [b for b in article if not any(n.path in low for n in (b.node, *_around(b.node)))] if low else article
+    return "\n\n".join(b.text for b in kept or article)
 
 
-def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
+def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     """Article blocks of a page joined by blank lines. ``low``: paths of branches of low importance on its host.
 
-    Where a page has article or main elements, only they count, and of them only branches with a name can be low.
+    Where a page has article or main elements, only they count. Where all that is left lies in low branches, it stays.
     """
     return _joined(read_page(html or "")[0], low)
 
 
-def _branches(path: str) -> Iterator[str]:
-    while path:
-        yield path
-        path = path.rpartition("/")[0]
-
-
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - 2**63
 
@@ -235,7 +227,7 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {(n.path, 0, _hash(" ".join(n.below))) for n in nodes if not n.noise} | {(b.node.path, 1, _hash(b.text)) for b in blocks if not b.node.noise}
             texts.append(xxhash.xxh3_128_digest(_joined(blocks).encode("utf-8", "replace")))
             nodes_of.append([{"path": path, "kind": kind, "digest": digest} for path, kind, digest in sorted(own)])
-        kind = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("digest", pa.int64())]))
+        kind = pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("digest", pa.int64())]))
         yield pa.record_batch([batch.column("host"), pa.array(texts, pa.binary()), pa.array(nodes_of, kind)], ["host", "page", "nodes"])
 
 
@@ -250,7 +242,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     Presentation counts by the entropy of the node's styles, content by one minus the mean entropy of its texts, both
     with logarithms to the base of the node's pages; a node of one page has importance 1.
     """
-    told_by = pages.select(host_of().alias("host"), "html").mapInArrow(_tree, "host string, page binary, nodes array<struct<path:string,kind:int,digest:bigint>>")
+    told_by = pages.select(host_of().alias("host"), "html").mapInArrow(_tree, "host string, page binary, nodes array<struct<path:bigint,kind:int,digest:bigint>>")
     distinct = told_by.groupBy("host", "page").agg(F.min("nodes").alias("nodes"))
     each = distinct.select("host", F.inline("nodes"))
     counted = each.groupBy("host", "path", "kind", "digest").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import random
 
 import numpy as np
@@ -213,6 +214,12 @@ def test_lookup_of_absent_captures(spark):
     pages = spark.createDataFrame(PAGES[:2], "page_id long, url string, html string")
     uri = work_path(spark, "absent")
     parts = warc.write_archives(pages, uri)
+    assert warc.read_archives(pages, parts, uri).rdd.getNumPartitions() == parts.count() > 1
+    raw = [r.content for r in spark.read.format("binaryFile").load(uri + "/*.warc.gz").collect()]
+    records = [warc.parse_record(b"WARC/1.1" + r)["fields"] for x in raw for r in gzip.decompress(x).split(b"WARC/1.1")[1:]]
+    assert len({f["WARC-Record-ID"] for f in records}) == len(records) == parts.count() + 2 and all(f["WARC-Record-ID"].startswith("<urn:uuid:") for f in records)
+    by = {f["WARC-Type"]: f for f in records}
+    assert by["revisit"]["WARC-Refers-To"] == by["response"]["WARC-Record-ID"] and by["warcinfo"]["WARC-Filename"].endswith(".warc.gz")
     asked = spark.createDataFrame([(1, "http://a.com/x"), (9, "http://a.com/x"), (1, "http://zzz.com/")], "page_id long, url string")
     assert [(r.page_id, bytes(r.payload)) for r in warc.read_archives(asked, parts, uri, keep_payload=True).collect()] == [(1, b"p" * 200)]
 
@@ -279,6 +286,25 @@ def test_copies_of_a_page_are_no_evidence(spark, around):
     assert rows == {i: "One story" for i in range(8)} | {10 + i: f"Story {i % 6}" for i in range(24)}
 
 
+def test_deep_pages_formulas_and_repeated_articles(spark):
+    """Paths of any depth are told apart, formulas stay, and pages that share all their text keep it."""
+    deep = "<div>" * 400 + "<div class='{}'><p>{}</p></div>" + "</div>" * 400
+    pages = [(i, f"http://deep/{i}", "<body>" + deep.format("menu-of-all", "Same words") + deep.format("own", f"Story {i}") + "</body>") for i in range(6)]
+    pages += [(10 + i, f"http://same/{i}", f"<body><article><p>All pages tell this</p></article><footer>{i}</footer></body>") for i in range(6)]
+    pages += [(20 + i, f"http://boiler/{i}", f"<body><article><div><p>Share this story</p></div><section><p>Let <math><mi>x</mi></math> be {i}</p></section></article></body>") for i in range(6)]
+    rows = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert rows == {i: f"Story {i}" for i in range(6)} | {10 + i: "All pages tell this" for i in range(6)} | {20 + i: f"Let x be {i}" for i in range(6)}
+
+
+def test_long_pages_and_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>w{i} {'x' * 50}</p>" for i in range(20_000)) + "</article>"
+    pages = spark.createDataFrame([(1, "http://h/1", long, "a", 5), (1, "http://h/1", long, "a", 5)], "page_id long, url string, html string, text string, low int")
+    rows = html.extract_text(pages).collect()
+    assert [r.n_chars for r in rows] == [len(rows[0].text)] * 2 and rows[0].text.count("\n\n") == 19_999
+    kept = warc.archive_round_trip(pages.withColumnRenamed("low", "digest").withColumnRenamed("text", "key")).collect()
+    assert [(r.payload_bytes, r.record_type) for r in kept] == [(len(long), "response")] * 2
+
+
 def test_top_k(spark):
     rows = [(0, [1.0, 0.5], 1), (1, [0.5, 0.5], 1), (2, [0.5, 0.5], 1), (50, [float("nan"), 1.0], 1), (100, [], 1), (3, None, 1), (4, [None, 1.0], 1), (5, [float("inf"), 0.0], 1), (None, [1.0, 1.0], 1), (6, [9.0], 1)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
