@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ EMBED_PRICES = {"large": 0.10, "small": 0.02}
 BACKOFF_BASE, BACKOFF_FACTOR, BACKOFF_CAP, BACKOFF_EXPONENT = 60, 4, 3600, 16
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: a lambda variable isn't repeated where the optimiser inlines columns."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_query(text: Column) -> Column:
     """struct(raw_query, quoted_terms, identifiers, clean_query). Word borders are ASCII."""
     found = F.regexp_extract_all(text, F.lit(f"({QUOTED})"), F.lit(1))
@@ -50,8 +57,11 @@ def embedding_text(crumb: Column, docstring: Column, content: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines without their breaks; no line after a last break, none in an empty text."""
-    lines = F.split(text, LINE_BREAK, -1)
-    return F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+
+    def cut(lines: Column) -> Column:
+        return F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+
+    return bind(F.split(text, LINE_BREAK, -1), cut)
 
 
 def content_preview(text: Column, chars: int = 200) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessarine.functions.expr import content_hash, split_lines
+from tessarine.functions.expr import bind, content_hash, split_lines
 from tessarine.functions.predicates import infer_class_purpose, infer_file_purpose
 
 REACH = 5
@@ -23,43 +23,68 @@ DEFINITIONS = {
 CLASS_KINDS = ("class", "type", "interface")
 
 
-def line_spans(lines: Column, size: int = 50, overlap: int = 5) -> Column:
-    """array<struct<start,end>> of 1-based inclusive windows of at most about ``size`` lines.
+def blank(line: Column) -> Column:
+    return F.regexp_replace(line, r"\s", "") == ""
 
-    A cut moves to just after the blank line nearest to it within five lines, the earlier one on a tie. The next window
-    starts ``overlap`` lines before the end. A text without lines is one window 1-1.
-    """
-    n = F.size(lines)
-    none = F.array().cast("array<struct<start:int,end:int>>")
+
+def blank_line_spans(blanks: Column, size: int = 50, overlap: int = 5) -> Column:
+    """``line_spans`` from an array that says of each line whether it is blank; it must be a column or lambda variable."""
+    n = F.size(blanks)
     most = F.greatest(F.ceil(n / max(1, size - REACH - overlap + 1)).cast("int") + 1, F.lit(1))
 
     def cut(start: Column) -> Column:
         want = F.least(start + size, n)
-        near = F.filter(F.sequence(F.greatest(start + 1, want - REACH), F.greatest(F.least(n, want + REACH) - 1, F.greatest(start + 1, want - REACH))), lambda i: (i < n) & (F.trim(F.regexp_replace(F.get(lines, i), r"\s", "")) == ""))
+        places = F.sequence(F.greatest(start + 1, want - REACH), F.greatest(F.least(n, want + REACH) - 1, start + 1, want - REACH))
+        near = F.filter(places, lambda i: (i < n) & F.get(blanks, i))
         best = F.array_min(F.transform(near, lambda i: F.struct(F.abs(i - want).alias("far"), i.alias("at"))))["at"]
         return F.when(want < n, F.coalesce(best + 1, want)).otherwise(want)
 
     def step(acc: Column, _: Column) -> Column:
-        ended = F.transform(F.array(cut(acc["at"])), lambda e: F.struct(
-            F.when(e >= n, n).otherwise(F.greatest(e - overlap, acc["at"] + 1)).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + 1).alias("start"), e.alias("end")))).alias("spans")))
-        return F.when(acc["at"] >= n, acc).otherwise(ended[0])
+        def ended(e: Column) -> Column:
+            span = F.struct((acc["at"] + 1).alias("start"), e.alias("end"))
+            at = F.when(e >= n, n).otherwise(F.greatest(e - overlap, acc["at"] + 1))
+            return F.struct(at.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    folded = F.aggregate(F.sequence(F.lit(1), most), start, step)["spans"]
+        return F.when(acc["at"] >= n, acc).otherwise(bind(cut(acc["at"]), ended))
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    folded = F.aggregate(F.sequence(F.lit(1), most), F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
     return F.when(n == 0, F.array(F.struct(F.lit(1).alias("start"), F.lit(1).alias("end")))).otherwise(folded)
 
 
+def line_spans(lines: Column, size: int = 50, overlap: int = 5) -> Column:
+    """array<struct<start,end>> of 1-based inclusive windows of at most about ``size`` lines.
+
+    A cut moves to just after the blank line nearest to it within five lines, the earlier one on a tie. The next window
+    starts ``overlap`` lines before the end. A text without lines is one window 1-1. The fold sees the places of blank
+    lines only, so its work grows with the lines and not with their text.
+    """
+    return bind(F.transform(lines, blank), lambda blanks: blank_line_spans(blanks, size, overlap))
+
+
+def window_texts(text: Column, size: int = 50, overlap: int = 5) -> Column:
+    """array<struct<start,end,text>> of a text's line windows; the text is split once."""
+
+    def cut(lines: Column) -> Column:
+        def of_span(span: Column) -> Column:
+            own = F.slice(lines, span["start"], span["end"] - span["start"] + 1)
+            return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.array_join(own, "\n").alias("text"))
+
+        return F.transform(line_spans(lines, size, overlap), of_span)
+
+    return bind(split_lines(F.coalesce(text, F.lit(""))), cut)
+
+
 def chunk_fixed(files: DataFrame, size: int = 50, overlap: int = 5) -> DataFrame:
     """A row for each line window of every file: path, start_line, end_line, content, chunk_type, breadcrumb."""
-    lined = files.withColumn("_lines", split_lines(F.coalesce("content", F.lit(""))))
-    spans = lined.withColumn("_spans", line_spans(F.col("_lines"), size, overlap))
-    each = spans.select(*files.columns, "_lines", F.explode("_spans").alias("_span"))
-    start, end = F.col("_span.start"), F.col("_span.end")
-    text = F.array_join(F.slice("_lines", start, end - start + 1), "\n")
     keep = [c for c in files.columns if c != "content"]
+    each = files.select(*keep, F.explode(window_texts(F.col("content"), size, overlap)).alias("_w"))
+    start, end = F.col("_w.start"), F.col("_w.end")
     crumb = F.concat(F.col("path"), F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
-    return each.select(*keep, start.cast("long").alias("start_line"), end.cast("long").alias("end_line"), text.alias("content"), F.lit("fixed_size").alias("chunk_type"), crumb.alias("breadcrumb"))
+    return each.select(
+        *keep, start.cast("long").alias("start_line"), end.cast("long").alias("end_line"), F.col("_w.text").alias("content"),
+        F.lit("fixed_size").alias("chunk_type"), crumb.alias("breadcrumb"),
+    )
 
 
 def chunk_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
@@ -89,9 +114,7 @@ def extract_definitions(files: DataFrame, rules: dict[str, str] | None = None) -
         )
         found = hit if found is None else found.unionByName(hit)
     totals = lines.groupBy("path").agg(F.max("line_no").alias("lines"))
-    after = Window.partitionBy("path").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct("line_no", "indent")).over(after)
-    ends = found.withColumn("later", later).withColumn("next", F.get(F.filter("later", lambda d: d["indent"] <= F.col("indent")), 0)["line_no"])
+    ends = _next_outside(found)
     marks = lines.filter(F.trim("line").startswith("@")).select("path", F.col("line_no").alias("mark"))
     run = marks.withColumn("island", F.col("mark") - F.row_number().over(Window.partitionBy("path").orderBy("mark")))
     islands = run.groupBy("path", "island").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
@@ -100,6 +123,28 @@ def extract_definitions(files: DataFrame, rules: dict[str, str] | None = None) -
     return above.select("path", "language", kind.alias("kind"), "name", F.coalesce("first", "line_no").alias("start_line"), F.coalesce(F.col("next") - 1, F.col("lines")).alias("end_line"))
 
 
+def _next_outside(found: DataFrame) -> DataFrame:
+    """``found`` with ``next``: the line of the next declaration of its file of the same or a lower indent.
+
+    A fold from the last declaration to the first over a stack of rising indents: what is indented deeper than the
+    declaration at hand can end none above it.
+    """
+    place = F.struct("line_no", "indent", "language", "kind", "name")
+    per_file = found.groupBy("path").agg(F.sort_array(F.collect_list(place), asc=False).alias("found"))
+    stack = F.array().cast("array<struct<line_no:bigint,indent:int>>")
+    start = F.struct(stack.alias("open"), F.array().cast("array<bigint>").alias("next"))
+
+    def step(acc: Column, d: Column) -> Column:
+        def at(still: Column) -> Column:
+            own = F.array(F.struct(d["line_no"].alias("line_no"), d["indent"].alias("indent")))
+            return F.struct(F.concat(own, still).alias("open"), F.concat(acc["next"], F.array(F.get(still, 0)["line_no"])).alias("next"))
+
+        return bind(F.filter(acc["open"], lambda o: o["indent"] <= d["indent"]), at)
+
+    folded = per_file.select("path", "found", F.aggregate("found", start, step)["next"].alias("next"))
+    return folded.select("path", F.explode(F.arrays_zip("found", "next")).alias("d")).select("path", "d.found.*", "d.next")
+
+
 def doc_comment_above(files: DataFrame, declarations: DataFrame) -> DataFrame:
     """``declarations`` (path, start_line) with ``comment``: the run of // or # or * lines that ends on the line before."""
     lines = source_lines(files).withColumn("bare", F.trim("line"))
@@ -113,11 +158,27 @@ def doc_comment_above(files: DataFrame, declarations: DataFrame) -> DataFrame:
 
 
 def ancestors(spans: DataFrame) -> DataFrame:
-    """``spans`` (path, name, start_line, end_line) with ``ancestor_chain``: enclosing definitions, outermost first."""
-    outer = spans.select(F.col("path").alias("op"), F.col("name").alias("on"), F.col("start_line").alias("os"), F.col("end_line").alias("oe"))
-    inside = (F.col("path") == F.col("op")) & (F.col("os") <= F.col("start_line")) & (F.col("oe") >= F.col("end_line")) & ((F.col("os") < F.col("start_line")) | (F.col("oe") > F.col("end_line")))
-    met = spans.join(outer, inside, "left").groupBy("path", "name", "start_line", "end_line").agg(F.sort_array(F.collect_list(F.when(F.col("on").isNotNull(), F.struct("os", (-F.col("oe")).alias("ne"), "on")))).alias("over"))
-    return met.select("path", "name", "start_line", "end_line", F.col("over.on").alias("ancestor_chain"))
+    """``spans`` (path, name, start_line, end_line) with ``ancestor_chain``: enclosing definitions, outermost first.
+
+    A fold over a file's spans in order of their starts; it holds those that are still open.
+    """
+    place = F.struct("start_line", (-F.col("end_line")).alias("ne"), "name", "end_line")
+    per_file = spans.groupBy("path").agg(F.sort_array(F.collect_list(place)).alias("spans"))
+    opened = F.array().cast("array<struct<start_line:bigint,end_line:bigint,name:string>>")
+    start = F.struct(opened.alias("open"), F.array().cast("array<array<string>>").alias("chains"))
+
+    def step(acc: Column, d: Column) -> Column:
+        def at(still: Column) -> Column:
+            over = F.filter(still, lambda o: (o["end_line"] >= d["end_line"]) & ((o["start_line"] < d["start_line"]) | (o["end_line"] > d["end_line"])))
+            own = F.array(F.struct(d["start_line"].alias("start_line"), d["end_line"].alias("end_line"), d["name"].alias("name")))
+            chains = F.concat(acc["chains"], F.array(F.transform(over, lambda o: o["name"])))
+            return F.struct(F.concat(still, own).alias("open"), chains.alias("chains"))
+
+        return bind(F.filter(acc["open"], lambda o: o["end_line"] >= d["start_line"]), at)
+
+    folded = per_file.select("path", "spans", F.aggregate("spans", start, step)["chains"].alias("chains"))
+    each = folded.select("path", F.explode(F.arrays_zip("spans", "chains")).alias("d"))
+    return each.select("path", "d.spans.name", "d.spans.start_line", "d.spans.end_line", F.col("d.chains").alias("ancestor_chain"))
 
 
 def fallback_chunks(files: DataFrame, definition_chunks: DataFrame, size: int = 50, overlap: int = 5) -> DataFrame:
@@ -188,6 +249,28 @@ def parse_guard(parsed: DataFrame, most_errors: float = 0.5) -> DataFrame:
     return g.select("repository", "files", "errors", why.alias("refusal"))
 
 
+#: The most an archive may hold once expanded, a file's most bytes, and the most files and chunks of a repository.
+CAPS = {"expanded_bytes": 500_000_000, "file_bytes": 1_000_000, "files": 20_000, "chunks": 100_000}
+
+
+def skip_counts(files: DataFrame) -> DataFrame:
+    """(repository, reason, files): how many files of (repository, reason) are left out for each reason; no paths."""
+    return files.filter(F.col("reason") != "indexable").groupBy("repository", "reason").agg(F.count(F.lit(1)).alias("files"))
+
+
+def apply_caps(files: DataFrame, chunks: DataFrame | None = None, caps: dict[str, int] | None = None) -> DataFrame:
+    """(repository, refusal): the first cap that a repository exceeds, null for none.
+
+    ``files``: repository, bytes; ``chunks``: repository. ``caps`` overrides some of CAPS.
+    """
+    most = CAPS | (caps or {})
+    g = files.groupBy("repository").agg(F.sum("bytes").alias("expanded_bytes"), F.max("bytes").alias("file_bytes"), F.count(F.lit(1)).alias("files"))
+    if chunks is not None:
+        g = g.join(chunks.groupBy("repository").agg(F.count(F.lit(1)).alias("chunks")), "repository", "left")
+    over = [F.when(F.col(c) > most[c], F.lit(c)) for c in CAPS if c in g.columns]
+    return g.select("repository", F.coalesce(*over).alias("refusal"))
+
+
 def distinct_content(chunks: DataFrame) -> DataFrame:
     """The first chunk (by path, start_line) of each content hash."""
     order = Window.partitionBy("content_hash").orderBy("path", "start_line")

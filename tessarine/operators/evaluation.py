@@ -122,11 +122,14 @@ def chained_rule(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def target_overlap(questions: DataFrame, decision_sets: tuple[str, ...]) -> DataFrame:
-    """(a, b): pairs of questions of one file with the same answer, one of them in a decision set."""
-    q = questions.select("id", "set", "path", "symbol")
-    o = q.toDF("oid", "oset", "path", "osymbol")
+    """(a, b): pairs of questions of one file with the same answer, one of them in a decision set.
+
+    Symbols that match end in the same name, so only questions of one file and last name meet.
+    """
+    q = questions.select("id", "set", "path", "symbol", F.substring_index("symbol", ".", -1).alias("last"))
+    o = q.toDF("oid", "oset", "path", "osymbol", "last")
     same = symbol_matches(F.col("symbol"), F.col("osymbol")) | symbol_matches(F.col("osymbol"), F.col("symbol"))
-    j = q.join(o, "path").filter((F.col("id") < F.col("oid")) & F.coalesce(same, F.lit(False)) & (F.col("set").isin(*decision_sets) | F.col("oset").isin(*decision_sets)))
+    j = q.join(o, ["path", "last"]).filter((F.col("id") < F.col("oid")) & F.coalesce(same, F.lit(False)) & (F.col("set").isin(*decision_sets) | F.col("oset").isin(*decision_sets)))
     return j.select(F.col("id").alias("a"), F.col("oid").alias("b"))
 
 
@@ -135,11 +138,32 @@ def targets_by_set(questions: DataFrame) -> DataFrame:
 
 
 def nearest_rank_percentile(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """The element at position round-half-even(q * (n - 1)) of each group's sorted values."""
+    """(by..., value): the element at position round-half-even(q * (n - 1)) of each group's sorted values.
+
+    Equal values are counted before they are shuffled and sorted.
+    """
+    counted = df.groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("_rows"))
     w = Window.partitionBy(*by)
-    at = F.row_number().over(w.orderBy(value))
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn("_at", at).withColumn("_n", n).filter(F.col("_at") == F.bround(q * (F.col("_n") - 1)) + 1).select(*by, F.col(value).alias("value"))
+    upto, n = F.sum("_rows").over(w.orderBy("value")), F.sum("_rows").over(w)
+    return counted.withColumn("_upto", upto).withColumn("_n", n).filter(F.col("_upto") >= F.bround(q * (F.col("_n") - 1)) + 1).groupBy(*by).agg(F.min("value").alias("value"))
+
+
+def census_counts(files: DataFrame, *by: str) -> DataFrame:
+    """Files, characters and lines of (content) for each group."""
+    lines = F.size(F.split("content", "\n"))
+    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).alias("chars"), F.sum(lines).alias("lines"))
+
+
+def size_histogram(chunks: DataFrame, *by: str, over: tuple[int, ...] = (2000, 5000, 8000)) -> DataFrame:
+    """For each group, how many chunks have more than so many characters, and the characters of the largest."""
+    chars = F.length("content")
+    return chunks.groupBy(*by).agg(*(F.count_if(chars > n).alias(f"over_{n}") for n in over), F.max(chars).cast("long").alias("largest"))
+
+
+def largest_chunks(chunks: DataFrame, n: int = 5) -> DataFrame:
+    """(path, start_line, chars) of the n longest chunks."""
+    sized = chunks.select("path", "start_line", F.length("content").cast("long").alias("chars"))
+    return sized.orderBy(F.desc("chars"), "path", "start_line").limit(n)
 
 
 def identical_content(chunks: DataFrame) -> DataFrame:
@@ -171,11 +195,14 @@ def line_coverage(lines: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def nested_spans(spans: DataFrame) -> DataFrame:
-    """(path, nested): spans strictly inside another of their file."""
-    o = spans.select("path", F.col("start_line").alias("os"), F.col("end_line").alias("oe"))
-    inside = (F.col("os") <= F.col("start_line")) & (F.col("oe") >= F.col("end_line")) & ((F.col("os") < F.col("start_line")) | (F.col("oe") > F.col("end_line")))
-    hit = spans.join(o, "path").filter(inside).select("path", "name", "start_line", "end_line").distinct()
-    return hit.groupBy("path").agg(F.count(F.lit(1)).alias("nested"))
+    """(path, nested): spans strictly inside another of their file.
+
+    In order of rising starts and falling ends, a span is inside another when one before it ends no earlier.
+    """
+    places = spans.groupBy("path", "start_line", "end_line").agg(F.count_distinct("name").alias("names"))
+    before = Window.partitionBy("path").orderBy("start_line", F.desc("end_line")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = places.withColumn("_reach", F.max("end_line").over(before)).filter(F.col("_reach") >= F.col("end_line"))
+    return inside.groupBy("path").agg(F.sum("names").alias("nested"))
 
 
 def class_method_coverage(lines: DataFrame, classes: DataFrame, methods: DataFrame, least: float = 0.8) -> DataFrame:
@@ -198,11 +225,33 @@ def breadcrumb_collisions(chunks: DataFrame) -> DataFrame:
     return g.groupBy("path").agg(F.sum(F.col("n") - 1).alias("extra"))
 
 
+BUCKET_DIGITS = 3
+"""Hex digits of an inner key's digest that name its bucket: 4096 buckets a group."""
+
+
 def multiset_digest(hashed: DataFrame, group: str, inner: str, hash_col: str = "row_hash") -> DataFrame:
-    """SHA-256 per ``group`` of the sorted multiset of row hashes, in two levels so that no array holds a whole group's rows."""
+    """SHA-256 per ``group`` of the sorted multiset of row hashes, in three levels.
+
+    Rows of one inner key, then inner keys of one bucket, then a group's buckets: no array holds more than one inner
+    key's rows or 1/4096 of a group's inner keys, and buckets of one group are digested by many tasks.
+    """
     text = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
-    first = hashed.groupBy(group, inner).agg(text(hash_col).alias("part"))
-    return first.groupBy(group).agg(text(F.concat_ws(" ", inner, "part")).alias("digest"))
+    inner_key = F.col(inner).cast("string")
+    first = hashed.groupBy(group, inner_key.alias("_inner")).agg(text(hash_col).alias("_part"))
+    bucket = F.substring(F.sha2("_inner", 256), 1, BUCKET_DIGITS).alias("_bucket")
+    second = first.groupBy(group, bucket).agg(text(F.concat_ws(" ", "_inner", "_part")).alias("_part"))
+    return second.groupBy(group).agg(text(F.concat_ws(" ", "_bucket", "_part")).alias("digest"))
+
+
+def tree_digest(files: DataFrame, group: str = "repository") -> DataFrame:
+    """The digest of each group's files (path, content)."""
+    return multiset_digest(files.withColumn("row_hash", F.sha2("content", 256)), group, "path")
+
+
+def stored_vectors_digest(vectors: DataFrame, group: str, id_: str, embedding: str = "embedding", places: int = 6) -> DataFrame:
+    """The digest of each group's stored vectors by id, each component rounded down to so many decimal places."""
+    whole = F.transform(embedding, lambda x: F.floor(x.cast("double") * 10**places).cast("string"))
+    return multiset_digest(vectors.withColumn("row_hash", F.sha2(F.array_join(whole, ","), 256)), group, id_)
 
 
 def verify_provenance(stored: DataFrame, again: DataFrame) -> DataFrame:

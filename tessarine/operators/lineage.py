@@ -10,19 +10,17 @@ TENANT_BUCKETS = 64
 
 
 def tenant_bucket(org: Column) -> Column:
-    """The partition column of a tenant; a literal tenant gives a literal bucket, which prunes partitions."""
-    return F.pmod(F.xxhash64(org), F.lit(TENANT_BUCKETS)).cast("int")
+    """The partition column of a tenant, the same for ids of any type; a literal tenant gives a literal bucket, which prunes partitions."""
+    return F.pmod(F.xxhash64(org.cast("string")), F.lit(TENANT_BUCKETS)).cast("int")
 
 
 def tenant_scope(df: DataFrame, organization: int | str, column: str = "organization_id") -> DataFrame:
     """Rows of one organization. A null or blank tenant is refused."""
     if organization is None or not str(organization).strip():
         raise ValueError("a tenant must be named")
-    out = df.filter(F.col(column) == organization)
-    if "org_bucket" in df.columns:
-        literal = df.sparkSession.range(1).select(tenant_bucket(F.lit(organization))).first()[0]
-        out = out.filter(F.col("org_bucket") == literal)
-    return out
+    own = F.lit(str(organization)).cast(df.schema[column].dataType)
+    out = df.filter(F.col(column) == own)
+    return out.filter(F.col("org_bucket") == tenant_bucket(own)) if "org_bucket" in df.columns else out
 
 
 def scope_via_chain(df: DataFrame, *steps: tuple[DataFrame, str, str]) -> DataFrame:
@@ -54,6 +52,17 @@ def query_results_with_feedback(retrievals: DataFrame, feedback: DataFrame) -> D
     return j.withColumn("feedback_type", F.coalesce("feedback_type", F.lit("no_feedback")))
 
 
+def feedback_lineage(feedback: DataFrame, retrievals: DataFrame, chunks: DataFrame, runs: DataFrame, repositories: DataFrame, projects: DataFrame, organizations: DataFrame) -> DataFrame:
+    """Every feedback with the chunk it judged and all that holds it, up to the organization; a broken chain drops its row.
+
+    Keys are named alike on both sides: retrieval_id, chunk_id, run_id, repository_id, project_id, organization_id.
+    """
+    out = feedback.join(retrievals.select("retrieval_id", "chunk_id"), "retrieval_id").join(chunks.select("chunk_id", "run_id"), "chunk_id")
+    for over, key in ((runs, "run_id"), (repositories, "repository_id"), (projects, "project_id"), (organizations, "organization_id")):
+        out = out.join(over, key)
+    return out
+
+
 def latest_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -121,6 +130,11 @@ def installation_of_job(jobs: DataFrame, installations: DataFrame) -> DataFrame:
     return j.withColumn("verdict", verdict)
 
 
+def list_installations(installations: DataFrame, organization: int | str) -> DataFrame:
+    """One organization's installations, oldest first."""
+    return tenant_scope(installations, organization).orderBy("created_at", "installation_id")
+
+
 def resolve_user(logins: DataFrame, users: DataFrame) -> DataFrame:
     """(login_id, user_id): by identity or by lower-cased email, identity first."""
     u = users.select("user_id", F.col("identity").alias("ui"), F.lower("email").alias("ue"))
@@ -145,6 +159,11 @@ def chunk_inventory(chunks: DataFrame, *by: str) -> DataFrame:
     return chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def rows_per_model(chunks: DataFrame) -> DataFrame:
+    """Chunks of each repository by embedding model; chunks without a vector count under a null model."""
+    return chunk_inventory(chunks, "repository_id", "embedding_model")
+
+
 def timestamp_completeness(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c).isNotNull()).alias(f"with_{c}") for c in columns))
 

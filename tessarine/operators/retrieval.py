@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessarine.functions.expr import contains_any, content_preview, cosine_similarity, count_tokens, query_hash
+from tessarine.functions.expr import contains_any, content_preview, cosine_similarity, count_tokens, parse_query, query_hash
 from tessarine.functions.predicates import noise_path
 
 #: Words that no posting holds, and the neutral weights but for noise.
@@ -18,6 +18,8 @@ BOOSTS = {
     "path_boost": 1.0, "breadcrumb_match_boost": 1.0, "quoted_match_boost": 1.0, "identifier_match_boost": 1.0, "noise_penalty": 0.3,
 }
 SAMPLE_ROWS = 100_000
+BROADCAST_ROWS = 200_000
+SALTS = 16
 CANDIDATES = 4
 RRF_K, LEG_LIMIT, CACHE_LEAST, CACHE_TTL = 60, 50, 0.95, 3600
 NO_ANSWER = "I don't have enough information to answer that question. The query didn't match any code in the repository."
@@ -28,11 +30,21 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
 
 
-def build_postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(chunk_id, field, term, positions) of content and breadcrumb; positions count all words, stop words are dropped."""
+def counted_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast where it has at most ``most`` rows, by count; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def build_postings(chunks: DataFrame, key: str = "chunk_id", wanted: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, field, term, positions) of content and breadcrumb; positions count all words, stop words are dropped.
+
+    With ``wanted`` (term, distinct), other terms are dropped before anything is shuffled.
+    """
     fields = F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("words")) for f in ("content", "breadcrumb")))
     each = chunks.select(key, F.explode(fields).alias("f")).select(key, "f.field", F.posexplode("f.words").alias("at", "term"))
     kept = each.filter(~F.col("term").isin(*STOP_WORDS))
+    if wanted is not None:
+        kept = kept.join(counted_small(wanted), "term", "left_semi")
     return kept.groupBy(key, "field", "term").agg(F.sort_array(F.collect_list((F.col("at") + 1).cast("long"))).alias("positions"))
 
 
@@ -44,8 +56,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def keyword_match(postings: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query_id, chunk_id, field, hits) where a field holds all of a query's terms; hits are (position, term)."""
-    asked = query_terms(queries)
-    met = postings.join(asked, "term")
+    met = postings.join(counted_small(query_terms(queries)), "term")
     g = met.groupBy("query_id", key, "field", "n_terms").agg(F.count(F.lit(1)).alias("found"), F.collect_list(F.struct("term", "positions")).alias("own"))
     hits = F.sort_array(F.flatten(F.transform("own", lambda o: F.transform(o["positions"], lambda p: F.struct(p.alias("at"), o["term"].alias("term"))))))
     return g.filter("found = n_terms").select("query_id", key, "field", "n_terms", hits.alias("hits"))
@@ -70,8 +81,13 @@ def cover_density(hits: Column, n_terms: Column) -> Column:
 
 
 def keyword_leg(chunks: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT, key: str = "chunk_id", postings: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the best chunks of each query, by the better of both fields, ties by id."""
-    matched = keyword_match(build_postings(chunks, key) if postings is None else postings, queries, key)
+    """(query_id, chunk_id, score, rank): the best chunks of each query, by the better of both fields, ties by id.
+
+    ``postings`` may be a stored table of build_postings; without one, the queries' terms alone are indexed.
+    """
+    if postings is None:
+        postings = build_postings(chunks, key, query_terms(queries).select("term").distinct())
+    matched = keyword_match(postings, queries, key)
     scored = matched.withColumn("s", cover_density(F.col("hits"), F.col("n_terms"))).groupBy("query_id", key).agg(F.round(F.max("s"), 6).alias("score"))
     return ranked(scored, limit, key)
 
@@ -84,13 +100,20 @@ def ranked(scored: DataFrame, limit: int, key: str = "chunk_id") -> DataFrame:
 def vector_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query_id, chunk_id, score) within the query's repository and model; a chunk is not its own query's result.
 
-    An equi-join on the scope: rows meet only those queries that may see them.
+    Rows meet only those queries that may see them, and a large scope's rows are dealt over SALTS tasks.
     """
-    asked = queries.select("query_id", F.col("repository").alias("qr"), F.col("model").alias("qm"), F.col("embedding").alias("qe"))
-    met = chunks.join(asked, (F.col("repository") == F.col("qr")) & (F.col("model") == F.col("qm")) & (F.col(key) != F.col("query_id")))
+    asked = queries.select("query_id", "repository", "model", F.col("embedding").alias("qe"))
+    met = salted_join(chunks, asked, ["repository", "model"], key).filter(F.col(key) != F.col("query_id"))
     return met.select("query_id", key, F.round(cosine_similarity(F.col("embedding"), F.col("qe")), 6).alias("score"))
 
 
+def salted_join(rows: DataFrame, few: DataFrame, on: list[str], key: str) -> DataFrame:
+    """``rows`` with ``few`` on some columns, of which one value may hold most rows: those are dealt by ``key``, and ``few`` goes to each deal."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(spread, [*on, "_salt"]).drop("_salt")
+
+
 def vector_leg(chunks: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT, key: str = "chunk_id") -> DataFrame:
     return ranked(vector_scores(chunks, queries, key), limit, key)
 
@@ -126,11 +149,14 @@ def sum_of(vector: Column, weights: list[float]) -> Column:
 
 
 def exact_with_tie_tail(scores: DataFrame, limit: int = LEG_LIMIT, tol: float = 1e-6, key: str = "chunk_id") -> DataFrame:
-    """The best ``limit`` rows and every further one within ``tol`` of the last of them."""
+    """The best ``limit`` rows and every further one within ``tol`` of the last of them.
+
+    Two passes: a top-k gives each query the score to reach, so that only rows that reach it are ranked.
+    """
+    last = ranked(scores, limit, key).filter(F.col("rank") == limit).select("query_id", F.col("score").alias("_last"))
+    near = scores.join(last, "query_id", "left").filter(F.col("_last").isNull() | (F.col("_last") - F.col("score") <= tol))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    all_ = scores.withColumn("rank", F.row_number().over(order).cast("long"))
-    last = F.max(F.when(F.col("rank") == limit, F.col("score"))).over(Window.partitionBy("query_id"))
-    return all_.withColumn("_last", last).filter((F.col("rank") <= limit) | (F.col("_last") - F.col("score") <= tol)).drop("_last")
+    return near.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("_last").isNotNull() | (F.col("rank") <= limit)).drop("_last")
 
 
 def rrf_fuse(legs: dict[str, DataFrame], k: int = RRF_K, key: str = "chunk_id") -> DataFrame:
@@ -189,6 +215,31 @@ def enrich(results: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataFrame:
     return j.select(*results.columns, "file_path", "start_line", "end_line", content_preview(F.col("content")).alias("preview"), text("breadcrumb"), text("language"), "chunk_type", "run_id", text("commit_sha"), text("ingestion_date"))
 
 
+def hybrid_search(
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, runs: DataFrame, k: int = 10, config: dict | None = None,
+    limit: int = LEG_LIMIT, content_boosts: bool = True, postings: DataFrame | None = None,
+) -> DataFrame:
+    """The k best chunks of each query by keyword and vector legs, fused, boosted and enriched.
+
+    ``queries``: query_id, query. ``chunks``: chunk_id, content, breadcrumb, file_path, start_line, end_line, language,
+    chunk_type, run_id. ``vectors``: chunk_id, repository, model, embedding. ``query_vectors``: query_id, repository,
+    model, embedding. ``runs``: run_id, commit_sha, completed_at. A query that neither leg answers has no row.
+    """
+    boosted = boosted_hits(queries, chunks, vectors, query_vectors, config, limit, content_boosts, postings)
+    top = top_k(boosted, k).select("query_id", "rank", "chunk_id", "rrf_score", "boost_multiplier", "boosted_score", "sources")
+    return enrich(top, chunks, runs)
+
+
+def boosted_hits(
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, config: dict | None = None, limit: int = LEG_LIMIT,
+    content_boosts: bool = True, postings: DataFrame | None = None,
+) -> DataFrame:
+    """Every fused hit of both legs with its chunk's columns and its boosted score."""
+    fused = rrf_fuse({"fts": keyword_leg(chunks, queries, limit, postings=postings), "vector": vector_leg(vectors, query_vectors, limit)})
+    parsed = queries.select("query_id", parse_query(F.col("query")).alias("q")).select("query_id", "q.quoted_terms", "q.identifiers")
+    return metadata_boost(fused.join(chunks, "chunk_id").join(parsed, "query_id"), config, content_boosts)
+
+
 def search_stats(queries: DataFrame, keyword: DataFrame, vector: DataFrame, fused: DataFrame) -> DataFrame:
     out = queries.select("query_id").distinct()
     for name, leg in (("fts_rows", keyword), ("vector_rows", vector), ("fused_rows", fused)):
@@ -226,7 +277,7 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, now: Column, least: float
     """(query_id, hit, cached_id, similarity): the nearest unexpired entry of the same organization and repository, ties to the smaller id."""
     q = queries.select("query_id", "organization", "repository", F.col("embedding").alias("qe"))
     live = cache.filter(F.col("cached_at") > now - F.make_dt_interval(secs=F.lit(ttl)))
-    met = q.join(live.select("organization", "repository", "cached_id", "embedding"), ["organization", "repository"])
+    met = salted_join(live.select("organization", "repository", "cached_id", "embedding"), q, ["organization", "repository"], "cached_id")
     scored = met.select("query_id", "cached_id", F.round(cosine_similarity(F.col("qe"), F.col("embedding")), 6).alias("similarity"))
     best = scored.filter("similarity > 0").groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("cached_id")).alias("neg"))).alias("b"))
     found = best.select("query_id", (-F.col("b.neg")).alias("cached_id"), F.col("b.similarity").alias("similarity"))

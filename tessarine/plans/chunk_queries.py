@@ -144,9 +144,11 @@ R.add(
 )
 R.add(
     "p13_apply_caps",
-    lambda s, d: files(s, d).groupBy("repository").agg(F.sum(F.octet_length("content").cast("long")).alias("bytes"), F.max(F.octet_length("content").cast("long")).alias("largest"), F.count(F.lit(1)).alias("files")).select(
-        "repository", F.when(F.col("bytes") > 120_000, "expanded_bytes").when(F.col("largest") > 20_000, "file_bytes").when(F.col("files") > 20_000, "files").alias("refusal")),
-    f"""WITH files AS ({FILES}), g AS (SELECT repository, sum(octet_length(encode(content))) AS bytes, max(octet_length(encode(content))) AS largest, count(*) AS n FROM files GROUP BY 1)
-    SELECT repository, CASE WHEN bytes > 120000 THEN 'expanded_bytes' WHEN largest > 20000 THEN 'file_bytes' WHEN n > 20000 THEN 'files' END AS refusal FROM g""",
+    lambda s, d: c.apply_caps(
+        files(s, d).select("repository", F.octet_length("content").cast("long").alias("bytes")), files(s, d).filter("doc_id % 3 = 0").select("repository"),
+        {"expanded_bytes": 120_000, "file_bytes": 20_000, "chunks": 3},
+    ),
+    f"""WITH files AS ({FILES}), g AS (SELECT repository, sum(octet_length(encode(content))) AS bytes, max(octet_length(encode(content))) AS largest, count(*) AS n, count(*) FILTER (WHERE doc_id % 3 = 0) AS chunks FROM files GROUP BY 1)
+    SELECT repository, CASE WHEN bytes > 120000 THEN 'expanded_bytes' WHEN largest > 20000 THEN 'file_bytes' WHEN n > 20000 THEN 'files' WHEN chunks > 3 THEN 'chunks' END AS refusal FROM g""",
 )
 R.add("p11_filter_results", lambda s, d: fixed(s, d).filter((F.col("chunk_type") == "fixed_size") & (F.col("repository") == "src0")).select("path", "start_line"), f"WITH {_spans_sql(SIZE, OVERLAP)} SELECT path, start_line FROM chunks WHERE path LIKE 'src0/%'")

@@ -103,11 +103,11 @@ _Q = lambda s, d: table(s, d, "orders").select(col("o_orderkey").alias("id"), F.
 _QSQL = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'holdout' ELSE 'tuning' END AS \"set\", CAST(o_custkey % 500 AS VARCHAR) AS path, CASE WHEN o_orderkey % 2 = 0 THEN 'a.' ELSE '' END || 's' || (o_orderkey % 4) AS symbol FROM orders"
 R.add("e14_target_overlap", lambda s, d: e.target_overlap(_Q(s, d), ("holdout",)), f"WITH q AS ({_QSQL}) SELECT x.id AS a, y.id AS b FROM q x JOIN q y ON x.path = y.path AND x.id < y.id AND (x.symbol = y.symbol OR ends_with(x.symbol, '.' || y.symbol) OR ends_with(y.symbol, '.' || x.symbol)) AND (x.\"set\" = 'holdout' OR y.\"set\" = 'holdout')")
 R.add("e15_targets_by_set", lambda s, d: e.targets_by_set(_Q(s, d)), f"SELECT DISTINCT \"set\", path, symbol FROM ({_QSQL})")
-R.add("e16_census_counts", lambda s, d: files(s, d).groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).alias("chars"), F.sum(F.size(F.split("content", "\n"))).alias("lines")),
+R.add("e16_census_counts", lambda s, d: e.census_counts(files(s, d), "lang"),
       f"SELECT lang, count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS chars, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS lines FROM ({FILES}) GROUP BY 1")
-R.add("e17_size_histogram", lambda s, d: fixed(s, d).groupBy("repository").agg(*(F.count_if(F.length("content") > n).alias(f"over_{n}") for n in (2000, 5000, 8000)), F.max(F.length("content")).cast("long").alias("largest")),
+R.add("e17_size_histogram", lambda s, d: e.size_histogram(fixed(s, d), "repository"),
       f"WITH {_spans_sql(SIZE, OVERLAP)} SELECT repository, count(*) FILTER (WHERE length(chunks.content) > 2000) AS over_2000, count(*) FILTER (WHERE length(chunks.content) > 5000) AS over_5000, count(*) FILTER (WHERE length(chunks.content) > 8000) AS over_8000, max(length(chunks.content)) AS largest FROM chunks JOIN files USING (doc_id) GROUP BY 1")
-R.add("e18_percentile", lambda s, d: e.nearest_rank_percentile(table(s, d, "documents"), ["source"], "n_chars", 0.9).distinct(), "WITH w AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, n_chars AS value FROM w WHERE i = round_even(0.9e0 * (n - 1), 0) + 1")
+R.add("e18_percentile", lambda s, d: e.nearest_rank_percentile(table(s, d, "documents"), ["source"], "n_chars", 0.9), "WITH w AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, n_chars AS value FROM w WHERE i = round_even(0.9e0 * (n - 1), 0) + 1")
 
 
 def _hashed(s, d):
@@ -120,7 +120,7 @@ R.add("e19_token_billing", lambda s, d: e.token_billing(_hashed(s, d), 300, 0.1)
       f"""WITH {_spans_sql(SIZE, OVERLAP)}, t AS (SELECT content, len(regexp_extract_all(content, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')) AS n FROM chunks), o AS (SELECT DISTINCT content, n FROM t)
       SELECT CAST((SELECT sum(least(n, 300)) FROM o) AS BIGINT) AS billed, CAST((SELECT sum(greatest(n - 300, 0)) FROM o) AS BIGINT) AS cut, (SELECT count(*) FROM t WHERE n > 300) AS truncated, round((SELECT sum(least(n, 300)) FROM o) * 0.1e0 / 1e6, 9) AS cost""")
 R.add("e20_identical_content", lambda s, d: e.identical_content(_hashed(s, d)), f"WITH {_spans_sql(SIZE, OVERLAP)}, g AS (SELECT content, count(*) AS n FROM chunks GROUP BY 1) SELECT count(*) AS contents, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS sharing, CAST(sum(n - 1) AS BIGINT) AS extra FROM g")
-R.add("e21_largest_chunks", lambda s, d: fixed(s, d).select("path", "start_line", F.length("content").cast("long").alias("chars")).orderBy(F.desc("chars"), "path", "start_line").limit(5), f"WITH {_spans_sql(SIZE, OVERLAP)} SELECT path, start_line, length(content) AS chars FROM chunks ORDER BY chars DESC, path, start_line LIMIT 5")
+R.add("e21_largest_chunks", lambda s, d: e.largest_chunks(fixed(s, d)), f"WITH {_spans_sql(SIZE, OVERLAP)} SELECT path, start_line, length(content) AS chars FROM chunks ORDER BY chars DESC, path, start_line LIMIT 5")
 
 
 def _lines(s, d):
@@ -144,11 +144,18 @@ def _digest(s, d):
     return e.multiset_digest(fixed(s, d).withColumn("row_hash", F.sha2(F.concat_ws(":", F.col("start_line").cast("string"), "content"), 256)), "repository", "path")
 
 
-_DIGEST = f"""WITH {_spans_sql(SIZE, OVERLAP)}, h AS (SELECT repository, path, sha256(start_line || ':' || c.content) AS r FROM (SELECT doc_id, start_line, content FROM chunks) c JOIN files USING (doc_id)), p AS (SELECT repository, path || ' ' || sha256(string_agg(r, chr(10) ORDER BY r)) AS part FROM h GROUP BY repository, path)
-SELECT repository, sha256(string_agg(part, chr(10) ORDER BY part)) AS digest FROM p GROUP BY 1"""
+_LEVELS = """b AS (SELECT {0}, left(sha256(k), 3) AS bucket, sha256(string_agg(k || ' ' || part, chr(10) ORDER BY k || ' ' || part)) AS part FROM p GROUP BY 1, 2)
+SELECT {0}, sha256(string_agg(bucket || ' ' || part, chr(10) ORDER BY bucket)) AS digest FROM b GROUP BY 1"""
+_DIGEST = f"""WITH {_spans_sql(SIZE, OVERLAP)}, h AS (SELECT repository, path, sha256(start_line || ':' || c.content) AS r FROM (SELECT doc_id, start_line, content FROM chunks) c JOIN files USING (doc_id)),
+p AS (SELECT repository, path AS k, sha256(string_agg(r, chr(10) ORDER BY r)) AS part FROM h GROUP BY repository, path), {_LEVELS.format('repository')}"""
 R.add("e27_chunk_set_digest", _digest, _DIGEST)
-R.add("e28_tree_digest", lambda s, d: e.multiset_digest(files(s, d).withColumn("row_hash", F.sha2("content", 256)), "repository", "path"),
-      f"WITH p AS (SELECT repository, path || ' ' || sha256(sha256(content)) AS part FROM ({FILES})) SELECT repository, sha256(string_agg(part, chr(10) ORDER BY part)) AS digest FROM p GROUP BY 1")
+R.add("e28_tree_digest", lambda s, d: e.tree_digest(files(s, d)), f"WITH p AS (SELECT repository, path AS k, sha256(sha256(content)) AS part FROM ({FILES})), {_LEVELS.format('repository')}")
+R.add(
+    "e28_stored_vectors_digest",
+    lambda s, d: e.stored_vectors_digest(table(s, d, "embeddings"), "label", "vec_id"),
+    f"""WITH p AS (SELECT label, CAST(vec_id AS VARCHAR) AS k, sha256(sha256(array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ','))) AS part FROM embeddings),
+    {_LEVELS.format('label')}""",
+)
 R.add("e29_decorated_definitions", lambda s, d: e.decorated_definitions(files(s, d).select("path", (1 + col("doc_id") % 9).alias("line_no")), files(s, d).select("path", (1 + col("doc_id") % 4).alias("start_line"), (3 + col("doc_id") % 5).alias("end_line"), F.when(col("doc_id") % 2 == 0, "function").otherwise("class").alias("kind"))),
       f"SELECT path, 1 + doc_id % 9 AS line_no, CASE WHEN 1 + doc_id % 9 BETWEEN 1 + doc_id % 4 AND 3 + doc_id % 5 THEN CASE WHEN doc_id % 2 = 0 THEN 'own' ELSE 'class' END ELSE 'none' END AS held_by FROM ({FILES})")
 R.add("e30_verify_provenance", lambda s, d: e.verify_provenance(_digest(s, d).withColumn("version", F.concat(F.lit("v"), "repository")), _digest(s, d).withColumn("digest", F.when(col("repository") == "src3", "x").otherwise(col("digest")))),

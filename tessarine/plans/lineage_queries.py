@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessarine.operators import jobs as a
 from tessarine.operators import lineage as j
 from tessarine.operators import quality as v
 from tessarine.plans.roles import JOBS, Registry, jobs, table
+from tessarine.sources.files import replace_repository_chunks
+from tessarine.streaming.run import scratch
 
 R = Registry()
 NOW, NOW_SQL = "1996-06-01 00:00:00", "TIMESTAMP '1996-06-01 00:00:00'"
@@ -46,6 +51,17 @@ def retrievals(s, d):
     return table(s, d, "documents").select(col("doc_id").alias("retrieval_id"), (col("doc_id") % 40).alias("chunk_id"), col("source").alias("query"))
 
 
+
+
+def _bucketed(s, d):
+    """Repositories written in tenant buckets, read back one tenant at a time."""
+    path = scratch(s, "tenants")
+    replace_repository_chunks(repositories(s, d).select(col("project_id").alias("organization_id"), (col("repository_id") % 40).alias("repository_id"), "name"), path)
+    kept = s.read.parquet(path)
+    return reduce(DataFrame.unionByName, [j.tenant_scope(kept, t) for t in range(25)]).select("organization_id", "name")
+
+
+R.add("p14_tenant_buckets", _bucketed, "SELECT c_nationkey AS organization_id, c_name AS name FROM customer")
 R.add("p14_tenant_scope", lambda s, d: j.tenant_scope(projects(s, d), 2).select("project_id", "slug"), "SELECT n_nationkey AS project_id, n_name AS slug FROM nation WHERE n_regionkey = 2")
 R.add(
     "p15_scope_via_chain",
@@ -56,9 +72,18 @@ R.add("j1_trace_chunk_to_commit", lambda s, d: j.trace_chunk_to_commit(chunks(s,
       "SELECT l_orderkey * 10 + l_linenumber AS chunk_id, l_orderkey AS run_id, c_custkey AS repository_id, o_orderstatus AS status, c_name AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
 R.add("j2_chunks_of_commit", lambda s, d: j.chunks_of_commit(chunks(s, d), runs(s, d), col("status") == "P").select("chunk_id"), "SELECT l_orderkey * 10 + l_linenumber AS chunk_id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 R.add("j3_run_summary", lambda s, d: j.run_summary(runs(s, d), chunks(s, d)).select("run_id", "declared", "actual"), "SELECT o_orderkey AS run_id, o_orderkey % 5 AS declared, count(l_orderkey) AS actual FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+
+
+def _feedback_lineage(s, d):
+    judged = chunks(s, d).select((col("chunk_id") % 500).alias("retrieval_id"), "chunk_id").distinct()
+    own = projects(s, d).select("project_id", "organization_id", "slug")
+    met = j.feedback_lineage(feedback(s, d), judged, chunks(s, d), runs(s, d), repositories(s, d).select("repository_id", "project_id"), own, orgs(s, d).withColumnRenamed("name", "org"))
+    return met.groupBy("org", "slug", "feedback_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 R.add(
     "j4_feedback_lineage",
-    lambda s, d: feedback(s, d).join(chunks(s, d).withColumn("retrieval_id", col("chunk_id") % 500), "retrieval_id").join(runs(s, d), "run_id").join(repositories(s, d), "repository_id").join(projects(s, d).select("project_id", "organization_id", "slug"), "project_id").join(orgs(s, d).select("organization_id", col("name").alias("org")), "organization_id").groupBy("org", "slug", "feedback_type").agg(F.count(F.lit(1)).alias("n")),
+    _feedback_lineage,
     """SELECT r_name AS org, n_name AS slug, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS feedback_type, count(*) AS n FROM labels JOIN lineitem ON (l_orderkey * 10 + l_linenumber) % 500 = doc_id
     JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""",
 )
@@ -120,13 +145,21 @@ R.add(
     m AS (SELECT o_orderkey AS login_id, user_id, CASE WHEN i = o_orderkey % 500 THEN 0 ELSE 1 END AS way FROM orders JOIN u ON i = o_orderkey % 500 OR e = lower('U' || (o_custkey % 80) || '@X.org'))
     SELECT login_id, user_id FROM m QUALIFY row_number() OVER (PARTITION BY login_id ORDER BY way, user_id) = 1""",
 )
-R.add("j16_list_installations", lambda s, d: j.tenant_scope(repositories(s, d).select("repository_id", col("project_id").alias("organization_id"), "name"), 3).orderBy("repository_id"), "SELECT c_custkey AS repository_id, c_nationkey AS organization_id, c_name AS name FROM customer WHERE c_nationkey = 3")
+R.add(
+    "j16_list_installations",
+    lambda s, d: j.list_installations(repositories(s, d).select(col("repository_id").alias("installation_id"), col("project_id").alias("organization_id"), "name", col("repository_id").alias("created_at")), 3).drop("created_at"),
+    "SELECT c_custkey AS installation_id, c_nationkey AS organization_id, c_name AS name FROM customer WHERE c_nationkey = 3",
+)
 R.add("g1_feedback_breakdown", lambda s, d: j.feedback_breakdown(j.query_results_with_feedback(retrievals(s, d), feedback(s, d))), f"SELECT feedback_type, count(*) AS n, round(100e0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM ({_FB}) GROUP BY 1")
 R.add("g2_chunk_performance", lambda s, d: j.chunk_performance(j.query_results_with_feedback(retrievals(s, d), feedback(s, d)), 3),
       f"""SELECT chunk_id, count(DISTINCT retrieval_id) AS retrieved, count(*) FILTER (WHERE feedback_type = 'positive') AS positive, count(*) FILTER (WHERE feedback_type = 'negative') AS negative,
       round(100e0 * count(*) FILTER (WHERE feedback_type = 'positive') / nullif(count(*) FILTER (WHERE feedback_type <> 'no_feedback'), 0), 2) AS percent FROM ({_FB}) GROUP BY 1 HAVING count(DISTINCT retrieval_id) >= 3""")
 R.add("g3_chunk_inventory", lambda s, d: j.chunk_inventory(table(s, d, "lineitem"), "l_returnflag", "l_linestatus"), "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
-R.add("g4_rows_per_model", lambda s, d: j.chunk_inventory(table(s, d, "embeddings").select("label", (col("vec_id") % 2).alias("model")), "label", "model"), "SELECT label, vec_id % 2 AS model, count(*) AS n FROM embeddings GROUP BY ALL")
+R.add(
+    "g4_rows_per_model",
+    lambda s, d: j.rows_per_model(table(s, d, "embeddings").select(col("label").alias("repository_id"), (col("vec_id") % 2).alias("embedding_model"))),
+    "SELECT label AS repository_id, vec_id % 2 AS embedding_model, count(*) AS n FROM embeddings GROUP BY ALL",
+)
 R.add("g5_timestamp_completeness", lambda s, d: j.timestamp_completeness(jobs(s, d), "lease_expires_at", "run_after"), f"SELECT count(*) AS n, count(lease_expires_at) AS with_lease_expires_at, count(run_after) AS with_run_after FROM ({JOBS})")
 R.add("g6_default_project", lambda s, d: j.default_project(projects(s, d)).select("organization_id", "project_id"), "SELECT n_regionkey AS organization_id, n_nationkey AS project_id FROM nation WHERE n_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey % 11 = 0) QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1")
 R.add("g7_indexed_state", lambda s, d: j.indexed_state(repositories(s, d), runs(s, d), chunks(s, d).join(runs(s, d).select("run_id", "repository_id"), "run_id")), "SELECT c_custkey AS repository_id, count(DISTINCT o_orderkey) AS runs, count(l_orderkey) AS chunks FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

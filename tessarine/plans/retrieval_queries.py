@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessarine.functions.expr import parse_query
 from tessarine.operators import retrieval as r
 from tessarine.plans.roles import FILES, QUESTIONS, VECTOR_CHUNKS, Registry, files, questions, table, vector_chunks
 
@@ -26,15 +25,15 @@ CHUNKS = f"""SELECT doc_id AS chunk_id, content, repository || '.' || lang AS br
 
 
 def runs(s, d):
-    o = table(s, d, "orders").filter("o_orderkey < 40")
+    o = table(s, d, "orders")
     return o.select(F.col("o_orderkey").alias("run_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("commit_sha"), F.col("o_orderdate").cast("timestamp").alias("completed_at"))
 
 
-RUNS = "SELECT o_orderkey AS run_id, sha256(CAST(o_orderkey AS VARCHAR)) AS commit_sha, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ingestion_date FROM orders WHERE o_orderkey < 40"
+RUNS = "SELECT o_orderkey AS run_id, sha256(CAST(o_orderkey AS VARCHAR)) AS commit_sha, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ingestion_date FROM orders"
 
 
 def vector_queries(s, d):
-    return vector_chunks(s, d).filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    return vector_chunks(s, d).filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
 
 
 POSTINGS = f"""POSTINGS AS (WITH w AS (SELECT chunk_id, 'content' AS field, {_TERMS.format('content')} AS a FROM chunks UNION ALL SELECT chunk_id, 'breadcrumb', {_TERMS.format('breadcrumb')} FROM chunks),
@@ -51,7 +50,7 @@ scored AS (SELECT query_id, chunk_id, round(max(s), 6) AS score FROM (SELECT que
 keyword AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 50)"""
 KEYWORD = f"questions AS ({QUESTIONS}), chunks AS ({CHUNKS}), {POSTINGS}, {MATCHED}, {COVERS}"
 VECTOR = f"""vchunks AS ({VECTOR_CHUNKS}), vscores AS (SELECT q.chunk_id AS query_id, c.chunk_id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM vchunks c JOIN vchunks q
-  ON q.chunk_id % 50 = 0 AND c.repository = q.repository AND c.model = q.model AND c.chunk_id <> q.chunk_id),
+  ON q.chunk_id % 20 = 0 AND c.repository = q.repository AND c.model = q.model AND c.chunk_id <> q.chunk_id),
 vector AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vscores) WHERE rank <= 50)"""
 
 
@@ -59,11 +58,14 @@ def keyword(s, d):
     return r.keyword_leg(chunks(s, d), questions(s, d))
 
 
+def question_vectors(s, d):
+    """A question stands beside the vector of the same number, in its own scope."""
+    return questions(s, d).select("query_id").join(vector_chunks(s, d).withColumnRenamed("chunk_id", "query_id"), "query_id")
+
+
 def vector(s, d):
-    """The vector leg of the keyword queries: a question stands beside the vector of the same number, in its own scope."""
-    v = vector_chunks(s, d)
-    asked = questions(s, d).select("query_id").join(v.withColumnRenamed("chunk_id", "query_id"), "query_id")
-    return r.vector_leg(v, asked)
+    """The vector leg of the keyword queries."""
+    return r.vector_leg(vector_chunks(s, d), question_vectors(s, d))
 
 
 QVECTOR = f"""vchunks AS ({VECTOR_CHUNKS}), vscores AS (SELECT q.chunk_id AS query_id, c.chunk_id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM vchunks c JOIN vchunks q
@@ -84,13 +86,11 @@ def fused(s, d):
 
 
 def boosted(s, d):
-    parsed = questions(s, d).select("query_id", parse_query(F.col("query")).alias("q")).select("query_id", "q.quoted_terms", "q.identifiers")
-    return r.metadata_boost(fused(s, d).join(chunks(s, d), "chunk_id").join(parsed, "query_id"), CONFIG, content_boosts=False)
+    return r.boosted_hits(questions(s, d), chunks(s, d), vector_chunks(s, d), question_vectors(s, d), CONFIG, content_boosts=False)
 
 
 def hybrid(s, d, k=5):
-    top = r.top_k(boosted(s, d), k).select("query_id", "rank", "chunk_id", "rrf_score", "boost_multiplier", "boosted_score", "sources")
-    return r.enrich(top, chunks(s, d), runs(s, d))
+    return r.hybrid_search(questions(s, d), chunks(s, d), vector_chunks(s, d), question_vectors(s, d), runs(s, d), k, CONFIG, content_boosts=False)
 
 
 R.add("r1_postings", lambda s, d: r.build_postings(chunks(s, d)).select("chunk_id", "field", "term", F.array_join("positions", ",").alias("positions")), f"WITH chunks AS ({CHUNKS}), {POSTINGS} SELECT chunk_id, field, term, array_to_string(positions, ',') AS positions FROM POSTINGS")
@@ -123,13 +123,11 @@ R.add(
 
 
 def _ranked_docs(s, d):
-    """Chunks of a language in order of id: the language is the query."""
-    from pyspark.sql.window import Window
-
-    return chunks(s, d).filter("chunk_id < 60").withColumn("query_id", F.col("language")).withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy("chunk_id")).cast("long"))
+    """The ten best chunks of every question."""
+    return r.top_k(boosted(s, d), 10).select("query_id", "rank", "chunk_id", "content", "file_path", "start_line", "breadcrumb")
 
 
-_RANKED = f"chunks AS ({CHUNKS}), ranked AS (SELECT *, language AS query_id, row_number() OVER (PARTITION BY language ORDER BY chunk_id) AS rank FROM chunks WHERE chunk_id < 60)"
+_RANKED = f"{HYBRID}, ranked AS (SELECT * FROM ordered WHERE rank <= 10)"
 R.add(
     "r15_build_context",
     lambda s, d: r.build_context(_ranked_docs(s, d)),
@@ -155,11 +153,11 @@ def _cache(s, d):
 _CACHE = "SELECT vec_id AS cached_id, CAST(label % 2 AS BIGINT) AS organization, CAST(label AS VARCHAR) AS repository, embedding, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * (vec_id % 120) AS cached_at, 'q' || (vec_id % 40) AS query, CAST(vec_id AS VARCHAR) AS response FROM embeddings"
 R.add(
     "r18_cache_lookup",
-    lambda s, d: r.cache_lookup(_cache(s, d).filter("cached_id % 7 = 0").withColumnRenamed("cached_id", "query_id"), _cache(s, d).filter("cached_id % 5 <> 0"), F.lit("2024-01-01 01:30:00").cast("timestamp"), 0.5),
-    f"""WITH c AS ({_CACHE}), q AS (SELECT * FROM c WHERE cached_id % 7 = 0), l AS (SELECT * FROM c WHERE cached_id % 5 <> 0 AND cached_at > TIMESTAMP '2024-01-01 00:30:00'),
+    lambda s, d: r.cache_lookup(_cache(s, d).filter("cached_id % 20 = 0").withColumn("embedding", F.reverse("embedding")).withColumnRenamed("cached_id", "query_id"), _cache(s, d), F.lit("2024-01-01 01:30:00").cast("timestamp"), 0.25),
+    f"""WITH c AS ({_CACHE}), q AS (SELECT * REPLACE (list_reverse(embedding) AS embedding) FROM c WHERE cached_id % 20 = 0), l AS (SELECT * FROM c WHERE cached_at > TIMESTAMP '2024-01-01 00:30:00'),
     m AS (SELECT q.cached_id AS query_id, l.cached_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])), 6) AS similarity FROM q JOIN l USING (organization, repository)),
     b AS (SELECT * FROM m WHERE similarity > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cached_id) = 1)
-    SELECT q.cached_id AS query_id, coalesce(similarity >= 0.5e0, false) AS hit, CASE WHEN similarity >= 0.5e0 THEN b.cached_id END AS cached_id, similarity FROM q LEFT JOIN b ON b.query_id = q.cached_id""",
+    SELECT q.cached_id AS query_id, coalesce(similarity >= 0.25e0, false) AS hit, CASE WHEN similarity >= 0.25e0 THEN b.cached_id END AS cached_id, similarity FROM q LEFT JOIN b ON b.query_id = q.cached_id""",
 )
 _SLIM = ("organization", "repository", "query", "response", "cached_at")
 R.add(

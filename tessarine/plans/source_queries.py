@@ -93,12 +93,34 @@ R.add("s4_run_records", _runs_again, "SELECT CAST(o_orderkey AS VARCHAR) AS id,
 
 def _specs_again(s, d):
     path = scratch(s, "specs")
-    q = F.struct(col("o_orderkey").cast("string").alias("id"), F.lit("tuning").alias("set"), col("o_orderpriority").alias("question"), F.lit("p").alias("path"))
-    table(s, d, "orders").groupBy(col("o_orderstatus").alias("corpus"), (col("o_orderkey") % 50).alias("k")).agg(F.collect_list(q).alias("questions")).drop("k").write.json(path)
-    return s.read.schema(src.SPEC_SCHEMA).json(path).select("corpus", F.explode("questions").alias("q")).select("corpus", "q.id", "q.question")
+    q = F.struct(col("o_orderkey").cast("string").alias("id"), F.lit("tuning").alias("set"), col("o_orderpriority").alias("question"), F.concat(F.lit("p"), col("o_custkey").cast("string")).alias("path"))
+    table(s, d, "orders").groupBy(col("o_orderstatus").alias("corpus"), (col("o_orderkey") % 50).alias("k")).agg(F.collect_list(q).alias("questions")).withColumn("commit", F.concat(F.lit("c"), col("k").cast("string"))).drop("k").write.option("maxRecordsPerFile", 1).json(path)
+    return src.read_question_specs(s, path).select("corpus", "commit", "id", "set", "question", "path")
 
 
-R.add("s5_question_specs", _specs_again, "SELECT o_orderstatus AS corpus, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS question FROM orders")
+R.add(
+    "s5_question_specs",
+    _specs_again,
+    "SELECT o_orderstatus AS corpus, 'c' || (o_orderkey % 50) AS \"commit\", CAST(o_orderkey AS VARCHAR) AS id, 'tuning' AS \"set\", o_orderpriority AS question, 'p' || o_custkey AS path FROM orders",
+)
+
+
+def _tree(s, d):
+    """The documents as files below one folder for each language, some of them in folders that are skipped, some blank."""
+    path = scratch(s, "tree")
+    where = F.when(col("doc_id") % 7 == 0, F.lit("node_modules")).otherwise(F.lit("kept"))
+    rows = table(s, d, "documents").select("lang", where.alias("folder"), F.when(col("doc_id") % 11 == 0, " ").otherwise(F.regexp_replace("text", r"[\r\n]", " ")).alias("value"))
+    for odd in ("kept", "node_modules"):
+        rows.filter(col("folder") == odd).drop("folder").repartition(8).write.partitionBy("lang").option("maxRecordsPerFile", 1).text(f"{path}/{odd}")
+    found = src.scan_source_tree(s, path, ("kept", "node_modules"), (".txt",), (r"lang=es/",))
+    return found.select(F.regexp_extract("path", r"^kept/lang=(\w+)/part-[^/]*\.txt$", 1).alias("lang"), F.sha2(F.regexp_replace("content", "\n$", ""), 256).alias("hash"))
+
+
+R.add(
+    "s1_scan_source_tree",
+    _tree,
+    r"SELECT lang, sha256(regexp_replace(text, '[\r\n]', ' ', 'g')) AS hash FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND lang <> 'es' AND regexp_replace(text, '\s', '', 'g') <> ''",
+)
 
 
 def _vectors_again(s, d):

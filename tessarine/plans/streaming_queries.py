@@ -4,23 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessarine.plans.roles import DELIVERIES, Registry, deliveries, table
+from tessarine.operators.chunking import chunk_fixed
+from tessarine.operators.lineage import LIVE
+from tessarine.plans.chunk_queries import OVERLAP, SIZE, _spans_sql
+from tessarine.plans.roles import DELIVERIES, Registry, deliveries, jobs, table
 from tessarine.streaming import events as t
-from tessarine.streaming.run import drain
+from tessarine.streaming.run import drain, drain_idle, scratch
 
 R = Registry()
 col = F.col
 
 
+def table_stream(s, d, name):
+    """A table as a stream of its files."""
+    path = f"{d}/{name}.parquet"
+    whole = s.read.parquet(path)
+    first = whole.select(F.input_file_name()).first()
+    single = first is not None and first[0].rstrip("/").endswith(f"{name}.parquet")
+    reader = s.readStream.schema(whole.schema)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d) if single else reader.parquet(path)
+
+
 def event_stream(s, d):
     """The events table as a stream of files."""
-    name = f"{d}/events.parquet"
-    schema = s.read.parquet(name).schema
-    path = s.read.parquet(name).select(F.input_file_name()).first()
-    single = path is not None and path[0].rstrip("/").endswith("events.parquet")
-    reader = s.readStream.schema(schema)
-    e = reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(name)
-    return e.select(col("event_id").alias("delivery_id"), col("event_type").alias("event"), col("user_id").alias("installation"), col("ts").cast("timestamp").alias("received_at"))
+    return table_stream(s, d, "events").select(col("event_id").alias("delivery_id"), col("event_type").alias("event"), col("user_id").alias("installation"), col("ts").cast("timestamp").alias("received_at"))
 
 
 def _twice(s, d):
@@ -32,13 +39,82 @@ R.add("d1_dedupe_deliveries", lambda s, d: drain(t.dedupe_deliveries(_twice(s, d
 
 
 def _reclaimed(s, d):
-    e = event_stream(s, d).select((col("delivery_id") % 200).alias("delivery_id"), "received_at", F.when(col("event") == "error", "failed").when(col("event") == "view", "processing").otherwise("done").alias("outcome"))
-    return drain(t.reclaim_deliveries(e)).groupBy("delivery_id").agg(F.count(F.lit(1)).alias("n"))
+    outcome = F.when(col("event") == "error", "failed").when(col("event") == "view", "processing").otherwise("done")
+    e = event_stream(s, d).select((col("delivery_id") % 200).alias("delivery_id"), "received_at", outcome.alias("outcome"))
+    return drain(t.reclaim_deliveries(e)).groupBy("delivery_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("passes").alias("passed"))
+
+
+#: Each id's deliveries in order, with the last one that passed and when.
+R.add(
+    "d2_reclaim_deliveries",
+    _reclaimed,
+    """WITH RECURSIVE e AS (SELECT event_id % 200 AS id, epoch(ts) AS tm, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'processing' ELSE 'done' END AS outcome FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tm, outcome) AS i FROM e),
+    w AS (SELECT id, i, true AS passes, outcome, tm FROM o WHERE i = 1
+      UNION ALL SELECT id, i, p, CASE WHEN p THEN o_outcome ELSE outcome END, CASE WHEN p THEN o_tm ELSE tm END FROM (
+        SELECT w.id, o.i, w.outcome = 'failed' OR (w.outcome = 'processing' AND o.tm - w.tm > 300) AS p, o.outcome AS o_outcome, o.tm AS o_tm, w.outcome, w.tm FROM w JOIN o ON o.id = w.id AND o.i = w.i + 1))
+    SELECT id AS delivery_id, count(*) AS n, count(*) FILTER (WHERE passes) AS passed FROM w GROUP BY 1""",
+)
+_EVENTS = {"purchase": "push", "signup": "installation", "error": "installation_repositories", "view": "ping", "click": "star"}
+_ROUTED_ACTIONS = ("created", "deleted", "suspend", "unsuspend", "added", "removed")
+
+
+def _routed(s, d):
+    event = F.lit(None).cast("string")
+    for kind, name in _EVENTS.items():
+        event = F.when(col("event") == kind, name).otherwise(event)
+    action = F.element_at(F.array(*map(F.lit, _ROUTED_ACTIONS)), (col("delivery_id") % 6 + 1).cast("int"))
+    return t.route_events(deliveries(s, d).select(event.alias("event"), action.alias("action"))).groupBy("handler").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CASES = " ".join(f"WHEN event = '{e}'" + (f" AND action = '{a}'" if a else "") + f" THEN '{h}'" for (e, a), h in t.ROUTES.items())
+R.add(
+    "d3_route_events",
+    _routed,
+    f"""WITH e AS (SELECT CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENTS.items())} END AS event, ({list(_ROUTED_ACTIONS)!r})[event_id % 6 + 1] AS action FROM events)
+    SELECT CASE {_CASES} ELSE 'ignored' END AS handler, count(*) AS n FROM e GROUP BY 1""",
+)
+
+
+def _collected(s, stream_writer, label, schema):
+    """The rows that a writer of micro-batches leaves in the shared folder."""
+    out = scratch(s, label)
+    query = stream_writer(lambda df, epoch: df.write.mode("append").parquet(out)).option("checkpointLocation", scratch(s, label + "-log")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.read.schema(schema).parquet(out)
+
+
+def _push_jobs(s, d):
+    index = table(s, d, "customer").select(col("c_custkey").alias("installation"), col("c_nationkey").alias("organization"), (col("c_custkey") % 700).alias("repository_id"))
+    live = jobs(s, d).filter(col("state").isin(*LIVE)).groupBy("repository_id").agg(F.max("job_id").alias("job_id"), F.lit("queued").alias("state"), F.lit(False).alias("needs_rerun"))
+    pushes = event_stream(s, d).filter("event = 'purchase'")
+    write = lambda sink: t.push_to_jobs(pushes, index, lambda: live, lambda df, n: sink(df.filter("action <> 'keep'").select("repository_id", "action"), n))
+    return _collected(s, write, "jobs", "repository_id long, action string")
+
+
+R.add(
+    "d6_push_to_jobs",
+    _push_jobs,
+    """SELECT DISTINCT c_custkey % 700 AS repository_id, CASE WHEN c_custkey % 700 IN (SELECT o_custkey FROM orders WHERE o_orderstatus IN ('O', 'P')) THEN 'flag' ELSE 'insert' END AS action
+    FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'purchase'""",
+)
+
+
+def _chunked(s, d):
+    files = table_stream(s, d, "documents").select("doc_id", col("doc_id").cast("string").alias("path"), col("text").alias("content"), F.timestamp_seconds("doc_id").alias("arrived_at"))
+    write = lambda sink: t.stream_chunks(files, lambda df: chunk_fixed(df, SIZE, OVERLAP), lambda df, n: sink(df.select("doc_id", "start_line", "end_line"), n))
+    return _collected(s, write, "chunks", "doc_id long, start_line long, end_line long")
+
+
+R.add("c15_stream_chunks", _chunked, f"WITH {_spans_sql(SIZE, OVERLAP)} SELECT doc_id, start_line, end_line FROM chunks")
+
+
+def _cached(s, d):
+    e = table_stream(s, d, "embeddings").select((col("label") % 2).cast("long").alias("organization"), col("label").cast("string").alias("repository"), col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return drain_idle(t.stream_semantic_cache(e, 0.3))
 
 
-R.add("d2_reclaim_deliveries", _reclaimed, "SELECT event_id % 200 AS delivery_id, count(*) AS n FROM events GROUP BY 1")
-R.add("d3_route_events", lambda s, d: t.route_events(deliveries(s, d)).groupBy("handler").agg(F.count(F.lit(1)).alias("n")),
-      "SELECT CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in t.ROUTES.items()) + " ELSE 'ignored' END AS handler, count(*) AS n FROM events GROUP BY 1")
+R.add("r21_stream_semantic_cache", _cached)
 _ACTIONS = ("created", "suspend", "unsuspend", "deleted")
 R.add(
     "d4_installation_state",

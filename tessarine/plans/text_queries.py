@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessarine.functions import expr as x
 from tessarine.functions import predicates as p
+from tessarine.operators.chunking import skip_counts
 from tessarine.plans.roles import FILES, Registry, files, table
 
 R = Registry()
@@ -32,7 +33,7 @@ R.add(
 )
 R.add(
     "p12_skip_counts",
-    lambda s, d: files(s, d).select("repository", p.classify_path(F.col("path"))["reason"].alias("reason")).filter("reason <> 'indexable'").groupBy("repository", "reason").agg(F.count(F.lit(1)).alias("files")),
+    lambda s, d: skip_counts(files(s, d).select("repository", p.classify_path(F.col("path"))["reason"].alias("reason"))),
     f"SELECT repository, reason, count(*) AS files FROM ({CLASSIFIED}) WHERE reason <> 'indexable' GROUP BY 1, 2",
 )
 R.add("p2_secret_names", on_files(lambda: ("name", p.is_secret_name(F.col("name")).alias("secret"),)), f"WITH files AS ({FILES}) SELECT doc_id, name, regexp_matches(lower(name), '{p.SECRET_REGEX}') AS secret FROM files")

@@ -83,7 +83,7 @@ def explode_archives(archives: DataFrame) -> DataFrame:
 def decode_text(df: DataFrame, column: str = "content") -> DataFrame:
     """``df`` with ``text`` and ``skip_reason``: a NUL byte means binary, broken UTF-8 non_utf8; a leading BOM is cut."""
     raw = F.col(column)
-    nul = F.hex(raw).rlike("^(?:..)*?00")
+    nul = F.contains(raw, F.lit(b"\x00"))
     why = F.when(nul, "binary").when(~F.is_valid_utf8(raw.cast("string")), "non_utf8")
     text = F.regexp_replace(raw.cast("string"), "^﻿", "")
     had = F.col("skip_reason") if "skip_reason" in df.columns else F.lit(None).cast("string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,14 @@ from tessarine.operators.lineage import latest_per, resolve_installation
 
 RETENTION = "30 days"
 RECLAIM_SECONDS, STALL_SECONDS, MOST_WORK_SECONDS = 300, 300, 7200
-#: Which events go to which handler.
-ROUTES = {"purchase": "push", "signup": "installation_created", "error": "installation_deleted", "view": "repositories_added", "click": "ignored"}
+#: Which events and actions go to which handler; None is any action.
+ROUTES = {
+    ("ping", None): "pong", ("push", None): "push",
+    ("installation", "created"): "installation_created", ("installation", "deleted"): "installation_deleted",
+    ("installation", "suspend"): "installation_suspended", ("installation", "unsuspend"): "installation_unsuspended",
+    ("installation", "new_permissions_accepted"): "permissions_accepted",
+    ("installation_repositories", "added"): "repositories_added", ("installation_repositories", "removed"): "repositories_removed",
+}
 
 
 def dedupe_deliveries(deliveries: DataFrame) -> DataFrame:
@@ -26,10 +33,12 @@ def dedupe_deliveries(deliveries: DataFrame) -> DataFrame:
     return latest_per(deliveries, ["delivery_id"], F.col("received_at"), F.col("event"))
 
 
-def route_events(deliveries: DataFrame, routes: dict[str, str] | None = None) -> DataFrame:
+def route_events(deliveries: DataFrame, routes: dict[tuple[str, str | None], str] | None = None) -> DataFrame:
+    """``deliveries`` (event, action) with their ``handler``; what no route names, and any null event, is ignored."""
     out = F.lit("ignored")
-    for event, handler in (routes or ROUTES).items():
-        out = F.when(F.col("event") == event, handler).otherwise(out)
+    for (event, action), handler in (routes or ROUTES).items():
+        here = F.col("event") == event
+        out = F.when(here if action is None else here & (F.col("action") == action), handler).otherwise(out)
     return deliveries.withColumn("handler", out)
 
 
@@ -85,13 +94,13 @@ def stream_chunks(files: DataFrame, chunker: Callable[[DataFrame], DataFrame], w
 
 
 class Reclaim(StatefulProcessor):
-    """A repeat passes when the last outcome failed, or has been processing for over five minutes."""
+    """Deliveries by time, then outcome. A repeat passes when the last outcome failed, or has been processing for over five minutes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "outcome string, at double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("received_at")
+        events = pd.concat(list(rows)).sort_values(["received_at", "outcome"])
         known = self.last.get() if self.last.exists() else None
         out = []
         for at, outcome in zip(events["received_at"].astype("int64") / 10 ** (9 if events["received_at"].dtype.str.endswith("[ns]") else 6), events["outcome"], strict=True):
@@ -111,8 +120,17 @@ def reclaim_deliveries(deliveries: DataFrame) -> DataFrame:
     return deliveries.groupBy("delivery_id").transformWithStateInPandas(Reclaim(), "delivery_id long, at double, passes boolean", "append", "none")
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+
+
 class SemanticCache(StatefulProcessor):
-    """Answers queries from a cache per (organization, repository); entries expire by time to live."""
+    """Answers queries from a cache per (organization, repository); entries expire by time to live.
+
+    A query is answered by the nearest entry of cosine ``least`` or more, of equal ones by that with the smallest id;
+    else it becomes an entry itself. A batch's queries are taken in the order of their ids.
+    """
 
     def __init__(self, least: float = 0.95, ttl_ms: int = 3_600_000) -> None:
         self.least, self.ttl_ms = least, ttl_ms
@@ -121,24 +139,24 @@ class SemanticCache(StatefulProcessor):
         self.entries = handle.getMapState("entries", "query_id long", "embedding array<double>", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
+        keys, kept = [], []
+        for k, v in self.entries.iterator():
+            keys.append(k[0]), kept.append(v[0])
+        asked = pd.concat(list(rows)).sort_values("query_id")
+        vectors = _unit(np.array(asked["embedding"].tolist(), float))
+        ids = np.concatenate([np.array(keys, np.int64), asked["query_id"].to_numpy(np.int64)])
+        known = np.concatenate([_unit(np.array(kept, float)), vectors]) if kept else vectors
+        there = np.concatenate([np.ones(len(keys), bool), np.zeros(len(asked), bool)])
         out = []
-        known = {k[0]: np.asarray(v[0]) for k, v in self.entries.iterator()}
-        for part in rows:
-            for query_id, vector in zip(part["query_id"], part["embedding"], strict=True):
-                v = np.asarray(vector, float)
-                best, score = None, 0.0
-                for other, w in known.items():
-                    over = float(np.linalg.norm(v) * np.linalg.norm(w))
-                    s = float(v @ w) / over if over else 0.0
-                    if s > score or (s == score and best is not None and other < best):
-                        best, score = other, s
-                hit = score >= self.least
-                out.append((query_id, bool(hit), best if hit else None))
-                if not hit:
-                    known[query_id] = v
-                    self.entries.updateValue((int(query_id),), (v.tolist(),))
+        for i, (query_id, v, whole) in enumerate(zip(asked["query_id"], vectors, asked["embedding"], strict=True), len(keys)):
+            held = np.flatnonzero(there)
+            scores = known[held] @ v
+            near = held[np.flatnonzero(scores >= max(self.least, scores.max()))] if len(held) else held
+            hit = len(near) > 0
+            out.append((query_id, hit, int(ids[near].min()) if hit else None))
+            if not hit:
+                there[i] = True
+                self.entries.updateValue((int(query_id),), (list(map(float, whole)),))
         yield pd.DataFrame(out, columns=["query_id", "hit", "cached_id"]).astype({"cached_id": "Int64"})
 
     def close(self) -> None:

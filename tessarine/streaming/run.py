@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessarine.shared import work_path
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, or in a local one only where none is configured, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        return f"file://{tempfile.mkdtemp(prefix='tessarine-')}/{label}"
-    return f"{base.rstrip('/')}/tessarine-{uuid.uuid4().hex[:12]}-{label}"
+    """A new path in the shared folder."""
+    return work_path(spark, label)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows of a stream up to now, through a Parquet sink. Update and complete modes keep each batch's rows."""
+def _writer(stream: DataFrame, mode: str, out: str):
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = scratch(spark, "sink")
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "log")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "log"))
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All rows of a stream up to now, through a Parquet sink. Update and complete modes keep each batch's rows."""
+    out = scratch(stream.sparkSession, "sink")
+    _writer(stream, mode, out).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def drain_idle(stream: DataFrame, mode: str = "append", poll_seconds: float = 0.3) -> DataFrame:
+    """The same for state on processing time, which runs batches without end: it stops after the first one without input."""
+    out = scratch(stream.sparkSession, "sink")
+    query = _writer(stream, mode, out).trigger(processingTime="0 seconds").start()
+    while query.isActive and not any(p["numInputRows"] == 0 for p in query.recentProgress):
+        time.sleep(poll_seconds)
+    if query.exception() is not None:
+        raise query.exception()
+    query.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
