@@ -1,57 +1,16 @@
-"""Shared working tables and joins that stay even when one key holds a large part of the rows."""
+"""Joins that stay even when one key holds a large part of the rows, and the shared working tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_PARTS = 1000
-"""A key is hot when it holds 1/HOT_PARTS of all rows, so at most HOT_PARTS keys are hot."""
-
-_made: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        there = sc._jsc.sc().getCheckpointDir()
-        if there.isEmpty():
-            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessarine-"))
-            there = sc._jsc.sc().getCheckpointDir()
-        base = there.get()
-    return base.rstrip("/")
+from tessarine.shared import free, materialize, shared_dir, work_path
 
+__all__ = ["free", "join_counted", "materialize", "shared_dir", "work_path"]
 
-def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; what was written there goes when the driver's Python ends."""
-    if not _made:
-        atexit.register(_clear, spark)
-    path = f"{shared_dir(spark)}/tessarine-{uuid.uuid4().hex[:12]}-{label}"
-    _made.add(path)
-    return path
-
-
-def _clear(spark: SparkSession) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        for path in _made:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is already gone: the folder's owner clears it
-        return
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+HOT_PARTS = 1000
+"""A key is hot when it holds 1/HOT_PARTS of all rows, so at most HOT_PARTS keys are hot."""
 
 
 def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
