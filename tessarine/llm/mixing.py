@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms, in DataFrame functions only.
 
-Every document has a 60-bit hash. A source takes whole rounds of itself while its target allows, and of the last round
+Every row has a 60-bit hash: 40 bits of what it says, then 20 of its place, which only tell equal rows apart. A source takes whole rounds of itself while its target allows, and of the last round
 the documents with the smallest hashes whose sizes fit. That threshold is found without sorting: sizes are summed by
 source and the leading 12 bits of the hash, the running sum names the bucket in which the budget ends, and only that
 bucket is summed again by the next 12 bits.
@@ -25,9 +25,11 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")).cast("long")
 
 
-def spread_hash(doc_id: Column) -> Column:
-    """60 bits of the id's MD5; null counts as an empty id."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def spread_hash(doc_id: Column, text: Column) -> Column:
+    """40 bits of the MD5 of id and text, nulls counting as empty, and 20 bits by the row's place."""
+    said = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    own = F.conv(F.substring(F.md5(said.cast("binary")), 1, 10), 16, 10).cast("long")
+    return F.shiftleft(own, 20) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -80,11 +82,11 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
 def plan_mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of ``docs`` (doc_id, text, source).
 
-    Size is the number of words; a null text has none. Null is a source of its own. Rows with equal doc_id share a
-    hash and are taken together, so they split a budget only as a whole. A source of empty texts has target 0. The
-    hash depends on the doc_id alone, so reruns agree. No rows give no rows.
+    Size is the number of words; a null text has none. Null is a source of its own. Repeated ids and null ids are rows
+    like others; of equal rows as many are taken as fit. A source of empty texts has target 0. Hashes depend on id and
+    text, but between equal rows, so reruns agree. No rows give no rows.
     """
-    return _planned(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), spread_hash(F.col("doc_id")).alias("h"))).select(
+    return _planned(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), spread_hash(F.col("doc_id"), F.col("text")).alias("h"))).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 
@@ -106,7 +108,7 @@ def _planned(sized: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it: not at all, once or twice. Rows without words stay once."""
     names = docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "source", n_words(F.col("text")).alias("size"), spread_hash(F.col("doc_id")).alias("h"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "source", n_words(F.col("text")).alias("size"), spread_hash(F.col("doc_id"), F.col("text")).alias("h"))
     planned = _planned(whole)
     times = F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int"))
     return planned.filter(times > 0).select(F.explode(F.array_repeat("row", times)).alias("row")).select("row.*")
