@@ -134,11 +134,12 @@ def _ids(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _sets_of(classes: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def _sets_of(classes: DataFrame, docs: DataFrame, firsts: DataFrame, repeated_ids: bool) -> DataFrame:
     """(cls, shingles) of the given classes, from the whole text of each class's first document."""
     wanted = materialize(firsts.join(classes.select("cls"), "cls", "left_semi").select("doc_id").distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(_ids(wanted), "doc_id", "left_semi")
-    return materialize(texts.mapInArrow(_full_sets, "cls long, shingles array<long>"), "sets")
+    sets = texts.mapInArrow(_full_sets, "cls long, shingles array<long>")
+    return materialize(sets.dropDuplicates(["cls"]) if repeated_ids else sets, "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,10 +199,11 @@ def _in_reach(opened: DataFrame, sets: DataFrame) -> DataFrame:
     return join_counted(each, spread, "shingle", total).groupBy("cls").agg(F.count(F.lit(1)).alias("reach"))
 
 
-def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(rows: DataFrame, turn: int, total: int) -> DataFrame:
     """Each class against one class of its key, another in each key and turn, where roots differ: linear in the rows."""
-    hubs = rows.groupBy("key").agg(F.min_by(F.struct(F.col("cls").alias("of"), F.col("root").alias("of_root"), F.col("n_shingles").alias("of_n"), F.col("reach").alias("of_reach")), F.xxhash64("key", "cls", F.lit(turn))).alias("hub"))
-    met = rows.join(hubs.select("key", "hub.*"), "key").filter((F.col("root") != F.col("of_root")) & _may_link())
+    hubs = rows.groupBy("key").agg(F.min_by(F.struct(F.col("cls").alias("of"), F.col("root").alias("of_root"), F.col("n_shingles").alias("of_n"), F.col("reach").alias("of_reach")), F.xxhash64("key", "cls", F.lit(turn))).alias("hub"), F.count(F.lit(1)).alias("n_rows"))
+    hubs = materialize(hubs.select("key", "hub.*", "n_rows"), "turn-hubs")
+    met = join_counted(rows, hubs, "key", total).filter((F.col("root") != F.col("of_root")) & _may_link())
     return met.select(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b")).distinct()
 
 
@@ -210,7 +212,7 @@ def _may_link() -> F.Column:
     return overlap & _alike_size()
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, total: int) -> DataFrame:
     """Pairs within a key whose roots differ, whose sizes are near enough and whose reaches allow a link.
 
     A key's rows are dealt to blocks of about SPLIT_ABOVE and each block pair is a join key of its own, so one large
@@ -218,7 +220,8 @@ def _across(rows: DataFrame) -> DataFrame:
     keys leaves it once, at the first of them.
     """
     of_key = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
-    sized = rows.join(of_key.filter("low < high"), "key")
+    of_key = materialize(of_key.filter("low < high").select("key", "rows", F.col("rows").alias("n_rows")), "open-keys")
+    sized = join_counted(rows, of_key, "key", total)
     blocks = F.ceil(F.col("rows") / SPLIT_ABOVE).cast("int")
     dealt = sized.select("key", "cls", "root", "n_shingles", "reach", "bits", "keys", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
     left = dealt.withColumn("to", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).withColumnRenamed("block", "from").drop("blocks")
@@ -244,7 +247,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = materialize(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, cls long, sig binary"), "signatures")
     part = base.filter("doc_id is not null and cls is not null")
     classes = materialize(part.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_rows")), "classes")
-    total = part.count()
+    total, n_ids = part.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    repeated = n_ids < total
 
     entries = part.select("cls", "sig").mapInArrow(_index, "key long, cls long")
     hubs = materialize(entries.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("n_rows")).filter("hub < high").drop("high"), "hubs")
@@ -258,16 +262,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs = members.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     pairs = materialize(sized(pairs), "pairs")
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, firsts)
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, firsts, repeated)
     links = materialize(_linked(pairs, sets), "links")
     roots = components(links) if not links.isEmpty() else None
 
     rows = _rooted(members.select("key", "cls"), roots)
-    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_ = materialize(rows.join(split, "key"), "open")
-    if not open_.isEmpty():
+    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n_rows")).filter("low < high").select("key", "n_rows")
+    open_ = materialize(join_counted(rows, materialize(split, "open-keys"), "key", total * _K), "open")
+    n_open = open_.count()
+    if n_open:
         opened = materialize(open_.select("cls", "root").distinct(), "opened")
-        sets = _sets_of(opened, docs, firsts)
+        sets = _sets_of(opened, docs, firsts, repeated)
         reach = materialize(_in_reach(opened, sets).join(size_of, "cls").filter(100 * F.col("reach") >= PERCENT * F.col("n_shingles")), "reach")
         sketches = sets.join(reach.select("cls"), "cls").mapInArrow(_sketch, "cls long, bits array<long>").dropDuplicates(["cls"])
         own = open_.groupBy("cls").agg(F.sort_array(F.collect_list("key")).alias("keys"))
@@ -275,7 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows = open_.drop("root").join(reach, "cls")
         for turn in range(HUB_TURNS + 1):
             rooted = _rooted(rows, roots)
-            found = _hub_pairs(rooted, turn) if turn < HUB_TURNS else _across(rooted.join(marked.select("cls", "bits", "keys"), "cls"))
+            found = _hub_pairs(rooted, turn, n_open) if turn < HUB_TURNS else _across(rooted.join(marked.select("cls", "bits", "keys"), "cls"), n_open)
             fresh = materialize(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
             if fresh.isEmpty():
                 continue
