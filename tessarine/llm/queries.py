@@ -51,7 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": _over("documents", lambda docs: pack_documents(docs, tokenizer_path())),
         "op5_lm_scores": _over("documents", score_documents),
         "op6_warc_round_trip": _over("pages", archive_round_trip),
-        "op7_perspectives": _over("conversations", lambda turns: rotate_perspectives(turns).select("conv_id", "speaker", "part", "n_turns", "text", F.col("spans.start").alias("span_starts"), F.col("spans.end").alias("span_ends"))),
+        "op7_perspectives": _over("conversations", lambda turns: rotate_perspectives(turns).select("conv_id", "speaker", "part", "piece", "n_turns", "text", F.col("spans.start").alias("span_starts"), F.col("spans.end").alias("span_ends"))),
         "op8_mixing": _over("documents", plan_mix),
         "op9_html_text": _over("pages", extract_text),
         "op10_exact_top_k": _over("embeddings", top_k),
@@ -78,15 +78,17 @@ f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= {LEAST_BYTES} GROUP BY h
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.h = f.h AND n >= {LEAST_BYTES}"""
 
+_SAFE = "replace(coalesce({}, '{}'), '<|', '<\\|')"
 _CHAT = f"""WITH people AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role <> '{INSTRUCTIONS}'),
-t AS (SELECT conv_id, speaker, CAST(coalesce(floor(turn / {PART_TURNS}), 0) AS BIGINT) AS part, turn, role, '<|' || CASE WHEN role = speaker THEN 'assistant' WHEN role = '{INSTRUCTIONS}' THEN 'system' ELSE 'user name=' || coalesce(role, 'unknown') END || '|>' || chr(10) AS head,
-  coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS body, coalesce(role = speaker, false) AS trained FROM conversations JOIN people USING (conv_id)),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role NULLS FIRST, body ROWS UNBOUNDED PRECEDING) AS stop FROM t)
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY stop) AS text,
-  coalesce(list(CAST(stop - length(body) AS BIGINT) ORDER BY stop) FILTER (WHERE trained), []) AS span_starts, coalesce(list(CAST(stop AS BIGINT) ORDER BY stop) FILTER (WHERE trained), []) AS span_ends FROM o GROUP BY conv_id, speaker, part"""
+t AS (SELECT conv_id, speaker, CAST(coalesce(floor(turn / {PART_TURNS}), 0) AS BIGINT) AS part, turn, role, '<|' || CASE WHEN role = speaker THEN 'assistant' WHEN role = '{INSTRUCTIONS}' THEN 'system' ELSE 'user name=' || {_SAFE.format('role', 'unknown')} END || '|>' || chr(10) AS head,
+  {_SAFE.format('text', '')} || chr(10) || '<|end|>' || chr(10) AS body, coalesce(role = speaker, false) AS trained, piece
+  FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id, coalesce(floor(turn / {PART_TURNS}), 0) ORDER BY turn NULLS FIRST, role NULLS FIRST, {_SAFE.format('text', '')}) - 1) // {PART_TURNS} AS piece FROM conversations) JOIN people USING (conv_id)),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY turn NULLS FIRST, role NULLS FIRST, body ROWS UNBOUNDED PRECEDING) AS stop FROM t)
+SELECT conv_id, speaker, part, piece, count(*) AS n_turns, string_agg(head || body, '' ORDER BY stop) AS text,
+  coalesce(list(CAST(stop - length(body) AS BIGINT) ORDER BY stop) FILTER (WHERE trained), []) AS span_starts, coalesce(list(CAST(stop AS BIGINT) ORDER BY stop) FILTER (WHERE trained), []) AS span_ends FROM o GROUP BY conv_id, speaker, part, piece"""
 
 _MIX = rf"""WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 10) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
 l AS (SELECT *, 1.5e0 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS others FROM s
   WINDOW b AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
