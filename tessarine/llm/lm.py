@@ -44,7 +44,8 @@ CONCENTRATION = 30.0
 _END = np.uint64(0x5BD1E9955BD1E995)
 _UNI, _BI = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x9B05688C2B3E6C1F)
 _KIND = np.uint64(1)
-_SLICE = 12 << 20
+_COUNT_SLICE, _SCORE_SLICE = 8 << 20, 3 << 20
+"""Bytes of text that a worker counts or scores at a time."""
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -83,7 +84,7 @@ def _count(segments: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             learnt = batch.filter(pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()], pa.bool_()))
-            for some in slices(learnt, "text", _SLICE):
+            for some in slices(learnt, "text", _COUNT_SLICE):
                 toks, starts = tokens(some.column("text"))
                 keys, n = np.unique(np.concatenate([unigram_keys(toks), pair_keys(contexts(toks, starts), toks)]), return_counts=True)
                 segment = segments_of(keys, segments)
@@ -256,7 +257,7 @@ def _score(shared, hot, smoothing: Smoothing, base_over: float):
         filter_ = shared.value if shared else None
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for some in slices(batch, "text", _SLICE):
+            for some in slices(batch, "text", _SCORE_SLICE):
                 ids = some.column("doc_id").to_pylist()
                 toks, starts = tokens(some.column("text"))
                 ends = np.append(starts[1:], len(toks))
