@@ -214,9 +214,13 @@ def n_segments(text_bytes: int) -> int:
 
 def gather_filter(kept: DataFrame, segments: int) -> CountFilter:
     """The filter on the driver, for filters of up to BROADCAST_BYTES."""
-    own = {r.segment: np.frombuffer(bytes(r.bits), np.uint8) for r in kept.toLocalIterator()}
-    parts = [own.get(i, np.empty(0, np.uint8)) for i in range(segments)]
-    return CountFilter(np.concatenate(parts), np.array([8 * len(p) for p in parts]))
+    sizes = np.zeros(segments, np.int64)
+    for r in kept.select("segment", F.octet_length("bits").alias("n")).collect():
+        sizes[r.segment] = r.n
+    bits, starts = np.empty(sizes.sum(), np.uint8), np.cumsum(sizes) - sizes
+    for r in kept.toLocalIterator():
+        bits[starts[r.segment] : starts[r.segment] + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return CountFilter(bits, 8 * sizes)
 
 
 class Smoothing:

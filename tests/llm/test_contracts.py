@@ -10,17 +10,14 @@ from collections import Counter
 
 import compare
 import numpy as np
+import plain
 import pytest
+from plain import linked_components, lowered
 
 from tessarine.llm import lm
 from tessarine.llm import queries as registered
 
 QUERIES, SQL = registered.queries(), registered.oracle_sql()
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def lowered(text):
-    return [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text or "")]
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -33,30 +30,6 @@ def docs(spark, small):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
 
 
-def shingle_set(text):
-    w = lowered(text)
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
-
-def linked_components(docs):
-    sets = {i: shingle_set(t) for i, t in docs}
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            n = len(sets[a] & sets[b])
-            if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {i: (len(sets[i]), find(i)) for i in ids}
-
-
 def test_near_duplicates(spark, small, docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op1_near_duplicates"](spark, small).collect()}
     assert got == linked_components(docs)
@@ -119,35 +92,73 @@ def test_html_articles(spark, small):
 
 
 def test_substrings(spark, small, docs):
-    """Kept text and removed spans make up each document; what is removed stands elsewhere; long copies are caught."""
-    texts = dict(docs)
-    whole = {i: lowered(t) for i, t in docs}
-    first = {}
-    for i in sorted(whole):
-        for k in range(len(whole[i]) - 79):
-            first.setdefault(tuple(whole[i][k : k + 80]), (i, k))
-    for r in QUERIES["op3_substring_dedup"](spark, small).collect():
-        text, gone = texts[r.doc_id], [(s.start, s.end) for s in r.spans]
-        kept, at = "", 0
-        for start, end in gone:
-            kept, at = kept + text[at:start], end
+    """The same text as by plain chunking; kept text and removed spans make up each document."""
+    texts, want = dict(docs), plain.without_repeats(docs)
+    rows = QUERIES["op3_substring_dedup"](spark, small).collect()
+    assert {r.doc_id: r.text for r in rows} == want and any(want[i] != t for i, t in docs)
+    for r in rows:
+        text, kept, at = texts[r.doc_id], "", 0
+        for s in r.spans:
+            kept, at = kept + text[at : s.start], s.end
         assert kept + text[at:] == r.text
-        copied = [k for k in range(len(whole[r.doc_id]) - 79) if first[tuple(whole[r.doc_id][k : k + 80])] != (r.doc_id, k)]
-        assert gone or not copied
 
 
-def test_pipeline(spark, small):
+def test_removed_words_stand_elsewhere(spark, docs):
+    """Of all removed words, at most a hundredth lies in no run of ten words that stands twice in the table."""
+    runs = Counter(tuple(w[k : k + 10]) for _, t in docs for w in [plain.words(t)] for k in range(len(w) - 9))
+    gone = lone = 0
+    for r in repeats_of(spark, docs):
+        w = plain.words(dict(docs)[r.doc_id])
+        twice = {k + j for k in range(len(w) - 9) if runs[tuple(w[k : k + 10])] > 1 for j in range(10)}
+        at = [m.start() for m in plain.WORD.finditer(dict(docs)[r.doc_id] or "")]
+        own = [k for k, a in enumerate(at) if any(s.start <= a < s.end for s in r.spans)]
+        gone, lone = gone + len(own), lone + sum(k not in twice for k in own)
+    assert gone > 0 and lone <= 0.01 * gone
+
+
+def repeats_of(spark, docs):
+    from tessarine.llm.substring import remove_repeats
+
+    return remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).select("row.doc_id", "spans").collect()
+
+
+def test_pipeline(spark, duck, small):
+    """run() against plain versions of all its stages."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    every = spark.read.parquet(f"{small}/documents.parquet")
+    good = {i for i, kept in duck.execute(f"SELECT doc_id, kept FROM ({SQL['op2_quality_rules']})").fetchall() if kept}
+    rows = [(r.doc_id, r.text, r.source) for r in every.collect() if r.doc_id in good]
+    roots = linked_components([r[:2] for r in rows])
+    rows = [r for r in rows if roots[r[0]][1] == r[0]]
+    texts = plain.without_repeats([r[:2] for r in rows])
+    rows = [(i, texts[i], source) for i, _, source in rows]
+    tokenizer, taken, want = Tokenizer.from_file(registered.tokenizer_path()), plain.mixed(rows), Counter()
+    for i, text, _ in rows:
+        for piece, own in enumerate(plain.pieces(text, tokenizer)):
+            want[i, piece, *own] += taken[i]
+    packed = corpus_pipeline.run(spark, small).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == +want and 0 < len(good) < every.count() and len(rows) < len(good)
+    rooms = Counter()
+    for r in packed:
+        rooms[r.sequence_id] += r.length
+    assert max(rooms.values()) <= 2048 and len(rooms) <= math.ceil(sum(rooms.values()) / 2048) * 1.02 + 1
+    assert all(stage(spark, every, small).columns == every.columns for _, stage in corpus_pipeline.STAGES[:-1])
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """No rows give no rows; null and empty texts, null ids, repeated rows and more columns pass through every stage."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    names = docs.columns
-    sizes = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, small)
-        assert docs.columns == names, name
-        docs = spark.createDataFrame(docs.collect(), docs.schema)
-        sizes.append(docs.count())
-    good = {r.doc_id for r in QUERIES["op2_quality_rules"](spark, small).collect() if r.kept}
-    assert {r.doc_id for r in docs.collect()} <= good and sizes[0] > sizes[1] > sizes[2] == sizes[3]
-    packed = corpus_pipeline.run(spark, small)
-    assert sorted(Counter(r.doc_id for r in packed.filter("piece = 0").collect()).items()) == sorted(Counter(r.doc_id for r in docs.collect()).items())
+    text = " ".join(f"{('the', 'of', 'and', 'to')[k % 4]} word{k}" for k in range(60))
+    rows = [(1, text, "s0", 1), (1, text, "s0", 1), (None, text + " x", None, 2), (3, None, "s0", 3), (4, "", "s1", 4), (5, "z " + text[::-1], "s1", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    for some in (docs, docs.limit(0)):
+        path = str(tmp_path / str(some.count()))
+        some.write.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, some, path).columns == docs.columns
+        packed = corpus_pipeline.run(spark, path).collect()
+        assert ({r.doc_id for r in packed} <= {1, None}) and (len(packed) > 0) == (some is docs)
