@@ -102,6 +102,40 @@ def test_cache_clear_refuses(spark):
     assert retrieval.cache_clear(cache, everything=True).count() == 0 and retrieval.cache_clear(cache, 1, "x").count() == 1
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_tenant_scope_on_buckets(spark, tmp_path, kind):
+    """Each tenant gets its own rows and one partition folder is read, whatever the type of the ids."""
+    rows = spark.range(40).select((F.col("id") % 4).cast(kind).alias("organization_id"), (F.col("id") % 7).alias("repository_id"), "id")
+    src.replace_repository_chunks(rows, str(tmp_path / "t"))
+    kept = spark.read.parquet(str(tmp_path / "t"))
+    for tenant in range(4):
+        own = lineage.tenant_scope(kept, tenant)
+        assert sorted(r.id for r in own.collect()) == list(range(tenant, 40, 4))
+        assert "PartitionFilters: [isnotnull(org_bucket" in own._jdf.queryExecution().toString()
+
+
+def test_chunking_is_linear_in_lines(spark):
+    text = "\n".join("" if i % 9 == 0 else f"line {i}" for i in range(20_000))
+    got = chunking.chunk_fixed(spark.createDataFrame([("p", text)], "path string, content string")).select("start_line", "end_line").collect()
+    assert [tuple(r) for r in got] == spans_by_loop(text.split("\n"), 50, 5)
+
+
+def test_next_declarations_and_ancestors(spark):
+    text = "class A:\n    def f(self):\n        def g():\n            pass\n    def h(self):\n        pass\ndef k():\n    pass"
+    rows = chunking.extract_definitions(spark.createDataFrame([("p", "python", text)], "path string, language string, content string"))
+    assert sorted((r.name, r.start_line, r.end_line) for r in rows.collect()) == [("A", 1, 6), ("f", 2, 4), ("g", 3, 4), ("h", 5, 6), ("k", 7, 8)]
+    chains = {r.name: r.ancestor_chain for r in chunking.ancestors(rows.select("path", "name", "start_line", "end_line")).collect()}
+    assert chains == {"A": [], "f": ["A"], "g": ["A", "f"], "h": ["A"], "k": []}
+
+
+def test_routes_need_the_action(spark):
+    from tessarine.streaming.events import route_events
+
+    rows = [("installation", "created"), ("installation", "renamed"), ("push", None), (None, "created")]
+    got = route_events(spark.createDataFrame(rows, "event string, action string")).collect()
+    assert [r.handler for r in got] == ["installation_created", "ignored", "push", "ignored"]
+
+
 def test_one_live_job(spark):
     live = spark.createDataFrame([(1, 7, "running", False)], "repository_id long, job_id long, state string, needs_rerun boolean")
     asked = spark.createDataFrame([(1,), (1,), (2,), (2,)], "repository_id long")

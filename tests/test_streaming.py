@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import json
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessarine.operators import chunking
 from tessarine.streaming import events as t
-from tessarine.streaming.run import drain, scratch
+from tessarine.streaming.run import drain, drain_idle, scratch
 
 DDL = "delivery_id long, event string, installation long, received_at timestamp, outcome string"
 
@@ -43,13 +45,32 @@ def test_stream_chunks(spark, tmp_path):
     assert sorted(out) == [("a.py", 1, 2), ("b.py", 1, 1)]
 
 
+def test_semantic_cache(spark, tmp_path):
+    """Queries in order of id are answered by the nearest earlier miss of their scope."""
+    rng = np.random.default_rng(5)
+    rows = [(i % 2, "r", i, rng.normal(size=6).tolist()) for i in range(60)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps(dict(zip(("organization", "repository", "query_id", "embedding"), r, strict=True))) for r in rows))
+    stream = spark.readStream.schema("organization long, repository string, query_id long, embedding array<double>").json(str(tmp_path / "in"))
+    want, known = {}, {0: [], 1: []}
+    for org, _, i, v in rows:
+        unit = np.array(v) / np.linalg.norm(v)
+        best = max(((float(unit @ w), -k) for k, w in known[org]), default=(0.0, 0))
+        want[i] = -best[1] if best[0] >= 0.6 else None
+        if want[i] is None:
+            known[org].append((i, unit))
+    got = drain_idle(t.stream_semantic_cache(stream, 0.6)).collect()
+    assert {r.query_id: r.cached_id for r in got} == want and all(r.hit == (r.cached_id is not None) for r in got) and any(r.hit for r in got)
+
+
 def test_udtf_is_the_fold(spark):
     chunking.register_udtf(spark)
-    text = "\n".join("" if i % 9 == 0 else f"l{i}" for i in range(60))
-    df = spark.createDataFrame([("p", text)], "path string, content string")
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(["", " ", "x", f"l{i}"]) for i in range(rng.randrange(90))) for _ in range(60)]
+    df = spark.createDataFrame([(str(i), text) for i, text in enumerate(texts)], "path string, content string")
     df.createOrReplaceTempView("udtf_files")
-    got = [(r.start_line, r.end_line) for r in spark.sql("SELECT c.* FROM udtf_files, LATERAL chunk_fixed(content, 12, 2) c").collect()]
-    assert got == [(r.start_line, r.end_line) for r in chunking.chunk_fixed(df, 12, 2).orderBy("start_line").collect()]
+    got = sorted(tuple(r) for r in spark.sql("SELECT path, c.* FROM udtf_files, LATERAL chunk_fixed(content, 12, 2) c").collect())
+    assert got == sorted(tuple(r) for r in chunking.chunk_fixed(df, 12, 2).select("path", "start_line", "end_line", "content").collect())
 
 
 def test_batch_twins(spark):
