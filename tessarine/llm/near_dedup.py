@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessarine.llm._text import hashed_words, mix, ngrams, slices
-from tessarine.llm._work import join_counted, materialize
+from tessarine.llm._work import HOT_PARTS, join_counted, materialize
 
 SHINGLE = 5
 PERCENT = 75
@@ -142,10 +142,26 @@ def _sets_of(classes: DataFrame, docs: DataFrame, firsts: DataFrame, repeated_id
     return materialize(sets.dropDuplicates(["cls"]) if repeated_ids else sets, "sets")
 
 
+def _beside(rows: DataFrame, facts: DataFrame, side: str, pairs: DataFrame, total: int) -> DataFrame:
+    """``rows`` (a, b, ...), a row for each of ``pairs``, with the row of ``facts`` for their class in column ``side``.
+
+    A class in 1/HOT_PARTS of all ``total`` pairs is one of at most 2 * HOT_PARTS; its pairs are dealt to blocks by
+    their other class and its facts repeated for each block.
+    """
+    least = max(SPLIT_ABOVE, total // HOT_PARTS)
+    counted = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n_pairs")).filter(F.col("n_pairs") >= least)
+    hot = F.broadcast(counted.select(side, F.ceil(F.col("n_pairs") / least).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("b" if side == "a" else "a"), F.col("blocks")).cast("int")
+    dealt = rows.join(hot, side, "left").withColumn("block", F.coalesce(block, F.lit(0))).drop("blocks")
+    each = facts.withColumnRenamed("cls", side).join(hot, side, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    return dealt.join(each, [side, "block"]).drop("block")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose full sets link."""
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b")), "b")
+    """Of pairs (a, b) of classes, a written table, those whose full sets link."""
+    total = pairs.count()
+    left = _beside(pairs, sets.select("cls", F.col("shingles").alias("of_a")), "a", pairs, total)
+    both = _beside(left, sets.select("cls", F.col("shingles").alias("of_b")), "b", pairs, total)
     shared = F.size(F.array_intersect("of_a", "of_b"))
     linked = 100 * shared >= PERCENT * (F.size("of_a") + F.size("of_b") - shared)
     return both.filter(linked).select("a", "b").distinct()
@@ -199,10 +215,20 @@ def _in_reach(opened: DataFrame, sets: DataFrame) -> DataFrame:
     return join_counted(each, spread, "shingle", total).groupBy("cls").agg(F.count(F.lit(1)).alias("reach"))
 
 
+def _of_entry(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """``rows`` (key, cls, blocks, ...) with the row of ``entries`` (key, blocks, ...) for their key.
+
+    An entry's rows are dealt to its blocks, so a large one spreads over many tasks.
+    """
+    each = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(each, ["key", "block"]).drop("block")
+
+
 def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """Each class against one class of its key, another in each key and turn, where roots differ: linear in the rows."""
-    hubs = rows.groupBy("key").agg(F.min_by(F.struct(F.col("cls").alias("of"), F.col("root").alias("of_root"), F.col("n_shingles").alias("of_n"), F.col("reach").alias("of_reach")), F.xxhash64("key", "cls", F.lit(turn))).alias("hub"))
-    met = rows.join(hubs.select("key", "hub.*"), "key").filter((F.col("root") != F.col("of_root")) & _may_link())
+    hub = F.struct(F.col("cls").alias("of"), F.col("root").alias("of_root"), F.col("n_shingles").alias("of_n"), F.col("reach").alias("of_reach"))
+    hubs = rows.groupBy("key").agg(F.max("blocks").alias("blocks"), F.min_by(hub, F.xxhash64("key", "cls", F.lit(turn))).alias("hub"))
+    met = _of_entry(rows, hubs.select("key", "blocks", "hub.*")).filter((F.col("root") != F.col("of_root")) & _may_link())
     return met.select(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b")).distinct()
 
 
@@ -218,8 +244,8 @@ def _across(rows: DataFrame) -> DataFrame:
     entry spreads over many tasks. Pairs that can't link are dropped inside the join, and a pair that shares several
     keys leaves it once, at the first of them.
     """
-    of_key = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
-    sized = rows.join(of_key.filter("low < high"), "key")
+    of_key = rows.groupBy("key").agg(F.max("blocks").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
+    sized = _of_entry(rows, of_key.filter("low < high"))
     blocks = F.ceil(F.col("rows") / SPLIT_ABOVE).cast("int")
     dealt = sized.select("key", "cls", "root", "n_shingles", "reach", "bits", "keys", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
     left = dealt.withColumn("to", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).withColumnRenamed("block", "from").drop("blocks")
@@ -250,23 +276,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     entries = part.select("cls", "sig").mapInArrow(_index, "key long, cls long")
     hubs = materialize(entries.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("n_rows")).filter("hub < high").drop("high"), "hubs")
-    members = materialize(join_counted(entries, hubs, "key", total * _K).select("key", "cls", "hub").distinct(), "members")
+    sized_hubs = hubs.withColumn("blocks", F.ceil(F.col("n_rows") / SPLIT_ABOVE).cast("int"))
+    members = materialize(join_counted(entries, sized_hubs, "key", total * _K).select("key", "cls", "hub", "blocks").distinct(), "members")
     firsts = classes.select("cls", F.col("first_id").alias("doc_id"))
     size_of = classes.select("cls", "n_shingles")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        a, b = size_of.toDF("a", "n_shingles"), size_of.toDF("b", "of_n")
-        return pairs.join(a, "a").join(b, "b").filter(_alike_size()).select("a", "b")
-
-    pairs = members.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    pairs = materialize(sized(pairs), "pairs")
+    pairs = materialize(members.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    with_a = _beside(pairs, size_of, "a", pairs, pairs.count())
+    pairs = materialize(with_a.join(size_of.select(F.col("cls").alias("b"), F.col("n_shingles").alias("of_n")), "b").filter(_alike_size()).select("a", "b"), "pairs")
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, firsts, repeated)
     links = materialize(_linked(pairs, sets), "links")
     roots = components(links) if not links.isEmpty() else None
 
-    rows = _rooted(members.select("key", "cls"), roots)
-    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_ = materialize(rows.join(split, "key"), "open")
+    rows = _rooted(members.select("key", "cls", "blocks"), roots)
+    split = rows.groupBy("key").agg(F.max("blocks").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "blocks")
+    open_ = materialize(_of_entry(rows, split), "open")
     if not open_.isEmpty():
         opened = materialize(open_.select("cls", "root").distinct(), "opened")
         sets = _sets_of(opened, docs, firsts, repeated)

@@ -46,8 +46,10 @@ def test_components_of_a_path(spark):
     assert {(r.node, r.root) for r in near_dedup.components(edges).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (101, 100)}
 
 
-def test_loose_group_of_copies(spark):
-    """A large group of which the hub links to a part only."""
+@pytest.mark.parametrize("split", [256, 4])
+def test_loose_group_of_copies(spark, monkeypatch, split):
+    """A large group of which the hub links to a part only, in one block and in several."""
+    monkeypatch.setattr(near_dedup, "SPLIT_ABOVE", split)
     base = [f"b{k}" for k in range(200)]
     rows = []
     for i in range(60):
