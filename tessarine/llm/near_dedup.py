@@ -142,16 +142,16 @@ def _sets_of(classes: DataFrame, docs: DataFrame, firsts: DataFrame, repeated_id
     return materialize(sets.dropDuplicates(["cls"]) if repeated_ids else sets, "sets")
 
 
-def _beside(rows: DataFrame, facts: DataFrame, side: str, pairs: DataFrame, total: int) -> DataFrame:
-    """``rows`` (a, b, ...), a row for each of ``pairs``, with the row of ``facts`` for their class in column ``side``.
+def _beside(rows: DataFrame, facts: DataFrame, side: str, other: str, counted: DataFrame, total: int) -> DataFrame:
+    """``rows`` (side, other, ...) with the row of ``facts`` (cls, ...) for the class in column ``side``.
 
-    A class in 1/HOT_PARTS of all ``total`` pairs is one of at most 2 * HOT_PARTS; its pairs are dealt to blocks by
-    their other class and its facts repeated for each block.
+    ``counted`` holds the same values of ``side`` as ``rows``. A class in 1/HOT_PARTS of ``total`` rows is one of at
+    most 2 * HOT_PARTS; its rows are dealt to blocks by column ``other`` and its facts repeated for each block.
     """
     least = max(SPLIT_ABOVE, total // HOT_PARTS)
-    counted = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n_pairs")).filter(F.col("n_pairs") >= least)
-    hot = F.broadcast(counted.select(side, F.ceil(F.col("n_pairs") / least).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("b" if side == "a" else "a"), F.col("blocks")).cast("int")
+    often = counted.groupBy(side).agg(F.count(F.lit(1)).alias("n_pairs")).filter(F.col("n_pairs") >= least)
+    hot = F.broadcast(often.select(side, F.ceil(F.col("n_pairs") / least).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64(other), F.col("blocks")).cast("int")
     dealt = rows.join(hot, side, "left").withColumn("block", F.coalesce(block, F.lit(0))).drop("blocks")
     each = facts.withColumnRenamed("cls", side).join(hot, side, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
     return dealt.join(each, [side, "block"]).drop("block")
@@ -160,34 +160,38 @@ def _beside(rows: DataFrame, facts: DataFrame, side: str, pairs: DataFrame, tota
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of classes, a written table, those whose full sets link."""
     total = pairs.count()
-    left = _beside(pairs, sets.select("cls", F.col("shingles").alias("of_a")), "a", pairs, total)
-    both = _beside(left, sets.select("cls", F.col("shingles").alias("of_b")), "b", pairs, total)
+    left = _beside(pairs, sets.select("cls", F.col("shingles").alias("of_a")), "a", "b", pairs, total)
+    both = _beside(left, sets.select("cls", F.col("shingles").alias("of_b")), "b", "a", pairs, total)
     shared = F.size(F.array_intersect("of_a", "of_b"))
     linked = 100 * shared >= PERCENT * (F.size("of_a") + F.size("of_b") - shared)
     return both.filter(linked).select("a", "b").distinct()
 
 
+def _followed(up: DataFrame, to: DataFrame, total: int) -> DataFrame:
+    """``up`` (node, root), each root replaced by its own root in ``to`` (node, root), which holds every root of ``up``."""
+    step = to.select(F.col("node").alias("cls"), F.col("root").alias("next"))
+    return _beside(up, step, "root", "node", up, total).select("node", F.col("next").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of edges (a, b): root is the smallest node reachable.
+    """(node, root) for all nodes of edges (a, b), a written table: root is the smallest node reachable.
 
-    Each round hooks every node to its smallest neighbour, follows pointers twice and contracts; a path of n nodes
-    takes about log n rounds.
+    Each round hooks every node to its smallest neighbour, follows pointers once and contracts; a path of n nodes
+    takes about log n rounds. Rows of a node with many neighbours, or of a root of many nodes, are dealt to blocks.
     """
-    found = None
+    found, total = None, 2 * edges.count()
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-        for _ in range(2):
-            step = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            up = up.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        up = materialize(up, "roots")
+        up = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "hooked")
+        up = materialize(_followed(up, up, total), "roots")
         if found is None:
             found = up
         else:
-            step = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            joined = found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-            found = materialize(joined.union(up.join(found.select("node"), "node", "left_anti")), "roots")
-        near = edges.join(up.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+            # roots that met no other root keep themselves
+            still = found.select(F.col("root").alias("node")).distinct().join(up.select("node"), "node", "left_anti")
+            found = materialize(_followed(found, up.union(still.select("node", F.col("node").alias("root"))), total), "roots")
+        near = _beside(edges, up.select(F.col("node").alias("cls"), F.col("root").alias("x")), "a", "b", edges, total)
+        near = _beside(near, up.select(F.col("node").alias("cls"), F.col("root").alias("y")), "b", "a", edges, total)
         edges = materialize(near.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         if edges.isEmpty():
             return found
@@ -281,7 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = classes.select("cls", F.col("first_id").alias("doc_id"))
     size_of = classes.select("cls", "n_shingles")
     pairs = materialize(members.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    with_a = _beside(pairs, size_of, "a", pairs, pairs.count())
+    with_a = _beside(pairs, size_of, "a", "b", pairs, pairs.count())
     pairs = materialize(with_a.join(size_of.select(F.col("cls").alias("b"), F.col("n_shingles").alias("of_n")), "b").filter(_alike_size()).select("a", "b"), "pairs")
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, firsts, repeated)
     links = materialize(_linked(pairs, sets), "links")
@@ -309,8 +313,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             roots = components(links) if not links.isEmpty() else None
 
     answer = _rooted(classes, roots)
-    ids = answer.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    answer = materialize(answer.join(ids, "root").select("cls", "component_id", "n_rows"), "answer")
+    ids = answer.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
+    of_class = answer.select("root", "cls", F.col("n_rows").alias("copies"))
+    answer = materialize(join_counted(of_class, ids, "root", total).select("cls", "component_id", F.col("copies").alias("n_rows")), "answer")
     alone = base.filter("doc_id is null or cls is null").withColumn("component_id", F.col("doc_id")).drop("cls", "sig")
     done = join_counted(part.drop("sig"), answer, "cls", total).drop("cls").unionByName(alone)
     return done.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

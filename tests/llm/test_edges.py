@@ -46,6 +46,12 @@ def test_components_of_a_path(spark):
     assert {(r.node, r.root) for r in near_dedup.components(edges).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (101, 100)}
 
 
+def test_components_of_nodes_with_many_neighbours(spark):
+    star = [(5, i) for i in range(1000, 3000)] + [(i, 900_000 + i) for i in range(1000, 1400)] + [(2, 900_001 + 1000)]
+    edges = spark.createDataFrame(star, "a long, b long")
+    assert {(r.node, r.root) for r in near_dedup.components(edges).collect()} == {(x, 2) for pair in star for x in pair}
+
+
 @pytest.mark.parametrize("split", [256, 4])
 def test_loose_group_of_copies(spark, monkeypatch, split):
     """A large group of which the hub links to a part only, in one block and in several."""
