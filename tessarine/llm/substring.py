@@ -109,8 +109,8 @@ def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 own = np.unique(windows(raw)[3])
                 found.append(own)
                 counts.append(len(own))
-            ids = some.column("id").to_numpy(zero_copy_only=False)
-            yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(np.repeat(ids, counts), pa.int64())], ["digest", "id"])
+            ids, parts = (np.repeat(some.column(c).to_numpy(zero_copy_only=False), counts) for c in ("id", "part"))
+            yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(ids, pa.int64()), pa.array(parts, pa.int32())], ["digest", "id", "part"])
 
 
 def repeated_runs(ends: np.ndarray, first: np.ndarray, last: np.ndarray, digests: list[int], others: dict[int, int]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -169,14 +169,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     then found under their own names in a struct ``row``. No rows give no rows.
     """
     names = docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).dropFields("text").alias("row") if len(names) > 1 else F.lit(0).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"))
-    listed = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id")).mapInArrow(_list_windows, "digest long, id long")
+    # rows of one id are told apart by their texts, so that however many they are, no list holds more than one text's windows
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.hash("text").alias("part")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).dropFields("text").alias("row") if len(names) > 1 else F.lit(0).alias("row"), "text", *key)
+    listed = docs.select("text", *key).mapInArrow(_list_windows, "digest long, id long, part int")
     stat = listed.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n_rows"))
     shared = materialize(stat.filter("owner < last").drop("last"), "shared")
     total = shared.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     copies = join_counted(listed, shared, "digest", total).filter("id <> owner")
-    copied = materialize(copies.groupBy("id").agg(F.collect_list(F.struct("digest", "owner")).alias("copied")), "copies")
-    joined = whole.join(copied, "id", "left").select("row", "text", "copied")
+    copied = materialize(copies.groupBy("id", "part").agg(F.collect_set(F.struct("digest", "owner")).alias("copied")), "copies")
+    joined = whole.join(copied, ["id", "part"], "left").select("row", "text", "copied")
     kind = dict(zip(joined.columns, (f.dataType.simpleString() for f in joined.schema), strict=True))
     return joined.mapInArrow(_remove, f"row {kind['row']}, text string, spans array<struct<start:bigint,end:bigint>>, copied_from array<bigint>")
 

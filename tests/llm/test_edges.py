@@ -111,6 +111,20 @@ def test_only_passages_that_stood_together_go(spark):
             assert sum(w[0] in "cd" for w in words) == 60
 
 
+def test_many_rows_of_one_owner_are_told_apart(spark):
+    words = [f"w{i}" for i in range(4000)]
+    passage = " ".join(words[:60])
+    texts = [f"{passage} " + " ".join(words[100 + 50 * i : 150 + 50 * i]) for i in range(40)]
+    rows = [(1, passage)] + [(None, t) for t in texts for _ in range(3)] + [(7, t) for t in texts[:5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = [r.copied_from for r in substring.remove_repeats(docs).filter("row.doc_id is null").collect()]
+    assert len(joined) == 120 and all(1 in x for x in joined)
+    kept = substring.drop_repeats(docs).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == sorted((d or 0) for d, _ in rows)
+    assert all("w30" not in r.text.split() for r in kept if r.doc_id != 1)
+    assert all(words[125 + 50 * i] in " ".join(r.text for r in kept if r.doc_id == 7).split() for i in range(5))
+
+
 def test_windows_cover_a_copied_run():
     raw = (" ".join(f"y{k * k % 1009}" for k in range(300))).encode()
     ends, first, last, digests = substring.windows(raw)
