@@ -16,6 +16,7 @@ from tessarine.llm.mixing import plan_mix
 from tessarine.llm.near_dedup import near_duplicates
 from tessarine.llm.packing import pack_documents
 from tessarine.llm.quality import RULES, STOP_WORDS, quality_verdicts
+from tessarine.llm.search import TERM, ranked_search
 from tessarine.llm.substring import remove_repeats
 from tessarine.llm.topk import top_k
 from tessarine.llm.warc import LEAST_BYTES, archive_round_trip
@@ -57,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_text": _over("pages", extract_text),
         "op10_exact_top_k": _over("embeddings", top_k),
         "op11_collocations": _over("documents", collocations),
+        "op13_ranked_search": lambda spark, sf_dir: ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "pipeline": _pipeline,
     }
 
@@ -118,7 +120,17 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 d AS (SELECT DISTINCT lang, a, array_to_string(w[j:j + o - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - o + 2)) AS j FROM p JOIN (SELECT unnest([2, 3, 4]) AS o) ON o < m))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b ANTI JOIN d USING (lang, phrase, a) QUALIFY rank <= 2000"""
 
+_RANKED = rf"""WITH t AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{TERM}') AS w FROM documents),
+s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM t WHERE len(w) > 0),
+m AS (SELECT d, doc_id, 50 + (50 * len(w) * s.n) // s.l AS m FROM t, s WHERE len(w) > 0),
+f AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM t) GROUP BY d, term),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{TERM}'))) AS term FROM benchmark),
+p AS (SELECT item_id, d, CAST(floor(1000 * ln((2e0 * n + 2) / (2e0 * df + 1))) AS BIGINT) AS w, tf FROM q JOIN df ON df.term = q.term JOIN f ON f.term = q.term, s),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM p JOIN m ON m.d = p.d GROUP BY item_id, p.d, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can say the same; the others are tested against brute force in tests/llm."""
-    return {"op2_quality_rules": _QUALITY, "op6_warc_round_trip": _WARC, "op7_perspectives": _CHAT, "op8_mixing": _MIX, "op10_exact_top_k": _TOP_K, "op11_collocations": _PHRASES}
+    return {"op2_quality_rules": _QUALITY, "op6_warc_round_trip": _WARC, "op7_perspectives": _CHAT, "op8_mixing": _MIX, "op10_exact_top_k": _TOP_K, "op11_collocations": _PHRASES, "op13_ranked_search": _RANKED}
