@@ -57,16 +57,17 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Cut:
-    """Words of many texts in a row: ``known`` distinct ones as bytes, ``place`` which one stands there, ``row`` of which text, ``piece`` a number that changes with each break and text."""
+    """Words of many texts in a row: ``known`` distinct ones as bytes, ``place`` which one stands there, ``row`` of which text, ``piece`` a number that changes with each break and text;
+    ``starts`` and ``ends`` are bytes, those of text i from ``borders[i]`` on. A-Z are lower-cased unless ``lower`` is false."""
 
-    def __init__(self, texts: pa.Array, blanks: bytes, breaks: bytes = b"") -> None:
+    def __init__(self, texts: pa.Array, blanks: bytes, breaks: bytes = b"", lower: bool = True) -> None:
         whole = pc.fill_null(texts, "").cast(pa.large_binary())
         borders = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
         raw = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[borders[0] : borders[-1]]
         borders = borders - borders[0]
-        kinds, lower = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+        kinds, letters = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
         kinds[list(blanks)], kinds[list(breaks)] = 1, 2
-        lower[65:91] += 32
+        letters[65:91] += 32 * lower
         kind = kinds[raw]
         word = kind == 0
         opens, shuts = word.copy(), word.copy()
@@ -75,12 +76,12 @@ class Cut:
         inner = borders[1:-1]
         at = inner[(inner > 0) & (inner < len(raw))]
         opens[at], shuts[at - 1] = word[at], word[at - 1]
-        starts, sizes = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
-        sizes -= starts
+        starts, ends = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
+        self.borders, self.starts, self.ends = borders, starts, ends
         self.row = np.searchsorted(borders, starts, "right") - 1
         self.piece = np.cumsum(kind == 2, dtype=np.int64)[starts] + self.row if breaks else self.row
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(lower[raw[word]])]).dictionary_encode()
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters[raw[word]])]).dictionary_encode()
         self.known, self.place = found.dictionary, found.indices.to_numpy(zero_copy_only=False)
 
     def hashes(self) -> np.ndarray:

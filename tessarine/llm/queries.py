@@ -15,6 +15,7 @@ from tessarine.llm.lm import score_documents
 from tessarine.llm.mixing import plan_mix
 from tessarine.llm.near_dedup import near_duplicates
 from tessarine.llm.packing import pack_documents
+from tessarine.llm.pii import personal_data
 from tessarine.llm.quality import RULES, STOP_WORDS, quality_verdicts
 from tessarine.llm.search import TERM, ranked_search
 from tessarine.llm.substring import remove_repeats
@@ -58,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_text": _over("pages", extract_text),
         "op10_exact_top_k": _over("embeddings", top_k),
         "op11_collocations": _over("documents", collocations),
+        "op12_personal_data": _over("documents", personal_data),
         "op13_ranked_search": lambda spark, sf_dir: ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "pipeline": _pipeline,
     }
