@@ -50,11 +50,22 @@ def rank_moves(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("question_id", F.when(a > b, "worsened").when(a < b, "improved").otherwise("same").alias("move"))
 
 
-def recompute_consistency(legs: DataFrame, fused: DataFrame, k: int = 60, tol: float = 1e-6) -> DataFrame:
-    """(query_id, chunk_id, problem): recorded fused rows that the recorded legs don't give, or boosted ones that aren't score times multiplier."""
+def recompute_consistency(legs: DataFrame, fused: DataFrame, k: int = 60, tol: float = 1e-6, top: int = 5) -> DataFrame:
+    """(query_id, chunk_id, problem) of recorded rows (query_id, chunk_id, rrf_score, boost_multiplier, boosted_score, rank; rank is null below the cut).
+
+    missing: legs and record don't hold the same rows. fused: the score isn't what the legs' ranks give. boosted: it isn't
+    score times multiplier. order: a row stands behind one of a smaller score. top: a rank beyond ``top``, or a row
+    without one that scores above the last ranked, or though fewer than ``top`` are ranked. The first that holds is given.
+    """
     again = legs.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"))
-    j = fused.join(again, ["query_id", "chunk_id"], "full")
-    problem = F.when(F.col("rrf").isNull() | F.col("rrf_score").isNull(), "missing").when(F.abs(F.col("rrf") - F.col("rrf_score")) > tol, "fused").when(F.abs(F.col("rrf_score") * F.col("boost_multiplier") - F.col("boosted_score")) > tol, "boosted")
+    every = Window.partitionBy("query_id")
+    score = F.col("boosted_score")
+    before = F.min(score).over(every.orderBy(F.asc_nulls_last("rank"), F.desc("boosted_score")).rowsBetween(Window.unboundedPreceding, -1))
+    placed = fused.withColumns({"_before": before, "_ranked": F.count("rank").over(every), "_last": F.min(F.when(F.col("rank").isNotNull(), score)).over(every)})
+    j = placed.join(again, ["query_id", "chunk_id"], "full")
+    problem = F.when(F.col("rrf").isNull() | F.col("rrf_score").isNull(), "missing").when(F.abs(F.col("rrf") - F.col("rrf_score")) > tol, "fused").when(F.abs(F.col("rrf_score") * F.col("boost_multiplier") - score) > tol, "boosted")
+    problem = problem.when(F.col("rank").isNotNull() & (score - F.col("_before") > tol), "order")
+    problem = problem.when((F.col("rank") > top) | (F.col("rank").isNull() & ((F.col("_ranked") < top) | (score - F.col("_last") > tol))), "top")
     return j.select("query_id", "chunk_id", problem.alias("problem")).filter("problem is not null")
 
 

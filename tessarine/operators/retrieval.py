@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from tessarine.functions.expr import contains_any, content_preview, cosine_similarity, count_tokens, parse_query, query_hash
 from tessarine.functions.predicates import noise_path
+from tessarine.operators.vectors import best_in_scope, pack_vectors
+from tessarine.shared import materialize
 
 #: Words that no posting holds, and the neutral weights but for noise.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -17,9 +19,10 @@ BOOSTS = {
     "chunk_type_boosts": {"docs": 1.0, "file_summary": 1.0, "class_summary": 1.0, "function": 1.0, "class": 1.0, "test": 1.0},
     "path_boost": 1.0, "breadcrumb_match_boost": 1.0, "quoted_match_boost": 1.0, "identifier_match_boost": 1.0, "noise_penalty": 0.3,
 }
+SCOPE = ("organization", "repository")
+VECTOR_SCOPE = (*SCOPE, "model")
 SAMPLE_ROWS = 100_000
 BROADCAST_ROWS = 200_000
-SALTS = 16
 CANDIDATES = 4
 RRF_K, LEG_LIMIT, CACHE_LEAST, CACHE_TTL = 60, 50, 0.95, 3600
 NO_ANSWER = "I don't have enough information to answer that question. The query didn't match any code in the repository."
@@ -36,27 +39,30 @@ def counted_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def build_postings(chunks: DataFrame, key: str = "chunk_id", wanted: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, field, term, positions) of content and breadcrumb; positions count all words, stop words are dropped.
+    """(organization, repository, chunk_id, field, term, positions) of content and breadcrumb; positions count all words, stop words are dropped.
 
-    With ``wanted`` (term, distinct), other terms are dropped before anything is shuffled.
+    With ``wanted`` (organization, repository, term; distinct), terms that nobody asks for there are dropped before anything is shuffled.
     """
     fields = F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("words")) for f in ("content", "breadcrumb")))
-    each = chunks.select(key, F.explode(fields).alias("f")).select(key, "f.field", F.posexplode("f.words").alias("at", "term"))
+    each = chunks.select(*SCOPE, key, F.explode(fields).alias("f")).select(*SCOPE, key, "f.field", F.posexplode("f.words").alias("at", "term"))
     kept = each.filter(~F.col("term").isin(*STOP_WORDS))
     if wanted is not None:
-        kept = kept.join(counted_small(wanted), "term", "left_semi")
-    return kept.groupBy(key, "field", "term").agg(F.sort_array(F.collect_list((F.col("at") + 1).cast("long"))).alias("positions"))
+        kept = kept.join(counted_small(wanted), [*SCOPE, "term"], "left_semi")
+    return kept.groupBy(*SCOPE, key, "field", "term").agg(F.sort_array(F.collect_list((F.col("at") + 1).cast("long"))).alias("positions"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, n_terms): distinct words of each query without stop words."""
+    """(organization, repository, query_id, term, n_terms): distinct words of each query without stop words."""
     words = F.array_distinct(F.filter(terms(F.col("query")), lambda t: ~t.isin(*STOP_WORDS)))
-    return queries.select("query_id", words.alias("words")).select("query_id", F.size("words").alias("n_terms"), F.explode("words").alias("term"))
+    return queries.select(*SCOPE, "query_id", words.alias("words")).select(*SCOPE, "query_id", F.size("words").alias("n_terms"), F.explode("words").alias("term"))
 
 
 def keyword_match(postings: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(query_id, chunk_id, field, hits) where a field holds all of a query's terms; hits are (position, term)."""
-    met = postings.join(counted_small(query_terms(queries)), "term")
+    """(query_id, chunk_id, field, hits) where a field of a chunk in the query's organization and repository holds all of its terms; hits are (position, term).
+
+    A query without an organization or a repository matches nothing.
+    """
+    met = postings.join(counted_small(query_terms(queries)), [*SCOPE, "term"])
     g = met.groupBy("query_id", key, "field", "n_terms").agg(F.count(F.lit(1)).alias("found"), F.collect_list(F.struct("term", "positions")).alias("own"))
     hits = F.sort_array(F.flatten(F.transform("own", lambda o: F.transform(o["positions"], lambda p: F.struct(p.alias("at"), o["term"].alias("term"))))))
     return g.filter("found = n_terms").select("query_id", key, "field", "n_terms", hits.alias("hits"))
@@ -80,13 +86,13 @@ def cover_density(hits: Column, n_terms: Column) -> Column:
     return F.aggregate(hits, start, latest)["score"]
 
 
-def keyword_leg(chunks: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT, key: str = "chunk_id", postings: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the best chunks of each query, by the better of both fields, ties by id.
+def keyword_leg(chunks: DataFrame | None, queries: DataFrame, limit: int = LEG_LIMIT, key: str = "chunk_id", postings: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the best chunks of each query's repository, by the better of both fields, ties by id.
 
-    ``postings`` may be a stored table of build_postings; without one, the queries' terms alone are indexed.
+    ``postings`` may come from a PostingsStore; without one, the terms that are asked for in each repository are indexed.
     """
     if postings is None:
-        postings = build_postings(chunks, key, query_terms(queries).select("term").distinct())
+        postings = build_postings(chunks, key, query_terms(queries).select(*SCOPE, "term").distinct())
     matched = keyword_match(postings, queries, key)
     scored = matched.withColumn("s", cover_density(F.col("hits"), F.col("n_terms"))).groupBy("query_id", key).agg(F.round(F.max("s"), 6).alias("score"))
     return ranked(scored, limit, key)
@@ -97,25 +103,18 @@ def ranked(scored: DataFrame, limit: int, key: str = "chunk_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit)
 
 
-def vector_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(query_id, chunk_id, score) within the query's repository and model; a chunk is not its own query's result.
+def vector_leg(chunks: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT, key: str = "chunk_id", blocks: DataFrame | None = None, scope: tuple[str, ...] = VECTOR_SCOPE) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the best rows of each query's organization, repository and model by cosine, ties by id; never the row of the query's own id.
 
-    Rows meet only those queries that may see them, and a large scope's rows are dealt over SALTS tasks.
+    ``blocks`` may be a stored table of ``pack_vectors`` over the same scope; without one, ``chunks`` are packed.
     """
-    asked = queries.select("query_id", "repository", "model", F.col("embedding").alias("qe"))
-    met = salted_join(chunks, asked, ["repository", "model"], key).filter(F.col(key) != F.col("query_id"))
-    return met.select("query_id", key, F.round(cosine_similarity(F.col("embedding"), F.col("qe")), 6).alias("score"))
-
-
-def salted_join(rows: DataFrame, few: DataFrame, on: list[str], key: str) -> DataFrame:
-    """``rows`` with ``few`` on some columns, of which one value may hold most rows: those are dealt by ``key``, and ``few`` goes to each deal."""
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(spread, [*on, "_salt"]).drop("_salt")
+    return ranked(vector_heaps(chunks, queries, limit, key, blocks, scope), limit, key)
 
 
-def vector_leg(chunks: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT, key: str = "chunk_id") -> DataFrame:
-    return ranked(vector_scores(chunks, queries, key), limit, key)
+def vector_heaps(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_id", blocks: DataFrame | None = None, scope: tuple[str, ...] = VECTOR_SCOPE, tol: float = 0.0) -> DataFrame:
+    """(query_id, chunk_id, score) that holds each query's ``limit`` best rows, and all within ``tol`` of the last of them."""
+    own = pack_vectors(chunks, list(scope), key) if blocks is None else blocks
+    return best_in_scope(own, pack_vectors(queries, list(scope), "query_id", "asked"), list(scope), limit, key, tol)
 
 
 def vector_leg_approx(chunks: DataFrame, queries: DataFrame, cells: int = 16, nprobe: int = 4, limit: int = LEG_LIMIT, seed: int = 7) -> DataFrame:
@@ -149,14 +148,11 @@ def sum_of(vector: Column, weights: list[float]) -> Column:
 
 
 def exact_with_tie_tail(scores: DataFrame, limit: int = LEG_LIMIT, tol: float = 1e-6, key: str = "chunk_id") -> DataFrame:
-    """The best ``limit`` rows and every further one within ``tol`` of the last of them.
-
-    Two passes: a top-k gives each query the score to reach, so that only rows that reach it are ranked.
-    """
-    last = ranked(scores, limit, key).filter(F.col("rank") == limit).select("query_id", F.col("score").alias("_last"))
-    near = scores.join(last, "query_id", "left").filter(F.col("_last").isNull() | (F.col("_last") - F.col("score") <= tol))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return near.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("_last").isNotNull() | (F.col("rank") <= limit)).drop("_last")
+    """The best ``limit`` rows and every further one within ``tol`` of the last of them, in one pass over ``scores``: all, or those of ``vector_heaps`` with this ``tol``."""
+    every = Window.partitionBy("query_id")
+    placed = scores.withColumn("rank", F.row_number().over(every.orderBy(F.desc("score"), key)).cast("long"))
+    last = F.max(F.when(F.col("rank") == limit, F.col("score"))).over(every)
+    return placed.withColumn("_last", last).filter((F.col("rank") <= limit) | (F.col("_last") - F.col("score") <= tol)).drop("_last")
 
 
 def rrf_fuse(legs: dict[str, DataFrame], k: int = RRF_K, key: str = "chunk_id") -> DataFrame:
@@ -197,7 +193,7 @@ def boost_multiplier(config: dict | None = None, content_boosts: bool = True) ->
 
 def metadata_boost(fused: DataFrame, config: dict | None = None, content_boosts: bool = True) -> DataFrame:
     boosted = fused.withColumn("boost_multiplier", boost_multiplier(config, content_boosts))
-    return boosted.withColumn("boosted_score", F.round(F.col("rrf_score") * F.col("boost_multiplier"), 9))
+    return boosted.withColumn("boosted_score", F.round(F.col("rrf_score") * F.col("boost_multiplier"), 12))
 
 
 def top_k(boosted: DataFrame, k: int) -> DataFrame:
@@ -215,29 +211,46 @@ def enrich(results: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataFrame:
     return j.select(*results.columns, "file_path", "start_line", "end_line", content_preview(F.col("content")).alias("preview"), text("breadcrumb"), text("language"), "chunk_type", "run_id", text("commit_sha"), text("ingestion_date"))
 
 
-def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, runs: DataFrame, k: int = 10, config: dict | None = None,
-    limit: int = LEG_LIMIT, content_boosts: bool = True, postings: DataFrame | None = None,
-) -> DataFrame:
-    """The k best chunks of each query by keyword and vector legs, fused, boosted and enriched.
+class Search:
+    """Both legs of a table of queries, each written once, and what follows from them.
 
-    ``queries``: query_id, query. ``chunks``: chunk_id, content, breadcrumb, file_path, start_line, end_line, language,
-    chunk_type, run_id. ``vectors``: chunk_id, repository, model, embedding. ``query_vectors``: query_id, repository,
-    model, embedding. ``runs``: run_id, commit_sha, completed_at. A query that neither leg answers has no row.
+    ``queries``: query_id, organization, repository, query. ``chunks``: chunk_id, organization, repository, content,
+    breadcrumb, file_path, start_line, end_line, language, chunk_type, run_id. ``vectors``: chunk_id, organization,
+    repository, model, embedding; ``query_vectors`` the same with query_id. Stored ``postings`` and ``blocks`` spare the indexing.
+    A query that neither leg answers has no row; one that a single leg answers keeps its rows.
     """
-    boosted = boosted_hits(queries, chunks, vectors, query_vectors, config, limit, content_boosts, postings)
-    top = top_k(boosted, k).select("query_id", "rank", "chunk_id", "rrf_score", "boost_multiplier", "boosted_score", "sources")
-    return enrich(top, chunks, runs)
 
+    def __init__(
+        self, queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, config: dict | None = None, limit: int = LEG_LIMIT, content_boosts: bool = True,
+        postings: DataFrame | None = None, blocks: DataFrame | None = None,
+    ) -> None:
+        self.queries, self.chunks = queries, chunks
+        self.keyword = materialize(keyword_leg(chunks, queries, limit, postings=postings), "keyword")
+        self.vector = materialize(vector_leg(vectors, query_vectors, limit, blocks=blocks), "vector")
+        self.fused = rrf_fuse({"fts": self.keyword, "vector": self.vector})
+        parsed = queries.select("query_id", parse_query(F.col("query")).alias("q")).select("query_id", "q.quoted_terms", "q.identifiers")
+        self.boosted = metadata_boost(self.fused.join(chunks, "chunk_id").join(parsed, "query_id"), config, content_boosts)
+
+    def results(self, runs: DataFrame, k: int = 10) -> DataFrame:
+        """The k best chunks of each query, enriched. ``runs``: run_id, commit_sha, completed_at."""
+        top = top_k(self.boosted, k).select("query_id", "rank", "chunk_id", "rrf_score", "boost_multiplier", "boosted_score", "sources")
+        return enrich(top, self.chunks, runs)
+
+    def trace(self, k: int = 5) -> DataFrame:
+        """(query_id, stage, rank, chunk_id, score) of every stage."""
+        as_score = lambda df, rank, score: df.select("query_id", F.col(rank).alias("rank"), "chunk_id", F.col(score).alias("score"))
+        return search_trace({"fts": self.keyword, "vector": self.vector, "fused": as_score(self.fused, "fused_rank", "rrf_score"), "top": as_score(top_k(self.boosted, k), "rank", "boosted_score")})
 
-def boosted_hits(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, config: dict | None = None, limit: int = LEG_LIMIT,
-    content_boosts: bool = True, postings: DataFrame | None = None,
+    def stats(self) -> DataFrame:
+        return search_stats(self.queries, self.keyword, self.vector, self.fused)
+
+
+def hybrid_search(
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, runs: DataFrame, k: int = 10, config: dict | None = None,
+    limit: int = LEG_LIMIT, content_boosts: bool = True, postings: DataFrame | None = None, blocks: DataFrame | None = None,
 ) -> DataFrame:
-    """Every fused hit of both legs with its chunk's columns and its boosted score."""
-    fused = rrf_fuse({"fts": keyword_leg(chunks, queries, limit, postings=postings), "vector": vector_leg(vectors, query_vectors, limit)})
-    parsed = queries.select("query_id", parse_query(F.col("query")).alias("q")).select("query_id", "q.quoted_terms", "q.identifiers")
-    return metadata_boost(fused.join(chunks, "chunk_id").join(parsed, "query_id"), config, content_boosts)
+    """The k best chunks of each query by keyword and vector legs within its organization and repository, fused, boosted and enriched; inputs as in ``Search``."""
+    return Search(queries, chunks, vectors, query_vectors, config, limit, content_boosts, postings, blocks).results(runs, k)
 
 
 def search_stats(queries: DataFrame, keyword: DataFrame, vector: DataFrame, fused: DataFrame) -> DataFrame:
@@ -275,13 +288,11 @@ def no_answer(queries: DataFrame, answers: DataFrame) -> DataFrame:
 
 def cache_lookup(queries: DataFrame, cache: DataFrame, now: Column, least: float = CACHE_LEAST, ttl: int = CACHE_TTL) -> DataFrame:
     """(query_id, hit, cached_id, similarity): the nearest unexpired entry of the same organization and repository, ties to the smaller id."""
-    q = queries.select("query_id", "organization", "repository", F.col("embedding").alias("qe"))
     live = cache.filter(F.col("cached_at") > now - F.make_dt_interval(secs=F.lit(ttl)))
-    met = salted_join(live.select("organization", "repository", "cached_id", "embedding"), q, ["organization", "repository"], "cached_id")
-    scored = met.select("query_id", "cached_id", F.round(cosine_similarity(F.col("qe"), F.col("embedding")), 6).alias("similarity"))
-    best = scored.filter("similarity > 0").groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("cached_id")).alias("neg"))).alias("b"))
-    found = best.select("query_id", (-F.col("b.neg")).alias("cached_id"), F.col("b.similarity").alias("similarity"))
-    j = q.select("query_id").join(found, "query_id", "left")
+    blocks, asked = pack_vectors(live, list(SCOPE), "cached_id"), pack_vectors(queries, list(SCOPE), "query_id", "asked")
+    near = ranked(best_in_scope(blocks, asked, list(SCOPE), 1, "cached_id", apart=False, least=1 / 1e6), 1, "cached_id")
+    found = near.select("query_id", "cached_id", F.col("score").alias("similarity"))
+    j = queries.select("query_id").join(found, "query_id", "left")
     hit = F.coalesce(F.col("similarity") >= least, F.lit(False))
     return j.select("query_id", hit.alias("hit"), F.when(hit, F.col("cached_id")).alias("cached_id"), "similarity")
 

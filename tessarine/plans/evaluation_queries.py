@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessarine.operators import evaluation as e
 from tessarine.plans.chunk_queries import OVERLAP, SIZE, _spans_sql, definitions, fixed
 from tessarine.plans.chunk_queries import _DEFS
-from tessarine.plans.retrieval_queries import HYBRID, boosted, fused, keyword, vector
+from tessarine.operators import retrieval as r
+from tessarine.plans.retrieval_queries import HYBRID, searched
 from tessarine.plans.roles import FILES, Registry, files, table
 
 R = Registry()
@@ -59,14 +60,23 @@ R.add("e5_rank_moves", lambda s, d: e.rank_moves(ranks(s, d), ranks(s, d).withCo
       f"WITH m AS (SELECT question_id, coalesce(rank, 99) AS b, coalesce(CASE WHEN question_id % 5 > 0 THEN question_id % 7 + 1 END, 99) AS a FROM ({RANKS})) SELECT question_id, CASE WHEN a > b THEN 'worsened' WHEN a < b THEN 'improved' ELSE 'same' END AS move FROM m")
 
 
-def _recorded(s, d):
-    return boosted(s, d).select("query_id", "chunk_id", F.when(col("chunk_id") % 9 == 0, 0.5).otherwise(col("rrf_score")).alias("rrf_score"), "boost_multiplier", "boosted_score").filter("chunk_id % 13 <> 0")
+def _recomputed(s, d):
+    """A record with wrong scores, lost rows, turned ranks (every fourth query) and a lost rank (the next ones)."""
+    found = searched(s, d)
+    own = r.top_k(found.boosted, 10_000)
+    rank = F.when(col("rank") <= 5, F.when(col("query_id") % 4 == 0, 6 - col("rank")).when((col("query_id") % 4 != 1) | (col("rank") > 1), col("rank")))
+    wrong = F.when(col("chunk_id") % 9 == 0, 0.5).otherwise(col("rrf_score"))
+    recorded = own.select("query_id", "chunk_id", wrong.alias("rrf_score"), "boost_multiplier", "boosted_score", rank.alias("rank")).filter("chunk_id % 13 <> 0")
+    return e.recompute_consistency(found.keyword.select("query_id", "chunk_id", "rank").unionByName(found.vector.select("query_id", "chunk_id", "rank")), recorded)
 
 
 R.add(
-    "e6_recompute", lambda s, d: e.recompute_consistency(keyword(s, d).select("query_id", "chunk_id", "rank").unionByName(vector(s, d).select("query_id", "chunk_id", "rank")), _recorded(s, d)),
-    f"""WITH {HYBRID}, l AS (SELECT query_id, chunk_id, sum(1e0 / (60 + rank)) AS rrf FROM every GROUP BY ALL), f AS (SELECT query_id, chunk_id, CASE WHEN chunk_id % 9 = 0 THEN 0.5e0 ELSE rrf_score END AS rrf_score, boost_multiplier, boosted_score FROM ordered WHERE chunk_id % 13 <> 0),
-    j AS (SELECT query_id, chunk_id, CASE WHEN rrf IS NULL OR rrf_score IS NULL THEN 'missing' WHEN abs(rrf - rrf_score) > 1e-6 THEN 'fused' WHEN abs(rrf_score * boost_multiplier - boosted_score) > 1e-6 THEN 'boosted' END AS problem FROM l FULL JOIN f USING (query_id, chunk_id)) SELECT * FROM j WHERE problem IS NOT NULL""",
+    "e6_recompute", _recomputed,
+    f"""WITH {HYBRID}, l AS (SELECT query_id, chunk_id, sum(1e0 / (60 + rank)) AS rrf FROM every GROUP BY ALL),
+    f AS (SELECT query_id, chunk_id, CASE WHEN chunk_id % 9 = 0 THEN 0.5e0 ELSE rrf_score END AS rrf_score, boost_multiplier, boosted_score, CASE WHEN rank > 5 THEN NULL WHEN query_id % 4 = 0 THEN 6 - rank WHEN query_id % 4 <> 1 OR rank > 1 THEN rank END AS rank FROM ordered WHERE chunk_id % 13 <> 0),
+    p AS (SELECT *, min(boosted_score) OVER (PARTITION BY query_id ORDER BY rank NULLS LAST, boosted_score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, count(rank) OVER q AS n, min(boosted_score) FILTER (WHERE rank IS NOT NULL) OVER q AS last FROM f WINDOW q AS (PARTITION BY query_id)),
+    j AS (SELECT query_id, chunk_id, CASE WHEN rrf IS NULL OR rrf_score IS NULL THEN 'missing' WHEN abs(rrf - rrf_score) > 1e-6 THEN 'fused' WHEN abs(rrf_score * boost_multiplier - boosted_score) > 1e-6 THEN 'boosted'
+      WHEN rank IS NOT NULL AND boosted_score - before > 1e-6 THEN 'order' WHEN rank > 5 OR rank IS NULL AND (n < 5 OR boosted_score - last > 1e-6) THEN 'top' END AS problem FROM l FULL JOIN p USING (query_id, chunk_id)) SELECT * FROM j WHERE problem IS NOT NULL""",
 )
 R.add("e7_rankings_agree", lambda s, d: e.rankings_agree(ranking(s, d), ranking(s, d).filter("chunk_id <> 3 or query_id % 4 > 0")),
       f"WITH r AS ({RANKING}), g AS (SELECT query_id, max(floor((rank + 3) / 2)) AS last FROM r GROUP BY 1), m AS (SELECT query_id, count(*) FILTER (WHERE chunk_id = 3 AND query_id % 4 = 0 AND last > 3) AS missing FROM r JOIN g USING (query_id) GROUP BY 1) SELECT query_id, missing, CAST(0 AS BIGINT) AS drifted, CAST(0 AS BIGINT) AS reversed, missing = 0 AS agrees FROM m")

@@ -38,21 +38,37 @@ FILES = (
 )
 
 
+SOURCES, RUN = 20, 3
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword queries: the first three words of every benchmark text."""
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), 1, 3)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    """Keyword queries: the whole of every benchmark text, in runs of three words, each asked in one repository of its organization."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    runs = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / RUN).cast("int") - 1), lambda g: F.slice(words, g * RUN + 1, RUN))).alias("g", "own"))
+    source = (F.col("item_id") + F.col("g")) % SOURCES
+    return runs.select((F.col("item_id") * 10000 + F.col("g")).alias("query_id"), (source % 4).alias("organization"), F.concat(F.lit("src"), source.cast("string")).alias("repository"), F.array_join("own", " ").alias("query"))
 
 
-QUESTIONS = "SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:3], ' ') AS query FROM benchmark"
+QUESTIONS = f"""SELECT item_id * 10000 + g AS query_id, (item_id + g) % {SOURCES} % 4 AS organization, 'src' || ((item_id + g) % {SOURCES}) AS repository, array_to_string(w[g * {RUN} + 1:g * {RUN} + {RUN}], ' ') AS query
+  FROM (SELECT item_id, w, unnest(range(0, CAST(ceil(len(w) / {RUN}e0) AS BIGINT))) AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark))"""
 
 
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("repository"), (F.col("vec_id") % 2).alias("model"), "embedding")
+    repository = F.col("label").cast("long")
+    return e.select(F.col("vec_id").alias("chunk_id"), (repository % 4).alias("organization"), repository.alias("repository"), (F.col("vec_id") % 2).alias("model"), "embedding")
+
+
+VECTOR_CHUNKS = "SELECT vec_id AS chunk_id, CAST(label AS BIGINT) % 4 AS organization, CAST(label AS BIGINT) AS repository, vec_id % 2 AS model, embedding FROM embeddings"
+
+
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as those of the documents of the same number, in their repositories, of one model."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit(0).alias("model"), "embedding")
+    return files(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "organization", "repository").join(e, "chunk_id")
 
 
-VECTOR_CHUNKS = "SELECT vec_id AS chunk_id, CAST(label AS BIGINT) AS repository, vec_id % 2 AS model, embedding FROM embeddings"
+DOCUMENT_VECTORS = f"SELECT doc_id AS chunk_id, organization, repository, embedding FROM ({FILES}) JOIN embeddings ON vec_id = doc_id"
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
