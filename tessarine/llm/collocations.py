@@ -4,6 +4,8 @@ The n-grams of all texts are dealt by hash to partitions. Each task keeps a summ
 than the partition's mass divided by the threshold; when one is over capacity, the largest count that would not fit is
 taken from all counters. Summaries of tasks are added and cut again. All cuts of a partition together take less than
 the threshold from a counter, so every n-gram that is frequent enough survives. A second pass counts survivors exactly.
+
+Words are counted before, and an n-gram with a word under the threshold is left out of the summaries: it can't reach it.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ SLICE_BYTES = 4 << 20
 PART_BYTES, MOST_PARTS = 4 << 20, 20_000
 """A hash partition for each PART_BYTES of text, MOST_PARTS at most."""
 NARROW = 1 << 28
-"""Up to this mean mass of a partition 32 bits tell its n-grams apart, else 64. Two n-grams of one key can only make a false survivor."""
-BUFFER, HELD = 1 << 22, 1 << 22
+"""Up to so many bytes of text to a partition, and about as many n-grams, 32 bits tell its n-grams apart, else 64. Two n-grams of one key can only make a false survivor."""
+BUFFER, HELD = 1 << 21, 3 << 20
+"""Hashes, or counters, that a task gathers before it sorts them, or sends them on."""
+ROWS = 1 << 20
+"""Phrases that a task adds up before it sends them on."""
 PROBES, BITS_EACH, MOST_BITS, SEGMENT = 3, 16, 1 << 29, 1 << 19
 """The filter of survivors has 16 bits for each, 2^29 (64 MB) at most: a fuller filter lets more be counted, never less."""
 TOP_SALTS = 256
@@ -131,42 +136,72 @@ class Summaries:
         return pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("error", pa.int64())]))
 
 
-def _masses(most: int, parts: int):
-    """(lang, null, words) and (null, part, n-grams) of a task."""
+class Filter:
+    """A set of keys as a bitmap in a broadcast, which may hold others by mistake."""
+
+    def __init__(self, bitmap, keys: Keys, bits: int) -> None:
+        self.bitmap, self.keys, self.bits = bitmap, keys, bits
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        keys, field = self.keys.of(h), np.frombuffer(self.bitmap.value, np.uint8)
+        there = np.ones(len(keys), bool)
+        left = np.arange(len(keys))
+        for i in range(PROBES):
+            at = _place(mix(keys[left]), i, self.bits)
+            fine = (field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            there[left[~fine]] = False
+            left = left[fine]
+        return there
+
+
+def _candidates(cut: Cut, seeds: np.ndarray, most: int, words: Filter) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of 2 words or more, all of which the filter holds."""
+    fine = may = None
+    for n, h in _grams(cut, seeds, most):
+        if n == 1:
+            fine = may = words.holds(h)
+        else:
+            may = may[: len(h)] & fine[n - 1 :][: len(h)]
+            yield h[may & whole(cut, n)]
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, Cut]]:
+    for batch in batches:
+        for some in slices(batch, "text", SLICE_BYTES):
+            yield *_languages(some), Cut(some.column("text"), BLANKS, BREAKS)
+
+
+def _masses(most: int, parts: int, words: Filter):
+    """(lang, null, words) and (null, part, candidate n-grams) of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass, words = np.zeros(parts, np.int64), {}
-        of = Keys(parts, True)
-        for batch in batches:
-            for some in slices(batch, "text", SLICE_BYTES):
-                names, of_row, seeds = _languages(some)
-                cut = Cut(some.column("text"), BLANKS, BREAKS)
-                for name, n in zip(names, np.bincount(of_row[cut.row], minlength=len(names)), strict=True):
-                    words[name] = words.get(name, 0) + int(n)
-                for n, h in _grams(cut, seeds, most):
-                    mass += np.bincount(of.part(h[whole(cut, n)]).astype(np.int64), minlength=parts)
+        mass, size = np.zeros(parts, np.int64), {}
+        for names, of_row, seeds, cut in _cuts(batches):
+            for name, n in zip(names, np.bincount(of_row[cut.row], minlength=len(names)), strict=True):
+                size[name] = size.get(name, 0) + int(n)
+            for h in _candidates(cut, seeds, most, words):
+                mass += np.bincount(words.keys.part(h).astype(np.int64), minlength=parts)
         there = np.flatnonzero(mass)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([*words, *[None] * len(there)], pa.string()), "part": pa.array([*[None] * len(words), *there.tolist()], pa.int32()), "n": pa.array([*words.values(), *mass[there].tolist()], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([*size, *[None] * len(there)], pa.string()), "part": pa.array([*[None] * len(size), *there.tolist()], pa.int32()), "n": pa.array([*size.values(), *mass[there].tolist()], pa.int64())})
 
     return run
 
 
-def _summarise(most: int, keys: Keys, capacity: np.ndarray):
+def _summarise(most: int, keys: Keys, capacity: np.ndarray, words: Filter | None):
+    """Summaries of the candidates, or without a filter of words themselves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, waiting, size, mass = Summaries(keys, capacity), [], 0, 0
-        for batch in batches:
-            for some in slices(batch, "text", SLICE_BYTES):
-                _, _, seeds = _languages(some)
-                cut = Cut(some.column("text"), BLANKS, BREAKS)
-                for n, h in _grams(cut, seeds, most):
-                    waiting.append(h[whole(cut, n)])
-                    size += len(waiting[-1])
-                    if size >= BUFFER:
-                        own.add(np.concatenate(waiting))
-                        mass, waiting, size = mass + size, [], 0
-                        if len(own.keys) > HELD or mass >= 1 << 31:
-                            yield own.rows()
-                            mass = 0
+        for _, _, seeds, cut in _cuts(batches):
+            for h in _candidates(cut, seeds, most, words) if words else (h for _, h in _grams(cut, seeds, 1)):
+                waiting.append(h)
+                size += len(h)
+                if size >= BUFFER:
+                    own.add(np.concatenate(waiting))
+                    mass, waiting, size = mass + size, [], 0
+                    if len(own.keys) > HELD or mass >= 1 << 31:
+                        yield own.rows()
+                        mass = 0
         if size:
             own.add(np.concatenate(waiting))
         yield own.rows()
@@ -208,10 +243,8 @@ def _survivors(keys: Keys, capacity: np.ndarray, least: int):
     return run
 
 
-def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    h = mix(keys)
-    for i in range(PROBES):
-        yield (h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
+def _place(h: np.ndarray, i: int, bits: int) -> np.ndarray:
+    return (h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
 
 
 def _bits(keys: Keys, bits: int):
@@ -220,7 +253,7 @@ def _bits(keys: Keys, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                at = np.sort(np.concatenate([*_places(keys.unpacked(part, raw), bits)]))
+                at = np.sort(np.concatenate([_place(mix(keys.unpacked(part, raw)), i, bits) for i in range(PROBES)]))
                 seg = (at // np.uint64(SEGMENT)).astype(np.int64)
                 there, first = np.unique(seg, return_index=True)
                 cut = np.append(first, len(at))
@@ -248,19 +281,6 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _inside(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    """Whether the filter may hold each key."""
-    there = np.ones(len(keys), bool)
-    left = np.arange(len(keys))
-    for i in range(PROBES):
-        h = mix(keys[left])
-        at = (h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
-        fine = (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        there[left[~fine]] = False
-        left = left[fine]
-    return there
-
-
 def _same(cut: Cut, of_row: np.ndarray, h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct phrase, how often it stands), by hash, and by the words themselves where two phrases share one."""
     order = np.argsort(h, kind="stable")
@@ -275,62 +295,133 @@ def _same(cut: Cut, of_row: np.ndarray, h: np.ndarray, at: np.ndarray, n: int) -
     return at[first], sizes
 
 
-def _count(most: int, keys: Keys, bitmap, bits: int):
-    """(lang, words, phrase, n) of the phrases in each slice that the filter holds with all their parts."""
+def _added_up(tables: list[pa.Table], by: list[str]) -> pa.Table:
+    whole = pa.concat_tables(tables).group_by(by, use_threads=False).aggregate([("n", "sum")])
+    return whole.rename_columns([*by, "n"])
+
+
+_PACKED = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
+
+
+def _pack(table: pa.Table) -> pa.RecordBatch:
+    """A row for each part and language: its phrases in order, one to a line, compressed, and their counts."""
+    table = table.sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+    part, lang = (table.column(c).combine_chunks() for c in ("part", "lang"))
+    p, which = part.to_numpy(), lang.dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (which[1:] != which[:-1])])) if len(p) else np.empty(0, np.int64)
+    offsets = np.append(first, len(p))
+    nothing, end = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+    lines = pc.binary_join_element_wise(table.column("phrase").combine_chunks(), nothing, end)
+    at, raw = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset :], memoryview(lines.buffers()[2])
+    zstd, n = pa.Codec("zstd"), table.column("n").to_numpy().astype("<i8")
+    texts = [raw[at[a] : at[b] - 1] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    blobs = [len(x).to_bytes(8, "little") + zstd.compress(pa.py_buffer(x), asbytes=True) for x in texts]
+    return pa.RecordBatch.from_arrays([part.take(pa.array(first)), lang.take(pa.array(first)), pa.array(blobs, pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], schema=_PACKED)
+
+
+def _count(most: int, held: Filter):
+    """Packed counts of the phrases that the filter holds with all their parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.frombuffer(bitmap.value, np.uint8)
+        by, tables, size = ["part", "lang", "phrase"], [], 0
+        for names, of_row, seeds, cut in _cuts(batches):
+            before = None
+            for n, h in _grams(cut, seeds, most):
+                may = whole(cut, n)
+                if before is not None and len(before):
+                    may = may & before[:-1] & before[1:]
+                at = np.flatnonzero(may)
+                at = at[held.holds(h[at])]
+                before = np.zeros(len(h), bool)
+                before[at] = True
+                if not len(at):
+                    continue
+                first, sizes = _same(cut, of_row, h[at], at, n)
+                words = [cut.known.take(pa.array(cut.place[first + j])) for j in range(n)]
+                phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if n > 1 else words[0]
+                lang = pa.array(names, pa.string()).take(pa.array(of_row[cut.row[first]]))
+                tables.append(pa.table({"part": pa.array(held.keys.part(h[first]).astype(np.int32)), "lang": lang, "phrase": phrase.cast(pa.large_string()), "n": pa.array(sizes.astype(np.int64))}))
+                size += len(first)
+            if size >= ROWS:
+                tables = [_added_up(tables, by)]
+                size = len(tables[0])
+                if size >= ROWS // 2:
+                    yield _pack(tables[0])
+                    tables, size = [], 0
+        if tables:
+            yield _pack(_added_up(tables, by))
+
+    return run
+
+
+def _totals(least: int):
+    """Rows of ``_pack`` in order of part: (lang, words, phrase, n) of those that stand ``least`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tables, size, zstd = None, [], 0, pa.Codec("zstd")
+
+        def out() -> pa.RecordBatch:
+            whole = _added_up(tables, ["lang", "phrase"])
+            whole = whole.filter(pc.greater_equal(whole.column("n"), least)).combine_chunks()
+            phrase = whole.column("phrase").combine_chunks()
+            words = pc.add(pc.count_substring(phrase, " ").cast(pa.int32()), pa.scalar(1, pa.int32()))
+            return pa.RecordBatch.from_arrays([whole.column("lang").combine_chunks(), words, phrase.cast(pa.string()), whole.column("n").combine_chunks()], ["lang", "words", "phrase", "n"])
+
         for batch in batches:
-            for some in slices(batch, "text", SLICE_BYTES):
-                names, of_row, seeds = _languages(some)
-                cut = Cut(some.column("text"), BLANKS, BREAKS)
-                before = None
-                for n, h in _grams(cut, seeds, most):
-                    may = whole(cut, n)
-                    if before is not None:
-                        may = may & before[:-1] & before[1:] if len(before) else may
-                    at = np.flatnonzero(may)
-                    at = at[_inside(field, keys.of(h[at]), bits)]
-                    before = np.zeros(len(h), bool)
-                    before[at] = True
-                    if not len(at):
-                        continue
-                    first, sizes = _same(cut, of_row, h[at], at, n)
-                    words = [cut.known.take(pa.array(cut.place[first + j])) for j in range(n)]
-                    phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())).cast(pa.large_string()).cast(pa.string()) if n > 1 else words[0].cast(pa.large_string()).cast(pa.string())
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array(names, pa.string()).take(pa.array(of_row[cut.row[first]])), "words": pa.array(np.full(len(first), n, np.int32)), "phrase": phrase, "n": pa.array(sizes.astype(np.int64))})
+            for p, lang, blob, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "phrases", "counts")), strict=True):
+                if p != part:
+                    if tables:
+                        yield out()
+                    part, tables, size = p, [], 0
+                phrases = zstd.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True).decode().split("\n")
+                tables.append(pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.large_string()), "n": pa.array(np.frombuffer(counts, "<i8"))}))
+                size += len(phrases)
+                if size >= ROWS:
+                    tables = [_added_up(tables, ["lang", "phrase"])]
+                    size = 0
+        if tables:
+            yield out()
 
     return run
 
 
+def _filter_of(kept: DataFrame, keys: Keys) -> Filter:
+    """The broadcast filter of a written table of survivors."""
+    n, bits = kept.agg(F.sum("n")).first()[0] or 0, SEGMENT
+    while bits < min(MOST_BITS, n * BITS_EACH):
+        bits *= 2
+    field = bytearray(bits // 8)
+    placed = kept.filter("n > 0").mapInArrow(_bits(keys, bits), "segment int, places binary").repartition("segment").sortWithinPartitions("segment")
+    for r in placed.mapInArrow(_segments, "segment int, bitmap binary").toLocalIterator():  # MOST_BITS / 8 bytes at most
+        field[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = r["bitmap"]
+    return Filter(kept.sparkSession.sparkContext.broadcast(bytes(field)), keys, bits)
+
+
+def _kept(rows: DataFrame, most: int, keys: Keys, capacity: np.ndarray, least: int, words: Filter | None, label: str) -> DataFrame:
+    made = rows.mapInArrow(_summarise(most, keys, capacity, words), _SUMMARY).repartition("part").sortWithinPartitions("part")
+    return materialize(made.mapInArrow(_survivors(keys, capacity, least), "part int, keys binary, n long"), label)
+
+
 def frequent_phrases(docs: DataFrame, most: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, n) of all phrases of 1 to ``most`` words that stand at least ``least`` times in their language, (lang, n) words of each language).
 
     Exact counts of all that are frequent enough: summaries choose what is counted, and lose nothing that reaches ``least``.
+    Words are summarised without a cut.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(min(MOST_PARTS, 1 + size // PART_BYTES))
-    masses = materialize(rows.mapInArrow(_masses(most, parts), "lang string, part int, n long").groupBy("lang", "part").agg(F.sum("n").alias("n")), "masses")
+    keys = Keys(parts, size // parts > NARROW)
+    words = _kept(rows, 1, keys, np.full(parts, np.iinfo(np.int64).max), least, None, "words")
+    frequent = _filter_of(words, keys)
+    masses = materialize(rows.mapInArrow(_masses(most, parts, frequent), "lang string, part int, n long").groupBy("lang", "part").agg(F.sum("n").alias("n")), "masses")
     mass = np.zeros(parts, np.int64)
     for r in masses.filter("part IS NOT NULL").collect():  # MOST_PARTS rows at most
         mass[r["part"]] = r["n"]
-    keys, capacity = Keys(parts, int(mass.sum()) // parts > NARROW), mass // least + 1
-    made = rows.mapInArrow(_summarise(most, keys, capacity), _SUMMARY).repartition("part").sortWithinPartitions("part")
-    kept = materialize(made.mapInArrow(_survivors(keys, capacity, least), "part int, keys binary, n long"), "survivors")
-    n_kept = kept.agg(F.sum("n")).first()[0] or 0
-    bits = SEGMENT
-    while bits < min(MOST_BITS, n_kept * BITS_EACH):
-        bits *= 2
-    field = bytearray(bits // 8)
-    placed = kept.filter("n > 0").mapInArrow(_bits(keys, bits), "segment int, places binary").repartition("segment").sortWithinPartitions("segment")
-    for r in placed.mapInArrow(_segments, "segment int, bitmap binary").toLocalIterator():  # MOST_BITS / 8 bytes at most
-        field[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = r["bitmap"]
-    held = spark.sparkContext.broadcast(bytes(field))
-    counted = rows.mapInArrow(_count(most, keys, held, bits), "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    found = materialize(counted.filter(F.col("n") >= least), "phrases")
-    free(kept)
+    kept = _kept(rows, most, keys, mass // least + 1, least, frequent, "survivors")
+    packed = rows.mapInArrow(_count(most, _filter_of(words.unionByName(kept), keys)), "part int, lang string, phrases binary, counts binary")
+    found = materialize(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_totals(least), "lang string, words int, phrase string, n long"), "phrases")
+    free(words, kept)
     return found, masses.filter("lang IS NOT NULL").select("lang", "n")
 
 
