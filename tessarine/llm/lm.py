@@ -1,7 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds every unigram and bigram of the training texts, once for each power of two that its count reaches. A
-count is read back, rounded down to such a power, by probing level after level until one is missing. Segments of the
+The filter holds every unigram and bigram of the training texts, once for each of the steps 1, 2, 3, 5, 8, 12, 18, ...
+that its count reaches. A count is read back, rounded down to such a step, by probing level after level until one is missing.
+Scores take every count from the filter, whatever its size; exact counts of words serve the base score alone. Segments of the
 filter, by the leading bits of the keys, are built where their n-grams are counted, each as large as its own levels
 need, so the filter grows with the input. Up to BROADCAST_BYTES it is broadcast; a larger one stays in the shared
 folder, and the distinct bigrams and words are shuffled to its segments, with the same scores.
@@ -36,7 +37,13 @@ SEGMENT_TEXT = 1 << 24
 """Bytes of text to a segment, up to MOST_SEGMENTS."""
 LEAST_SEGMENTS, MOST_SEGMENTS = 32, 1 << 17
 HOT_TOKENS = 1 << 20
-"""Words with at least this part of all tokens are at most so many; their exact counts are broadcast (16 bytes each)."""
+"""Words with at least this part of all tokens are at most so many; their exact counts are broadcast for the base score (16 bytes each)."""
+GROWTH = 1.5
+STEPS = [1]
+"""The counts at which levels begin: each at least one and GROWTH times the one before."""
+while STEPS[-1] < 2**61:
+    STEPS.append(max(STEPS[-1] + 1, math.ceil(STEPS[-1] * GROWTH)))
+_STEPS = np.array(STEPS)
 ADD = 0.1
 CONCENTRATION = 30.0
 """Least weight of the unigram distribution after any word, in tokens."""
@@ -101,8 +108,8 @@ def segments_of(keys: np.ndarray, segments: int) -> np.ndarray:
 
 
 def level(count: np.ndarray) -> np.ndarray:
-    """1 for a count of 1, 2 for 2 and 3, 3 for 4 to 7, ..."""
-    return np.frexp(count.astype(np.float64))[1].astype(np.int64)
+    """How many steps a count reaches: 1 for 1, 2 for 2, 3 for 3 and 4, 4 for 5 to 7, ..."""
+    return np.searchsorted(_STEPS, count, "right")
 
 
 def _places(own: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,12 +130,12 @@ class CountFilter:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's count rounded down to a power of two, 0 for what is not there; more with probability MISTAKEN."""
+        """Each key's count rounded down to a step, 0 for what is not there; more with probability MISTAKEN."""
         found = np.zeros(len(keys), np.int64)
         segment = segments_of(keys, len(self.sizes))
         alive = np.flatnonzero(self.sizes[segment] > 0)
         step = 0
-        while len(alive):
+        while len(alive) and step < len(_STEPS):
             step += 1
             own, of = keys[alive], segment[alive]
             start, size = self.starts[of], self.sizes[of]
@@ -141,7 +148,7 @@ class CountFilter:
                 if not len(alive):
                     break
             found[alive] = step
-        return np.where(found > 0, 2.0 ** (found - 1), 0.0)
+        return np.where(found > 0, _STEPS[found - 1], 0).astype(np.float64)
 
 
 def segment_bits(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -240,7 +247,7 @@ class Smoothing:
 
 def at_most(count: np.ndarray) -> np.ndarray:
     """The largest count that is rounded down to this one."""
-    return np.maximum(2 * count - 1, 0)
+    return np.where(count > 0, _STEPS[np.minimum(level(count), len(_STEPS) - 1)] - 1, 0).astype(np.float64)
 
 
 def _hot_counts(hot: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,8 +278,8 @@ def _score(shared, hot, smoothing: Smoothing, base_over: float):
                 base = np.add.reduceat(np.where(is_hot, np.log10((hot_n + ADD) / base_over), 0.0)[back], starts)
                 known = np.add.reduceat(is_hot.astype(np.int64)[back], starts)
                 if filter_:
-                    low = np.where(is_hot, hot_n, filter_.counts(keys))
-                    high = np.where(is_hot, hot_n, at_most(low))
+                    low = filter_.counts(keys)
+                    high = at_most(low)
                     before = np.concatenate([[0], back[:-1]])
                     before[starts] = np.searchsorted(types, _END)
                     pairs, of_pair = np.unique(pair_keys(types[before], toks), return_inverse=True)
@@ -342,18 +349,17 @@ def look_up(asked: DataFrame, kept: DataFrame, segments: int, column: str, name:
     return dealt.mapInArrow(_probe(names, name), ", ".join([*(f"{c} long" for c in names), f"{name} double"]))
 
 
-def score_by_segments(scored: DataFrame, kept: DataFrame, segments: int, hot, smoothing: Smoothing) -> DataFrame:
+def score_by_segments(scored: DataFrame, kept: DataFrame, segments: int, smoothing: Smoothing) -> DataFrame:
     """(row, score) where the filter is too large to broadcast: each distinct pair is looked up and scored once.
 
     Words and pairs that many rows share are joined as join_counted does.
     """
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of words: at most and at least the true ones, which frequent words have."""
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of words: at most and at least the true ones."""
         for batch in batches:
-            is_hot, hot_n = _hot_counts(hot.value, batch.column("word").to_numpy(zero_copy_only=False).view(np.uint64))
             low = batch.column("low").to_numpy(zero_copy_only=False)
-            yield pa.record_batch([batch.column("word"), pa.array(np.where(is_hot, hot_n, low)), pa.array(np.where(is_hot, hot_n, at_most(low)))], ["word", "low", "high"])
+            yield pa.record_batch([batch.column("word"), pa.array(low), pa.array(at_most(low))], ["word", "low", "high"])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +370,7 @@ def score_by_segments(scored: DataFrame, kept: DataFrame, segments: int, hot, sm
     pairs = materialize(each.groupBy("pair").agg(F.first("before").alias("before"), F.first("token").alias("token"), F.count(F.lit(1)).alias("n_rows")), "pairs")
     total, n_asked = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
     asked = pairs.select(F.explode(F.array("before", "token")).alias("word")).distinct()
-    found = materialize(look_up(asked, kept, segments, "word", "low").mapInArrow(exact, "word long, low double, high double"), "words")
+    found = materialize(look_up(asked, kept, segments, "word", "low").mapInArrow(bounds, "word long, low double, high double"), "words")
     met = look_up(pairs, kept, segments, "pair", "pair_n")
     for column, count in (("token", "low"), ("before", "high")):
         rows = pairs.groupBy(F.col(column).alias("word")).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -411,7 +417,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     heads = {c: F.max(F.when(once, F.col(c))).alias(c) for c in ("doc_id", "held_out", "n_tokens", "hot_known", "hot_score", *(["score"] if whole else []))}
     summed = joined.groupBy("row").agg(*heads.values(), F.count(n).alias("more"), F.coalesce(F.sum(F.log10((n + ADD) / over)), F.lit(0.0)).alias("cold_score"))
     if not whole:
-        summed = summed.join(score_by_segments(scored.filter(once), kept, segments, frequent, smoothing), "row")
+        summed = summed.join(score_by_segments(scored.filter(once), kept, segments, smoothing), "row")
     known = F.col("hot_known") + F.col("more")
     base = F.col("hot_score") + F.col("cold_score") + (F.col("n_tokens") - known) * math.log10(ADD / over)
     return summed.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

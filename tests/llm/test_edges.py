@@ -173,12 +173,12 @@ def test_language_model(docs, none):
 
 
 def test_large_filters_give_the_same_scores(docs, monkeypatch):
-    """No n-gram is left out for the number of tokens, and a filter that isn't broadcast gives the same scores."""
+    """Scores don't depend on which words' exact counts are broadcast, and a filter that isn't broadcast gives the same ones."""
     rounded = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs).collect())
     whole = rounded()
     monkeypatch.setattr(lm, "HOT_TOKENS", 50)
     some = rounded()
-    assert [r[:4] for r in some] == [r[:4] for r in whole]
+    assert some == whole
     monkeypatch.setattr(lm, "BROADCAST_BYTES", 0)
     assert rounded() == some
     assert [lm.n_segments(n) for n in (0, 10**9, 10**14)] == [32, 64, lm.MOST_SEGMENTS]
@@ -195,7 +195,7 @@ def test_count_filter_rounds_down():
     counts = np.concatenate([np.ones(3000), rng.integers(2, 5000, 1000)]).astype(int)
     f = filter_of(keys, counts)
     got = f.counts(keys)
-    low = 2.0 ** np.floor(np.log2(counts))
+    low = np.array([max(x for x in lm.STEPS if x <= c) for c in counts.tolist()])
     assert (got >= low).all() and (got > low).mean() < 3 * lm.MISTAKEN + 0.002 and (lm.at_most(low) >= counts).all()
     assert (f.counts(rng.integers(0, 2**63, 100_000).astype(np.uint64)) > 0).mean() < 1.2 * lm.MISTAKEN
 
