@@ -7,7 +7,7 @@ similarity of exactly 0.75 a pair shares none with probability 0.262^9, six in a
 on the full shingle sets.
 
 Groups of copies never become all their pairs. Equal sets are one class from the start. In each index entry every
-class is first compared with one hub. Where its classes are then still in different components, a class can only share
+class has a hub, and a class is first compared with the hub of its largest entry. Where the classes of an entry are then still in different components, a class can only share
 with another component such shingles as occur there; classes and pairs for which these are too few drop out. The rest meet
 other hubs, which joins most of what belongs together, and what is then left is compared across components.
 """
@@ -32,9 +32,8 @@ SPLIT_ABOVE = 256
 """Index entries with more classes than this are compared in several blocks."""
 HUB_TURNS = 2
 """Rounds that compare each class with one other of each of its index entries, before all that are left are compared."""
-SKETCH_BITS, SKETCH_FAR = 2048, 331
-"""Before full sets are compared across components, signatures of 2048 bits must differ in at most 331 places. At a
-similarity of 0.75 they differ in 256, and in more than 331 with a probability of 6e-7."""
+BITMAP_BITS = 1024
+"""Before full sets are compared across components, bitmaps bound what they share: a bit that only one of them has stands for at least one shingle that the other lacks. No link is lost."""
 BROADCAST_IDS = 2_000_000
 SLICE_BYTES = 16 << 20
 
@@ -43,9 +42,6 @@ _rng = np.random.default_rng(20_011)
 _MUL = _rng.integers(0, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, _K, dtype=np.uint64)
 
-_SKETCH_MUL = _rng.integers(0, 2**63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH_ADD = _rng.integers(0, 2**63, SKETCH_BITS, dtype=np.uint64)
-
 
 def _signature(shingles: np.ndarray) -> np.ndarray:
     least = np.full(_K, np.uint64(2**64 - 1))
@@ -114,18 +110,14 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, shingles) -> a signature of 1-bit MinHash values, as longs."""
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, shingles) -> a bitmap with the bit of each shingle, as longs."""
     for batch in batches:
-        out = []
-        for found in batch.column("shingles"):
-            shingles = found.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            least = np.full(SKETCH_BITS, np.uint64(2**64 - 1))
-            for at in range(0, len(shingles), 128):
-                least = np.minimum(least, (shingles[at : at + 128, None] * _SKETCH_MUL + _SKETCH_ADD).min(axis=0))
-            out.append(np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).view(np.int64))
-        flat = np.concatenate(out) if out else np.empty(0, np.int64)
-        ends = np.arange(len(out) + 1, dtype=np.int32) * (SKETCH_BITS // 64)
+        out = np.zeros((len(batch), BITMAP_BITS), np.uint8)
+        for row, found in zip(out, batch.column("shingles"), strict=True):
+            row[mix(found.values.to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(BITMAP_BITS - 1)] = 1
+        flat = np.packbits(out, axis=1).ravel().view(np.int64)
+        ends = np.arange(len(out) + 1, dtype=np.int32) * (BITMAP_BITS // 64)
         yield pa.record_batch([batch.column("cls"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cls", "bits"])
 
 
@@ -229,10 +221,11 @@ def _of_entry(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each class against one class of its key, another in each key and turn, where roots differ: linear in the rows."""
+    """Each class against one class of each other component that it shares keys with, another in each turn: linear in the rows."""
     hub = F.struct(F.col("cls").alias("of"), F.col("root").alias("of_root"), F.col("n_shingles").alias("of_n"), F.col("reach").alias("of_reach"))
     hubs = rows.groupBy("key").agg(F.max("blocks").alias("blocks"), F.min_by(hub, F.xxhash64("key", "cls", F.lit(turn))).alias("hub"))
     met = _of_entry(rows, hubs.select("key", "blocks", "hub.*")).filter((F.col("root") != F.col("of_root")) & _may_link())
+    met = met.groupBy("cls", "of_root").agg(F.min_by("of", F.xxhash64("of", F.lit(turn))).alias("of"))
     return met.select(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b")).distinct()
 
 
@@ -244,23 +237,26 @@ def _may_link() -> F.Column:
 def _across(rows: DataFrame) -> DataFrame:
     """Pairs within a key whose roots differ, whose sizes are near enough and whose reaches allow a link.
 
-    A key's rows are dealt to blocks of about SPLIT_ABOVE and each block pair is a join key of its own, so one large
+    Of each pair one row isn't of the key's most frequent root, so those rows alone meet all of the key. A key's rows
+    are dealt to blocks of about SPLIT_ABOVE and each block pair is a join key of its own, so one large
     entry spreads over many tasks. Pairs that can't link are dropped inside the join, and a pair that shares several
     keys leaves it once, at the first of them.
     """
-    of_key = rows.groupBy("key").agg(F.max("blocks").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
-    sized = _of_entry(rows, of_key.filter("low < high"))
+    of_root = rows.groupBy("key", "root").agg(F.max("blocks").alias("blocks"), F.count(F.lit(1)).alias("rows"))
+    of_key = of_root.groupBy("key").agg(F.max("blocks").alias("blocks"), F.max_by("root", F.struct("rows", "root")).alias("most"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("roots"))
+    sized = _of_entry(rows, of_key.filter("roots > 1").drop("roots"))
     blocks = F.ceil(F.col("rows") / SPLIT_ABOVE).cast("int")
-    dealt = sized.select("key", "cls", "root", "n_shingles", "reach", "bits", "keys", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
-    left = dealt.withColumn("to", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).withColumnRenamed("block", "from").drop("blocks")
+    dealt = sized.select("key", "cls", "root", "most", "n_shingles", "reach", "bits", "keys", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
+    left = dealt.filter("root <> most").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumnRenamed("block", "from").drop("blocks", "most")
     right = dealt.select(
         "key", F.col("cls").alias("of"), F.col("root").alias("of_root"), F.col("n_shingles").alias("of_n"), F.col("reach").alias("of_reach"), F.col("bits").alias("of_bits"), F.col("keys").alias("of_keys"),
-        F.explode(F.sequence(F.lit(0), F.col("block"))).alias("from"), F.col("block").alias("to"),
+        (F.col("root") == F.col("most")).alias("of_most"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("from"), F.col("block").alias("to"),
     )
-    apart = sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("of_bits", i))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    lone = sum((F.bit_count(F.get("bits", i).bitwiseAND(F.bitwise_not(F.get("of_bits", i)))) for i in range(BITMAP_BITS // 64)), F.lit(0))
+    near = (100 + PERCENT) * (F.col("n_shingles") - lone) >= PERCENT * (F.col("n_shingles") + F.col("of_n"))
     first = F.array_min(F.array_intersect("keys", "of_keys")) == F.col("key")
-    once = (F.col("from") < F.col("to")) | (F.col("cls") < F.col("of"))
-    met = left.join(right, ["key", "from", "to"]).filter(once & (F.col("root") != F.col("of_root")) & _may_link() & (apart <= SKETCH_FAR) & first)
+    once = F.col("of_most") | (F.col("cls") < F.col("of"))
+    met = left.join(right, ["key", "from", "to"]).filter(once & (F.col("root") != F.col("of_root")) & _may_link() & near & first)
     return met.select(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b")).distinct()
 
 
@@ -280,11 +276,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     entries = part.select("cls", "sig").mapInArrow(_index, "key long, cls long")
     hubs = materialize(entries.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("n_rows")).filter("hub < high").drop("high"), "hubs")
-    sized_hubs = hubs.withColumn("blocks", F.ceil(F.col("n_rows") / SPLIT_ABOVE).cast("int"))
-    members = materialize(join_counted(entries, sized_hubs, "key", total * _K).select("key", "cls", "hub", "blocks").distinct(), "members")
+    sized_hubs = hubs.withColumn("size", F.col("n_rows")).withColumn("blocks", F.ceil(F.col("n_rows") / SPLIT_ABOVE).cast("int"))
+    members = materialize(join_counted(entries, sized_hubs, "key", total * _K).select("key", "cls", "hub", "size", "blocks").distinct(), "members")
     firsts = classes.select("cls", F.col("first_id").alias("doc_id"))
     size_of = classes.select("cls", "n_shingles")
-    pairs = materialize(members.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    largest = F.max_by("hub", F.struct("size", "hub"))
+    pairs = materialize(members.filter("cls <> hub").groupBy("cls").agg(largest.alias("a")).select("a", F.col("cls").alias("b")), "pairs")
     with_a = _beside(pairs, size_of, "a", "b", pairs, pairs.count())
     pairs = materialize(with_a.join(size_of.select(F.col("cls").alias("b"), F.col("n_shingles").alias("of_n")), "b").filter(_alike_size()).select("a", "b"), "pairs")
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, firsts, repeated)
@@ -298,9 +295,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         opened = materialize(open_.select("cls", "root").distinct(), "opened")
         sets = _sets_of(opened, docs, firsts, repeated)
         reach = materialize(_in_reach(opened, sets).join(size_of, "cls").filter(100 * F.col("reach") >= PERCENT * F.col("n_shingles")), "reach")
-        sketches = sets.join(reach.select("cls"), "cls").mapInArrow(_sketch, "cls long, bits array<long>").dropDuplicates(["cls"])
+        bitmaps = sets.join(reach.select("cls"), "cls").mapInArrow(_bitmap, "cls long, bits array<long>").dropDuplicates(["cls"])
         own = open_.groupBy("cls").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        marked = materialize(reach.join(sketches, "cls").join(own, "cls"), "marked")
+        marked = materialize(reach.join(bitmaps, "cls").join(own, "cls"), "marked")
         rows = open_.drop("root").join(reach, "cls")
         for turn in range(HUB_TURNS + 1):
             rooted = _rooted(rows, roots)
