@@ -24,7 +24,8 @@ from tessarine.llm._text import _STEP, Cut, mix, slices
 from tessarine.llm._work import free, join_counted, materialize
 
 BLANKS, BREAKS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, COUNT_BYTES = 4 << 20, 8 << 20
+"""Bytes of text, or one text, that a task hashes, or counts, at a time."""
 PART_BYTES, MOST_PARTS = 4 << 20, 20_000
 """A hash partition for each PART_BYTES of text, MOST_PARTS at most."""
 NARROW = 1 << 28
@@ -79,10 +80,14 @@ class Keys:
         return (self.part(keys) if self.wide else keys >> np.uint64(32)).astype(np.int64)
 
     def packed(self, keys: np.ndarray) -> bytes:
-        return keys.astype(self.kind).tobytes()
+        """Keys of one partition in order, as steps from one to the next, byte by byte: what is written compresses these well."""
+        steps = np.diff(keys if self.wide else keys & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype(self.kind)
+        return np.ascontiguousarray(steps.view(np.uint8).reshape(len(keys), -1).T).tobytes()
 
     def unpacked(self, part: int, raw: bytes) -> np.ndarray:
-        own = np.frombuffer(raw, self.kind).astype(np.uint64)
+        width = int(self.kind[2])
+        steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(self.kind).ravel()
+        own = np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
         return own if self.wide else own | np.uint64(part << 32)
 
 
@@ -165,9 +170,9 @@ def _candidates(cut: Cut, seeds: np.ndarray, most: int, words: Filter) -> Iterat
             yield h[may & whole(cut, n)]
 
 
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, Cut]]:
+def _cuts(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, Cut]]:
     for batch in batches:
-        for some in slices(batch, "text", SLICE_BYTES):
+        for some in slices(batch, "text", size):
             yield *_languages(some), Cut(some.column("text"), BLANKS, BREAKS)
 
 
@@ -324,7 +329,7 @@ def _count(most: int, held: Filter):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, tables, size = ["part", "lang", "phrase"], [], 0
-        for names, of_row, seeds, cut in _cuts(batches):
+        for names, of_row, seeds, cut in _cuts(batches, COUNT_BYTES):
             before = None
             for n, h in _grams(cut, seeds, most):
                 may = whole(cut, n)
