@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessarine.functions.expr import contains_any, content_preview, cosine_similarity, count_tokens, parse_query, query_hash
+from tessarine.functions.expr import contains_any, content_preview, count_tokens, parse_query, query_hash
 from tessarine.functions.predicates import noise_path
+from tessarine.operators.cells import CellStore
 from tessarine.operators.vectors import best_in_scope, pack_vectors
 from tessarine.shared import materialize
 
@@ -21,9 +22,7 @@ BOOSTS = {
 }
 SCOPE = ("organization", "repository")
 VECTOR_SCOPE = (*SCOPE, "model")
-SAMPLE_ROWS = 100_000
 BROADCAST_ROWS = 200_000
-CANDIDATES = 4
 RRF_K, LEG_LIMIT, CACHE_LEAST, CACHE_TTL = 60, 50, 0.95, 3600
 NO_ANSWER = "I don't have enough information to answer that question. The query didn't match any code in the repository."
 WORD = r"[\p{L}\p{N}_]+"
@@ -117,34 +116,10 @@ def vector_heaps(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "
     return best_in_scope(own, pack_vectors(queries, list(scope), "query_id", "asked"), list(scope), limit, key, tol)
 
 
-def vector_leg_approx(chunks: DataFrame, queries: DataFrame, cells: int = 16, nprobe: int = 4, limit: int = LEG_LIMIT, seed: int = 7) -> DataFrame:
-    """The vector leg over k-means cells, ranked exactly: the ``nprobe`` nearest that hold rows of the query's repository and
-    model, and further ones until they hold CANDIDATES times ``limit`` rows besides the query's own, or all.
-
-    Cells come from a sample by hash of about SAMPLE_ROWS rows of all; every row is assigned to one.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    point = array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features")
-    share = -(-chunks.count() // SAMPLE_ROWS) or 1
-    sample = chunks.filter(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(share)) == 0)
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(sample.select(point))
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    near = F.array(*(F.struct((-sum_of(F.col("embedding"), c)).alias("far"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
-    order = F.array_sort(near)
-    placed = chunks.withColumn("cell", F.get(order, 0)["cell"])
-    held = placed.groupBy("repository", "model", "cell").agg(F.count(F.lit(1)).alias("n"))
-    asked = queries.select("*", F.posexplode(F.transform(order, lambda s: s["cell"])).alias("far", "cell")).join(held, ["repository", "model", "cell"])
-    by_query = Window.partitionBy("query_id").orderBy("far")
-    nearer = F.coalesce(F.sum("n").over(by_query.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    probed = asked.withColumn("nth", F.row_number().over(by_query)).withColumn("nearer", nearer).filter((F.col("nth") <= nprobe) | (F.col("nearer") <= CANDIDATES * limit))
-    scope = placed.join(probed.select("query_id", "repository", "model", "cell", F.col("embedding").alias("qe")), ["repository", "model", "cell"]).filter("chunk_id <> query_id")
-    return ranked(scope.select("query_id", "chunk_id", F.round(cosine_similarity(F.col("embedding"), F.col("qe")), 6).alias("score")), limit)
-
-
-def sum_of(vector: Column, weights: list[float]) -> Column:
-    return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, weights)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+def vector_leg_approx(chunks: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT, slack: float = 0.25, key: str = "chunk_id", store: CellStore | None = None, scope: tuple[str, ...] = VECTOR_SCOPE) -> DataFrame:
+    """The vector leg over inverted lists, ranked exactly: see ``CellStore``, which may be stored and passed."""
+    own = CellStore(chunks, list(scope), key) if store is None else store
+    return own.search(queries, limit, slack)[0]
 
 
 def exact_with_tie_tail(scores: DataFrame, limit: int = LEG_LIMIT, tol: float = 1e-6, key: str = "chunk_id") -> DataFrame:

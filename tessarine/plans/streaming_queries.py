@@ -9,7 +9,8 @@ from tessarine.operators.lineage import LIVE
 from tessarine.plans.chunk_queries import OVERLAP, SIZE, _spans_sql
 from tessarine.plans.roles import DELIVERIES, Registry, deliveries, jobs, table
 from tessarine.streaming import events as t
-from tessarine.streaming.run import drain, drain_idle, scratch
+from tessarine.sources.snapshots import LedgerSink
+from tessarine.streaming.run import drain, drain_idle, drain_windows, scratch
 
 R = Registry()
 col = F.col
@@ -77,11 +78,11 @@ R.add(
 
 
 def _collected(s, stream_writer, label, schema):
-    """The rows that a writer of micro-batches leaves in the shared folder."""
-    out = scratch(s, label)
-    query = stream_writer(lambda df, epoch: df.write.mode("append").parquet(out)).option("checkpointLocation", scratch(s, label + "-log")).trigger(availableNow=True).start()
+    """The rows that a writer of micro-batches leaves in the shared folder, each batch once."""
+    sink = LedgerSink(s, scratch(s, label))
+    query = stream_writer(sink).option("checkpointLocation", scratch(s, label + "-log")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return s.read.schema(schema).parquet(out)
+    return sink.read(schema)
 
 
 def _push_jobs(s, d):
@@ -101,9 +102,13 @@ R.add(
 
 
 def _chunked(s, d):
+    """Documents as files, of which every third comes a second time unchanged."""
     files = table_stream(s, d, "documents").select("doc_id", col("doc_id").cast("string").alias("path"), col("text").alias("content"), F.timestamp_seconds("doc_id").alias("arrived_at"))
-    write = lambda sink: t.stream_chunks(files, lambda df: chunk_fixed(df, SIZE, OVERLAP), lambda df, n: sink(df.select("doc_id", "start_line", "end_line"), n))
-    return _collected(s, write, "chunks", "doc_id long, start_line long, end_line long")
+    again = F.explode(F.when(col("doc_id") % 3 == 0, F.array(F.lit(0), F.lit(60))).otherwise(F.array(F.lit(0))))
+    files = files.withColumn("again", again).withColumn("arrived_at", F.timestamp_add("SECOND", col("again"), col("arrived_at"))).drop("again")
+    chunks = lambda df: chunk_fixed(df, SIZE, OVERLAP).select("path", "doc_id", "start_line", "end_line")
+    write = lambda sink: t.stream_chunks(files, chunks, lambda df, n: sink(df.select("path", "doc_id", "start_line", "end_line", "arrived_at"), n))
+    return t.current_chunks(_collected(s, write, "chunks", "path string, doc_id long, start_line long, end_line long, arrived_at timestamp")).select("doc_id", "start_line", "end_line")
 
 
 R.add("c15_stream_chunks", _chunked, f"WITH {_spans_sql(SIZE, OVERLAP)} SELECT doc_id, start_line, end_line FROM chunks")
@@ -136,3 +141,26 @@ R.add("d7_heartbeat_timeout", lambda s, d: drain(t.heartbeat_timeout(event_strea
 R.add("d8_outcome_counts", lambda s, d: t.outcome_counts(deliveries(s, d)).select(col("window_start").cast("timestamp_ntz").alias("window_start"), "event", "n"),
       "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS event, count(*) AS n FROM events GROUP BY 1, 2")
 
+R.add("d7_job_watch", lambda s, d: drain(t.job_watch(event_stream(s, d).select((col("installation") % 40).alias("worker"), col("received_at").alias("beat")))),
+      f"""WITH b AS (SELECT user_id % 40 AS worker, epoch_ms(ts) AS tm FROM events), g AS (SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY worker ORDER BY tm) <= {t.STALL_SECONDS * 1000} THEN 0 ELSE 1 END AS new FROM b),
+      r AS (SELECT worker, tm, sum(new) OVER (PARTITION BY worker ORDER BY tm ROWS UNBOUNDED PRECEDING) AS run FROM g), v AS (SELECT worker, min(tm) AS started, max(tm) + {t.STALL_SECONDS * 1000} AS stalled, min(tm) + {t.MOST_WORK_SECONDS * 1000} AS cut FROM r GROUP BY worker, run)
+      SELECT worker, started, CASE WHEN cut < stalled THEN 'cut_loose' ELSE 'stalled' END AS verdict, least(cut, stalled) AS "at" FROM v, (SELECT max(tm) AS now FROM b) WHERE least(cut, stalled + 1) <= now""")
+_OUTCOMES = ("done", "failed", "ignored")
+
+
+def _windows(s, d):
+    """Events in four files by time, each up to eight minutes out of order."""
+    e = table(s, d, "events").select(col("event_id"), col("event_type").alias("event"), F.element_at(F.array(*map(F.lit, _OUTCOMES)), (col("event_id") % 3 + 1).cast("int")).alias("outcome"), col("ts").cast("timestamp").alias("received_at"))
+    first, last = e.agg(F.min("received_at").cast("double"), F.max("received_at").cast("double")).first()
+    path = scratch(s, "disordered")
+    arrives = col("received_at").cast("double") - first + (col("event_id") % 9) * 60
+    dealt = e.withColumn("file", F.least(F.floor(4 * arrives / (last - first + 1)), F.lit(3)))
+    for k in range(4):
+        dealt.filter(col("file") == k).drop("file", "event_id").coalesce(1).write.mode("append").parquet(path)
+    stream = s.readStream.schema("event string, outcome string, received_at timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    return drain_windows(t.outcome_counts(stream, by=("event", "outcome")))[0].select(col("window_start").cast("timestamp_ntz").alias("window_start"), "event", "outcome", "n")
+
+
+R.add("d8_final_windows", _windows,
+      f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS event, ({list(_OUTCOMES)!r})[event_id % 3 + 1] AS outcome, count(*) AS n FROM events
+      WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2, 3""")

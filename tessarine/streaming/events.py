@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tessarine.operators.jobs import coalesce_requests
 from tessarine.operators.lineage import latest_per, resolve_installation
+from tessarine.streaming.run import keep_state
 
 RETENTION = "30 days"
 RECLAIM_SECONDS, STALL_SECONDS, MOST_WORK_SECONDS = 300, 300, 7200
@@ -61,10 +62,17 @@ def repository_membership(events: DataFrame) -> DataFrame:
     return seen.filter("_n = 1").select("repository_id", "installation", verdict.alias("action"))
 
 
-def outcome_counts(deliveries: DataFrame, every: str = "1 hour") -> DataFrame:
-    """Deliveries per event and time window; in a stream, rows later than the watermark are dropped."""
-    rows = deliveries.withWatermark("received_at", "10 minutes") if deliveries.isStreaming else deliveries
-    return rows.groupBy(F.window("received_at", every).alias("w"), "event").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "event", "n")
+LATENESS = "10 minutes"
+
+
+def outcome_counts(deliveries: DataFrame, every: str = "1 hour", by: tuple[str, ...] = ("event",)) -> DataFrame:
+    """Deliveries per time window and the columns in ``by``.
+
+    In a stream a window comes out once, when the watermark, LATENESS behind the latest row, has passed its end; rows of a closed
+    window are dropped, and ``run.drain_windows`` counts them. In a batch every window comes out.
+    """
+    rows = deliveries.withWatermark("received_at", LATENESS) if deliveries.isStreaming else deliveries
+    return rows.groupBy(F.window("received_at", every).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
 
 
 def heartbeat_gaps(beats: DataFrame, until: Column, seconds: int = STALL_SECONDS) -> DataFrame:
@@ -84,13 +92,71 @@ def push_to_jobs(deliveries: DataFrame, index: DataFrame, live_jobs: Callable[[]
     return deliveries.writeStream.foreachBatch(apply)
 
 
-def stream_chunks(files: DataFrame, chunker: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None]):
-    """A stream writer: the latest version of each arriving file is chunked and written, by repository."""
+def _ms(at) -> int:
+    return pd.Timestamp(at).value // 10**6
+
+
+class ChangedFiles(StatefulProcessor):
+    """Passes a file on when its content's digest isn't the one last seen at its path; of a batch's versions the latest counts."""
+
+    def __init__(self, columns: list[str], keep_ms: int) -> None:
+        self.columns, self.keep_ms = columns, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.digest = handle, handle.getValueState("digest", "digest string, at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        versions = pd.concat(list(rows)).sort_values(["arrived_at", "digest"])
+        newest = versions.iloc[[-1]]
+        digest, at = newest["digest"].iloc[0], _ms(newest["arrived_at"].iloc[0])
+        known = self.digest.get() if self.digest.exists() else None
+        if known is not None and at < known[1]:
+            return  # older than what was passed on
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.digest.update((digest, at))
+        self.handle.registerTimer(at + self.keep_ms)
+        if known is None or known[0] != digest:
+            yield newest[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.digest.clear()
+        yield pd.DataFrame(columns=self.columns)
+
+    def close(self) -> None:
+        return
+
+
+def changed_files(files: DataFrame, keep_days: int = 30) -> DataFrame:
+    """A stream of files (path, content, arrived_at, ...) without those whose content is what was last seen at their path.
+
+    A path's digest is forgotten once event time is ``keep_days`` past its last arrival; a file that comes after that counts as new.
+    Its content passes through, but only the digest is kept. Files without a path are dropped.
+    """
+    columns = files.columns
+    marked = files.filter("path IS NOT NULL").withColumn("digest", F.sha2(F.coalesce("content", F.lit("")), 256)).withWatermark("arrived_at", "0 seconds")
+    return marked.groupBy("path").transformWithStateInPandas(ChangedFiles(columns, keep_days * 86_400_000), files.schema, "append", "eventTime")
+
+
+def stream_chunks(files: DataFrame, chunker: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], keep_days: int = 30):
+    """A stream writer: files that are new or changed are chunked and written with ``arrived_at``; see ``changed_files``.
+
+    A file that gives no chunks is written as one row with null lines, so that ``current_chunks`` knows that its chunks are gone.
+    """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        write(chunker(latest_per(batch, ["path"], F.desc("arrived_at"), F.desc("content"))), epoch)
+        kept = batch.select("path", "arrived_at").withColumnRenamed("arrived_at", "_at")
+        chunks = chunker(batch)
+        write(kept.join(chunks.drop("arrived_at"), "path", "left").withColumnRenamed("_at", "arrived_at"), epoch)
+
+    keep_state(files.sparkSession)
+    return changed_files(files, keep_days).writeStream.foreachBatch(apply)
+
 
-    return files.writeStream.foreachBatch(apply)
+def current_chunks(written: DataFrame) -> DataFrame:
+    """Of all chunks that were written, those of each path's latest version."""
+    newest = F.max("arrived_at").over(Window.partitionBy("path"))
+    return written.withColumn("_newest", newest).filter((F.col("arrived_at") == F.col("_newest")) & F.col("start_line").isNotNull()).drop("_newest")
 
 
 class Reclaim(StatefulProcessor):
@@ -175,7 +241,7 @@ class Heartbeats(StatefulProcessor):
         self.handle, self.last = handle, handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(pd.Timestamp(x).timestamp() * 1000) for part in rows for x in part["beat"])
+        newest = max(_ms(x) for part in rows for x in part["beat"])
         if self.last.exists():
             newest = max(newest, self.last.get()[0])
             for t in list(self.handle.listTimers()):
@@ -197,3 +263,57 @@ def heartbeat_timeout(beats: DataFrame) -> DataFrame:
     """(worker, last_beat in ms) of workers without a beat for five minutes of event time, from a stream (worker, beat)."""
     marked = beats.withWatermark("beat", "0 seconds")
     return marked.groupBy("worker").transformWithStateInPandas(Heartbeats(), "worker long, last_beat long", "append", "eventTime")
+
+
+class JobWatch(StatefulProcessor):
+    """One verdict on each run of beats: stalled when none came for STALL_SECONDS, cut loose when it lasts MOST_WORK_SECONDS.
+
+    The beat timer starts anew with each beat; the work timer stands from the run's first beat on.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.run = handle, handle.getValueState("run", "start long, last long, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        beats = sorted(_ms(x) for part in rows for x in part["beat"])
+        start, last, done = self.run.get() if self.run.exists() else (beats[0], beats[0], False)
+        out = []
+        for at in beats:
+            if at - last > STALL_SECONDS * 1000:
+                out += [] if done else [verdict(key[0], start, last)]
+                start, done = at, False
+            last = max(last, at)
+            if not done and last > start + MOST_WORK_SECONDS * 1000:
+                out, done = [*out, verdict(key[0], start, last)], True
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.run.update((start, last, done))
+        self.handle.registerTimer(last + STALL_SECONDS * 1000 + 1)
+        if not done:
+            self.handle.registerTimer(start + MOST_WORK_SECONDS * 1000)
+        yield pd.DataFrame(out, columns=["worker", "started", "verdict", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.run.exists():
+            start, last, done = self.run.get()
+            over = expiredTimerInfo.getExpiryTimeInMs() > last + STALL_SECONDS * 1000
+            if not done and (over or last + STALL_SECONDS * 1000 > start + MOST_WORK_SECONDS * 1000):
+                out, done = [verdict(key[0], start, last)], True
+            self.run.clear() if over else self.run.update((start, last, done))
+        yield pd.DataFrame(out, columns=["worker", "started", "verdict", "at"])
+
+    def close(self) -> None:
+        return
+
+
+def verdict(worker, start: int, last: int) -> tuple:
+    """(worker, start, stalled or cut_loose, when), in ms."""
+    stalled, cut = last + STALL_SECONDS * 1000, start + MOST_WORK_SECONDS * 1000
+    return (worker, start, "cut_loose", cut) if cut < stalled else (worker, start, "stalled", stalled)
+
+
+def job_watch(beats: DataFrame) -> DataFrame:
+    """(worker, started, verdict, at), times in ms, from a stream (worker, beat): a verdict for each run of beats less than STALL_SECONDS apart, once event time has reached it."""
+    marked = beats.filter("worker IS NOT NULL AND beat IS NOT NULL").withWatermark("beat", "0 seconds")
+    return marked.groupBy("worker").transformWithStateInPandas(JobWatch(), "worker long, started long, verdict string, at long", "append", "eventTime")

@@ -16,10 +16,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     return work_path(spark, label)
 
 
-def _writer(stream: DataFrame, mode: str, out: str):
-    spark = stream.sparkSession
+def keep_state(spark: SparkSession) -> None:
+    """State of processors is kept in RocksDB, which they need."""
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def _writer(stream: DataFrame, mode: str, out: str):
+    spark = stream.sparkSession
+    keep_state(spark)
     return stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "log"))
 
 
@@ -40,3 +45,12 @@ def drain_idle(stream: DataFrame, mode: str = "append", poll_seconds: float = 0.
         raise query.exception()
     query.stop()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def drain_windows(stream: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of windows that the watermark has closed, and how many input rows came too late for theirs."""
+    out = scratch(stream.sparkSession, "sink")
+    query = _writer(stream, "append", out).trigger(availableNow=True).start()
+    query.awaitTermination()
+    late = sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+    return stream.sparkSession.read.schema(stream.schema).parquet(out), late

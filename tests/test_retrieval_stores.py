@@ -103,3 +103,23 @@ def test_tie_tail_from_heaps(spark):
     got = [x.chunk_id for x in r.exact_with_tie_tail(r.vector_heaps(df, asked, 5, tol=0.002), 5, 0.002).orderBy("rank").collect()]
     score = lambda i: round(1 / (1 + (i / 100) ** 2) ** 0.5, 6)
     assert got == [i for i in range(1, 30) if i <= 5 or score(5) - score(i) <= 0.002]
+
+
+def test_cell_store(spark, tmp_path):
+    """Recall at k = 50 over all vectors of sf0.1 as one scope, with a share of the rows scored; slack 1 gives the exact answer; stored lists are used again."""
+    from pyspark.sql import functions as F
+
+    from tessarine.operators.cells import CellStore, n_cells
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.lit(1).alias("model"), "embedding")
+    asked = rows.filter("chunk_id % 40 = 0").withColumnRenamed("chunk_id", "query_id")
+    exact = {(x.query_id, x.chunk_id) for x in r.vector_leg(rows, asked, scope=("model",)).collect()}
+    store = CellStore(rows, ["model"], path=str(tmp_path / "lists"))
+    found, stats = store.search(asked, 50)
+    got = {(x.query_id, x.chunk_id) for x in found.collect()}
+    scored = sum(x.scored for x in stats.collect()) / (asked.count() * rows.count())
+    assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact) and scored < 0.5
+    assert {(x.query_id, x.chunk_id) for x in store.search(asked.limit(5), 50, 1.0)[0].collect()} <= exact
+    assert [n_cells(n) for n in (0, 100, 10**12)] == [1, 10, 4096]
+    few = CellStore(rows.limit(3), ["model"])
+    assert few.search(asked.limit(1), 50)[0].count() <= 3 and CellStore(rows.limit(0), ["model"]).search(asked, 5)[0].count() == 0
