@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: The shapes of quoted terms, identifiers, tokens and credentials.
 QUOTED = r""""[^"]+"|'[^']+'"""
@@ -94,6 +95,32 @@ def redact_json(values: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def redact_nested(value: Column, kind: DataType) -> Column:
+    """``redact`` over every string in a value of type ``kind``: leaves of structs, arrays and maps at any depth, and keys of maps.
+
+    A map's keys that become equal keep the last value. Fields of structs keep their names; other leaves stay as they are.
+    """
+    if isinstance(kind, StringType):
+        return redact(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda v: redact_nested(v, kind.elementType))
+    if isinstance(kind, StructType):
+        own = F.struct(*(redact_nested(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields))
+        return F.when(value.isNotNull(), own)
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(redact_nested(e["key"], kind.keyType).alias("key"), redact_nested(e["value"], kind.valueType).alias("value")))
+        last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+        return F.map_from_entries(last)
+    return value
+
+
+def redact_json_text(text: Column) -> Column:
+    """JSON text with ``redact`` over every string in it, keys included, whatever its shape; its numbers, marks and blanks stay as they are."""
+    parts = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*"|[^"]+)'), F.lit(1))
+    inner = lambda p: F.concat(F.lit('"'), redact(F.substring(p, F.lit(2), F.length(p) - 2)), F.lit('"'))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"') & (F.length(p) > 1), inner(p)).otherwise(p)), "")
+
+
 def token_list(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
 

@@ -94,3 +94,26 @@ def check_comparable_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     checks = [("missing", F.col("in_a").isNull() | F.col("in_b").isNull()), ("question", differs("question")), ("set", differs("set")), ("vector", differs("vector_hash") | (both & F.col("a_vector_hash").isNull())), ("failed", F.col("a_error").isNotNull() | F.col("b_error").isNotNull())]
     repeats = [check_unique(df, ["id"], name) for df, name in ((before, "repeated_before"), (after, "repeated_after"))]
     return all_of(*(violations(j, name, bad, F.col("id"), F.lit(name)) for name, bad in checks), *repeats)
+
+
+def check_comparable_headers(before: DataFrame, after: DataFrame, settings: list[str], on: list[str]) -> DataFrame:
+    """(check, key, detail): headers of two runs, one for each value of ``on``, that differ in a setting, or that only one run has.
+
+    Null equals null. The detail holds both values.
+    """
+    b = before.select(*on, F.lit(True).alias("in_b"), *(F.col(c).cast("string").alias(f"b_{c}") for c in settings))
+    a = after.select(*on, F.lit(True).alias("in_a"), *(F.col(c).cast("string").alias(f"a_{c}") for c in settings))
+    j = b.join(a, on, "full")
+    key = F.concat_ws("/", *on)
+    value = lambda side, c: F.coalesce(F.col(f"{side}_{c}"), F.lit("null"))
+    both = F.col("in_a") & F.col("in_b")
+    differs = [violations(j, f"setting_{c}", both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), key, F.concat(value("b", c), F.lit(" -> "), value("a", c))) for c in settings]
+    return all_of(violations(j, "missing_header", F.col("in_a").isNull() | F.col("in_b").isNull(), key, F.lit("missing_header")), *differs)
+
+
+def check_recorded_ranks(questions: DataFrame, top: DataFrame) -> DataFrame:
+    """(check, key, detail): questions (id, path, file_rank) whose recorded rank isn't that of their path's first row in ``top`` (id, rank, file_path)."""
+    again = questions.select("id", "path").join(top.select("id", "rank", F.col("file_path").alias("path")), ["id", "path"]).groupBy("id").agg(F.min("rank").alias("again"))
+    j = questions.select("id", "file_rank").join(again, "id", "left")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    return violations(j, "rank", ~F.col("file_rank").eqNullSafe(F.col("again")), F.col("id"), F.concat(said("file_rank"), F.lit(" for "), said("again")))

@@ -299,3 +299,26 @@ R.add(
     SELECT 'missing' AS "check", id AS key, 'missing' AS detail FROM k WHERE a <> b UNION ALL SELECT 'question', id, 'question' FROM k WHERE a AND b AND (CASE WHEN k % 30 = 1 THEN 'q10' ELSE 'q' END) <> (CASE WHEN k % 21 = 1 THEN 'q7' ELSE 'q' END)
     UNION ALL SELECT 'failed', id, 'failed' FROM k WHERE (a OR b) AND k % 40 = 1""",
 )
+
+
+def _headers(s, d, turn):
+    """Customers as corpora, with the settings of a run."""
+    c = table(s, d, "customer")
+    return c.filter(col("c_custkey") % turn > 0).select(col("c_custkey").cast("string").alias("corpus"), (5 + (col("c_custkey") % (turn * 2) == 1).cast("int")).alias("top_k"), F.when(col("c_custkey") % 3 > 0, F.lit("m")).alias("model"))
+
+
+_HEADERS = "SELECT CAST(c_custkey AS VARCHAR) AS corpus, 5 + CAST(c_custkey % {0} = 1 AS INTEGER) AS top_k FROM customer WHERE c_custkey % {1} > 0"
+R.add(
+    "v6_comparable_headers", lambda s, d: v.check_comparable_headers(_headers(s, d, 10), _headers(s, d, 7), ["top_k", "model"], ["corpus"]),
+    f"""WITH j AS (SELECT coalesce(b.corpus, a.corpus) AS key, b.top_k AS b, a.top_k AS a FROM ({_HEADERS.format(20, 10)}) b FULL JOIN ({_HEADERS.format(14, 7)}) a ON a.corpus = b.corpus)
+    SELECT 'missing_header' AS "check", key, 'missing_header' AS detail FROM j WHERE a IS NULL OR b IS NULL UNION ALL SELECT 'setting_top_k', key, b || ' -> ' || a FROM j WHERE a <> b""",
+)
+R.add(
+    "v6_recorded_ranks",
+    lambda s, d: v.check_recorded_ranks(
+        table(s, d, "orders").select(col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("f"), (col("o_orderkey") % 5).cast("string")).alias("path"), F.when(col("o_orderkey") % 3 > 0, col("o_orderkey") % 4).alias("file_rank")),
+        table(s, d, "lineitem").select(col("l_orderkey").cast("string").alias("id"), col("l_linenumber").cast("long").alias("rank"), F.concat(F.lit("f"), (col("l_partkey") % 5).cast("string")).alias("file_path")),
+    ),
+    """WITH q AS (SELECT o_orderkey AS k, o_orderkey % 5 AS p, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 4 END AS said FROM orders), t AS (SELECT k, min(l_linenumber) AS again FROM q JOIN lineitem ON l_orderkey = k AND l_partkey % 5 = p GROUP BY k)
+    SELECT 'rank' AS "check", CAST(k AS VARCHAR) AS key, coalesce(CAST(said AS VARCHAR), 'none') || ' for ' || coalesce(CAST(again AS VARCHAR), 'none') AS detail FROM q LEFT JOIN t USING (k) WHERE said IS DISTINCT FROM again""",
+)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessarine.plans.roles import FILES, Registry, deliveries, files, table
 from tessarine.sources import files as src
+from tessarine.sources.snapshots import ChunkSets
 from tessarine.streaming.run import drain, scratch
 
 R = Registry()
@@ -38,11 +39,18 @@ def _archives(s, d):
     return f.sort("place").groupBy("repository", "piece").applyInPandas(lambda p: _tar(p.sort_values("place")), "path string, content binary")
 
 
+def _hurt(archives):
+    """Beside the archives, for each a null blob and one that isn't gzip."""
+    odd = archives.select(F.concat("path", F.lit(".null")).alias("path"), F.lit(None).cast("binary").alias("content")).unionByName(archives.select(F.concat("path", F.lit(".broken")).alias("path"), F.substring(F.concat(F.lit(b"x"), "content"), 1, 100).alias("content")))
+    return archives.unionByName(odd)
+
+
 R.add(
     "s2_explode_archives",
-    lambda s, d: src.explode_archives(_archives(s, d)).groupBy("archive", F.coalesce("skip_reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("bytes")),
+    lambda s, d: src.explode_archives(_hurt(_archives(s, d))).groupBy("archive", F.coalesce("skip_reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("bytes")),
     f"""WITH f AS (SELECT repository, doc_id % 64 AS piece, content, CASE WHEN doc_id % 20 > 17 THEN doc_id % 4 ELSE 0 END AS odd FROM ({FILES})), k AS (SELECT DISTINCT repository, piece FROM f WHERE odd = 0)
-    SELECT repository || '.tar.gz' AS archive, CASE odd WHEN 0 THEN 'none' WHEN 1 THEN 'unsafe_path' WHEN 2 THEN 'unexpected_top_level' ELSE 'symlink' END AS reason, count(*) AS n, CAST(sum(CASE WHEN odd = 0 THEN octet_length(encode(content)) ELSE 0 END) AS BIGINT) AS bytes FROM f JOIN k USING (repository, piece) GROUP BY 1, 2""",
+    SELECT repository || '.tar.gz' AS archive, CASE odd WHEN 0 THEN 'none' WHEN 1 THEN 'unsafe_path' WHEN 2 THEN 'unexpected_top_level' ELSE 'symlink' END AS reason, count(*) AS n, CAST(sum(CASE WHEN odd = 0 THEN octet_length(encode(content)) ELSE 0 END) AS BIGINT) AS bytes FROM f JOIN k USING (repository, piece) GROUP BY 1, 2
+    UNION ALL SELECT repository || '.tar.gz' || o.ending, o.reason, count(*), 0 FROM k, (SELECT unnest(['.null', '.broken']) AS ending, unnest(['missing_archive', 'damaged_archive']) AS reason) o GROUP BY 1, 2""",
 )
 
 
@@ -60,15 +68,16 @@ R.add(
 
 
 def _replaced(s, d):
-    path = scratch(s, "chunks")
+    """Two commits: all sets, then new ones for src1 and src2 and nothing for src3."""
     rows = files(s, d).select(col("organization").alias("organization_id"), col("repository").alias("repository_id"), "doc_id", F.lit(1).alias("version"))
-    src.replace_repository_chunks(rows, path)
-    src.replace_repository_chunks(rows.filter("repository_id in ('src1', 'src2') and doc_id % 3 = 1").withColumn("version", F.lit(2)), path)
-    return s.read.parquet(path).select("organization_id", "repository_id", "doc_id", "version")
+    sets = ChunkSets(s, scratch(s, "chunks"), "organization_id long, repository_id string, doc_id long, version int")
+    sets.replace(rows)
+    sets.replace(rows.filter("repository_id in ('src1', 'src2') and doc_id % 3 = 1").withColumn("version", F.lit(2)), rows.filter("repository_id in ('src1', 'src2', 'src3')"))
+    return sets.read()
 
 
 R.add("s7_replace_chunks", _replaced,
-      f"SELECT organization AS organization_id, repository AS repository_id, doc_id, CASE WHEN repository IN ('src1', 'src2') THEN 2 ELSE 1 END AS version FROM ({FILES}) WHERE repository NOT IN ('src1', 'src2') OR doc_id % 3 = 1")
+      f"SELECT organization AS organization_id, repository AS repository_id, doc_id, CASE WHEN repository IN ('src1', 'src2') THEN 2 ELSE 1 END AS version FROM ({FILES}) WHERE repository NOT IN ('src1', 'src2', 'src3') OR (repository <> 'src3' AND doc_id % 3 = 1)")
 
 
 def _rows_again(s, d):
@@ -91,6 +100,26 @@ def _runs_again(s, d):
 R.add("s4_run_records", _runs_again, "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'tuning' AS \"set\", o_orderkey % 9 AS file_rank FROM orders")
 
 
+def _record_problems(s, d):
+    """Orders as question records: some cut short, some without a key, a stage, or an error in its place, some twice; no header."""
+    path = scratch(s, "records")
+    o = table(s, d, "orders").withColumn("k", col("o_orderkey"))
+    stage = lambda n, off: F.when(off, F.lit(None)).otherwise(F.lit("[]")).alias(n)
+    trace = F.struct(*(stage(n, (col("k") % 11 == 0) & F.lit(n == "fused")) for n in src.STAGES))
+    named = {"record": F.lit("question"), "id": col("k").cast("string"), "set": F.lit("tuning"), "path": F.lit("p"), "symbol": F.when(col("k") % 7 > 0, "s"), "file_rank": F.lit(1), "symbol_rank": F.lit(1), "query_vector_sha256": F.lit("h"), "trace": trace, "error": F.when(col("k") % 22 == 0, "late").otherwise("")}
+    line = F.to_json(F.struct(*(v.alias(n) for n, v in named.items())))
+    broken = F.when(col("k") % 13 == 0, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    o.select(F.explode(F.when(col("k") % 17 == 0, F.array(broken, broken)).otherwise(F.array(broken))).alias("value")).coalesce(1).write.text(path)
+    return src.check_run_records(src.read_record_lines(s, path)).groupBy("check", F.when(~col("check").isin("broken_line", "no_header"), col("key")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+R.add("s4_record_problems", _record_problems,
+      """WITH l AS (SELECT k, k % 13 = 0 AS broken FROM (SELECT o_orderkey AS k, unnest(CASE WHEN o_orderkey % 17 = 0 THEN [0, 1] ELSE [0] END) FROM orders)),
+      v AS (SELECT 'broken_line' AS "check", CAST(NULL AS VARCHAR) AS key FROM l WHERE broken UNION ALL SELECT 'no_header', NULL UNION ALL SELECT 'missing_keys', CAST(k AS VARCHAR) FROM l WHERE NOT broken AND k % 7 = 0
+        UNION ALL SELECT 'missing_stages', CAST(k AS VARCHAR) FROM l WHERE NOT broken AND k % 11 = 0 AND k % 22 > 0 UNION ALL SELECT DISTINCT 'repeated', CAST(k AS VARCHAR) FROM l WHERE NOT broken AND k % 17 = 0)
+      SELECT "check", key, count(*) AS n FROM v GROUP BY 1, 2""")
+
+
 def _specs_again(s, d):
     path = scratch(s, "specs")
     q = F.struct(col("o_orderkey").cast("string").alias("id"), F.lit("tuning").alias("set"), col("o_orderpriority").alias("question"), F.concat(F.lit("p"), col("o_custkey").cast("string")).alias("path"))

@@ -136,6 +136,18 @@ R.add(
     lambda s, d: table(s, d, "events").select("event_id", F.to_json(x.redact_json(F.create_map(F.lit("k"), F.concat(F.lit("ghp_x"), F.col("event_id").cast("string")), F.lit("e"), F.col("event_type")))).alias("safe")),
     """SELECT event_id, '{"k":"[REDACTED]","e":"' || event_type || '"}' AS safe FROM events""",
 )
+
+
+def _nested(s, d):
+    """Events as values of structs, arrays and maps with a secret at each depth."""
+    secret = F.concat(F.lit("ghp_x"), F.col("event_id").cast("string"))
+    value = F.struct(secret.alias("a"), F.array(F.struct(F.col("event_type").alias("b"), F.create_map(secret, F.array(secret, F.col("event_type"))).alias("m"))).alias("list"), F.col("event_id").alias("n"))
+    e = table(s, d, "events").select("event_id", value.alias("v"))
+    return e.select("event_id", F.to_json(x.redact_nested(F.col("v"), e.schema["v"].dataType)).alias("safe"), x.redact_json_text(F.to_json("v")).alias("safe_text"))
+
+
+_SAFE_JSON = """'{"a":"[REDACTED]","list":[{"b":"' || event_type || '","m":{"[REDACTED]":["[REDACTED]","' || event_type || '"]}}],"n":' || event_id || '}'"""
+R.add("x9_redact_nested", _nested, f"SELECT event_id, {_SAFE_JSON} AS safe, {_SAFE_JSON} AS safe_text FROM events")
 R.add("x10_count_tokens", lambda s, d: table(s, d, "documents").select("doc_id", x.count_tokens(F.col("text")).alias("tokens")), f"SELECT doc_id, CAST({_TOKENS.format('text')} AS BIGINT) AS tokens FROM documents")
 R.add(
     "x11_llm_cost",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import re
 import tarfile
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,29 +56,55 @@ def member_problem(member: tarfile.TarInfo, name: str) -> str | None:
     return "oversize_file" if member.size > MAX_FILE else None
 
 
-def explode_archives(archives: DataFrame) -> DataFrame:
+MAX_MEMBERS, MAX_ARCHIVE = 50_000, 1 << 30
+BROKEN = (tarfile.TarError, gzip.BadGzipFile, EOFError, zlib.error, OSError)
+
+
+def explode_archives(archives: DataFrame, max_members: int = MAX_MEMBERS, max_bytes: int = MAX_ARCHIVE) -> DataFrame:
     """(archive, path, size, content, kind, skip_reason) of every member of ``.tar.gz`` blobs (path, content).
 
     All members stand under one top directory, which is cut off; others are unexpected_top_level. A skipped member has
-    no content. An archive is read as a stream, one member at a time.
+    no content. An archive is read as a stream, one member at a time. What can't be read ends its archive, not the job, in a row of
+    kind archive without a path: damaged_archive, missing_archive for a null blob, and too_many_members or
+    too_many_bytes at the member that goes over a cap; members before it are kept.
     """
+    names = ["archive", "path", "size", "content", "kind", "skip_reason"]
+
+    def members(archive: str, blob: bytes) -> Iterator[tuple]:
+        top, seen, total = None, 0, 0
+        with tarfile.open(fileobj=io.BytesIO(blob), mode="r|gz") as tar:
+            for m in tar:
+                seen, total = seen + 1, total + m.size
+                if seen > max_members or total > max_bytes:
+                    yield archive, None, None, None, "archive", "too_many_members" if seen > max_members else "too_many_bytes"
+                    return
+                head, _, rest = m.name.partition("/")
+                top = top or head
+                if m.isdir():
+                    continue
+                why = "unexpected_top_level" if head != top or not rest else member_problem(m, rest)
+                yield archive, rest or m.name, m.size, None if why else tar.extractfile(m).read(), "file" if m.isfile() else "other", why
+
+    def whole(archive: str, blob: bytes | None) -> Iterator[tuple]:
+        if blob is None:
+            yield archive, None, None, None, "archive", "missing_archive"
+            return
+        try:
+            yield from members(archive, blob)
+        except BROKEN:
+            yield archive, None, None, None, "archive", "damaged_archive"
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for archive, blob in zip(part["path"], part["content"], strict=True):
-                top, rows = None, []
-                with tarfile.open(fileobj=io.BytesIO(blob), mode="r|gz") as tar:
-                    for m in tar:
-                        head, _, rest = m.name.partition("/")
-                        top = top or head
-                        if m.isdir():
-                            continue
-                        why = "unexpected_top_level" if head != top or not rest else member_problem(m, rest)
-                        rows.append((archive, rest or m.name, m.size, None if why else tar.extractfile(m).read(), "file" if m.isfile() else "other", why))
-                        if len(rows) == 200:
-                            yield pd.DataFrame(rows, columns=["archive", "path", "size", "content", "kind", "skip_reason"])
-                            rows = []
-                yield pd.DataFrame(rows, columns=["archive", "path", "size", "content", "kind", "skip_reason"])
+                rows, size = [], 0
+                for row in whole(archive, blob):
+                    rows.append(row)
+                    size += len(row[3] or b"")
+                    if len(rows) == 200 or size > 16 * MAX_FILE:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+                yield pd.DataFrame(rows, columns=names)
 
     return archives.select("path", "content").mapInPandas(read, MEMBER)
 
@@ -97,11 +126,46 @@ RUN_SCHEMA = (
 
 
 def read_run_records(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Header and question rows of JSON-lines run records, gzipped or not."""
-    rows = spark.read.schema(RUN_SCHEMA).json(paths).withColumn("file", F.input_file_name())
+    """Header and question rows of JSON-lines run records, gzipped or not. Broken lines are dropped here: ``check_run_records`` tells of them."""
+    rows = spark.read.schema(RUN_SCHEMA).option("mode", "DROPMALFORMED").json(paths).withColumn("file", F.input_file_name())
     return rows.filter("record = 'run'"), rows.filter("record is null or record <> 'run'")
 
 
+#: What a question record must name, and the stages of its trace.
+QUESTION_KEYS = ("id", "set", "path", "symbol", "file_rank", "symbol_rank", "query_vector_sha256", "trace", "error")
+STAGES = ("fts", "vector", "fused", "boosted", "top")
+
+
+def read_record_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, line) of run records as they are written; blank lines are left out."""
+    return spark.read.text(paths).select(F.input_file_name().alias("file"), F.col("value").alias("line")).filter("trim(line) <> ''")
+
+
+def check_run_records(lines: DataFrame) -> DataFrame:
+    """(check, key, detail) of record files (file, line) that are no complete measurement.
+
+    broken_line: no JSON object. no_header, several_headers, no_questions: by file. missing_keys: a question record lacks
+    some; the detail names them. missing_stages: its trace lacks some, and it has no error. repeated: an id twice in a file.
+    """
+    field = lambda name: F.get_json_object("line", f"$.{name}")
+    keys = F.json_object_keys("line")
+    lack = lambda wanted, there: F.array_except(F.array(*map(F.lit, wanted)), F.coalesce(there, F.array().cast("array<string>")))
+    rows = lines.select("file", "line", keys.alias("keys"), F.when(keys.isNotNull(), field("record")).alias("record"), field("id").alias("id"))
+    asked = rows.filter("record = 'question'")
+    violation = lambda df, name, key, detail: df.select(F.lit(name).alias("check"), key.alias("key"), detail.alias("detail"))
+    by_file = rows.groupBy("file").agg(F.count_if(F.col("record") == "run").alias("headers"), F.count_if(F.col("record") == "question").alias("questions"))
+    left = asked.withColumn("lack", lack(QUESTION_KEYS, F.col("keys")))
+    stages = asked.filter(F.coalesce(field("error"), F.lit("")) == "").withColumn("lack", lack(STAGES, F.json_object_keys(field("trace"))))
+    twice = asked.groupBy("file", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = [
+        violation(rows.filter("keys is null"), "broken_line", F.col("file"), F.substring("line", 1, 80)),
+        violation(by_file.filter("headers = 0"), "no_header", F.col("file"), F.lit("")), violation(by_file.filter("headers > 1"), "several_headers", F.col("file"), F.col("headers").cast("string")),
+        violation(by_file.filter("questions = 0"), "no_questions", F.col("file"), F.lit("")), violation(left.filter("size(lack) > 0"), "missing_keys", F.col("id"), F.array_join("lack", ",")),
+        violation(stages.filter("size(lack) > 0"), "missing_stages", F.col("id"), F.array_join("lack", ",")), violation(twice, "repeated", F.col("id"), F.col("n").cast("string")),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 SPEC_SCHEMA = "corpus string, commit string, roots array<string>, exclude array<string>, questions array<struct<id:string,`set`:string,question:string,path:string,symbol:string,evidence:string>>"
 
 

@@ -167,3 +167,32 @@ def test_scan_source_tree(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     assert [r.path for r in src.scan_source_tree(spark, str(tmp_path), ("src",)).collect()] == ["src/a.py"]
+
+
+def test_damaged_archives(spark):
+    """What can't be read is a row; members before it, and other archives, stay. Caps end an archive while it is read."""
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w:gz") as tar:
+        for k in range(40):
+            info = tarfile.TarInfo(f"top/f{k}.py")
+            info.size = 5000
+            tar.addfile(info, io.BytesIO(bytes((k * 31 + j * j * 7) % 251 for j in range(5000))))
+    good = raw.getvalue()
+    blobs = [("good", good), ("cut", good[: len(good) // 2]), ("text", b"no archive"), ("empty", b""), ("null", None)]
+    rows = src.explode_archives(spark.createDataFrame([(n, None if b is None else bytearray(b)) for n, b in blobs], "path string, content binary")).collect()
+    ends = {r.archive: r.skip_reason for r in rows if r.kind == "archive"}
+    assert ends == {"cut": "damaged_archive", "text": "damaged_archive", "empty": "damaged_archive", "null": "missing_archive"}
+    assert sum(r.archive == "good" for r in rows) == 40 and 0 < sum(r.archive == "cut" for r in rows) < 41
+    one = spark.createDataFrame([("good", bytearray(good))], "path string, content binary")
+    for caps, why, kept in (({"max_members": 7}, "too_many_members", 7), ({"max_bytes": 12_000}, "too_many_bytes", 2)):
+        got = src.explode_archives(one, **caps).collect()
+        assert [r.skip_reason for r in got if r.skip_reason] == [why] and sum(r.kind == "file" for r in got) == kept
+
+
+def test_nested_redaction(spark):
+    schema = "a struct<t:string, l:array<map<string,struct<u:string,n:int>>>>, b boolean"
+    df = spark.createDataFrame([(({"t": "x ghp_abcdefghijklmnopqrstuvwxyz0123456789", "l": [{"k\x00": {"u": None, "n": 3}, "k": {"u": "ghp_abcdefghijklmnopqrstuvwxyz0123456789", "n": 4}}, None]}), True), (None, None)], schema)
+    got = df.select(x.redact_nested(F.struct("a", "b"), df.schema).alias("v")).collect()
+    assert got[0].v.a.t == "x [REDACTED]" and got[0].v.a.l == [{"k": ("[REDACTED]", 4)}, None] and got[0].v.b is True and got[1].v.a is None
+    text = '{"ghp_abcdefghijklmnopqrstuvwxyz0123456789": {"q\\"s": [1, -2.5, "ghp_abcdefghijklmnopqrstuvwxyz0123456789", null, ""]}}'
+    assert one(spark, x.redact_json_text(F.lit(text))) == '{"[REDACTED]": {"q\\"s": [1, -2.5, "[REDACTED]", null, ""]}}'
