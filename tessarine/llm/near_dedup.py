@@ -189,6 +189,22 @@ def components(edges: DataFrame) -> DataFrame:
             return found
 
 
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(node, root) after some more links (a, b), a written table: only the roots that these join are followed again."""
+    if links.isEmpty():
+        return roots
+    if roots is None:
+        return components(links)
+    of = lambda side, name: roots.select(F.col("node").alias(side), F.col("root").alias(name))
+    met = links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    edges = materialize(met.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        return roots
+    up = components(edges)
+    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return materialize(moved.unionByName(up.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return members.withColumn("root", F.col("cls"))
@@ -285,8 +301,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with_a = _beside(pairs, size_of, "a", "b", pairs, pairs.count())
     pairs = materialize(with_a.join(size_of.select(F.col("cls").alias("b"), F.col("n_shingles").alias("of_n")), "b").filter(_alike_size()).select("a", "b"), "pairs")
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, firsts, repeated)
-    links = materialize(_linked(pairs, sets), "links")
-    roots = components(links) if not links.isEmpty() else None
+    roots = _merged(None, materialize(_linked(pairs, sets), "links"))
 
     rows = _rooted(members.select("key", "cls", "blocks"), roots)
     split = rows.groupBy("key").agg(F.max("blocks").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "blocks")
@@ -306,8 +321,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             if fresh.isEmpty():
                 continue
             pairs = pairs.union(fresh)
-            links = materialize(links.union(_linked(fresh, sets)), "links")
-            roots = components(links) if not links.isEmpty() else None
+            roots = _merged(roots, materialize(_linked(fresh, sets), "links"))
 
     answer = _rooted(classes, roots)
     ids = answer.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
