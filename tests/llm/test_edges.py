@@ -351,10 +351,17 @@ def test_top_k(spark):
     assert topk.top_k(v.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_queries_of_their_own(spark):
+    """Also equal ones: each has its own ranks and the other among its candidates."""
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [2.0, 1.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score >> 16) for r in topk.top_k(v, k=2).collect())
+    assert got == sorted([(0, 1, 7, 2), (0, 2, 50, 1), (0, 1, 7, 1), (0, 2, 50, 1), (50, 1, 7, 3), (50, 2, 50, 2)] + [(50, 1, 7, 3), (50, 2, 50, 2)])
+
+
 def test_pruning_skips_blocks():
     rng = np.random.default_rng(3)
     weights = [rng.integers(0, 9, (50, 8)) + (100 if b == 0 else 0) for b in range(6)]
     ids = [np.arange(b * 50, b * 50 + 50) for b in range(6)]
-    (_, best, scored), = topk.search((np.array([-1]), np.ones((1, 8), np.int64)), ids, weights, 5)
+    (_, best, scored), = topk.search((np.array([-1]), np.ones((1, 8), np.int64)), ids, ids, weights, 5)
     flat = sorted(((-int(w.sum()), int(i)) for ws, own in zip(weights, ids, strict=True) for w, i in zip(ws, own, strict=True)))[:5]
     assert best == [(-s, i) for s, i in flat] and scored == 1
