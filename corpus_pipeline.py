@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.llm._work import materialize
+from tessarine.llm._work import free, materialize
 from tessarine.llm.mixing import mix_sources
 from tessarine.llm.near_dedup import drop_near_duplicates
 from tessarine.llm.packing import pack_documents
@@ -44,8 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again; an empty table passes through all of them."""
+    """All stages over documents, each written and read again, its predecessor's table deleted then; an empty table passes through all of them."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        free(docs)  # a stage's own table; the given one stays
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
