@@ -294,8 +294,8 @@ def hash_embedding(texts: list[str], dims: int = 64) -> list[list[float]]:
 
 
 def embed_batches(texts: DataFrame, known: DataFrame, provider: Callable[[list[str]], list[list[float]]] = hash_embedding, model: str = "hash-64", batch: int = 100) -> DataFrame:
-    """(content_hash, embedding, embedding_model) of (content_hash, text) not yet in ``known``. Blank texts embed as ``[empty]``."""
-    fresh = texts.join(known.select("content_hash"), "content_hash", "left_anti")
+    """(content_hash, embedding, embedding_model) of (content_hash, text) that ``known`` (content_hash, embedding_model) doesn't have of this model. Blank texts embed as ``[empty]``."""
+    fresh = texts.join(known.filter(F.col("embedding_model") == model).select("content_hash"), "content_hash", "left_anti")
 
     def embed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -119,8 +119,18 @@ R.add(
     lambda s, d: c.distinct_content(fixed(s, d)).select("content_hash", "path", "start_line"),
     f"WITH {_spans_sql(SIZE, OVERLAP)} SELECT sha256(content) AS content_hash, path, start_line FROM chunks QUALIFY row_number() OVER (PARTITION BY sha256(content) ORDER BY path, start_line) = 1",
 )
-R.add("c12_embed_batches", lambda s, d: c.embed_batches(c.distinct_content(fixed(s, d)).select("content_hash", F.col("content").alias("text")), s.createDataFrame([], "content_hash string")).select("content_hash", "embedding_model", F.size("embedding").cast("long").alias("dims")),
-      f"WITH {_spans_sql(SIZE, OVERLAP)} SELECT DISTINCT sha256(content) AS content_hash, 'hash-64' AS embedding_model, CAST(64 AS BIGINT) AS dims FROM chunks")
+
+
+def _embedded(s, d):
+    """Of the contents a quarter has a vector of this model already, and another quarter one of another model."""
+    texts = c.distinct_content(fixed(s, d)).select("content_hash", F.col("content").alias("text"))
+    first = F.substring("content_hash", 1, 1)
+    known = texts.filter(first < "8").select("content_hash", F.when(first < "4", "hash-64").otherwise("other").alias("embedding_model"))
+    return c.embed_batches(texts, known).select("content_hash", "embedding_model", F.size("embedding").cast("long").alias("dims"))
+
+
+R.add("c12_embed_batches", _embedded,
+      f"WITH {_spans_sql(SIZE, OVERLAP)} SELECT DISTINCT sha256(content) AS content_hash, 'hash-64' AS embedding_model, CAST(64 AS BIGINT) AS dims FROM chunks WHERE left(sha256(content), 1) >= '4'")
 
 
 def _attached(s, d):
