@@ -254,25 +254,25 @@ def _across(rows: DataFrame) -> DataFrame:
     """Pairs within a key whose roots differ, whose sizes are near enough and whose reaches allow a link.
 
     Of each pair one row isn't of the key's most frequent root, so those rows alone meet all of the key. A key's rows
-    are dealt to blocks of about SPLIT_ABOVE and each block pair is a join key of its own, so one large
+    are dealt to blocks of about twice SPLIT_ABOVE and each block is a join key of its own, so one large
     entry spreads over many tasks. Pairs that can't link are dropped inside the join, and a pair that shares several
     keys leaves it once, at the first of them.
     """
     of_root = rows.groupBy("key", "root").agg(F.max("blocks").alias("blocks"), F.count(F.lit(1)).alias("rows"))
     of_key = of_root.groupBy("key").agg(F.max("blocks").alias("blocks"), F.max_by("root", F.struct("rows", "root")).alias("most"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("roots"))
     sized = _of_entry(rows, of_key.filter("roots > 1").drop("roots"))
-    blocks = F.ceil(F.col("rows") / SPLIT_ABOVE).cast("int")
+    blocks = F.ceil(F.col("rows") / (2 * SPLIT_ABOVE)).cast("int")
     dealt = sized.select("key", "cls", "root", "most", "n_shingles", "reach", "bits", "keys", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
-    left = dealt.filter("root <> most").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumnRenamed("block", "from").drop("blocks", "most")
+    left = dealt.filter("root <> most").drop("block", "most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     right = dealt.select(
         "key", F.col("cls").alias("of"), F.col("root").alias("of_root"), F.col("n_shingles").alias("of_n"), F.col("reach").alias("of_reach"), F.col("bits").alias("of_bits"), F.col("keys").alias("of_keys"),
-        (F.col("root") == F.col("most")).alias("of_most"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("from"), F.col("block").alias("to"),
+        (F.col("root") == F.col("most")).alias("of_most"), "block",
     )
     lone = sum((F.bit_count(F.get("bits", i).bitwiseAND(F.bitwise_not(F.get("of_bits", i)))) for i in range(BITMAP_BITS // 64)), F.lit(0))
     near = (100 + PERCENT) * (F.col("n_shingles") - lone) >= PERCENT * (F.col("n_shingles") + F.col("of_n"))
     first = F.array_min(F.array_intersect("keys", "of_keys")) == F.col("key")
     once = F.col("of_most") | (F.col("cls") < F.col("of"))
-    met = left.join(right, ["key", "from", "to"]).filter(once & (F.col("root") != F.col("of_root")) & _may_link() & near & first)
+    met = left.join(right, ["key", "block"]).filter(once & (F.col("root") != F.col("of_root")) & _may_link() & near & first)
     return met.select(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b")).distinct()
 
 
