@@ -142,7 +142,7 @@ R.add("d8_outcome_counts", lambda s, d: t.outcome_counts(deliveries(s, d)).selec
       "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS event, count(*) AS n FROM events GROUP BY 1, 2")
 
 R.add("d7_job_watch", lambda s, d: drain(t.job_watch(event_stream(s, d).select((col("installation") % 40).alias("worker"), col("received_at").alias("beat")))),
-      f"""WITH b AS (SELECT user_id % 40 AS worker, epoch_ms(ts) AS tm FROM events), g AS (SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY worker ORDER BY tm) <= {t.STALL_SECONDS * 1000} THEN 0 ELSE 1 END AS new FROM b),
+      f"""WITH b AS (SELECT user_id % 40 AS worker, epoch_us(ts) // 1000 AS tm FROM events), g AS (SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY worker ORDER BY tm) <= {t.STALL_SECONDS * 1000} THEN 0 ELSE 1 END AS new FROM b),
       r AS (SELECT worker, tm, sum(new) OVER (PARTITION BY worker ORDER BY tm ROWS UNBOUNDED PRECEDING) AS run FROM g), v AS (SELECT worker, min(tm) AS started, max(tm) + {t.STALL_SECONDS * 1000} AS stalled, min(tm) + {t.MOST_WORK_SECONDS * 1000} AS cut FROM r GROUP BY worker, run)
       SELECT worker, started, CASE WHEN cut < stalled THEN 'cut_loose' ELSE 'stalled' END AS verdict, least(cut, stalled) AS "at" FROM v, (SELECT max(tm) AS now FROM b) WHERE least(cut, stalled + 1) <= now""")
 _OUTCOMES = ("done", "failed", "ignored")
