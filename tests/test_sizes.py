@@ -33,3 +33,12 @@ def test_find_existing_meets_one_row_of_a_key(spark):
     want = {a: a if a % 6 == 0 else 7 for a in range(200) if a % 6 == 0 or a % 5 > 0}
     assert made_rows(found, "Join", "Cartesian") <= 200
     assert {r.ask_id: r.repository_id for r in found.collect()} == want
+
+
+def test_resolve_user_meets_one_row_of_a_key(spark):
+    users = spark.range(300).select((F.col("id") + 10).alias("user_id"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("identity"), F.lit("A@x").alias("email"))
+    logins = spark.range(200).select(F.col("id").alias("login_id"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("identity"), F.when(F.col("id") % 5 > 0, "a@X").alias("email"))
+    found = lineage.resolve_user(logins, users)
+    want = {a: a + 10 if a % 6 == 0 else 10 for a in range(200) if a % 6 == 0 or a % 5 > 0}
+    assert made_rows(found, "Join", "Cartesian") <= 200
+    assert {r.login_id: r.user_id for r in found.collect()} == want
