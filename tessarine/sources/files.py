@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
 import re
 import tarfile
 import zlib
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,43 @@ def scan_source_tree(spark: SparkSession, root: str, roots: tuple[str, ...] = ("
     return decode_text(rows).filter("skip_reason is null").select("path", F.col("text").alias("content")).filter(F.trim(F.regexp_replace("content", r"\s", "")) != "")
 
 
+FOLDER_FILES = 1000
+"""Files of one folder that a task writes; folders beyond 32 are listed by tasks instead of the driver."""
+
+
+def write_line_files(rows: DataFrame, root: str, by: str) -> None:
+    """Each row's ``value`` as a line of its own file ``root/by=.../piece=.../part-*.txt``; ``root`` is new, in a folder that driver and executors share.
+
+    Every folder is one task's, so none is merged when the job ends. Hadoop's local file system starts a process for the
+    mode of each new file and its checksum; where it holds ``root``, the tasks write there themselves. A task that runs again writes the same
+    files anew. Elsewhere Spark writes them.
+    """
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        rows.select(by, F.spark_partition_id().alias("piece"), "value").write.partitionBy(by, "piece").option("maxRecordsPerFile", 1).text(root)
+        return
+    below = at.toUri().getPath()
+    os.makedirs(below, exist_ok=True)
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, n, folder = TaskContext.get().partitionId(), 0, {}
+        for part in parts:
+            for group, raw in zip(part["by"], part["raw"], strict=True):
+                piece = task << 20 | n // FOLDER_FILES
+                if folder.get(group, (None,))[0] != piece:
+                    folder[group] = piece, f"{below}/{by}={group}/piece={piece}"
+                    os.makedirs(folder[group][1], exist_ok=True)
+                with open(f"{folder[group][1]}/part-{n}.txt", "wb") as out:
+                    out.write(raw + b"\n")
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    group = F.coalesce(F.col(by), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    raw = F.coalesce("value", F.lit("")).cast("binary")
+    rows.select(group.alias("by"), raw.alias("raw")).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
 def member_problem(member: tarfile.TarInfo, name: str) -> str | None:
     if member.issym():
         return "symlink"

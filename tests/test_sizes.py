@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessarine.operators import lineage
+from tessarine.sources import files as src
 
 
 def made_rows(df, *nodes):
@@ -42,3 +43,14 @@ def test_resolve_user_meets_one_row_of_a_key(spark):
     want = {a: a + 10 if a % 6 == 0 else 10 for a in range(200) if a % 6 == 0 or a % 5 > 0}
     assert made_rows(found, "Join", "Cartesian") <= 200
     assert {r.login_id: r.user_id for r in found.collect()} == want
+
+
+def test_line_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """A file for each row, in folders of bounded size that belong to one task, without checksum files, and all of them are found again."""
+    monkeypatch.setattr(src, "FOLDER_FILES", 10)
+    rows = spark.range(0, 95, 1, 3).select(F.when(F.col("id") % 5 > 0, F.concat(F.lit("l"), F.col("id") % 2)).alias("lang"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("ä "), F.col("id"))).alias("value"))
+    src.write_line_files(rows, f"file://{tmp_path}/t/kept", "lang")
+    every = [p for p in (tmp_path / "t").rglob("*") if p.is_file()]
+    assert len(every) == 95 and {p.suffix for p in every} == {".txt"} and max(len(list(p.parent.iterdir())) for p in every) <= 10
+    found = src.scan_source_tree(spark, f"file://{tmp_path}/t", ("kept",), (".txt",), ("lang=__HIVE",)).collect()
+    assert {(r.path.split("/")[1], r.content) for r in found} == {(f"lang=l{i % 2}", f"ä {i}\n") for i in range(95) if i % 5 and i % 9}
