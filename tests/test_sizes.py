@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessarine.operators import lineage
+from tessarine.operators import lineage, retrieval
 from tessarine.sources import files as src
 
 
@@ -54,3 +54,17 @@ def test_line_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
     assert len(every) == 95 and {p.suffix for p in every} == {".txt"} and max(len(list(p.parent.iterdir())) for p in every) <= 10
     found = src.scan_source_tree(spark, f"file://{tmp_path}/t", ("kept",), (".txt",), ("lang=__HIVE",)).collect()
     assert {(r.path.split("/")[1], r.content) for r in found} == {(f"lang=l{i % 2}", f"ä {i}\n") for i in range(95) if i % 5 and i % 9}
+
+
+def test_postings_are_grouped_where_texts_are_read(spark):
+    """No word of a chunk is shuffled; chunks that share a key, nulls among them, are merged."""
+    rows = [(1, 1, "a", "The red fox, red FOX", "x.y"), (2, 1, "a", "", None), (3, None, "a", None, "the"), (4, 1, "a", "b " * 3, "x")]
+    schema = "chunk_id long, organization long, repository string, content string, breadcrumb string"
+    one = retrieval.build_postings(spark.createDataFrame(rows, schema))
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    want = {(1, 1, "content", "red"): [2, 4], (1, 1, "content", "fox"): [3, 5], (1, 1, "breadcrumb", "x"): [1], (1, 1, "breadcrumb", "y"): [2], (1, 4, "content", "b"): [1, 2, 3], (1, 4, "breadcrumb", "x"): [1]}
+    got = lambda df: {(r.organization, r.chunk_id, r.field, r.term): r.positions for r in df.collect()}
+    assert got(one) == want and one.count() == len(want)
+    both = retrieval.build_postings(spark.createDataFrame([*rows, (1, 1, "a", "a red hen", None), (3, None, "a", "hen", None), (3, None, "a", "hen hen", None)], schema))
+    assert got(both) == want | {(1, 1, "content", "red"): [2, 2, 4], (1, 1, "content", "hen"): [3], (None, 3, "content", "hen"): [1, 1, 2]}
+    assert both.count() == len(want) + 2
