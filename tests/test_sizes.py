@@ -68,3 +68,17 @@ def test_postings_are_grouped_where_texts_are_read(spark):
     both = retrieval.build_postings(spark.createDataFrame([*rows, (1, 1, "a", "a red hen", None), (3, None, "a", "hen", None), (3, None, "a", "hen hen", None)], schema))
     assert got(both) == want | {(1, 1, "content", "red"): [2, 2, 4], (1, 1, "content", "hen"): [3], (None, 3, "content", "hen"): [1, 1, 2]}
     assert both.count() == len(want) + 2
+
+
+def test_cover_steps_are_computed_once(spark):
+    """Scores are those of a plain loop over covers, and a step makes no maps."""
+    hits = [(1, "a"), (4, "b"), (5, "a"), (9, "c"), (10, "b"), (11, "a"), (20, "c"), (21, "c"), (30, "a")]
+    last, start, want = {}, 0, 0.0
+    for at, term in hits:
+        last[term] = at
+        if len(last) == 3 and min(last.values()) > start:
+            start = min(last.values())
+            want += 1 / (at - start + 1)
+    column = F.array(*(F.struct(F.lit(at).cast("long").alias("at"), F.lit(t).alias("term")) for at, t in hits))
+    df = spark.range(3).select("id", column.alias("hits")).select(retrieval.cover_density(F.col("hits"), F.lit(3)).alias("s"))
+    assert "map_concat" not in df._jdf.queryExecution().analyzed().toString() and {round(r.s, 9) for r in df.collect()} == {round(want, 9)}
