@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from tessarine.operators.jobs import coalesce_requests
 from tessarine.operators.lineage import latest_per, resolve_installation
+from tessarine.shared import free, materialize
 from tessarine.streaming.run import keep_state
 
 RETENTION = "30 days"
@@ -96,46 +98,41 @@ def _ms(at) -> int:
     return pd.Timestamp(at).value // 10**6
 
 
-class ChangedFiles(StatefulProcessor):
+def _changed(columns: list[str], keep_ms: int):
     """Passes a file on when its content's digest isn't the one last seen at its path; of a batch's versions the latest counts."""
 
-    def __init__(self, columns: list[str], keep_ms: int) -> None:
-        self.columns, self.keep_ms = columns, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.digest = handle, handle.getValueState("digest", "digest string, at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        versions = pd.concat(list(rows)).sort_values(["arrived_at", "digest"])
-        newest = versions.iloc[[-1]]
-        digest, at = newest["digest"].iloc[0], _ms(newest["arrived_at"].iloc[0])
-        known = self.digest.get() if self.digest.exists() else None
-        if known is not None and at < known[1]:
-            return  # older than what was passed on
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.digest.update((digest, at))
-        self.handle.registerTimer(at + self.keep_ms)
-        if known is None or known[0] != digest:
-            yield newest[self.columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.digest.clear()
-        yield pd.DataFrame(columns=self.columns)
-
-    def close(self) -> None:
-        return
+    def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest = None
+        for part in rows:
+            own = part.sort_values(["arrived_at", "digest"]).iloc[[-1]] if len(part) > 1 else part
+            place = own["arrived_at"].iloc[0], own["digest"].iloc[0]
+            if newest is None or place >= last:
+                newest, last = own, place
+        digest, at = last[1], _ms(last[0])
+        known = state.get if state.exists else None
+        old = known is not None and at < known[1]  # than what was passed on
+        if not old:
+            state.update((digest, at))
+        state.setTimeoutTimestamp(max((known[1] if old else at) + keep_ms, state.getCurrentWatermarkMs() + 1))
+        if not old and (known is None or known[0] != digest):
+            yield newest[columns]
+
+    return run
 
 
 def changed_files(files: DataFrame, keep_days: int = 30) -> DataFrame:
     """A stream of files (path, content, arrived_at, ...) without those whose content is what was last seen at their path.
 
     A path's digest is forgotten once event time is ``keep_days`` past its last arrival; a file that comes after that counts as new.
-    Its content passes through, but only the digest is kept. Files without a path are dropped.
+    Its content passes through, but only the digest is kept. Files without a path are dropped. States go to the tasks in Arrow
+    batches with their rows, not in calls for each path.
     """
     columns = files.columns
     marked = files.filter("path IS NOT NULL").withColumn("digest", F.sha2(F.coalesce("content", F.lit("")), 256)).withWatermark("arrived_at", "0 seconds")
-    return marked.groupBy("path").transformWithStateInPandas(ChangedFiles(columns, keep_days * 86_400_000), files.schema, "append", "eventTime")
+    return marked.groupBy("path").applyInPandasWithState(_changed(columns, keep_days * 86_400_000), files.schema, "digest string, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_chunks(files: DataFrame, chunker: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], keep_days: int = 30):
@@ -145,9 +142,11 @@ def stream_chunks(files: DataFrame, chunker: Callable[[DataFrame], DataFrame], w
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        kept = batch.select("path", "arrived_at").withColumnRenamed("arrived_at", "_at")
-        chunks = chunker(batch)
+        passed = materialize(batch, "passed")  # read twice below: the state would be gone through as often
+        kept = passed.select("path", "arrived_at").withColumnRenamed("arrived_at", "_at")
+        chunks = chunker(passed)
         write(kept.join(chunks.drop("arrived_at"), "path", "left").withColumnRenamed("_at", "arrived_at"), epoch)
+        free(passed)
 
     keep_state(files.sparkSession)
     return changed_files(files, keep_days).writeStream.foreachBatch(apply)
