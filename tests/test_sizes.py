@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessarine.operators import lineage, retrieval
+from tessarine.operators import lineage, quality, retrieval
 from tessarine.sources import files as src
 
 
@@ -82,3 +82,13 @@ def test_cover_steps_are_computed_once(spark):
     column = F.array(*(F.struct(F.lit(at).cast("long").alias("at"), F.lit(t).alias("term")) for at, t in hits))
     df = spark.range(3).select("id", column.alias("hits")).select(retrieval.cover_density(F.col("hits"), F.lit(3)).alias("s"))
     assert "map_concat" not in df._jdf.queryExecution().analyzed().toString() and {round(r.s, 9) for r in df.collect()} == {round(want, 9)}
+
+
+def test_comparable_runs_meet_in_one_join(spark):
+    schema = "id long, question string, set string, vector_hash string, error string"
+    before = spark.createDataFrame([(1, "q", "t", "h", None), (2, "q", "t", None, None), (3, "q", "t", "h", "e"), (3, "q", "t", "h", None)], schema)
+    after = spark.createDataFrame([(1, "p", "s", "i", "e"), (2, "q", "t", None, None), (4, "q", "t", "h", None)], schema)
+    found = quality.check_comparable_runs(before, after)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join FullOuter") == 1
+    want = [("failed", "1"), ("failed", "3"), ("missing", "3"), ("missing", "3"), ("missing", "4"), ("question", "1"), ("repeated_before", "3"), ("set", "1"), ("vector", "1"), ("vector", "2")]
+    assert sorted((r.check, r.key) for r in found.collect()) == want
