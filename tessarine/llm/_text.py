@@ -23,16 +23,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         at = end
 
 
+def digests(words: pa.LargeBinaryArray) -> np.ndarray:
+    """A 64-bit hash of each of ``words``, none of them null."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    borders = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    raw = memoryview(words.buffers()[2] or b"")
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, map(raw.__getitem__, map(slice, borders[:-1], borders[1:]))), np.uint64, len(words))
+
+
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts in a row, A-Z lower-cased, and where each text's begin and the last one's end."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     found = split.flatten().dictionary_encode()
-    known = found.dictionary.cast(pa.binary()).to_pylist()
-    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+    known = found.dictionary.cast(pa.large_binary())
+    of_word = digests(known)
     place = found.indices.to_numpy(zero_copy_only=False)
     borders = np.cumsum(np.concatenate([[0], pc.list_value_length(split).to_numpy(zero_copy_only=False)]))
-    if b"" in known:  # what stands before a leading blank and after a trailing one
-        keep = place != known.index(b"")
+    nothing = known.index(b"").as_py()
+    if nothing >= 0:  # what stands before a leading blank and after a trailing one
+        keep = place != nothing
         borders, place = np.concatenate([[0], np.cumsum(keep)])[borders], place[keep]
     return of_word[place], borders
 
@@ -86,5 +96,4 @@ class Cut:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each word in its place."""
-        own = self.known.to_pylist()
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))[self.place]
+        return digests(self.known)[self.place]

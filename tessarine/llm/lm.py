@@ -38,6 +38,12 @@ SEGMENT_TEXT = 1 << 24
 LEAST_SEGMENTS, MOST_SEGMENTS = 32, 1 << 17
 HOT_TOKENS = 1 << 20
 """Words with at least this part of all tokens are at most so many; their exact counts are broadcast for the base score (16 bytes each)."""
+PROBED = 1 << 13
+"""Keys that are probed at a time: what is held for them stays near the CPU."""
+_SIFTED = {0, 1, 3, PROBES - 1}
+"""Probes after which keys that are not there are left out of the next."""
+RECALLED_BITS = 19
+"""A worker keeps the counts of at most 2^19 keys (8 MB) from one slice of text to the next."""
 GROWTH = 1.5
 STEPS = [1]
 """The counts at which levels begin: each at least one and GROWTH times the one before."""
@@ -131,24 +137,57 @@ class CountFilter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Each key's count rounded down to a step, 0 for what is not there; more with probability MISTAKEN."""
+        found = np.concatenate([self._steps(keys[at : at + PROBED]) for at in range(0, len(keys), PROBED)] or [np.empty(0, np.int64)])
+        return np.where(found > 0, _STEPS[found - 1], 0).astype(np.float64)
+
+    def _steps(self, keys: np.ndarray) -> np.ndarray:
+        """How many levels hold each key, up to the first that doesn't."""
         found = np.zeros(len(keys), np.int64)
         segment = segments_of(keys, len(self.sizes))
         alive = np.flatnonzero(self.sizes[segment] > 0)
+        keys, start, size = keys[alive], self.starts[segment[alive]], self.sizes[segment[alive]]
         step = 0
         while len(alive) and step < len(_STEPS):
             step += 1
-            own, of = keys[alive], segment[alive]
-            start, size = self.starts[of], self.sizes[of]
-            a, b = _places(own, step)
+            (at, by), of, begin, room = _places(keys, step), np.arange(len(keys)), start, size
+            fine = None
             for i in range(PROBES):
-                at = start + _at(a, b, i, size)
-                keep = np.flatnonzero((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
-                if len(keep) < len(at):
-                    a, b, start, size, alive = a[keep], b[keep], start[keep], size[keep], alive[keep]
-                if not len(alive):
-                    break
+                place = at >> np.uint64(32)
+                place *= room
+                place >>= np.uint64(32)
+                place += begin
+                bit = self.bits[(place >> np.uint64(3)).view(np.int64)] >> (place.astype(np.uint8) & np.uint8(7)) & np.uint8(1)
+                fine = bit if fine is None else fine & bit
+                if i in _SIFTED:
+                    keep, fine = np.flatnonzero(fine), None
+                    if len(keep) < len(of):
+                        at, by, of, begin, room = at[keep], by[keep], of[keep], begin[keep], room[keep]
+                at = at + by
+            if len(of) < len(alive):
+                alive, keys, start, size = alive[of], keys[of], start[of], size[of]
             found[alive] = step
-        return np.where(found > 0, _STEPS[found - 1], 0).astype(np.float64)
+        return found
+
+
+class Recalled:
+    """Counts of a filter, kept by the worker that asked: of keys that share a place, the one of the highest count stays."""
+
+    def __init__(self, filter_: CountFilter) -> None:
+        self.filter, self.keys, self.found = filter_, None, None
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """``CountFilter.counts`` of distinct keys in ascending order."""
+        if self.keys is None:
+            self.keys, self.found = np.zeros(1 << RECALLED_BITS, np.uint64), np.full(1 << RECALLED_BITS, -1.0)
+        at = (keys >> np.uint64(64 - RECALLED_BITS)).astype(np.int64)
+        known = self.found[at]
+        new = np.flatnonzero((self.keys[at] != keys) | (known < 0))
+        known[new] = self.filter.counts(keys[new])
+        new = new[known[new] > self.found[at[new]]]
+        new = new[np.lexsort((known[new], at[new]))]
+        new = new[np.diff(at[new], append=-1) != 0]
+        self.keys[at[new]], self.found[at[new]] = keys[new], known[new]
+        return known
 
 
 def segment_bits(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -278,7 +317,9 @@ def _score(shared, hot, smoothing: Smoothing, base_over: float):
                 base = np.add.reduceat(np.where(is_hot, np.log10((hot_n + ADD) / base_over), 0.0)[back], starts)
                 known = np.add.reduceat(is_hot.astype(np.int64)[back], starts)
                 if filter_:
-                    low = filter_.counts(keys)
+                    order = np.argsort(keys)
+                    low = np.empty(len(keys))
+                    low[order] = filter_.counts(keys[order])
                     high = at_most(low)
                     before = np.concatenate([[0], back[:-1]])
                     before[starts] = np.searchsorted(types, _END)
@@ -400,7 +441,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast((hot_keys[order], hot["n"].to_numpy(np.float64)[order]))
     over, smoothing = n_train + ADD * (n_types + 1), Smoothing(n_train, n_types)
     whole = (kept.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
-    shared = spark.sparkContext.broadcast(gather_filter(kept, segments)) if whole else None
+    shared = spark.sparkContext.broadcast(Recalled(gather_filter(kept, segments))) if whole else None
     kind = "row long, key long, head boolean, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, "
     kind += "score double" if whole else "pair array<long>, before array<long>, token array<long>, times array<long>"
     scored = source.mapInArrow(_score(shared, frequent, smoothing, over), kind)

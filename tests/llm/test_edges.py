@@ -200,6 +200,21 @@ def test_count_filter_rounds_down():
     assert (f.counts(rng.integers(0, 2**63, 100_000).astype(np.uint64)) > 0).mean() < 1.2 * lm.MISTAKEN
 
 
+def test_counts_are_asked_of_the_filter_once(monkeypatch):
+    monkeypatch.setattr(lm, "RECALLED_BITS", 12)
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**63, 40_000).astype(np.uint64) * np.uint64(2))
+    f = filter_of(keys[::2], rng.integers(1, 5000, len(keys[::2])))
+    recalled, asked, counts = lm.Recalled(f), [], f.counts
+    monkeypatch.setattr(f, "counts", lambda k: asked.append(len(k)) or counts(k))
+    for own in (keys, keys[::3], keys[:100], keys[:0], keys):
+        assert (recalled.counts(own) == counts(own)).all()
+    few = keys[::400]
+    recalled = lm.Recalled(f)
+    asked.clear()
+    assert (recalled.counts(few) == recalled.counts(few)).all() and asked[0] == len(few) and asked[1] < len(few) // 10
+
+
 def test_probabilities_sum_to_at_most_one():
     """After rare and frequent words alike, over the whole vocabulary, whatever the filter finds by mistake; and most of the mass is there."""
     rng = np.random.default_rng(2)
