@@ -57,11 +57,11 @@ def whole(cut: Cut, n: int) -> np.ndarray:
 
 
 def _languages(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, which one each row has, a hash for each row)."""
+    """(languages, which one each row has, a hash for each row, unlike that of a word: words named like languages would share sums)."""
     found = batch.column("lang").dictionary_encode()
     names = found.dictionary.to_pylist()
     of_row = found.indices.to_numpy(zero_copy_only=False)
-    return names, of_row, np.fromiter((xxhash.xxh3_64_intdigest(n.encode()) for n in names), np.uint64, len(names))[of_row]
+    return names, of_row, np.fromiter((xxhash.xxh3_64_intdigest(n.encode(), 1) for n in names), np.uint64, len(names))[of_row]
 
 
 class Keys:
@@ -288,16 +288,22 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _same(cut: Cut, of_row: np.ndarray, h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct phrase, how often it stands), by hash, and by the words themselves where two phrases share one."""
-    order = np.argsort(h, kind="stable")
-    at, h = at[order], h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    sizes = np.diff(np.append(first, len(at)))
-    model = np.repeat(at[first], sizes)
+    which = pa.array(h).dictionary_encode().indices.to_numpy()
+    sizes = np.bincount(which)
+    first = np.empty(len(sizes), np.int64)
+    first[which] = at
+    model = first[which]
     lang = of_row[cut.row]
-    if all(np.array_equal(cut.place[at + j], cut.place[model + j]) for j in range(n)) and np.array_equal(lang[at], lang[model]):
-        return at[first], sizes
-    _, first, sizes = np.unique(np.stack([lang[at], *(cut.place[at + j] for j in range(n))], axis=1), axis=0, return_index=True, return_counts=True)
-    return at[first], sizes
+    apart = lang[at] != lang[model]
+    for j in range(n):
+        apart |= cut.place[at + j] != cut.place[model + j]
+    if not apart.any():
+        return first, sizes
+    shared = np.zeros(len(sizes), bool)
+    shared[which[apart]] = True
+    mixed = at[shared[which]]
+    _, own, each = np.unique(np.stack([lang[mixed], *(cut.place[mixed + j] for j in range(n))], axis=1), axis=0, return_index=True, return_counts=True)
+    return np.concatenate([first[~shared], mixed[own]]), np.concatenate([sizes[~shared], each])
 
 
 def _added_up(tables: list[pa.Table], by: list[str]) -> pa.Table:

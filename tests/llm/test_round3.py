@@ -95,6 +95,14 @@ def test_phrases_of_one_hash_are_told_apart():
     assert sorted(n.tolist()) == [1, 1, 1, 2] and len(at) == 4
 
 
+def test_words_named_like_languages_share_no_hash():
+    """``en`` in texts of ``es`` and ``es`` in texts of ``en`` are phrases of their own: only those that share a hash are compared by words."""
+    batch = pa.RecordBatch.from_pydict({"text": ["es a", "en a"], "lang": ["en", "es"]})
+    [(_, _, seeds, cut)] = collocations._cuts(iter([batch]))
+    for n, h in collocations._grams(cut, seeds, 2):
+        assert len(np.unique(h[collocations.whole(cut, n)])) == 4 // n
+
+
 def plain_search(rows, items, k):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(low))
