@@ -123,3 +123,16 @@ def test_cell_store(spark, tmp_path):
     assert [n_cells(n) for n in (0, 100, 10**12)] == [1, 10, 4096]
     few = CellStore(rows.limit(3), ["model"])
     assert few.search(asked.limit(1), 50)[0].count() <= 3 and CellStore(rows.limit(0), ["model"]).search(asked, 5)[0].count() == 0
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_blocks_of_a_list_meet_queries_together(spark, named):
+    """What is scored, and found, does not depend on how many tasks packed the lists; ids may be strings."""
+    from tessarine.operators.cells import CellStore
+
+    rng = np.random.default_rng(4)
+    key = (lambda i: f"c{i}") if named else int
+    rows = spark.createDataFrame([(1, key(i), v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], f"model int, chunk_id {'string' if named else 'long'}, embedding array<double>")
+    asked = rows.limit(30).withColumnRenamed("chunk_id", "query_id")
+    got = [tuple(sorted(map(tuple, df.collect())) for df in CellStore(rows.repartition(n), ["model"]).search(asked, 5)) for n in (1, 24)]
+    assert got[0] == got[1] and len(got[0][0]) == 150 and all(q != c for q, c, *_ in got[0][0])
