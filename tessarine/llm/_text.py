@@ -23,6 +23,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         at = end
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """``slices`` of all batches; none is held here while the next is read."""
+    for batch in batches:
+        yield from slices(batch, column, most)
+        del batch
+
+
 def digests(words: pa.LargeBinaryArray) -> np.ndarray:
     """A 64-bit hash of each of ``words``, none of them null."""
     if not len(words):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarine.llm._text import hashed_words, mix, slices
+from tessarine.llm._text import hashed_words, mix, sliced
 from tessarine.llm._work import join_counted, materialize
 
 BROADCAST_BYTES = 1 << 27
@@ -57,7 +57,7 @@ CONCENTRATION = 30.0
 _END = np.uint64(0x5BD1E9955BD1E995)
 _UNI, _BI = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x9B05688C2B3E6C1F)
 _KIND = np.uint64(1)
-_COUNT_SLICE, _SCORE_SLICE = 8 << 20, 3 << 20
+_COUNT_SLICE, _SCORE_SLICE = 8 << 20, 2 << 20
 """Bytes of text that a worker counts or scores at a time."""
 
 
@@ -94,17 +94,30 @@ def _count(segments: int):
         offsets = (borders * values.itemsize).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            learnt = batch.filter(pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()], pa.bool_()))
-            for some in slices(learnt, "text", _COUNT_SLICE):
-                toks, starts = tokens(some.column("text"))
-                keys, n = np.unique(np.concatenate([unigram_keys(toks), pair_keys(contexts(toks, starts), toks)]), return_counts=True)
-                segment = segments_of(keys, segments)
-                borders = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]])
-                yield pa.record_batch([pa.array(segment[borders[:-1]].astype(np.int32)), packed(keys, borders), packed(n.astype("<u4"), borders)], ["segment", "keys", "n"])
+    def counted(some: pa.RecordBatch) -> pa.RecordBatch:
+        learnt = some.filter(pa.array([not held_out(i) for i in some.column("doc_id").to_pylist()], pa.bool_()))
+        keys, n = tally(_keys(learnt.column("text")))
+        segment = segments_of(keys, segments)
+        borders = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+        return pa.record_batch([pa.array(segment[borders[:-1]].astype(np.int32)), packed(keys, borders), packed(n.astype("<u4"), borders)], ["segment", "keys", "n"])
+
+    return lambda batches: map(counted, sliced(batches, "text", _COUNT_SLICE))
+
+
+def _keys(texts: pa.Array) -> np.ndarray:
+    """The keys of all words and pairs of texts, repeats included."""
+    toks, starts = tokens(texts)
+    keys = np.empty(2 * len(toks), np.uint64)
+    keys[: len(toks)] = unigram_keys(toks)
+    keys[len(toks) :] = pair_keys(contexts(toks, starts), toks)
+    return keys
 
-    return count
+
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order and how often each occurs. Sorts ``keys`` itself, in its own memory."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def segments_of(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -303,41 +316,46 @@ def _score(shared, hot, smoothing: Smoothing, base_over: float):
     model's score, and one for each other token that the filter knows, to look up. Without ``shared``, heads have the
     pairs to look up, and all other tokens are looked up."""
 
+    def scored(some: pa.RecordBatch, row: int) -> pa.RecordBatch:
+        ids = some.column("doc_id").to_pylist()
+        toks, starts = tokens(some.column("text"))
+        ends = np.append(starts[1:], len(toks))
+        types, back = np.unique(toks, return_inverse=True)
+        keys = unigram_keys(types)
+        is_hot, hot_n = _hot_counts(hot.value, keys)
+        base = np.add.reduceat(np.where(is_hot, np.log10((hot_n + ADD) / base_over), 0.0)[back], starts)
+        known = np.add.reduceat(is_hot.astype(np.int64)[back], starts)
+        if shared:
+            order = np.argsort(keys)
+            low = np.empty(len(keys))
+            low[order] = shared.value.counts(keys[order])
+            high = at_most(low)
+            before = np.concatenate([[0], back[:-1]])
+            before[starts] = np.searchsorted(types, _END)
+            pairs, of_pair = np.unique(pair_keys(types[before], toks), return_inverse=True)
+            pair = shared.value.counts(pairs)[of_pair]
+            model = {"score": pa.array(np.add.reduceat(smoothing.log_p(pair, high[before], low[back]), starts))}
+            rare = np.flatnonzero((~is_hot & (low > 0))[back])
+        else:
+            model = _pairs(toks, starts)
+            rare = np.flatnonzero(~is_hot[back])
+        n, more = len(ids), len(rare)
+        rows = np.concatenate([np.arange(row, row + n), row + np.searchsorted(ends, rare, "right")])
+        return pa.record_batch(
+            [pa.array(rows), pa.array(np.concatenate([mix(np.arange(row, row + n).astype(np.uint64)), keys[back[rare]]]).view(np.int64)), pa.array(np.arange(n + more) < n),
+             *(pa.concat_arrays([x, pa.nulls(more, x.type)]) for x in (pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array((ends - starts).astype(np.int64)), pa.array(known), pa.array(base), *model.values()))],
+            ["row", "key", "head", "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", *model],
+        )
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = shared.value if shared else None
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for some in slices(batch, "text", _SCORE_SLICE):
-                ids = some.column("doc_id").to_pylist()
-                toks, starts = tokens(some.column("text"))
-                ends = np.append(starts[1:], len(toks))
-                types, back = np.unique(toks, return_inverse=True)
-                keys = unigram_keys(types)
-                is_hot, hot_n = _hot_counts(hot.value, keys)
-                base = np.add.reduceat(np.where(is_hot, np.log10((hot_n + ADD) / base_over), 0.0)[back], starts)
-                known = np.add.reduceat(is_hot.astype(np.int64)[back], starts)
-                if filter_:
-                    order = np.argsort(keys)
-                    low = np.empty(len(keys))
-                    low[order] = filter_.counts(keys[order])
-                    high = at_most(low)
-                    before = np.concatenate([[0], back[:-1]])
-                    before[starts] = np.searchsorted(types, _END)
-                    pairs, of_pair = np.unique(pair_keys(types[before], toks), return_inverse=True)
-                    pair = filter_.counts(pairs)[of_pair]
-                    model = {"score": pa.array(np.add.reduceat(smoothing.log_p(pair, high[before], low[back]), starts))}
-                    rare = np.flatnonzero((~is_hot & (low > 0))[back])
-                else:
-                    model = _pairs(toks, starts)
-                    rare = np.flatnonzero(~is_hot[back])
-                n, more = len(ids), len(rare)
-                rows = np.concatenate([np.arange(row, row + n), row + np.searchsorted(ends, rare, "right")])
-                yield pa.record_batch(
-                    [pa.array(rows), pa.array(np.concatenate([mix(np.arange(row, row + n).astype(np.uint64)), keys[back[rare]]]).view(np.int64)), pa.array(np.arange(n + more) < n),
-                     *(pa.concat_arrays([x, pa.nulls(more, x.type)]) for x in (pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array((ends - starts).astype(np.int64)), pa.array(known), pa.array(base), *model.values()))],
-                    ["row", "key", "head", "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", *model],
-                )
-                row += n
+
+        def numbered(some: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal row
+            row += len(some)
+            return scored(some, row - len(some))
+
+        return map(numbered, sliced(batches, "text", _SCORE_SLICE))
 
     return score
 
