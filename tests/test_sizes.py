@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessarine.operators import lineage, quality, retrieval
+from tessarine.operators import evaluation, lineage, quality, retrieval
 from tessarine.sources import files as src
 
 
@@ -92,3 +92,15 @@ def test_comparable_runs_meet_in_one_join(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join FullOuter") == 1
     want = [("failed", "1"), ("failed", "3"), ("missing", "3"), ("missing", "3"), ("missing", "4"), ("question", "1"), ("repeated_before", "3"), ("set", "1"), ("vector", "1"), ("vector", "2")]
     assert sorted((r.check, r.key) for r in found.collect()) == want
+
+
+def test_target_overlap_meets_blocks_of_ids(spark, monkeypatch):
+    """400 questions of one answer meet as blocks, not as 160,000 rows; every pair is there once, with repeated ids and nulls as in SQL."""
+    monkeypatch.setattr(evaluation, "BLOCK_IDS", 50)
+    i = F.col("id")
+    rows = spark.range(400).select(F.when(i % 50 > 0, i - i % 7 % 2).alias("id"), F.when(i % 3 == 0, "holdout").when(i % 3 == 1, "tuning").alias("set"), F.when(i % 41 > 0, "p").alias("path"), F.when(i % 43 > 0, F.concat(F.when(i % 5 > 0, "a.").otherwise(""), F.lit("s"))).alias("symbol"))
+    found = evaluation.target_overlap(rows, ("holdout",))
+    own = [r for r in rows.collect() if None not in (r.id, r.path, r.symbol)]
+    want = sorted((x.id, y.id) for x in own for y in own if x.id < y.id and "holdout" in (x.set, y.set))
+    assert sorted((r.a, r.b) for r in found.collect()) == want and len(want) > 30_000
+    assert made_rows(found, "Join", "Cartesian") <= 1000
