@@ -4,8 +4,9 @@ The filter holds every unigram and bigram of the training texts, once for each o
 that its count reaches. A count is read back, rounded down to such a step, by probing level after level until one is missing.
 Scores take every count from the filter, whatever its size; exact counts of words serve the base score alone. Segments of the
 filter, by the leading bits of the keys, are built where their n-grams are counted, each as large as its own levels
-need, so the filter grows with the input. Up to BROADCAST_BYTES it is broadcast; a larger one stays in the shared
-folder, and the distinct bigrams and words are shuffled to its segments, with the same scores.
+need, so the filter grows with the input. Up to BROADCAST_BYTES it is broadcast. The segments of a larger one are asked
+where they are built: slices of documents send their distinct n-grams with their counts, and each segment sends back, in the
+same order, a byte for each with the level it holds, and exact counts of words. The scores are the same.
 
 A token w after c has the probability (n(c, w) + K p(w)) / (n(c) + K + F): counts of pairs are rounded down, those of
 contexts up, and F is the weight that pairs found by mistake have over the whole vocabulary, so that the probabilities
@@ -25,9 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessarine.llm._text import hashed_words, mix, sliced
-from tessarine.llm._work import join_counted, materialize
+from tessarine.llm._work import free, materialize
 
 BROADCAST_BYTES = 1 << 27
+TEXT_TO_FILTER = 8
+"""For texts of more than so many times BROADCAST_BYTES no filter to broadcast is built."""
+SLICE_TEXT = 1 << 24
+"""Bytes of text to a slice of documents that asks the segments of a filter that isn't broadcast."""
 KEY_BITS = 12
 """Bits for each level of each n-gram."""
 PROBES = 8
@@ -97,8 +102,7 @@ def _count(segments: int):
     def counted(some: pa.RecordBatch) -> pa.RecordBatch:
         learnt = some.filter(pa.array([not held_out(i) for i in some.column("doc_id").to_pylist()], pa.bool_()))
         keys, n = tally(_keys(learnt.column("text")))
-        segment = segments_of(keys, segments)
-        borders = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+        segment, borders = _runs(keys, segments)
         return pa.record_batch([pa.array(segment[borders[:-1]].astype(np.int32)), packed(keys, borders), packed(n.astype("<u4"), borders)], ["segment", "keys", "n"])
 
     return lambda batches: map(counted, sliced(batches, "text", _COUNT_SLICE))
@@ -106,7 +110,10 @@ def _count(segments: int):
 
 def _keys(texts: pa.Array) -> np.ndarray:
     """The keys of all words and pairs of texts, repeats included."""
-    toks, starts = tokens(texts)
+    return _token_keys(*tokens(texts))
+
+
+def _token_keys(toks: np.ndarray, starts: np.ndarray) -> np.ndarray:
     keys = np.empty(2 * len(toks), np.uint64)
     keys[: len(toks)] = unigram_keys(toks)
     keys[len(toks) :] = pair_keys(contexts(toks, starts), toks)
@@ -126,11 +133,43 @@ def segments_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
+def _runs(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each of the keys, which ascend, and where each segment's begin and the last one's end."""
+    segment = segments_of(keys, segments)
+    return segment, np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+
+
+class Tallied:
+    """Keys in ascending order and how often each occurs, of parts that are merged when they outgrow what is there."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.fresh.append((keys, n.astype(np.int64)))
+        if sum(len(k) for k, _ in self.fresh) > max(1 << 21, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        every, each = np.concatenate([self.keys, *(k for k, _ in self.fresh)]), np.concatenate([self.n, *(c for _, c in self.fresh)])
+        self.fresh.clear()
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
+        self.keys, self.n = every[first], np.add.reduceat(each[order], first) if len(first) else each
+
+
 def level(count: np.ndarray) -> np.ndarray:
     """How many steps a count reaches: 1 for 1, 2 for 2, 3 for 3 and 4, 4 for 5 to 7, ..."""
     return np.searchsorted(_STEPS, count, "right")
 
 
+def reached(levels: np.ndarray) -> np.ndarray:
+    """The least count that reaches so many levels, 0 for none."""
+    return np.where(levels > 0, _STEPS[levels - 1], 0).astype(np.float64)
+
+
 def _places(own: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of keys for a level; probe i is at their sum with i times the second."""
     a = mix(own ^ np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
@@ -150,11 +189,13 @@ class CountFilter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Each key's count rounded down to a step, 0 for what is not there; more with probability MISTAKEN."""
-        found = np.concatenate([self._steps(keys[at : at + PROBED]) for at in range(0, len(keys), PROBED)] or [np.empty(0, np.int64)])
-        return np.where(found > 0, _STEPS[found - 1], 0).astype(np.float64)
+        return reached(self.levels(keys))
 
-    def _steps(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         """How many levels hold each key, up to the first that doesn't."""
+        return np.concatenate([self._steps(keys[at : at + PROBED]) for at in range(0, len(keys), PROBED)] or [np.empty(0, np.int64)])
+
+    def _steps(self, keys: np.ndarray) -> np.ndarray:
         found = np.zeros(len(keys), np.int64)
         segment = segments_of(keys, len(self.sizes))
         alive = np.flatnonzero(self.sizes[segment] > 0)
@@ -221,29 +262,13 @@ def _build(segments: int):
     names = ["segment", "bits", "key", "n"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-        fresh: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def compact() -> None:
-            nonlocal keys, n
-            every, each = np.concatenate([keys, *(k for k, _ in fresh)]), np.concatenate([n, *(c for _, c in fresh)])
-            fresh.clear()
-            order = np.argsort(every, kind="stable")
-            every = every[order]
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
-            keys, n = every[first], np.add.reduceat(each[order], first) if len(first) else each
-
-        size = 0
+        tallied = Tallied()
         for batch in batches:
-            own = [np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("n", "<u4"))]
-            fresh.append((own[0], own[1].astype(np.int64)))
-            size += len(own[0])
-            if size > max(1 << 21, len(keys)):
-                compact()
-                size = 0
-        compact()
-        segment = segments_of(keys, segments)
-        borders = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]])
+            keys, n = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("n", "<u4")))
+            tallied.add(keys, n)
+        tallied.merge()
+        keys, n = tallied.keys, tallied.n
+        segment, borders = _runs(keys, segments)
         for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
             if a < b:
                 bits = segment_bits(keys[a:b], n[a:b]).tobytes()
@@ -256,11 +281,6 @@ def _build(segments: int):
     return build
 
 
-def _segment(segments: int) -> F.Column:
-    bits = segments.bit_length() - 1
-    return (F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0)).cast("int")
-
-
 def count_ngrams(counted: DataFrame, segments: int) -> DataFrame:
     """(segment, bits) of the filter, and (key, n) of words, of partial counts: one shuffle, written to the shared folder."""
     dealt = counted.repartitionById(segments, F.col("segment"))
@@ -311,10 +331,23 @@ def _hot_counts(hot: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[n
     return hot_keys[place] == keys, hot_n[place]
 
 
+def model_scores(counts, smoothing: Smoothing, toks: np.ndarray, starts: np.ndarray, types: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The model's score of each text, and the counts of ``types``, the distinct tokens: ``counts`` gives those of distinct keys in ascending order."""
+    keys = unigram_keys(types)
+    order = np.argsort(keys)
+    low = np.empty(len(keys))
+    low[order] = counts(keys[order])
+    high = at_most(low)
+    before = np.concatenate([[0], back[:-1]])
+    before[starts] = np.searchsorted(types, _END)
+    pairs, of_pair = np.unique(pair_keys(types[before], toks), return_inverse=True)
+    pair = counts(pairs)[of_pair]
+    return np.add.reduceat(smoothing.log_p(pair, high[before], low[back]), starts), low
+
+
 def _score(shared, hot, smoothing: Smoothing, base_over: float):
     """For mapInArrow over (doc_id, text): a row ``head`` for each text, with the base score of frequent tokens and the
-    model's score, and one for each other token that the filter knows, to look up. Without ``shared``, heads have the
-    pairs to look up, and all other tokens are looked up."""
+    model's score, and one for each other token that the filter knows, to look up."""
 
     def scored(some: pa.RecordBatch, row: int) -> pa.RecordBatch:
         ids = some.column("doc_id").to_pylist()
@@ -325,26 +358,14 @@ def _score(shared, hot, smoothing: Smoothing, base_over: float):
         is_hot, hot_n = _hot_counts(hot.value, keys)
         base = np.add.reduceat(np.where(is_hot, np.log10((hot_n + ADD) / base_over), 0.0)[back], starts)
         known = np.add.reduceat(is_hot.astype(np.int64)[back], starts)
-        if shared:
-            order = np.argsort(keys)
-            low = np.empty(len(keys))
-            low[order] = shared.value.counts(keys[order])
-            high = at_most(low)
-            before = np.concatenate([[0], back[:-1]])
-            before[starts] = np.searchsorted(types, _END)
-            pairs, of_pair = np.unique(pair_keys(types[before], toks), return_inverse=True)
-            pair = shared.value.counts(pairs)[of_pair]
-            model = {"score": pa.array(np.add.reduceat(smoothing.log_p(pair, high[before], low[back]), starts))}
-            rare = np.flatnonzero((~is_hot & (low > 0))[back])
-        else:
-            model = _pairs(toks, starts)
-            rare = np.flatnonzero(~is_hot[back])
+        scores, low = model_scores(shared.value.counts, smoothing, toks, starts, types, back)
+        rare = np.flatnonzero((~is_hot & (low > 0))[back])
         n, more = len(ids), len(rare)
         rows = np.concatenate([np.arange(row, row + n), row + np.searchsorted(ends, rare, "right")])
         return pa.record_batch(
             [pa.array(rows), pa.array(np.concatenate([mix(np.arange(row, row + n).astype(np.uint64)), keys[back[rare]]]).view(np.int64)), pa.array(np.arange(n + more) < n),
-             *(pa.concat_arrays([x, pa.nulls(more, x.type)]) for x in (pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array((ends - starts).astype(np.int64)), pa.array(known), pa.array(base), *model.values()))],
-            ["row", "key", "head", "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", *model],
+             *(pa.concat_arrays([x, pa.nulls(more, x.type)]) for x in (pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array((ends - starts).astype(np.int64)), pa.array(known), pa.array(base), pa.array(scores)))],
+            ["row", "key", "head", "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "score"],
         )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,96 +381,112 @@ def _score(shared, hot, smoothing: Smoothing, base_over: float):
     return score
 
 
-def _pairs(toks: np.ndarray, starts: np.ndarray) -> dict[str, pa.Array]:
-    """Lists of each document's distinct pairs: a key, both words, and how often it occurs."""
-    before = contexts(toks, starts)
-    ids = pair_keys(before, toks)
-    doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(toks))))
-    order = np.lexsort((ids, doc))
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(ids[order]) != 0)]))
-    first, offsets = order[new], np.searchsorted(doc[order][new], np.arange(len(starts) + 1)).astype(np.int32)
-    each = {"pair": ids[first], "before": unigram_keys(before[first]), "token": unigram_keys(toks[first]), "times": np.diff(np.append(new, len(toks)))}
-    return {k: pa.ListArray.from_arrays(pa.array(offsets), pa.array(v.astype(np.uint64).view(np.int64))) for k, v in each.items()}
-
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: values that are near each other are stored in few bytes."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def of_planes(raw: bytes) -> np.ndarray:
+    """The 64-bit values of ``planes``."""
+    return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def _ask(segments: int):
+    """For mapInArrow over (slice, doc_id, text) of one slice: its distinct keys and how often they occur in documents that are learnt from, a row for each segment."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallied, own = Tallied(), None
+        for some in sliced(batches, "text", _SCORE_SLICE):
+            own = some.column("slice")[0].as_py()
+            learnt = np.array([not held_out(i) for i in some.column("doc_id").to_pylist()])
+            for part, times in ((learnt, 1), (~learnt, 0)):
+                keys, n = tally(_keys(some.filter(pa.array(part)).column("text")))
+                tallied.add(keys, n * times)
+        tallied.merge()
+        segment, borders = _runs(tallied.keys, segments)
+        runs = list(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True))
+        if runs:
+            packed = [pa.array([planes(x[a:b]) for a, b in runs], pa.binary()) for x in (tallied.keys, tallied.n)]
+            yield pa.record_batch([pa.array(segment[borders[:-1]].astype(np.int32)), pa.array([own] * len(runs), pa.int32()), *packed], ["segment", "slice", "keys", "n"])
+
+    return ask
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over all that slices ask of one segment: it is built, and each slice gets the levels of its keys and the exact
+    counts of its words, in the order of the keys. One row has how many tokens and words the segment learnt."""
+    who, keys, n, own = [], [], [], None
+    for batch in batches:
+        for name, into in (("keys", keys), ("n", n)):
+            into += map(of_planes, batch.column(name).to_pylist())
+        who += batch.column("slice").to_pylist()
+        own = batch.column("segment")[0].as_py() if len(batch) else own
+    if not who:
+        return
+    upto = np.cumsum([0, *map(len, keys)])
+    every, back = np.unique(np.concatenate(keys), return_inverse=True)
+    keys.clear()
+    counts = np.bincount(back, np.concatenate(n)).astype(np.int64)
+    n.clear()
+    bits = segment_bits(every, counts)
+    levels, word = CountFilter(bits, np.array([8 * len(bits)])).levels(every).astype(np.uint8), every & _KIND == 0
+    totals = [[int(x)] + [0] * (len(who) - 1) for x in (counts[word].sum(), np.count_nonzero(counts[word]))]
+    runs = [back[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+    packed = [[levels[r].tobytes() for r in runs], [planes(counts[r[word[r]]]) for r in runs]]
+    yield pa.record_batch(
+        [pa.array(who, pa.int32()), pa.array([own] * len(who), pa.int32()), *(pa.array(x, pa.binary()) for x in packed), *(pa.array(x, pa.int64()) for x in totals)],
+        ["slice", "segment", "levels", "words", "tokens", "types"],
+    )
+
+
+def _score_slice(smoothing: Smoothing, over: float, n_train: int):
+    """For mapInArrow over one slice, its answers first, by segment: the rows of ``score_documents``. Equal documents are scored once."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-def _probe(names: list[str], name: str):
-    """For mapInArrow over rows sorted by segment, its bits first: the count of each key."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, filter_ = -1, None
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, words, held = [], [], None
         for batch in batches:
-            own = batch.column("segment").to_numpy(zero_copy_only=False)
-            has_bits = batch.column("bits").is_valid().to_numpy(zero_copy_only=False)
-            keys = batch.column("key").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            found = np.zeros(len(batch))
-            borders = np.flatnonzero(np.diff(own)) + 1
-            for a, b in zip([0, *borders], [*borders, len(batch)], strict=True):
-                if a == b:
-                    continue
-                if own[a] != at:
-                    at, filter_ = own[a], None
-                if has_bits[a]:
-                    bits = np.frombuffer(batch.column("bits")[a].as_py(), np.uint8)
-                    filter_ = CountFilter(bits, np.array([8 * len(bits)]))
-                    a += 1
-                if filter_ is not None and b > a:
-                    found[a:b] = filter_.counts(keys[a:b])
-            rest = pa.array(~has_bits)
-            yield pa.record_batch([*(batch.column(c).filter(rest) for c in names), pa.array(found).filter(rest)], [*names, name])
-
-    return apply
-
-
-def look_up(asked: DataFrame, kept: DataFrame, segments: int, column: str, name: str) -> DataFrame:
-    """``asked`` with the count of the keys in ``column``, which are distinct, as ``name``: keys are shuffled to their segments."""
-    names = asked.columns
-    met = asked.withColumn("key", F.col(column)).withColumn("segment", _segment(segments)).unionByName(kept.select("segment", "bits"), allowMissingColumns=True)
-    dealt = met.repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull())
-    return dealt.mapInArrow(_probe(names, name), ", ".join([*(f"{c} long" for c in names), f"{name} double"]))
-
-
-def score_by_segments(scored: DataFrame, kept: DataFrame, segments: int, smoothing: Smoothing) -> DataFrame:
-    """(row, score) where the filter is too large to broadcast: each distinct pair is looked up and scored once.
-
-    Words and pairs that many rows share are joined as join_counted does.
-    """
+            levels += [np.frombuffer(x, np.uint8) for x in batch.column("levels").drop_null().to_pylist()]
+            words += map(of_planes, batch.column("words").drop_null().to_pylist())
+            docs = pa.table(batch.filter(batch.column("segment").is_null()).select(["doc_id", "text"]))
+            docs = docs.append_column("times", pa.array(np.ones(len(docs), np.int64)))
+            held = (pa.concat_tables([held, docs]) if held else docs).group_by(["doc_id", "text"], use_threads=False).aggregate([("times", "sum")]).rename_columns(["doc_id", "text", "times"])
+        if not held:
+            return
+        pieces = [(x, *tokens(x.column("text"))) for x in sliced(iter(held.combine_chunks().to_batches()), "text", _SCORE_SLICE)]
+        every = tally(np.concatenate([tally(_token_keys(toks, starts))[0] for _, toks, starts in pieces]))[0]
+        levels, words = np.concatenate(levels).astype(np.int64), np.concatenate(words).astype(np.float64)
+        of_word = np.cumsum(every & _KIND == 0) - 1
+        if len(levels) != len(every) or len(words) != of_word[-1] + 1:
+            raise RuntimeError("the documents of a slice are not those that asked: they have to be the same ones at each reading")
+        for x, toks, starts in pieces:
+            types, back = np.unique(toks, return_inverse=True)
+            scores, _ = model_scores(lambda keys: reached(levels[np.searchsorted(every, keys)]), smoothing, toks, starts, types, back)
+            n = words[of_word[np.searchsorted(every, unigram_keys(types))]]
+            base = np.add.reduceat(np.log10((n + ADD) / over)[back], starts)
+            known = np.add.reduceat((n > 0).astype(np.int64)[back], starts)
+            ids, many = x.column("doc_id"), len(x)
+            rows = pa.record_batch([ids, pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), *map(pa.array, (np.diff(starts, append=len(toks)), known, np.full(many, n_train), base, scores))], names)
+            yield rows.take(pa.array(np.repeat(np.arange(many), x.column("times").to_numpy())))
 
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of words: at most and at least the true ones."""
-        for batch in batches:
-            low = batch.column("low").to_numpy(zero_copy_only=False)
-            yield pa.record_batch([batch.column("word"), pa.array(low), pa.array(at_most(low))], ["word", "low", "high"])
+    return score
 
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = smoothing.log_p(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair_n", "high", "low")))
-            yield pa.record_batch([batch.column("pair"), batch.column("n_rows"), pa.array(p)], ["pair", "n_rows", "log_p"])
-
-    each = scored.select("row", F.explode(F.arrays_zip("pair", "before", "token", "times")).alias("p")).select("row", "p.*")
-    pairs = materialize(each.groupBy("pair").agg(F.first("before").alias("before"), F.first("token").alias("token"), F.count(F.lit(1)).alias("n_rows")), "pairs")
-    total, n_asked = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
-    asked = pairs.select(F.explode(F.array("before", "token")).alias("word")).distinct()
-    found = materialize(look_up(asked, kept, segments, "word", "low").mapInArrow(bounds, "word long, low double, high double"), "words")
-    met = look_up(pairs, kept, segments, "pair", "pair_n")
-    for column, count in (("token", "low"), ("before", "high")):
-        rows = pairs.groupBy(F.col(column).alias("word")).agg(F.count(F.lit(1)).alias("n_rows"))
-        met = join_counted(met, materialize(found.select("word", count).join(rows, "word").withColumnRenamed("word", column), column), column, total)
-    met = materialize(met.mapInArrow(scores, "pair long, n_rows long, log_p double"), "pair-scores")
-    return join_counted(each.select("row", "pair", "times"), met, "pair", n_asked).groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("score"))
 
+def score_by_segments(source: DataFrame, segments: int, slices: int) -> DataFrame:
+    """``score_documents`` where the filter is too large to broadcast. A document's slice is a hash of it, the same at each reading."""
+    dealt = source.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int").alias("slice"), "doc_id", "text")
+    asked = dealt.repartitionById(slices, F.col("slice")).mapInArrow(_ask(segments), "segment int, slice int, keys binary, n binary")
+    answer = asked.repartitionById(segments, F.col("segment")).mapInArrow(_answer, "slice int, segment int, levels binary, words binary, tokens long, types long")
+    answers = materialize(answer, "answers")
+    n_train, n_types = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    met = dealt.unionByName(answers.drop("tokens", "types"), allowMissingColumns=True).repartitionById(slices, F.col("slice")).sortWithinPartitions(F.col("segment").asc_nulls_last())
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return met.mapInArrow(_score_slice(Smoothing(n_train, n_types), n_train + ADD * (n_types + 1), n_train), kind)
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
 
-    Learns from rows that are not held out. A null or empty text is one end token. A null doc_id is held out. Repeated
-    rows count, and are scored, each for itself. Without training rows all counts are 0 and every token has the base
-    probability 0.1 / (0.1 * 1). No rows give no rows.
-    """
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    taught = source.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0)
-    segments = n_segments(taught.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
-    counted = count_ngrams(taught.mapInArrow(_count(segments), "segment int, keys binary, n binary"), segments)
+def score_by_broadcast(source: DataFrame, counted: DataFrame, segments: int) -> DataFrame:
+    """``score_documents`` with a filter that every task holds."""
+    spark = source.sparkSession
     kept, singles = counted.filter("bits is not null").select("segment", "bits"), counted.filter("key is not null").select("key", "n")
     n_train, n_types = singles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     floor = max(1, -(-n_train // HOT_TOKENS))
@@ -458,25 +495,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
     order = np.argsort(hot_keys)
     frequent = spark.sparkContext.broadcast((hot_keys[order], hot["n"].to_numpy(np.float64)[order]))
     over, smoothing = n_train + ADD * (n_types + 1), Smoothing(n_train, n_types)
-    whole = (kept.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
-    shared = spark.sparkContext.broadcast(Recalled(gather_filter(kept, segments))) if whole else None
-    kind = "row long, key long, head boolean, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, "
-    kind += "score double" if whole else "pair array<long>, before array<long>, token array<long>, times array<long>"
+    shared = spark.sparkContext.broadcast(Recalled(gather_filter(kept, segments)))
+    kind = "row long, key long, head boolean, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, score double"
     scored = source.mapInArrow(_score(shared, frequent, smoothing, over), kind)
-    cold = singles.filter(F.col("n") < floor)
-    once = F.col("head")
-    if whole:
-        joined = scored.join(cold, "key", "left")
-    else:
-        scored = materialize(scored, "scored")
-        asked = scored.filter(~once).groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
-        met = materialize(cold.join(asked, "key"), "asked")
-        joined = join_counted(scored, met, "key", scored.count(), "left")
+    joined, once = scored.join(singles.filter(F.col("n") < floor), "key", "left"), F.col("head")
     n = F.when(~once, F.col("n"))
-    heads = {c: F.max(F.when(once, F.col(c))).alias(c) for c in ("doc_id", "held_out", "n_tokens", "hot_known", "hot_score", *(["score"] if whole else []))}
+    heads = {c: F.max(F.when(once, F.col(c))).alias(c) for c in ("doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "score")}
     summed = joined.groupBy("row").agg(*heads.values(), F.count(n).alias("more"), F.coalesce(F.sum(F.log10((n + ADD) / over)), F.lit(0.0)).alias("cold_score"))
-    if not whole:
-        summed = summed.join(score_by_segments(scored.filter(once), kept, segments, smoothing), "row")
     known = F.col("hot_known") + F.col("more")
     base = F.col("hot_score") + F.col("cold_score") + (F.col("n_tokens") - known) * math.log10(ADD / over)
     return summed.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
+
+    Learns from rows that are not held out. A null or empty text is one end token. A null doc_id is held out. Repeated
+    rows count, and are scored, each for itself. Without training rows all counts are 0 and every token has the base
+    probability 0.1 / (0.1 * 1). No rows give no rows.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    learns = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0
+    taught, size = source.filter(learns), F.octet_length("text").cast("long")
+    learnt, whole = source.agg(F.coalesce(F.sum(F.when(learns, size)), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    segments = n_segments(learnt)
+    if learnt <= TEXT_TO_FILTER * BROADCAST_BYTES:
+        counted = count_ngrams(taught.mapInArrow(_count(segments), "segment int, keys binary, n binary"), segments)
+        if (counted.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
+            return score_by_broadcast(source, counted, segments)
+        free(counted)
+    return score_by_segments(source, segments, max(LEAST_SEGMENTS, -(-whole // SLICE_TEXT)))
