@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import collections
 import gzip
 import io
+import itertools
 import os
 import re
 import tarfile
@@ -13,7 +15,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessarine.operators.lineage import tenant_bucket
@@ -23,27 +25,92 @@ MAX_FILE = 1_000_000
 MEMBER = "archive string, path string, size long, content binary, kind string, skip_reason string"
 
 
+FIRST_FOLDERS = 1000
+"""Folders of a tree that the driver looks for; tasks walk what is below them."""
+
+
 def scan_source_tree(spark: SparkSession, root: str, roots: tuple[str, ...] = ("",), extensions: tuple[str, ...] = (".py", ".go", ".ts", ".tsx", ".js"), exclude: tuple[str, ...] = ()) -> DataFrame:
     """(path, content) of text files below ``root``: by extension, without skipped directories, excluded patterns and blank files.
 
-    Paths are relative to ``root`` and separated by ``/``.
+    Paths are relative to ``root`` and separated by ``/``. Where Hadoop's local file system holds ``root``, in a folder that driver and
+    executors share, tasks list and read the files, and the driver sees folders alone; linked folders are not entered. Elsewhere Spark
+    lists them, on the driver, without names that begin with ``_`` or ``.``.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.sub(r"^file:/+", "/", root).rstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(base) + "/", "")
-    rows = raw.select(path.alias("path"), "content")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    local = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
     wanted = F.lit(False)
     for e in extensions:
         wanted = wanted | F.col("path").endswith(e)
     below = F.lit(False)
     for r in roots:
         below = below | F.lit(r == "") | F.col("path").startswith(r.rstrip("/") + "/")
-    rows = rows.filter(wanted & below & ~F.col("path").rlike(SKIP_DIRS))
+    wanted = wanted & below & ~F.col("path").rlike(SKIP_DIRS)
     for pattern in exclude:
-        rows = rows.filter(~F.col("path").rlike(pattern))
+        wanted = wanted & ~F.col("path").rlike(pattern)
+    rows = _local_files(spark, os.path.abspath(at.toUri().getPath()), roots, wanted) if local else _listed_files(spark, root).filter(wanted)
     return decode_text(rows).filter("skip_reason is null").select("path", F.col("text").alias("content")).filter(F.trim(F.regexp_replace("content", r"\s", "")) != "")
 
 
+def _listed_files(spark: SparkSession, root: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = re.sub(r"^file:/+", "/", root).rstrip("/")
+    path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(base) + "/", "")
+    return raw.select(path.alias("path"), "content")
+
+
+def _local_files(spark: SparkSession, base: str, roots: tuple[str, ...], wanted: Column) -> DataFrame:
+    """(path, content) of the ``wanted`` files: folders are dealt to tasks that list them, and the files to tasks that read them."""
+    top, starts = os.fsencode(base.rstrip("/")), ["" if r == "" else r.rstrip("/") + "/" for r in roots]
+
+    def relative(file: bytes) -> str:
+        return file[len(top) + 1 :].decode("utf-8", "replace")
+
+    def enter(folder: bytes) -> bool:
+        own = relative(folder) + "/"
+        return not re.search(SKIP_DIRS, own) and any(own.startswith(r) or r.startswith(own) for r in starts)
+
+    def folders(at: bytes) -> list[bytes]:
+        with os.scandir(at) as entries:
+            return [e.path for e in entries if e.is_dir(follow_symlinks=False) and enter(e.path)]
+
+    def files_in(at: bytes) -> Iterator[bytes]:
+        with os.scandir(at) as entries:
+            yield from (e.path for e in entries if e.is_file())
+
+    def walk(at: bytes) -> Iterator[bytes]:
+        yield from files_in(at)
+        for folder in folders(at):
+            yield from walk(folder)
+
+    def names(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for folder, whole in zip(part["folder"], part["whole"], strict=True):
+                found = (walk if whole else files_in)(bytes(folder))
+                while some := list(itertools.islice(found, 10_000)):
+                    yield pd.DataFrame({"path": [relative(f) for f in some], "file": some})
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows, size = [], 0
+            for path, file in zip(part["path"], part["file"], strict=True):
+                with open(bytes(file), "rb") as opened:
+                    rows.append((path, opened.read()))
+                size += len(rows[-1][1])
+                if size > 16 * MAX_FILE:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    left, listed = collections.deque([top or b"/"]), []
+    while left and len(left) + len(listed) < FIRST_FOLDERS:
+        listed.append(left.popleft())
+        left.extend(folders(listed[-1]))
+    dealt = spark.createDataFrame([(bytearray(f), False) for f in listed] + [(bytearray(f), True) for f in left], "folder binary, whole boolean")
+    n, tasks = len(listed) + len(left), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt.repartition(min(n, tasks)).mapInPandas(names, "path string, file binary").filter(wanted)
+    return found.repartition(max(n, tasks)).mapInPandas(read, "path string, content binary")
+
+
 FOLDER_FILES = 1000
 """Files of one folder that a task writes; folders beyond 32 are listed by tasks instead of the driver."""
 
